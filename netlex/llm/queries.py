@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlex.llm import chat, licenses, simhash, substring_dedup, suffix_dedup
+from netlex.llm import chat, flac, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
 from netlex.llm._common import table, written
 
 
@@ -13,6 +13,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_simple8b_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_ids(token_output.write_ids(table(spark, sf_dir, "documents"), _tokenizer()))
+
+
+def op3_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.features(flac.store(table(spark, sf_dir, "documents")))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), whole_characters=False).drop("kept")
 
@@ -21,6 +39,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=2)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     row = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
@@ -35,8 +57,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_simple8b_token_output": op2_simple8b_token_output,
+    "op3_length_bucket_packing": op3_length_bucket_packing,
+    "op4_flac_media": op4_flac_media,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
 }
