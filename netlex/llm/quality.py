@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
 
@@ -151,10 +152,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     return b - float(weights @ mean), [(float(a), r) for a, r in zip(weights, rules, strict=True) if abs(a) > 1e-9]
 
 
-def score(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
-    """The model as one expression over the columns named in STATISTICS."""
+def score(intercept: float, rules: list[tuple[float, Rule]], of=lambda name: F.col(name)) -> Column:
+    """The model as one expression; `of` gives the column of a name in STATISTICS."""
+
     def holds(rule: Rule) -> Column:
-        return functools.reduce(operator.and_, [(F.col(STATISTICS[f]) > t) if above else (F.col(STATISTICS[f]) <= t) for f, above, t in rule])
+        return functools.reduce(operator.and_, [(of(STATISTICS[f]) > t) if above else (of(STATISTICS[f]) <= t) for f, above, t in rule])
 
     total = functools.reduce(operator.add, [F.when(holds(r), F.lit(w)).otherwise(0.0) for w, r in rules], F.lit(intercept))
     return 1 / (1 + F.exp(-total))
@@ -163,9 +165,30 @@ def score(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted. Learns from labelled rows that are not held out, at most max_rows of them."""
     rows = written(statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
-    learn = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(max_rows)
-    sample = learn.select("label", *STATISTICS).toPandas()
-    intercept, rules = fit(sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64))
+    intercept, rules = learn(rows, labels, label_col, max_rows)
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(intercept, rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000) -> tuple[float, list[tuple[float, Rule]]]:
+    """The model from statistics of labelled rows that are not held out, at most max_rows of them."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    some = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(max_rows)
+    sample = some.select("label", *STATISTICS).toPandas()
+    return fit(sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of 0.5 or more, all columns as they were; no shuffle of texts."""
+    intercept, rules = learn(written(statistics(docs, id_col, text_col), "statistics"), labels, label_col, max_rows)
+    name = next(c for i in range(len(docs.columns) + 1) if (c := f"statistics_{i}") not in docs.columns)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for b in slices([batch], text_col):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_statistics(t or b"") for t in b.column(at).cast(pa.large_binary()).to_pylist()], pa.list_(pa.float64()))], [*b.schema.names, name])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    total = score(intercept, rules, lambda c: F.col(name)[STATISTICS.index(c)])
+    return marked.filter(total >= 0.5).select(*docs.columns)

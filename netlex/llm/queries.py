@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlex.llm import chat, flac, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
+from netlex.llm import chat, decontaminate, flac, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
 from netlex.llm._common import table, written
 
 
@@ -13,18 +13,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_simple8b_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.read_ids(token_output.write_ids(table(spark, sf_dir, "documents"), _tokenizer()))
+    return token_output.read_ids(token_output.write_ids(table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op3_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=2)
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_flac_media": op4_flac_media,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
