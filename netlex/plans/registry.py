@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from netlex.plans import communities, graphs, nulls, text, traversal
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {}
+SQL = {}
+for module in (graphs, traversal, communities, nulls, text):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
