@@ -2,9 +2,9 @@
 
 A window of `length` units (bytes or words) is keyed by the least hash of the `gram`-unit grams in it, so equal windows
 have equal keys wherever they stand. Consecutive window starts with one key form a segment. Only keys that occur twice
-can hold a repeated window; their segments are cut from the texts, equal ones are made one before they are shuffled, and
-each key's distinct segments meet in one task. Nothing here decides what repeats: that is left to the caller's exact
-structure (suffix array or suffix tree).
+can hold a repeated window. Where all segments of a key are equal (by a 64-bit digest), they repeat throughout; all
+others are cut from the texts, equal ones are made one before they are shuffled, and each key's distinct segments meet
+in one task, whose exact structure (suffix array or suffix tree) decides what repeats.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
 
@@ -84,13 +86,14 @@ def _sliding(ufunc, x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(document, start, starts, key, marks) of the segments; documents stand at offsets[i]:offsets[i + 1] of values.
+    """(document, start, starts, key, digest, marks) of the segments; documents stand at offsets[i]:offsets[i + 1] of values.
 
     marks: 2 if the key's gram stands more than once in the segment, else 1."""
     w = length - gram + 1
-    g = gram_hashes(values, gram)
-    if len(g) < w:
+    if len(values) < length:
         return None
+    p, back = _prefix(values)
+    g = _mixed((p[gram:] - p[:-gram]) * back[: len(values) - gram + 1])
     key = _sliding(np.minimum, g, w)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(key)]
     valid = np.arange(len(key)) + length <= offsets[1:][doc]
@@ -109,7 +112,8 @@ def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     i = np.repeat(np.arange(len(first)), size)
     at = np.minimum(lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size), len(least) - 1)
     same = np.bincount(i, g[least[at]] == key[first[i]], len(first))
-    return doc[first], first - offsets[doc[first]], n, key[first].view(np.int64), np.where(same > 1, 2, 1)
+    digest = _mixed((p[first + n + length - 1] - p[first]) * back[first] + n.astype(np.uint64) * _MIX)
+    return doc[first], first - offsets[doc[first]], n, key[first].view(np.int64), digest.view(np.int64), np.where(same > 1, 2, 1)
 
 
 def segments_of(units: list[np.ndarray], length: int, gram: int, chunk: int = CHUNK):
@@ -133,35 +137,79 @@ def segments_of(units: list[np.ndarray], length: int, gram: int, chunk: int = CH
         base = i + 1
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of a row (id0, h): rows that repeat an id with another text keep apart."""
-    null = F.lit(-(2**63))
-    return docs.select("doc_id", "text", F.coalesce("doc_id", null).alias("id0"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+def with_key(docs: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, text, the columns in carry and the key of a row (id0, h). h is a hash of the text only where ids repeat or are null, so that
+    rows with one id and other texts keep apart; elsewhere it is 0."""
+    repeats = docs.groupBy("doc_id").count().filter("`count` > 1 or doc_id is null").limit(1).count()
+    h = F.xxhash64(F.coalesce("text", F.lit(""))) if repeats else F.lit(0).cast("long")
+    return docs.select("doc_id", "text", *carry, F.coalesce("doc_id", F.lit(-(2**63))).alias("id0"), h.alias("h"))
 
 
-def candidates(keyed: DataFrame, units: Callable[[bytes], np.ndarray], pack: Callable[[bytes], Callable[[int, int], bytes]], length: int, gram: int) -> DataFrame:
-    """key, d1, d2 (digest of the segment), id0, h, start, starts, seg; a table in the shared folder.
+def squeezed(keyed: DataFrame) -> DataFrame:
+    """keyed with the text compressed, as z, to be shuffled."""
+    others = [c for c in keyed.columns if c != "text"]
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in slices(batches, "text"):
+            cols = [*(b.column(i) for i in range(len(others))), pa.array([squeeze(t) for t in utf8(b, "text")], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [*others, "z"])
+
+    return keyed.select(*others, "text").mapInArrow(run, T.StructType([*(keyed.schema[c] for c in others), T.StructField("z", T.BinaryType())]))
 
-    seg, the segment's content as pack(text)(start, end) gives it, is null where this task has written it before."""
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    back = zstandard.ZstdDecompressor().decompress
+    return [back(z) for z in batch.column(batch.schema.get_field_index("z")).to_pylist()]
+
+
+def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], length: int, gram: int) -> DataFrame:
+    """key, id0, h, start, starts, plain, first: the segments whose key occurs twice; a table in the shared folder.
+
+    plain: all segments of the key are equal; first: it is the least of them by (id0, h, start)."""
 
     def find(batches):
         for b in slices(batches, "text", CHUNK):
             ids, hs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for doc, start, n, key, marks in segments_of([units(t) for t in utf8(b, "text")], length, gram):
-                cols = [pa.array(key), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(start), pa.array(n), pa.array(marks)]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "id0", "h", "start", "starts", "marks"])
+            for doc, start, n, key, digest, marks in segments_of([units(t) for t in utf8(b, "text")], length, gram):
+                cols = [pa.array(key), pa.array(digest), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(start), pa.array(n), pa.array(marks)]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "digest", "id0", "h", "start", "starts", "marks"])
+
+    found = keyed.select("id0", "h", "text").mapInArrow(find, "key long, digest long, id0 long, h long, start long, starts long, marks long")
+    w, at = Window.partitionBy("key"), F.struct("id0", "h", "start")
+    seen = found.withColumns({"all": F.sum("marks").over(w), "most": F.max("marks").over(w), "lo": F.min("digest").over(w), "hi": F.max("digest").over(w), "at": F.min(at).over(w)})
+    kept = seen.filter(F.col("all") > 1)
+    plain = (F.col("lo") == F.col("hi")) & (F.col("most") == 1)
+    return written(kept.select("key", "id0", "h", "start", "starts", plain.alias("plain"), (at == F.col("at")).alias("first")), "segments")
 
-    found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, id0 long, h long, start long, starts long, marks long"), "segments")
-    twice = found.groupBy("key").agg(F.sum("marks").alias("marks")).filter("marks > 1").select("key")
-    kept = found.join(twice, "key").groupBy("id0", "h").agg(F.collect_list(F.struct("key", "start", "starts")).alias("segs"))
+
+def whole_spans(segments: DataFrame) -> DataFrame:
+    """id0, h, spans: the segments as stretches (first, last + 1) of window starts."""
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts")).alias("b"))
+    return segments.select("id0", "h", F.array(span).alias("spans"))
+
+
+def joined_spans(*parts: DataFrame) -> DataFrame:
+    """All spans of a document in one row."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    return rows.groupBy("id0", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def candidates(keyed: DataFrame, segments: DataFrame, pack: Callable[[bytes], Callable[[int, int], bytes]], length: int) -> DataFrame:
+    """key, d1, d2 (digest of the segment), id0, h, start, starts, seg; a table in the shared folder.
+
+    seg, the segment's content as pack(text)(start, end) gives it, is null where this task has written it before."""
+    kept = segments.groupBy("id0", "h").agg(F.collect_list(F.struct("key", "start", "starts")).alias("segs"))
     # A row that stands in the table several times has its segments that often in the list: once is enough for each.
     kept = kept.withColumn("segs", F.array_distinct("segs"))
 
     def cut(batches):
         done: set[tuple[int, bytes]] = set()
-        for b in slices(batches, "text", CHUNK):
+        for b in slices(batches, "z", CHUNK // 3):
             rows = []
-            for id0, h, segs, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), utf8(b, "text"), strict=True):
+            for id0, h, segs, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b), strict=True):
                 content = pack(text)
                 for s in segs:
                     seg = content(s["start"], s["start"] + s["starts"] + length - 1)
@@ -178,7 +226,7 @@ def candidates(keyed: DataFrame, units: Callable[[bytes], np.ndarray], pack: Cal
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "d1", "d2", "id0", "h", "start", "starts", "seg"])
 
-    joined = keyed.join(kept, ["id0", "h"]).select("id0", "h", "segs", "text")
+    joined = squeezed(keyed).join(kept, ["id0", "h"]).select("id0", "h", "segs", "z")
     return written(joined.mapInArrow(cut, "key long, d1 long, d2 long, id0 long, h long, start long, starts long, seg binary"), "cuts")
 
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlex.llm._common import slices, utf8
-from netlex.llm._windows import by_key, candidates, gram_hashes, runs, with_key, word_spans, word_units
+from netlex.llm._common import slices
+from netlex.llm._windows import by_key, candidates, gram_hashes, joined_spans, repeated_keys, runs, squeezed, texts_of, whole_spans, with_key, word_spans, word_units
 
 LENGTH, GRAM = 20, 5
 #: Suffixes in a group of one prefix.
@@ -88,7 +88,8 @@ def _pack(text: bytes):
 
 def later_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """id0, h, spans: stretches (first, last + 1) of window starts whose words also start earlier."""
-    cuts = candidates(keyed, word_units, _pack, length, gram)
+    segments = repeated_keys(keyed, word_units, length, gram)
+    cuts = candidates(keyed, segments.filter("not plain"), _pack, length)
     here = F.struct("id0", "h", "start")
     grouped = cuts.groupBy("key", "d1", "d2").agg(F.min(here).alias("at"), F.max("seg").alias("seg"))
 
@@ -115,9 +116,9 @@ def later_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     own = (F.col("id0") == F.col("id0_1")) & (F.col("h") == F.col("h_1")) & (F.col("start") == F.col("start_1"))
     shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     # An equal segment that stands later repeats throughout.
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts")).alias("b")))
-    spans = where.select("id0", "h", F.when(own, shifted).otherwise(whole).alias("spans")).filter(F.size("spans") > 0)
-    return spans.groupBy("id0", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts")).alias("b"))
+    spans = where.select("id0", "h", F.when(own, shifted).otherwise(F.array(span)).alias("spans")).filter(F.size("spans") > 0)
+    return joined_spans(whole_spans(segments.filter("plain and not first")), spans)
 
 
 def _kept(text: bytes, spans: list, length: int) -> tuple[int, int, bytes]:
@@ -139,10 +140,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     spans = later_starts(keyed, length, gram)
 
     def apply(batches):
-        for b in slices(batches, "text"):
-            rows = [_kept(t, s, length) for t, s in zip(utf8(b, "text"), b.column(2).to_pylist(), strict=True)]
+        for b in slices(batches, "z", 700_000):
+            rows = [_kept(t, s, length) for t, s in zip(texts_of(b), b.column(2).to_pylist(), strict=True)]
             cols = [pa.array([r[2].decode() for r in rows]), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    joined = keyed.join(spans, ["id0", "h"], "left").select("doc_id", "text", "spans")
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(apply, "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")

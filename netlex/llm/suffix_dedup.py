@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from netlex.llm._common import slices, utf8
-from netlex.llm._windows import by_key, byte_units, candidates, runs, with_key
+from netlex.llm._common import slices
+from netlex.llm._windows import by_key, byte_units, candidates, joined_spans, repeated_keys, runs, squeezed, texts_of, whole_spans, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -197,7 +198,8 @@ def _pack(text: bytes):
 
 def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere."""
-    cuts = candidates(keyed, byte_units, _pack, length, gram)
+    segments = repeated_keys(keyed, byte_units, length, gram)
+    cuts = candidates(keyed, segments.filter("not plain"), _pack, length)
     grouped = cuts.groupBy("key", "d1", "d2").agg(F.count("*").alias("n"), F.max("seg").alias("seg"))
 
     def shard(batches):
@@ -219,7 +221,7 @@ def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     hits = dealt.select("key", "d1", "d2", "n", "seg").mapInArrow(shard, "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>")
     where = cuts.select("key", "d1", "d2", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
     shifted = where.select("id0", "h", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
-    return shifted.groupBy("id0", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return joined_spans(whole_spans(segments.filter("plain")), shifted)
 
 
 def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tuple[bytes, int, int]:
@@ -237,23 +239,37 @@ def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tupl
     return data[~out].tobytes(), int(out.sum()), len(runs(out)[0])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True) -> DataFrame:
-    """doc_id, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256.
 
     With whole_characters a character goes only if all its bytes are covered; without, `kept` is null, and the other
     columns count bytes."""
-    keyed = with_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    names = [f"carried_{i}" for i in range(len(carry or []))]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry or [], names, strict=True)))
+    keyed = with_key(texts, names)
     spans = repeated_starts(keyed, length, gram)
 
     def apply(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "z", 700_000):
             rows = []
-            for text, s in zip(utf8(b, "text"), b.column(2).to_pylist(), strict=True):
+            for text, s in zip(texts_of(b), b.column(1).to_pylist(), strict=True):
                 kept, removed, n = _kept(text, s, length, whole_characters)
                 rows.append((kept.decode() if whole_characters else None, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = keyed.join(spans, ["id0", "h"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            own = [b.column(i) for i in range(2, 3 + len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", *names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("z", "spans", "doc_id", *names)
+    made = T._parse_datatype_string("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInArrow(apply, T.StructType([joined.schema["doc_id"], *(joined.schema[n] for n in names), *made]))
+    return out.withColumnsRenamed(dict(zip(names, carry or [], strict=True)))
+
+
+def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """docs with repeated strings cut out of the text; size_col, if given, gets the new number of characters."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = dedup(docs.toDF(*docs.columns), length, gram, id_col, text_col, carry=others)
+    cut = {text_col: F.coalesce("kept", F.lit(""))} | ({size_col: F.char_length("kept").cast("long")} if size_col else {})
+    kind = dict(docs.dtypes)
+    return out.select([(F.col("doc_id").cast(kind[c]) if c == id_col else cut.get(c, F.col(c))).alias(c) for c in docs.columns])
