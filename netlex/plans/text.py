@@ -1 +1,119 @@
+"""Queries on utterances: documents as lines of their source, and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netlex.operators import dialogue as dl
+from netlex.plans.graphs import r6
+from netlex.plans.inputs import CHATS, LINES, TOKENS, chats, lines, sql, table
+
 QUERIES, SQL = {}, {}
+_STOP = ", ".join(f"'{w}'" for w in dl.STOP)
+_LOW = ", ".join(f"'{w}'" for w in dl.STOP + dl.FILLER)
+
+
+def add(name, run, select=None, ctes=(LINES, TOKENS)):
+    QUERIES[name] = run
+    if select:
+        SQL[name] = sql(list(ctes), select)
+
+
+def counts(s, d):
+    return dl.speaker_terms(lines(s, d))
+
+
+add("speaker_terms", counts, "SELECT owner, term, n FROM kc")
+add("term_counts", lambda s, d: dl.term_counts(counts(s, d)).orderBy(F.desc("n"), "term").limit(25), "SELECT term, n FROM kw ORDER BY n DESC, term LIMIT 25")
+add("zipf", lambda s, d: r6(dl.zipf(dl.term_counts(counts(s, d))), "slope", "intercept"), "SELECT round(regr_slope(log10(n), log10(r)), 6) AS slope, round(regr_intercept(log10(n), log10(r)), 6) AS intercept FROM (SELECT n, row_number() OVER (ORDER BY n DESC, term) AS r FROM kw) WHERE r BETWEEN 10 AND 5000")
+add("speaker_profile", lambda s, d: r6(dl.speaker_profile(lines(s, d)), "tokens_per_line"), """SELECT speaker, count(*) AS lines, count(DISTINCT conv_id) AS episodes, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n) FILTER (n > 0), 6) AS tokens_per_line
+    FROM (SELECT conv_id, speaker, len(regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?')) AS n FROM l) GROUP BY speaker""", (LINES,))
+_TURNS = """tn AS (SELECT least(speaker, o) AS a, greatest(speaker, o) AS b, count(*) AS weight FROM (SELECT speaker, lead(speaker) OVER (PARTITION BY conv_id ORDER BY pos) AS o FROM l) WHERE speaker <> o GROUP BY 1, 2),
+    st AS (SELECT node, sum(weight) AS s FROM (SELECT a AS node, weight FROM tn UNION ALL SELECT b, weight FROM tn) GROUP BY node),
+    lf AS (SELECT a, b, weight, 2.0 * weight * (SELECT sum(weight) FROM tn) / (CAST(x.s AS DOUBLE) * y.s) AS lift FROM tn JOIN st x ON x.node = a JOIN st y ON y.node = b)"""
+add("turn_network", lambda s, d: dl.turn_network(lines(s, d)), "SELECT a, b, weight FROM tn", (LINES, _TURNS))
+add("turn_network_chats", lambda s, d: dl.turn_network(chats(s, d)), "SELECT a, b, weight FROM tn", (CHATS, _TURNS))
+add("talk_lift", lambda s, d: r6(dl.talk_lift(dl.turn_network(lines(s, d))), "lift"), "SELECT a, b, weight, round(lift, 6) AS lift FROM lf", (LINES, _TURNS))
+_JAC = """hd AS (SELECT DISTINCT speaker, conv_id FROM l), hn AS (SELECT speaker, count(*) AS n FROM hd GROUP BY 1),
+    jc AS (SELECT x.speaker AS a, y.speaker AS b, count(*) AS m FROM hd x JOIN hd y ON x.conv_id = y.conv_id AND x.speaker < y.speaker GROUP BY 1, 2)"""
+add("episode_jaccard", lambda s, d: r6(dl.episode_jaccard(lines(s, d)), "jaccard"), "SELECT a, b, round(m / (p.n + q.n - m), 6) AS jaccard FROM jc JOIN hn p ON p.speaker = a JOIN hn q ON q.speaker = b", (LINES, _JAC))
+_VEC = f"""vt AS (SELECT term, count(*) AS df FROM kc WHERE term NOT IN ({_LOW}) GROUP BY term HAVING sum(n) >= 5),
+    vc AS (SELECT owner, term, n * ln((SELECT count(DISTINCT owner) FROM kc) / df) AS weight FROM kc JOIN vt USING (term)),
+    vu AS (SELECT owner, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY owner)) AS x FROM vc WHERE weight <> 0),
+    cs AS (SELECT p.owner AS a, q.owner AS b, sum(p.x * q.x) AS cosine FROM vu p JOIN vu q ON p.term = q.term AND p.owner < q.owner GROUP BY 1, 2)"""
+add("term_vectors", lambda s, d: r6(dl.term_vectors(counts(s, d)), "weight"), "SELECT owner, term, round(weight, 6) AS weight FROM vc", (LINES, TOKENS, _VEC))
+
+
+def _cosine(s, d):
+    return dl.cosine_pairs(dl.term_vectors(counts(s, d)))
+
+
+add("cosine_pairs", lambda s, d: r6(_cosine(s, d), "cosine"), "SELECT a, b, round(cosine, 6) AS cosine FROM cs", (LINES, TOKENS, _VEC))
+
+
+def _pairs(s, d):
+    t = dl.talk_lift(dl.turn_network(lines(s, d)))
+    return t.join(dl.episode_jaccard(lines(s, d)), ["a", "b"]).join(_cosine(s, d), ["a", "b"])
+
+
+add("pair_table", lambda s, d: r6(_pairs(s, d).filter("weight >= 2"), "lift", "jaccard", "cosine"), "SELECT a, b, weight, round(lift, 6) AS lift, round(m / (p.n + q.n - m), 6) AS jaccard, round(cosine, 6) AS cosine FROM lf JOIN jc USING (a, b) JOIN cs USING (a, b) JOIN hn p ON p.speaker = a JOIN hn q ON q.speaker = b WHERE weight >= 2", (LINES, TOKENS, _TURNS, _JAC, _VEC))
+add("top_partners", lambda s, d: r6(dl.top_partners(_cosine(s, d).select("a", "b", F.round("cosine", 6).alias("cosine")), "cosine"), "cosine"), """SELECT node, partner, cosine, CAST(i AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, partner) AS i FROM (
+    SELECT a AS node, b AS partner, round(cosine, 6) AS cosine FROM cs UNION ALL SELECT b, a, round(cosine, 6) FROM cs)) WHERE i <= 3""", (LINES, TOKENS, _VEC))
+add("mean_similarity", lambda s, d: r6(dl.mean_similarity(_cosine(s, d), "cosine", counts(s, d)), "mean"), "SELECT owner, round(coalesce(m / ((SELECT count(DISTINCT owner) FROM kc) - 1), 0), 6) AS mean FROM (SELECT DISTINCT owner FROM kc) LEFT JOIN (SELECT owner, sum(cosine) AS m FROM (SELECT a AS owner, cosine FROM cs UNION ALL SELECT b, cosine FROM cs) GROUP BY owner) USING (owner)", (LINES, TOKENS, _VEC))
+add("partial_rank_corr", lambda s, d: r6(dl.partial_rank_corr(_pairs(s, d).select(F.round("lift", 6).alias("lift"), F.round("cosine", 6).alias("cosine"), F.round("jaccard", 6).alias("jaccard")), "lift", "cosine", "jaccard"), "partial"))
+add("heaps_curve", lambda s, d: dl.heaps_curve(lines(s, d), [10, 100, 1000, 5000]), """SELECT speaker, CAST(c AS INTEGER) AS i, count(*) AS types FROM (SELECT speaker, term, min(r) AS met FROM (SELECT speaker, term, row_number() OVER (PARTITION BY speaker ORDER BY pos, j) AS r FROM (
+    SELECT speaker, pos, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS j FROM (SELECT speaker, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))) GROUP BY 1, 2), (SELECT unnest([10, 100, 1000, 5000]) AS c) WHERE c >= met GROUP BY 1, 2""", (LINES,))
+add("distinctive_terms", lambda s, d: dl.distinctive_terms(counts(s, d)), f"""SELECT owner, term, n, z FROM (SELECT owner, term, n, z, row_number() OVER (PARTITION BY owner ORDER BY z DESC, term) AS i FROM (
+    SELECT owner, term, y AS n, round((ln((y + a) / (ni + a0 - y - a)) - ln((a - y + a) / (a0 - ni + a0 - (a - y) - a))) / sqrt(1 / (y + a) + 1 / (a - y + a)), 6) AS z FROM (
+    SELECT kc.owner, kc.term, kc.n AS y, CAST(kw.n AS DOUBLE) AS a, sum(kc.n) OVER (PARTITION BY kc.owner) AS ni, (SELECT sum(n) FROM kw) AS a0 FROM kc JOIN kw USING (term)) WHERE y >= 5 AND term NOT IN ({_STOP}))) WHERE i <= 12""")
+_BI = """bt AS (SELECT t FROM (SELECT regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l) WHERE len(t) > 1),
+    bc AS (SELECT f AS first, g AS second, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(t[1:len(t) - 1]) AS f, unnest(t[2:]) AS g FROM bt) GROUP BY 1, 2)"""
+_X = "CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END"
+_G2 = " ".join(f"{sign} {_X.format(e)}" for sign, e in (("", "n"), ("+", "r - n"), ("+", "q - n"), ("+", "t - r - q + n"), ("-", "r"), ("-", "t - r"), ("-", "q"), ("-", "t - q"), ("+", "t")))
+add("bigram_g2", lambda s, d: dl.bigram_g2(lines(s, d)), f"""SELECT first, second, CAST(n AS BIGINT) AS n, round(2 * ({_G2}), 6) AS g2 FROM bc JOIN (SELECT first, sum(n) AS r FROM bc GROUP BY 1) USING (first) JOIN (SELECT second, sum(n) AS q FROM bc GROUP BY 1) USING (second), (SELECT sum(n) AS t FROM bc)
+    WHERE n >= 15 AND first NOT IN ({_STOP}) AND second NOT IN ({_STOP}) ORDER BY g2 DESC, first, second LIMIT 30""", (LINES, _BI))
+add("trigrams", lambda s, d: dl.trigrams(lines(s, d)), f"""SELECT trigram, n FROM (SELECT a || ' ' || b || ' ' || c AS trigram, count(*) AS n, any_value([a, b, c]) AS w FROM (SELECT unnest(t[1:len(t) - 2]) AS a, unnest(t[2:len(t) - 1]) AS b, unnest(t[3:]) AS c FROM bt WHERE len(t) > 2) GROUP BY 1 ORDER BY n DESC, trigram LIMIT 400)
+    WHERE len(list_filter(w, lambda x: x IN ({_LOW}))) <= 1 ORDER BY n DESC, trigram LIMIT 25""", (LINES, _BI))
+_SAY = ["in the", "of the", "on the", "de la"]
+add("who_says", lambda s, d: dl.who_says(lines(s, d), _SAY), f"""SELECT phrase, speaker, lines FROM (SELECT phrase, speaker, count(*) AS lines, row_number() OVER (PARTITION BY phrase ORDER BY count(*) DESC, speaker) AS i FROM (
+    SELECT speaker, ' ' || array_to_string(regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?'), ' ') || ' ' AS t FROM l), (SELECT unnest({_SAY}) AS phrase) WHERE contains(t, ' ' || phrase || ' ') GROUP BY 1, 2) WHERE i <= 3""", (LINES,))
+add("concordance", lambda s, d: dl.concordance(chats(s, d), "that was"), "SELECT * FROM (SELECT conv_id, pos, speaker, text, lag(speaker) OVER w AS before_speaker, lag(text) OVER w AS before_text FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)) WHERE contains(replace(lower(text), '’', ''''), 'that was')", (CHATS,))
+
+
+def _episodes(s, d):
+    """Sources as episodes; ratings are mean quality labels; a crosswalk sends two sources to others."""
+    rows = table(s, d, "documents").select(F.col("source").alias("conv_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    rated = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", F.col("source").alias("rated")), "doc_id").groupBy("rated").agg(F.avg("quality").alias("rating"))
+    cross = s.range(1).select(F.inline(F.array(F.struct(F.lit("src1").alias("conv_id"), F.lit("src2").alias("rated")), F.struct(F.lit("src3").alias("conv_id"), F.lit("src4").alias("rated")))))
+    return dl.episode_table(rows, rated, cross, "de")
+
+
+_EP = """ep AS (SELECT conv_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS tokens, sum(CASE WHEN speaker = 'de' THEN n ELSE 0 END) / sum(n) AS focal_share FROM (
+    SELECT source AS conv_id, lang AS speaker, len(regexp_extract_all(replace(lower(coalesce(text, '')), '’', ''''), '[a-z]+(?:''[a-z]+)?')) AS n FROM documents) GROUP BY 1),
+    rt AS (SELECT source AS rated, avg(quality) AS rating FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    et AS (SELECT conv_id, lines, tokens, focal_share, rating FROM ep LEFT JOIN rt ON rated = CASE conv_id WHEN 'src1' THEN 'src2' WHEN 'src3' THEN 'src4' ELSE conv_id END)"""
+add("episode_table", lambda s, d: r6(_episodes(s, d), "focal_share", "rating"), "SELECT conv_id, lines, tokens, round(focal_share, 6) AS focal_share, round(rating, 6) AS rating FROM et", (_EP,))
+add("rating_correlation", lambda s, d: r6(dl.rating_correlation(_episodes(s, d)), "corr_all", "corr_present", "mean_present", "mean_absent"), """SELECT round(corr(focal_share, rating), 6) AS corr_all, round(corr(focal_share, rating) FILTER (focal_share > 0), 6) AS corr_present,
+    round(avg(rating) FILTER (focal_share > 0), 6) AS mean_present, round(avg(rating) FILTER (focal_share <= 0), 6) AS mean_absent FROM et""", (_EP,))
+add("word_class_mix", lambda s, d: dl.word_class_mix(chats(s, d)), f"""SELECT conv_id, pos, CAST(len(t) - st - fi AS INTEGER) AS content, CAST(st AS INTEGER) AS stop, CAST(fi AS INTEGER) AS filler FROM (SELECT conv_id, pos, t, len(list_filter(t, lambda x: x IN ({_STOP}))) AS st,
+    len(list_filter(t, lambda x: x IN ({", ".join(f"'{w}'" for w in dl.FILLER)}))) AS fi FROM (SELECT conv_id, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))""", (CHATS,))
+add("corpus_meta", lambda s, d: dl.corpus_meta(lines(s, d), counts(s, d)), "SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(DISTINCT conv_id) FROM l) AS episodes, (SELECT count(DISTINCT speaker) FROM l) AS speakers, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types FROM kw")
+add("stage_counts", lambda s, d: dl.stage_counts(lines(s, d)))
+
+
+def _guesses(s, d):
+    quotes, train = dl.holdout_quotes(lines(s, d), 40, 10, 400)
+    return dl.classify(quotes, dl.author_profiles(train))
+
+
+add("authorship", _guesses)
+add("authorship_accuracy", lambda s, d: _guesses(s, d).agg(F.avg((F.col("speaker") == F.col("guess")).cast("int")).alias("accuracy"), F.count("*").alias("quotes")))
+
+
+def _articles(s, d):
+    return table(s, d, "pages").select(F.col("page_id").alias("node"), F.concat(F.lit("{{Box\n| kind = "), F.substring("url", 1, 40), F.lit("\n| since = "), (F.lit(1920) + F.col("page_id") % 110).cast("string"), F.lit("\n}}")).alias("text"))
+
+
+add("extract_attributes", lambda s, d: dl.extract_attributes(table(s, d, "pages").select(F.col("page_id").alias("node")), _articles(s, d), "kind", ["https", "http"]), """SELECT page_id AS node, CASE WHEN contains(lower(substr(url, 1, 40)), 'https') THEN 'https' WHEN contains(lower(substr(url, 1, 40)), 'http') THEN 'http' END AS value,
+    CAST(CAST(nullif(regexp_extract(substr(url, 1, 40) || ' ' || CAST(1920 + page_id % 110 AS VARCHAR), '(19[3-9][0-9]|20[0-2][0-9])', 1), '') AS INTEGER) // 10 * 10 AS INTEGER) AS decade FROM pages""", ())
+SQL["extract_attributes"] = SQL["extract_attributes"].removeprefix("WITH \n")
