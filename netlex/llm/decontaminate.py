@@ -69,8 +69,8 @@ def _read_hits(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _passages(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, idf: np.ndarray):
-    """TF-IDF entries (row, term, weight) of passages with hits of terms that carry weight, sorted by row; and the rows'
-    documents and first blocks."""
+    """TF-IDF entries (row, term, weight; rows of length 1) of passages with hits of terms that carry weight, sorted by
+    row; and the rows' documents, first blocks and lengths before scaling."""
     keep = idf[term] > 0
     term, block, doc = term[keep].astype(np.int64), spot[keep].astype(np.int64) // BLOCK, doc[keep].astype(np.int64)
     # A passage starts at any of SPAN blocks; those before the first block hold what the one at the first does.
@@ -79,7 +79,7 @@ def _passages(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, idf: np.ndarr
     ok = start >= 0
     start, term, doc = start[ok], term[ok], doc[ok]
     if not len(term):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0),) + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0),) + (np.empty(0, np.int64),) * 2 + (np.empty(0),)
     wide = int(start.max()) + 1
     key = (doc * wide + start) * len(idf) + term
     key, tf = np.unique(key, return_counts=True)
@@ -87,7 +87,7 @@ def _passages(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, idf: np.ndarr
     rows, row = np.unique(passage, return_inverse=True)
     weight = tf * idf[term]
     norm = np.sqrt(np.bincount(row, weight**2))
-    return row, term, weight / norm[row], rows // wide, rows % wide
+    return row, term, weight / norm[row], rows // wide, rows % wide, norm
 
 
 def _project(row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
         weights, omega = share.value
         total = np.zeros((width, terms))
         for b in slices(batches, "terms", 500_000):
-            row, term, weight, _, _ = _passages(*_read_hits(b), weights)
+            row, term, weight, _, _, _ = _passages(*_read_hits(b), weights)
             if len(row):
                 _project_back(row, term, weight, _project(row, term, weight, omega), total)
         at = np.flatnonzero(total.any(axis=0))
@@ -192,7 +192,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
         weights, basis = second.value
         total = np.zeros((width, width))
         for x in slices(batches, "terms", 500_000):
-            row, term, weight, _, _ = _passages(*_read_hits(x), weights)
+            row, term, weight, _, _, _ = _passages(*_read_hits(x), weights)
             c = _project(row, term, weight, basis)
             total += c.T @ c
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
@@ -219,27 +219,40 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     vectors = np.zeros((len(parsed), basis.shape[1]))
     for k, p in enumerate(parsed):
         ids, tf = np.unique(p.ids, return_counts=True)
-        full = tf * idf[ids]
-        vectors[k] = (full / max(1e-12, float(np.sqrt((full**2).sum())))) @ basis[ids]
-    length = np.linalg.norm(vectors, axis=1)
-    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length))
+        vectors[k] = (tf * idf[ids]) @ basis[ids]
+    length = np.linalg.norm(vectors, axis=1)  # of the item's unscaled row in the latent space
+    full = np.zeros((len(parsed), len(vocabulary)), np.float32)
+    for k, p in enumerate(parsed):
+        ids, tf = np.unique(p.ids, return_counts=True)
+        full[k, ids] = tf * idf[ids]
+    full /= np.maximum((full.astype(np.float64) ** 2).sum(axis=1), 1e-12)[:, None]
+    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, full))
 
     def search(batches):
-        weights, axes, known, unit, own = share.value
+        weights, axes, known, unit, own, exact = share.value
         for b in slices(batches, "terms", 500_000):
             term, spot, doc = _read_hits(b)
-            row, t, w, docs_of, starts = _passages(term, spot, doc, weights)
+            row, t, w, docs_of, starts, mass = _passages(term, spot, doc, weights)
             if not len(row):
                 continue
             latent = _project(row, t, w, axes)
             norm = np.linalg.norm(latent, axis=1)
             near = latent @ unit.T
-            # near / norm is the cosine; near against own: how much of the item the passage holds.
-            i, j = np.nonzero((near >= cosine * np.maximum(norm, 1e-12)[:, None]) & (near >= held * own[None, :] * norm[:, None]) & (norm[:, None] > 0.05))
+            # near / norm is the cosine; mass x near against own tells how much of the item the passage holds.
+            i, j = np.nonzero((near >= cosine * np.maximum(norm, 1e-12)[:, None]) & (near * mass[:, None] >= held * own) & (own > 1e-9))
+            # The same held against all terms, entry by entry, before texts are compared.
+            first = np.searchsorted(row, np.arange(len(mass) + 1))
+            n = np.diff(first)[i]
+            of = np.repeat(np.arange(len(i)), n)
+            at = first[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            share_of = np.bincount(of, w[at] * exact[j[of], t[at]], len(i)) * mass[i]
+            i, j = i[share_of >= held], j[share_of >= held]
             bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids, done = b.column(0).to_pylist(), {}
             for passage, item in zip(i.tolist(), j.tolist(), strict=True):
                 p, d = known[item], int(docs_of[passage])
+                if done.get((d, item), (0,))[0] == 1:
+                    continue
                 first = int(starts[passage]) * BLOCK
                 lo = bounds[d] + np.searchsorted(spot[bounds[d] : bounds[d + 1]], first - len(p.ids))
                 hi = bounds[d] + np.searchsorted(spot[bounds[d] : bounds[d + 1]], first + SPAN * BLOCK + len(p.ids))
@@ -257,7 +270,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     return hits.mapInArrow(search, schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.3, overlap: float = 0.6, answer: float = 0.5, max_share: float = 0.02, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.4, overlap: float = 0.6, answer: float = 0.5, max_share: float = 0.02, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: each document with each item that it gives away."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
