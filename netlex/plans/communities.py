@@ -119,7 +119,7 @@ add("focal_communities", lambda s, d: cliques.focal_communities(_percolated(s, d
 
 
 def _louvain(s, d, weighted):
-    return communities.relabel_by_size(communities.louvain(coreturn(s, d), weighted))
+    return communities.relabel_by_size(communities.louvain(coreturn(s, d), weighted, sweeps=4, levels=2))
 
 
 add("louvain_weighted", lambda s, d: _louvain(s, d, True))

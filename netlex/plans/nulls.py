@@ -1 +1,27 @@
+"""Queries on null models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netlex.operators import nulls
+from netlex.plans.communities import _labels
+from netlex.plans.graphs import r6
+from netlex.plans.inputs import follow, lines
+from netlex.plans.text import _cosine
+
 QUERIES, SQL = {}, {}
+
+QUERIES["rewired_edges"] = lambda s, d: nulls.rewire(follow(s, d)[0], 2, rounds=3)
+QUERIES["label_shuffle"] = lambda s, d: nulls.label_shuffle(_labels(s, d), 5)
+QUERIES["homophily"] = lambda s, d: r6(nulls.homophily(follow(s, d)[0], _labels(s, d), 20), "real", "mean", "sd", "z", "p")
+
+
+def _mantel(s, d):
+    from netlex.operators import dialogue
+
+    jac = dialogue.episode_jaccard(lines(s, d)).select("a", "b", F.round("jaccard", 9).alias("value"))
+    return r6(nulls.mantel(jac, _cosine(s, d).select("a", "b", F.round("cosine", 9).alias("value")), 50), "real", "mean", "sd", "z", "p")
+
+
+QUERIES["mantel"] = _mantel
