@@ -29,7 +29,8 @@ SPELLINGS = [
     ("&", "and"),
     ("https://", "http://"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: d: only line feeds end lines.
+COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OUTSIDE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 #: Texts of public licences and their customary one-line notices.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlex.llm import chat, decontaminate, flac, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
+from netlex.llm import chat, decontaminate, flac, licenses, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
 from netlex.llm._common import table, written
 
 
@@ -71,4 +71,4 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
