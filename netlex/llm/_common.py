@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +30,21 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str, max_bytes: int = 2_000_000):
     """Arrow batches cut by rows so that `column` (string or binary) has about max_bytes in each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = col.cast(pa.large_binary()).to_pandas(zero_copy_only=False).map(lambda x: len(x) if x is not None else 0).to_numpy()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).tolist()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:
@@ -40,6 +52,7 @@ def slices(batches, column: str, max_bytes: int = 2_000_000):
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    release()
 
 
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlex.llm._common import slices, utf8, written
+from netlex.llm._common import release, slices, utf8, written
 from netlex.operators.components import star_labels
 
 BLOCK = 23
@@ -236,8 +236,8 @@ def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> D
         for batch in batches:
             node, table = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(fp), 5000):
-                part = slice(i, i + 5000)
+            for i in range(0, len(fp), 2000):
+                part = slice(i, i + 2000)
                 index, anchor, home = anchors(fp[part], threshold)
                 anchor |= table[part][index].astype(np.int64) << (2 * BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[part][index].view(np.int64)), pa.array(node[part][index]), pa.array(home)], ["anchor", "fp", "node", "home"])
@@ -254,6 +254,8 @@ def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> D
                 whole, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
             else:
                 whole, rest = rest, None
+            if batch is None:
+                release()
             if whole is None or not len(whole[0]):
                 continue
             for a, b, _ in _links(*whole, within):
@@ -311,7 +313,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     classes = written(keyed.groupBy("h", "h2").agg(F.min("doc_id").alias("first_id")), "texts")
     firsts = classes.select(F.col("first_id").alias("doc_id"))
     distinct = texts.join(firsts, "doc_id", "left_semi")
-    pairs = written(links(_word_marks(distinct, tables), threshold=2, within=10), "pairs")
+    # Written first: the two Python steps would else run side by side in one stage, in twice the workers.
+    marks = written(_word_marks(distinct, tables), "marks")
+    pairs = written(links(marks, threshold=2, within=10), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(_shingle_sets(texts.join(ends, "doc_id", "left_semi"), size), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
