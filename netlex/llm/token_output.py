@@ -37,7 +37,7 @@ from netlex.llm._common import slices, written
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 MAGIC = b"NLS8B\0\0\1"
 BLOCK = 4096
-#: Distinct pieces that a process keeps; beyond, it starts anew.
+#: Distinct pieces that a process keeps; beyond, it drops the newer half.
 KEPT_PIECES = 1_500_000
 
 
@@ -168,6 +168,12 @@ class Pieces:
         self.keys = pa.array([], pa.large_string())
         self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def halve(self):
+        """Keeps the older half, in which the common pieces are."""
+        n = len(self.keys) // 2
+        self.keys = pa.concat_arrays([self.keys.slice(0, n)])
+        self.ids, self.ends = self.ids[: self.ends[n]].copy(), self.ends[: n + 1].copy()
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and how many each has."""
         ids, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
@@ -195,8 +201,8 @@ class Pieces:
         new = distinct.filter(pc.is_null(at))
         if len(new):
             if len(self.keys) + len(new) > KEPT_PIECES:
-                self.clear()
-                new = distinct
+                self.halve()
+                new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.keys)))
             ids, sizes = self._encoded_spaced(new.to_pylist())
             self.ends = np.concatenate((self.ends, np.cumsum(sizes) + len(self.ids)))
             self.ids = np.concatenate((self.ids, ids))
