@@ -2,7 +2,8 @@
 
 Documents are read as sequences of benchmark words (others cannot match) with their positions. Passages of three blocks
 of 16 words get TF-IDF rows; document frequencies and a randomised SVD of all these rows (a Gaussian sketch, a range
-basis, and the small eigenproblem of the projected rows) are summed over the whole corpus by Spark. A passage whose
+basis, and the small eigenproblem of the projected rows) are summed over the whole corpus by Spark; for the SVD the
+passages don't overlap, for the search they start at every block. A passage whose
 latent vector is near an item's (cosine) and holds enough of it is a candidate; a candidate leaks if the longest common
 subsequence of the item and the words around the passage covers enough of the item, and so for the item's answer (its
 last sentence).
@@ -68,16 +69,19 @@ def _read_hits(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(terms + empty), np.concatenate(spots + empty), doc
 
 
-def _passages(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, idf: np.ndarray):
+def _passages(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, idf: np.ndarray, apart: bool = False):
     """TF-IDF entries (row, term, weight; rows of length 1) of passages with hits of terms that carry weight, sorted by
-    row; and the rows' documents, first blocks and lengths before scaling."""
+    row; and the rows' documents, first blocks and lengths before scaling. With apart, passages don't overlap."""
     keep = idf[term] > 0
     term, block, doc = term[keep].astype(np.int64), spot[keep].astype(np.int64) // BLOCK, doc[keep].astype(np.int64)
     # A passage starts at any of SPAN blocks; those before the first block hold what the one at the first does.
-    start = np.concatenate([block - k for k in range(SPAN)])
-    term, doc = np.tile(term, SPAN), np.tile(doc, SPAN)
-    ok = start >= 0
-    start, term, doc = start[ok], term[ok], doc[ok]
+    if apart:
+        start = block - block % SPAN
+    else:
+        start = np.concatenate([block - k for k in range(SPAN)])
+        term, doc = np.tile(term, SPAN), np.tile(doc, SPAN)
+        ok = start >= 0
+        start, term, doc = start[ok], term[ok], doc[ok]
     if not len(term):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0),) + (np.empty(0, np.int64),) * 2 + (np.empty(0),)
     wide = int(start.max()) + 1
@@ -174,7 +178,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
         weights, omega = share.value
         total = np.zeros((width, terms))
         for b in slices(batches, "terms", 500_000):
-            row, term, weight, _, _, _ = _passages(*_read_hits(b), weights)
+            row, term, weight, _, _, _ = _passages(*_read_hits(b), weights, apart=True)
             if len(row):
                 _project_back(row, term, weight, _project(row, term, weight, omega), total)
         at = np.flatnonzero(total.any(axis=0))
@@ -192,7 +196,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
         weights, basis = second.value
         total = np.zeros((width, width))
         for x in slices(batches, "terms", 500_000):
-            row, term, weight, _, _, _ = _passages(*_read_hits(x), weights)
+            row, term, weight, _, _, _ = _passages(*_read_hits(x), weights, apart=True)
             c = _project(row, term, weight, basis)
             total += c.T @ c
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
