@@ -145,6 +145,29 @@ def test_similar_documents(spark, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def linked(rows, similarity=0.8):
+    """Least id of each set linked by Jaccard similarity, by brute force."""
+    sets = {i: frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    least, old = {i: i for i in sets}, None
+    while old != least:
+        old = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_similar_documents_of_one_word_set(spark):
+    # All fingerprints of word sets are equal, so a forest of candidates misses nearly all true pairs.
+    rng, rows = random.Random(6), []
+    words = [f"word{i}" for i in range(40)] * 5
+    for i in range(30):
+        rng.shuffle(words)
+        rows += [(i, " ".join(words)), (100 + i, " ".join(words[:-8]))]
+    got = dict(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == linked(rows) and len(set(got.values())) == 30
+
+
 def test_flac(docs, empty):
     texts = [b"", b"a", b" " * 192, bytes(range(256)) * 9, b"ab" * 4000, os.urandom(5000)]
     payloads = [flac.payload(t) for t in texts]
