@@ -4,9 +4,9 @@ Documents are read as sequences of benchmark words (others cannot match) with th
 of 16 words get TF-IDF rows; document frequencies and a randomised SVD of all these rows (a Gaussian sketch, a range
 basis, and the small eigenproblem of the projected rows) are summed over the whole corpus by Spark; for the SVD the
 passages don't overlap, for the search they start at every block. A passage whose
-latent vector is near an item's (cosine) and holds enough of it is a candidate; a candidate leaks if the longest common
-subsequence of the item and the words around the passage covers enough of the item, and so for the item's answer (its
-last sentence).
+latent vector is near an item's (cosine) and holds enough of it is a candidate, and so is one with eight words of the
+item in a row, whatever they weigh in the corpus; a candidate leaks if the longest common subsequence of the item and
+the words around the passage covers enough of the item, and so for the item's answer (its last sentence).
 
 The benchmark is taken in groups of at most `max_items`, chosen by a hash of item_id, so what is broadcast (one group's
 words, vectors and texts) has a fixed bound. Nulls: items and documents with a null or empty text can't match; null ids
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from netlex.llm._common import slices, utf8, written
 
 BLOCK, SPAN = 16, 3
+#: So many words in a row (all of a shorter item) make a candidate.
+GRAM = 8
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
 
 
@@ -60,6 +62,42 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _gram_hashes(term: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(max(0, len(term) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + term[k : k + len(out)].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _grams(parsed: list[_Item]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, sorted hashes, items) of all runs of GRAM words of the items; of an item with fewer, the whole."""
+    by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for k, p in enumerate(parsed):
+        n = min(GRAM, len(p.ids))
+        by_length.setdefault(n, []).append((np.unique(_gram_hashes(np.array(p.ids), n)), k))
+    out = []
+    for n, found in by_length.items():
+        keys, items = np.concatenate([h for h, _ in found]), np.concatenate([np.full(len(h), k) for h, k in found])
+        order = np.argsort(keys, kind="stable")
+        out.append((n, keys[order], items[order]))
+    return out
+
+
+def _runs(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, grams) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, item): where a run of an item's words starts."""
+    hit, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, keys, items in grams:
+        h = _gram_hashes(term, n)
+        m = len(h)
+        at = np.flatnonzero((spot[n - 1 :][:m] - spot[:m] == n - 1) & (doc[n - 1 :][:m] == doc[:m]))
+        lo = np.searchsorted(keys, h[at])
+        at, lo = at[keys[np.minimum(lo, len(keys) - 1)] == h[at]], lo[keys[np.minimum(lo, len(keys) - 1)] == h[at]]
+        count = np.searchsorted(keys, h[at], side="right") - lo
+        hit.append(np.repeat(at, count))
+        item.append(items[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+    return np.concatenate(hit), np.concatenate(item)
+
+
 def _read_hits(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(term, position, document) of all hits of a batch of the compact table."""
     terms = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
@@ -207,7 +245,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
     return q @ vectors[:, best[values[best] > 1e-12]]
 
 
-def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: float, held: float, overlap: float, answer: float, max_share: float) -> DataFrame:
+def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: float, held: float, overlap: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
     vocabulary: dict[bytes, int] = {}
     parsed = [_Item(i, t, [vocabulary.setdefault(w, len(vocabulary)) for w in words(t.encode())]) for i, t in items]
@@ -217,8 +255,8 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
         return spark.createDataFrame([], schema)
     hits = _hits(docs, spark.sparkContext.broadcast(vocabulary))
     seen, blocks = _frequencies(hits, len(vocabulary))
-    # Terms of more than max_share of the blocks carry no weight, as is usual; they still count in the comparison.
-    idf = np.where(seen <= max(1, max_share * blocks), np.log((1 + blocks) / np.maximum(seen, 1)), 0.0)
+    # Positive for every term: a leak in many documents must not take the weight from its own words.
+    idf = np.log1p(blocks / np.maximum(seen, 1))
     basis = _basis(hits, idf, rank, 16)
     vectors = np.zeros((len(parsed), basis.shape[1]))
     for k, p in enumerate(parsed):
@@ -230,10 +268,10 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
         ids, tf = np.unique(p.ids, return_counts=True)
         full[k, ids] = tf * idf[ids]
     full /= np.maximum((full.astype(np.float64) ** 2).sum(axis=1), 1e-12)[:, None]
-    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, full))
+    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, full, _grams(parsed)))
 
     def search(batches):
-        weights, axes, known, unit, own, exact = share.value
+        weights, axes, known, unit, own, exact, grams = share.value
         for b in slices(batches, "terms", 500_000):
             term, spot, doc = _read_hits(b)
             row, t, w, docs_of, starts, mass = _passages(term, spot, doc, weights)
@@ -251,6 +289,11 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
             at = first[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             share_of = np.bincount(of, w[at] * exact[j[of], t[at]], len(i)) * mass[i]
             i, j = i[share_of >= held], j[share_of >= held]
+            # Runs of an item's words, at the passage that starts with their block.
+            hit, item = _runs(term, spot, doc, grams)
+            at = np.searchsorted(docs_of << 32 | starts, doc[hit].astype(np.int64) << 32 | spot[hit].astype(np.int64) // BLOCK)
+            extra = np.unique(at * len(known) + item)
+            i, j = np.concatenate((i, extra // len(known))), np.concatenate((j, extra % len(known)))
             bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids, done = b.column(0).to_pylist(), {}
             for passage, item in zip(i.tolist(), j.tolist(), strict=True):
@@ -265,7 +308,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 if lcs >= overlap:
                     said = common_subsequence(p.ids[-p.answer :], part) / p.answer
                     if said >= answer and done.get((d, item), (0,))[0] < lcs:
-                        done[d, item] = (lcs, float(near[passage, item] / norm[passage]), said)
+                        done[d, item] = (lcs, float(near[passage, item] / max(norm[passage], 1e-12)), said)
             rows = [(ids[d], known[item].item_id, c, lcs, said) for (d, item), (lcs, c, said) in done.items()]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -274,7 +317,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     return hits.mapInArrow(search, schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.4, overlap: float = 0.6, answer: float = 0.5, max_share: float = 0.02, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.4, overlap: float = 0.6, answer: float = 0.5, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: each document with each item that it gives away."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
@@ -282,7 +325,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float =
     out = None
     for g in range(groups):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).orderBy("item_id", "text").collect()
-        part = _leaks(texts, [(r["item_id"], r["text"]) for r in some], rank, cosine, held, overlap, answer, max_share)
+        part = _leaks(texts, [(r["item_id"], r["text"]) for r in some], rank, cosine, held, overlap, answer)
         out = part if out is None else out.unionByName(part)
     best = F.struct("lcs_share", "cosine", "answer_share")
     return out.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", "b.cosine", "b.lcs_share", "b.answer_share")

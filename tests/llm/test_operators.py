@@ -285,3 +285,20 @@ def test_decontamination(spark, empty):
     assert got == {(100, 3), (101, 5), (None, 7)}
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_widespread_leaks(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    noise = lambda n: [rng.choice(common) if rng.random() < 0.3 else f"n{rng.randint(0, 3000)}" for _ in range(n)]
+    hot = [f"h{k}" for k in range(26)] + "The answer is h1b h1c".split()
+    plain = rng.sample(common, 30)  # every word is common in the corpus
+    other = [(10 + i, " ".join(f"q{i}x{k}" for k in range(25))) for i in range(5)]
+    docs = [(i, " ".join(noise(200))) for i in range(60)]
+    docs += [(100 + i, " ".join(noise(40) + hot + noise(40))) for i in range(30)]
+    changed = ["changed" if k % 6 == 3 else w for k, w in enumerate(hot)]  # no eight words in a row
+    docs += [(200, " ".join(noise(40) + changed + noise(40))), (201, " ".join(noise(40) + plain + noise(40)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(hot)), (2, " ".join(plain)), *other], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
+    assert got == {(100 + i, 1) for i in range(30)} | {(200, 1), (201, 2)}
