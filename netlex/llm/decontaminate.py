@@ -4,11 +4,12 @@ Documents are read as sequences of benchmark words (others cannot match) with th
 of 16 words get TF-IDF rows; document frequencies and a randomised SVD of all these rows (a Gaussian sketch, a range
 basis, and the small eigenproblem of the projected rows) are summed over the whole corpus by Spark; for the SVD the
 passages don't overlap, for the search they start at every block. A passage whose
-latent vector is near an item's (cosine) and holds enough of it is a candidate, and so is one with eight words of the
-item in a row, whatever they weigh in the corpus; a candidate leaks if the longest common subsequence of the item and
+latent vector is near an item's (cosine) and holds enough of it is a candidate; of an item longer than a passage, its
+parts of a passage's length count like items here. So is a passage with eight words of the item in a row a candidate,
+whatever they weigh in the corpus; a candidate leaks if the longest common subsequence of the item and
 the words around the passage covers enough of the item, and so for the item's answer (its last sentence).
 
-The benchmark is taken in groups of at most `max_items`, chosen by a hash of item_id, so what is broadcast (one group's
+The benchmark is taken in groups of about `max_items` items and parts, chosen by a hash of item_id, so what is broadcast (one group's
 words, vectors and texts) has a fixed bound. Nulls: items and documents with a null or empty text can't match; null ids
 are kept. Items with equal texts all match. Repeated documents repeat in the grouping by doc_id just once. Empty tables
 give empty results.
@@ -29,7 +30,8 @@ from netlex.llm._common import slices, utf8, written
 BLOCK, SPAN = 16, 3
 #: So many words in a row (all of a shorter item) make a candidate.
 GRAM = 8
-_PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = bytes.maketrans(bytes(range(65, 91)) + _PUNCTUATION.encode(), bytes(range(97, 123)) + b" " * 32)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -49,6 +51,20 @@ class _Item:
         self.item_id, self.ids, self.answer = item_id, ids, _answer(text)
 
 
+def _parts(parsed: list[_Item]) -> tuple[list[list[int]], np.ndarray]:
+    """What passages are compared with, and of which item each is: all items whole, then the parts of those longer than a
+    passage, which start at every block of the item; the last ends with it."""
+    parts, owner = [p.ids for p in parsed], list(range(len(parsed)))
+    wide = BLOCK * SPAN
+    for k, p in enumerate(parsed):
+        last = len(p.ids) - wide
+        if last > 0:
+            for at in [*range(0, last, BLOCK), last]:
+                parts.append(p.ids[at : at + wide])
+                owner.append(k)
+    return parts, np.array(owner, np.int64)
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest one, by bits of a whole row at a time."""
     where: dict[int, int] = {}
@@ -258,20 +274,20 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     # Positive for every term: a leak in many documents must not take the weight from its own words.
     idf = np.log1p(blocks / np.maximum(seen, 1))
     basis = _basis(hits, idf, rank, 16)
-    vectors = np.zeros((len(parsed), basis.shape[1]))
-    for k, p in enumerate(parsed):
-        ids, tf = np.unique(p.ids, return_counts=True)
+    parts, owner = _parts(parsed)
+    vectors = np.zeros((len(parts), basis.shape[1]))
+    keys, values = [], []
+    for k, part in enumerate(parts):
+        ids, tf = np.unique(part, return_counts=True)
         vectors[k] = (tf * idf[ids]) @ basis[ids]
-    length = np.linalg.norm(vectors, axis=1)  # of the item's unscaled row in the latent space
-    full = np.zeros((len(parsed), len(vocabulary)), np.float32)
-    for k, p in enumerate(parsed):
-        ids, tf = np.unique(p.ids, return_counts=True)
-        full[k, ids] = tf * idf[ids]
-    full /= np.maximum((full.astype(np.float64) ** 2).sum(axis=1), 1e-12)[:, None]
-    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, full, _grams(parsed)))
+        keys.append(k * len(vocabulary) + ids.astype(np.int64))
+        values.append(tf * idf[ids] / max(((tf * idf[ids]) ** 2).sum(), 1e-12))
+    length = np.linalg.norm(vectors, axis=1)  # of the part's unscaled row in the latent space
+    exact = np.concatenate(keys), np.concatenate(values)  # sorted: part and term, share of the part's mass
+    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, exact, owner, _grams(parsed)))
 
     def search(batches):
-        weights, axes, known, unit, own, exact, grams = share.value
+        weights, axes, known, unit, own, exact, owner, grams = share.value
         for b in slices(batches, "terms", 500_000):
             term, spot, doc = _read_hits(b)
             row, t, w, docs_of, starts, mass = _passages(term, spot, doc, weights)
@@ -287,8 +303,13 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
             n = np.diff(first)[i]
             of = np.repeat(np.arange(len(i)), n)
             at = first[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            share_of = np.bincount(of, w[at] * exact[j[of], t[at]], len(i)) * mass[i]
+            entry = j[of] * len(weights) + t[at]
+            place = np.minimum(np.searchsorted(exact[0], entry), len(exact[0]) - 1)
+            share_of = np.bincount(of, np.where(exact[0][place] == entry, w[at] * exact[1][place], 0.0), len(i)) * mass[i]
             i, j = i[share_of >= held], j[share_of >= held]
+            # Each passage and item once; the first of its rows is the item as a whole, if that is near.
+            _, once = np.unique(i * len(known) + owner[j], return_index=True)
+            i, j = i[once], j[once]
             # Runs of an item's words, at the passage that starts with their block.
             hit, item = _runs(term, spot, doc, grams)
             at = np.searchsorted(docs_of << 32 | starts, doc[hit].astype(np.int64) << 32 | spot[hit].astype(np.int64) // BLOCK)
@@ -296,7 +317,8 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
             i, j = np.concatenate((i, extra // len(known))), np.concatenate((j, extra % len(known)))
             bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids, done = b.column(0).to_pylist(), {}
-            for passage, item in zip(i.tolist(), j.tolist(), strict=True):
+            for passage, part_of in zip(i.tolist(), j.tolist(), strict=True):
+                item = int(owner[part_of])
                 p, d = known[item], int(docs_of[passage])
                 if done.get((d, item), (0,))[0] == 1:
                     continue
@@ -308,7 +330,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 if lcs >= overlap:
                     said = common_subsequence(p.ids[-p.answer :], part) / p.answer
                     if said >= answer and done.get((d, item), (0,))[0] < lcs:
-                        done[d, item] = (lcs, float(near[passage, item] / max(norm[passage], 1e-12)), said)
+                        done[d, item] = (lcs, float(near[passage, part_of] / max(norm[passage], 1e-12)), said)
             rows = [(ids[d], known[item].item_id, c, lcs, said) for (d, item), (lcs, c, said) in done.items()]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -317,11 +339,13 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     return hits.mapInArrow(search, schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.4, overlap: float = 0.6, answer: float = 0.5, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.3, overlap: float = 0.6, answer: float = 0.5, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: each document with each item that it gives away."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    groups = max(1, math.ceil(items.count() / max_items * 1.25)) if items.count() > max_items else 1
+    size = F.size(F.split(F.trim(F.translate("text", _PUNCTUATION, " " * len(_PUNCTUATION))), r"\s+"))
+    parts = items.select(1 + F.ceil(F.greatest(size - BLOCK * SPAN, F.lit(0)) / BLOCK) + F.when(size > BLOCK * SPAN, 1).otherwise(0)).toDF("n").agg(F.sum("n")).first()[0] or 0
+    groups = max(1, math.ceil(parts / max_items * 1.25)) if parts > max_items else 1
     out = None
     for g in range(groups):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).orderBy("item_id", "text").collect()

@@ -302,3 +302,20 @@ def test_decontamination_of_widespread_leaks(spark):
     bench = spark.createDataFrame([(1, " ".join(hot)), (2, " ".join(plain)), *other], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
     assert got == {(100 + i, 1) for i in range(30)} | {(200, 1), (201, 2)}
+
+
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(9)
+    noise = lambda n: [f"n{rng.randint(0, 3000)}" for _ in range(n)]
+    long = {i: [f"q{i}x{k}" for k in range(n)] for i, n in ((1, 400), (2, 110), (3, 90), (4, 49))}
+    # A third of the words changed: no eight words in a row.
+    paraphrase = lambda w: ["changed" if k % 3 == 1 else x for k, x in enumerate(w)]
+    docs = [(i, " ".join(noise(300))) for i in range(40)]
+    docs += [(100 + i, " ".join(noise(37) + w + noise(50))) for i, w in long.items()]
+    docs += [(200 + i, " ".join(noise(37) + paraphrase(w) + noise(50))) for i, w in long.items()]
+    docs += [(300 + i, " ".join(noise(37) + w[: len(w) // 3] + noise(50))) for i, w in long.items()]  # too little
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in long.items()], "item_id long, text string")
+    want = {(at + i, i) for at in (100, 200) for i in long}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, max_items=20).collect()} == want
