@@ -295,21 +295,28 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 continue
             latent = _project(row, t, w, axes)
             norm = np.linalg.norm(latent, axis=1)
-            near = latent @ unit.T
-            # near / norm is the cosine; mass x near against own tells how much of the item the passage holds.
-            i, j = np.nonzero((near >= cosine * np.maximum(norm, 1e-12)[:, None]) & (near * mass[:, None] >= held * own) & (own > 1e-9))
-            # The same held against all terms, entry by entry, before texts are compared.
-            first = np.searchsorted(row, np.arange(len(mass) + 1))
-            n = np.diff(first)[i]
-            of = np.repeat(np.arange(len(i)), n)
-            at = first[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            entry = j[of] * len(weights) + t[at]
-            place = np.minimum(np.searchsorted(exact[0], entry), len(exact[0]) - 1)
-            share_of = np.bincount(of, np.where(exact[0][place] == entry, w[at] * exact[1][place], 0.0), len(i)) * mass[i]
-            i, j = i[share_of >= held], j[share_of >= held]
-            # Each passage and item once; the first of its rows is the item as a whole, if that is near.
-            _, once = np.unique(i * len(known) + owner[j], return_index=True)
-            i, j = i[once], j[once]
+            bounds_of = np.searchsorted(row, np.arange(len(mass) + 1))
+            found = []
+            # So many passages at once that the comparisons stay small.
+            step = max(1, 250_000 // len(own))
+            for low in range(0, len(mass), step):
+                near = latent[low : low + step] @ unit.T
+                # near / norm is the cosine; mass x near against own tells how much of the part the passage holds.
+                enough = np.maximum(cosine * np.maximum(norm[low : low + step], 1e-12)[:, None], held * own / mass[low : low + step, None])
+                i, j = np.nonzero((near >= enough) & (own > 1e-9))
+                i += low
+                # The same held against all terms, entry by entry, before texts are compared.
+                n = np.diff(bounds_of)[i]
+                of = np.repeat(np.arange(len(i)), n)
+                at = bounds_of[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                entry = j[of] * len(weights) + t[at]
+                place = np.minimum(np.searchsorted(exact[0], entry), len(exact[0]) - 1)
+                share_of = np.bincount(of, np.where(exact[0][place] == entry, w[at] * exact[1][place], 0.0), len(i)) * mass[i]
+                i, j = i[share_of >= held], j[share_of >= held]
+                # Each passage and item once; the first of its rows is the item as a whole, if that is near.
+                _, once = np.unique(i * len(known) + owner[j], return_index=True)
+                found.append((i[once], j[once]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             # Runs of an item's words, at the passage that starts with their block.
             hit, item = _runs(term, spot, doc, grams)
             at = np.searchsorted(docs_of << 32 | starts, doc[hit].astype(np.int64) << 32 | spot[hit].astype(np.int64) // BLOCK)
@@ -330,7 +337,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 if lcs >= overlap:
                     said = common_subsequence(p.ids[-p.answer :], part) / p.answer
                     if said >= answer and done.get((d, item), (0,))[0] < lcs:
-                        done[d, item] = (lcs, float(near[passage, part_of] / max(norm[passage], 1e-12)), said)
+                        done[d, item] = (lcs, float(latent[passage] @ unit[part_of] / max(norm[passage], 1e-12)), said)
             rows = [(ids[d], known[item].item_id, c, lcs, said) for (d, item), (lcs, c, said) in done.items()]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
