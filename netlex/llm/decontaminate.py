@@ -280,10 +280,13 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     for k, part in enumerate(parts):
         ids, tf = np.unique(part, return_counts=True)
         vectors[k] = (tf * idf[ids]) @ basis[ids]
-        keys.append(k * len(vocabulary) + ids.astype(np.int64))
+        keys.append(ids.astype(np.int64) * len(parts) + k)
         values.append(tf * idf[ids] / max(((tf * idf[ids]) ** 2).sum(), 1e-12))
     length = np.linalg.norm(vectors, axis=1)  # of the part's unscaled row in the latent space
-    exact = np.concatenate(keys), np.concatenate(values)  # sorted: part and term, share of the part's mass
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(keys)
+    # By term: where its rows start, their parts and shares of the part's mass.
+    exact = np.searchsorted(keys[order], np.arange(len(vocabulary) + 1) * len(parts)), keys[order] % len(parts), values[order]
     share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, exact, owner, _grams(parsed)))
 
     def search(batches):
@@ -303,16 +306,15 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 near = latent[low : low + step] @ unit.T
                 # near / norm is the cosine; mass x near against own tells how much of the part the passage holds.
                 enough = np.maximum(cosine * np.maximum(norm[low : low + step], 1e-12)[:, None], held * own / mass[low : low + step, None])
-                i, j = np.nonzero((near >= enough) & (own > 1e-9))
-                i += low
                 # The same held against all terms, entry by entry, before texts are compared.
-                n = np.diff(bounds_of)[i]
-                of = np.repeat(np.arange(len(i)), n)
-                at = bounds_of[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                entry = j[of] * len(weights) + t[at]
-                place = np.minimum(np.searchsorted(exact[0], entry), len(exact[0]) - 1)
-                share_of = np.bincount(of, np.where(exact[0][place] == entry, w[at] * exact[1][place], 0.0), len(i)) * mass[i]
-                i, j = i[share_of >= held], j[share_of >= held]
+                part = slice(bounds_of[low], bounds_of[min(low + step, len(mass))])
+                n = np.diff(exact[0])[t[part]]
+                of = np.repeat(np.arange(len(n)), n)
+                at = exact[0][t[part]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                cell = (row[part][of] - low) * len(own) + exact[1][at]
+                share_of = np.bincount(cell, w[part][of] * exact[2][at], near.size).reshape(near.shape) * mass[low : low + step, None]
+                i, j = np.nonzero((share_of >= held) & (near >= enough) & (own > 1e-9))
+                i += low
                 # Each passage and item once; the first of its rows is the item as a whole, if that is near.
                 _, once = np.unique(i * len(known) + owner[j], return_index=True)
                 found.append((i[once], j[once]))
