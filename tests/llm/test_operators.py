@@ -168,6 +168,18 @@ def test_similar_documents_of_one_word_set(spark):
     assert got == linked(rows) and len(set(got.values())) == 30
 
 
+def test_similar_documents_at_the_threshold(spark):
+    # Scattered edits, text appended, text cut off: Jaccard 0.8 to 0.85, beyond what fingerprints cover.
+    rng, rows = random.Random(7), []
+    for i in range(20):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        edited = [f"edit{k}" if k % 50 == 20 else w for k, w in enumerate(words)]
+        more = words + [f"m{rng.randint(0, 5000)}" for _ in range(70)]
+        rows += [(1000 * k + i, " ".join(x)) for k, x in enumerate((words, edited, more, words[:-58]))]
+    got = dict(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == linked(rows) == {1000 * k + i: i for k in range(4) for i in range(20)}
+
+
 def test_flac(docs, empty):
     texts = [b"", b"a", b" " * 192, bytes(range(256)) * 9, b"ab" * 4000, os.urandom(5000)]
     payloads = [flac.payload(t) for t in texts]
