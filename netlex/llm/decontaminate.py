@@ -154,15 +154,30 @@ def _project(row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.nd
     return _summed_runs(np.ascontiguousarray(basis.T), term, weight, first).T
 
 
+def _latent(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, axes: np.ndarray, docs_of: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sums of axes[term] over the hits of passages, by way of those of blocks."""
+    key = doc.astype(np.int64) << 32 | spot.astype(np.int64) // BLOCK  # ascending
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    blocks = np.ascontiguousarray(_summed_runs(np.ascontiguousarray(axes.T), term, np.ones(len(term), np.float32), first).T)
+    blocks = np.concatenate((blocks, np.zeros((1, blocks.shape[1]), np.float32)))
+    have = key[first]
+    out = np.zeros((len(starts), blocks.shape[1]), np.float32)
+    for k in range(SPAN):
+        want = docs_of << 32 | (starts + k)
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        out += blocks[np.where(have[at] == want, at, len(have))]
+    return out
+
+
 def _summed_runs(columns: np.ndarray, index: np.ndarray, weight: np.ndarray, first: np.ndarray, most: int = 4000) -> np.ndarray:
     """Sums of columns[:, index] * weight over the runs that start at `first`; about `most` entries at once, for caches."""
-    out = np.empty((len(columns), len(first)))
+    out = np.empty((len(columns), len(first)), columns.dtype)
     ends = np.append(first[1:], len(index))
     i = 0
     while i < len(first):
         j = max(i + 1, int(np.searchsorted(ends, first[i] + most, side="right")))
         a, b = first[i], ends[j - 1]
-        out[:, i:j] = np.add.reduceat(columns[:, index[a:b]] * weight[a:b], first[i:j] - a, axis=1)
+        out[:, i:j] = np.add.reduceat(columns[:, index[a:b]] * weight[a:b].astype(columns.dtype, copy=False), first[i:j] - a, axis=1)
         i = j
     return out
 
@@ -226,7 +241,7 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
     spark, terms = hits.sparkSession, len(idf)
     width = min(rank + spare, terms)
     sketch = np.random.default_rng(seed).standard_normal((terms, width))
-    share = spark.sparkContext.broadcast((idf, sketch))
+    share = spark.sparkContext.broadcast((idf, sketch.astype(np.float32)))
 
     def back(batches):
         weights, omega = share.value
@@ -244,14 +259,14 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
     b = np.zeros((terms, width))
     b[found["term"].to_numpy()] = np.stack(found["v"].to_numpy())
     q, _ = np.linalg.qr(b)
-    second = spark.sparkContext.broadcast((idf, q))
+    second = spark.sparkContext.broadcast((idf, q.astype(np.float32)))
 
     def gram(batches):
         weights, basis = second.value
         total = np.zeros((width, width))
         for x in slices(batches, "terms", 500_000):
             row, term, weight, _, _, _ = _passages(*_read_hits(x), weights, apart=True)
-            c = _project(row, term, weight, basis)
+            c = _project(row, term, weight, basis).astype(np.float64)
             total += c.T @ c
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
 
@@ -283,11 +298,14 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
         keys.append(ids.astype(np.int64) * len(parts) + k)
         values.append(tf * idf[ids] / max(((tf * idf[ids]) ** 2).sum(), 1e-12))
     length = np.linalg.norm(vectors, axis=1)  # of the part's unscaled row in the latent space
+    unit = (vectors / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
+    own = np.where(length > 1e-9, length, np.inf).astype(np.float32)
     keys, values = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(keys)
-    # By term: where its rows start, their parts and shares of the part's mass.
-    exact = np.searchsorted(keys[order], np.arange(len(vocabulary) + 1) * len(parts)), keys[order] % len(parts), values[order]
-    share = spark.sparkContext.broadcast((idf, basis, parsed, vectors / np.maximum(length, 1e-12)[:, None], length, exact, owner, _grams(parsed)))
+    # By term: where its rows start, how many there are; their parts and shares of the parts' mass.
+    rows = np.searchsorted(keys[order], np.arange(len(vocabulary) + 1) * len(parts))
+    exact = rows[:-1], np.diff(rows), (keys[order] % len(parts)).astype(np.int32), values[order].astype(np.float32)
+    share = spark.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32), parsed, unit, own, exact, owner, _grams(parsed)))
 
     def search(batches):
         weights, axes, known, unit, own, exact, owner, grams = share.value
@@ -296,7 +314,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
             row, t, w, docs_of, starts, mass = _passages(term, spot, doc, weights)
             if not len(row):
                 continue
-            latent = _project(row, t, w, axes)
+            latent = _latent(term, spot, doc, axes, docs_of, starts) / mass[:, None].astype(np.float32)
             norm = np.linalg.norm(latent, axis=1)
             bounds_of = np.searchsorted(row, np.arange(len(mass) + 1))
             found = []
@@ -305,15 +323,15 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
             for low in range(0, len(mass), step):
                 near = latent[low : low + step] @ unit.T
                 # near / norm is the cosine; mass x near against own tells how much of the part the passage holds.
-                enough = np.maximum(cosine * np.maximum(norm[low : low + step], 1e-12)[:, None], held * own / mass[low : low + step, None])
+                enough = np.maximum(np.float32(cosine) * np.maximum(norm[low : low + step], 1e-9)[:, None], np.float32(held) * own / mass[low : low + step, None].astype(np.float32))
                 # The same held against all terms, entry by entry, before texts are compared.
                 part = slice(bounds_of[low], bounds_of[min(low + step, len(mass))])
-                n = np.diff(exact[0])[t[part]]
-                of = np.repeat(np.arange(len(n)), n)
-                at = exact[0][t[part]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                cell = (row[part][of] - low) * len(own) + exact[1][at]
-                share_of = np.bincount(cell, w[part][of] * exact[2][at], near.size).reshape(near.shape) * mass[low : low + step, None]
-                i, j = np.nonzero((share_of >= held) & (near >= enough) & (own > 1e-9))
+                begin, n = exact[0][t[part]], exact[1][t[part]]
+                at = np.repeat((begin - np.cumsum(n) + n).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)
+                cell = np.repeat(((row[part] - low) * len(own)).astype(np.int32), n) + exact[2][at]
+                weight = np.repeat((w[part] * mass[row[part]]).astype(np.float32), n) * exact[3][at]
+                share_of = np.bincount(cell, weight, near.size).reshape(near.shape)
+                i, j = np.nonzero((share_of >= held - 1e-6) & (near >= enough - 1e-5))
                 i += low
                 # Each passage and item once; the first of its rows is the item as a whole, if that is near.
                 _, once = np.unique(i * len(known) + owner[j], return_index=True)
