@@ -19,6 +19,7 @@ An empty table writes no rows and returns none.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -37,8 +38,8 @@ from netlex.llm._common import slices, written
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 MAGIC = b"NLS8B\0\0\1"
 BLOCK = 4096
-#: Distinct pieces that a process keeps; beyond, it drops the newer half.
-KEPT_PIECES = 1_500_000
+#: Distinct pieces that a process keeps, and their characters; beyond either, it drops the newer half.
+KEPT_PIECES, KEPT_CHARACTERS = 1_000_000, 20_000_000
 
 
 _BITS = np.array([b for _, b in SELECTORS], np.uint8)
@@ -165,13 +166,15 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.keys = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
+        self.characters = 0
         self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def halve(self):
         """Keeps the older half, in which the common pieces are."""
-        n = len(self.keys) // 2
-        self.keys = pa.concat_arrays([self.keys.slice(0, n)])
+        n = len(self.known) // 2
+        self.known = dict(itertools.islice(self.known.items(), n))
+        self.characters = sum(map(len, self.known))
         self.ids, self.ends = self.ids[: self.ends[n]].copy(), self.ends[: n + 1].copy()
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,18 +200,20 @@ class Pieces:
 
     def _index(self, distinct: pa.Array) -> np.ndarray:
         """The place of each piece (taken with a space before it), new ones being encoded."""
-        at = pc.index_in(distinct, value_set=self.keys)
-        new = distinct.filter(pc.is_null(at))
-        if len(new):
-            if len(self.keys) + len(new) > KEPT_PIECES:
-                self.halve()
-                new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.keys)))
-            ids, sizes = self._encoded_spaced(new.to_pylist())
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
+        size = sum(map(len, new))
+        while self.known and (len(self.known) + len(new) > KEPT_PIECES or self.characters + size > KEPT_CHARACTERS):
+            self.halve()
+            new = [w for w in words if w not in self.known]
+            size = sum(map(len, new))
+        if new:
+            ids, sizes = self._encoded_spaced(new)
             self.ends = np.concatenate((self.ends, np.cumsum(sizes) + len(self.ids)))
             self.ids = np.concatenate((self.ids, ids))
-            self.keys = pa.concat_arrays([self.keys, new])
-            at = pc.index_in(distinct, value_set=self.keys)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+            self.known.update(zip(new, itertools.count(len(self.known)), strict=False))
+            self.characters += size
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def lay_out(self, texts: pa.Array):
         """(index of every piece; pieces by document; ids and ends of what is indexed: kept pieces, then firsts of texts)."""
@@ -240,7 +245,7 @@ class Pieces:
         at = self._index(coded.dictionary)[coded.indices.to_numpy()]
         # A text's first piece has no space before it.
         extra, sizes = self._encoded(flat.take(pa.array(bounds[:-1])).to_pylist())
-        at[bounds[:-1]] = len(self.keys) + np.arange(len(texts))
+        at[bounds[:-1]] = len(self.known) + np.arange(len(texts))
         return at, bounds, np.concatenate((self.ids, extra)), np.concatenate((self.ends, len(self.ids) + np.cumsum(sizes)))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
