@@ -2,8 +2,8 @@
 
 Boosted trees of depth 3 are grown on statistics of labelled documents; every path from a root becomes a conjunctive
 rule; a logistic regression with an L1 penalty keeps few rules; and what is left is compiled into one Spark column
-expression over the statistics. Only the fit sees a bounded sample (`max_rows` labelled documents, chosen by a hash of
-doc_id); statistics and scores cover every document. Labels, language, source and doc_id are never inputs of a score.
+expression over the statistics. Only the fit sees a bounded sample (at most `max_rows` labelled documents, chosen by a hash
+of doc_id); statistics and scores cover every document. Labels, language, source and doc_id are never inputs of a score.
 
 Nulls: a null text is an empty one and gets a score too; null labels are left out; a document labelled twice counts as
 its worse label; without labels of both kinds the score is the share of good labels (or 0.5). A null doc_id is scored
@@ -165,22 +165,34 @@ def score(intercept: float, rules: list[tuple[float, Rule]], of=lambda name: F.c
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted. Learns from labelled rows that are not held out, at most max_rows of them."""
     rows = written(statistics(docs, id_col, text_col), "statistics")
-    intercept, rules = learn(rows, labels, label_col, max_rows)
+    known = known_labels(labels, label_col, max_rows)
+    intercept, rules = learn(rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), known)
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(intercept, rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000) -> tuple[float, list[tuple[float, Rule]]]:
-    """The model from statistics of labelled rows that are not held out, at most max_rows of them."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
-    some = rows.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(max_rows)
-    sample = some.select("label", *STATISTICS).toPandas()
+def known_labels(labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000) -> DataFrame:
+    """doc_id, label of at most max_rows labelled documents that are not held out: those whose hash is below a cut that
+    follows from their number (five deviations under the bound)."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    known = written(known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")), "labels")
+    n, parts = known.count(), 1 << 30
+    if n > max_rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * (max_rows - 5 * math.sqrt(max_rows)) / n))
+    return known
+
+
+def learn(rows: DataFrame, known: DataFrame) -> tuple[float, list[tuple[float, Rule]]]:
+    """The model from statistics of the documents in known, a bounded table. Equal rows count once."""
+    sample = rows.distinct().join(F.broadcast(known), "doc_id").toPandas().sort_values(["doc_id", *STATISTICS])
     return fit(sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of 0.5 or more, all columns as they were; no shuffle of texts."""
-    intercept, rules = learn(written(statistics(docs, id_col, text_col), "statistics"), labels, label_col, max_rows)
+    known = known_labels(labels, label_col, max_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    intercept, rules = learn(statistics(texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
     name = next(c for i in range(len(docs.columns) + 1) if (c := f"statistics_{i}") not in docs.columns)
     at = docs.columns.index(text_col)
 
