@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.llm._common import slices
-from netlex.llm._windows import by_key, candidates, gram_hashes, joined_spans, repeated_keys, runs, squeezed, texts_of, whole_spans, with_key, word_spans, word_units
+from netlex.llm._windows import candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, resolved, runs, shifted, squeezed, texts_of, whole, with_key, word_spans, word_units
 
 LENGTH, GRAM = 20, 5
 #: Suffixes in a group of one prefix.
@@ -86,39 +86,35 @@ def _pack(text: bytes):
     return lambda a, b: words[a:b].tobytes()
 
 
+def judge(frame, length: int) -> list[list[tuple[int, int]]]:
+    """Spans of the first copies of distinct segments of whole keys: starts whose window also starts earlier."""
+    # Keys apart, earliest segments first: a smaller index is then an earlier start.
+    order = frame.sort_values(["key", "id0", "h", "start"], kind="stable").index.to_numpy()
+    segs = [np.frombuffer(frame["seg"].iloc[i], np.uint64) for i in order]
+    n = np.array([len(s) for s in segs])
+    base = np.cumsum(n) - n
+    count = n - length + 1
+    seg = np.repeat(np.arange(len(n)), count)
+    starts = base[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    later = deep_nodes(np.concatenate(segs), starts, length) != np.arange(len(starts))
+    spans: list[list[tuple[int, int]]] = [[] for _ in order]
+    for i, e, c in zip(order, np.cumsum(count), count, strict=True):
+        spans[i] = list(zip(*(x.tolist() for x in runs(later[e - c : e])), strict=True))
+    return spans
+
+
 def later_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """id0, h, spans: stretches (first, last + 1) of window starts whose words also start earlier."""
-    segments = repeated_keys(keyed, word_units, length, gram)
-    cuts = candidates(keyed, segments.filter("not plain"), _pack, length)
-    here = F.struct("id0", "h", "start")
-    grouped = cuts.groupBy("key", "d1", "d2").agg(F.min(here).alias("at"), F.max("seg").alias("seg"))
-
-    def shard(batches):
-        for frame in by_key(batches):
-            # Keys apart, earliest segments first: a smaller index is then an earlier start.
-            frame = frame.sort_values(["key", "id0", "h", "start"], kind="stable", ignore_index=True)
-            segs = [np.frombuffer(s, np.uint64) for s in frame["seg"]]
-            n = np.array([len(s) for s in segs])
-            base = np.cumsum(n) - n
-            count = n - length + 1
-            seg = np.repeat(np.arange(len(n)), count)
-            starts = base[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-            later = deep_nodes(np.concatenate(segs), starts, length) != np.arange(len(starts))
-            edges = np.cumsum(count)
-            made = [[{"a": a, "b": b} for a, b in zip(*(x.tolist() for x in runs(later[e - c : e])), strict=True)] for e, c in zip(edges, count, strict=True)]
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            cols = ["key", "d1", "d2", "id0", "h", "start"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(frame[c].to_numpy()) for c in cols), pa.array(made, kind)], ["key", "d1", "d2", "id0_1", "h_1", "start_1", "spans"])
-
-    dealt = grouped.select("key", "d1", "d2", "at.*", "seg").repartition("key").sortWithinPartitions("key", "d1", "d2")
-    firsts = dealt.mapInArrow(shard, "key long, d1 long, d2 long, id0_1 long, h_1 long, start_1 long, spans array<struct<a:long,b:long>>")
-    where = cuts.select("key", "d1", "d2", "id0", "h", "start", "starts").join(firsts, ["key", "d1", "d2"])
+    cuts = candidates(keyed, repeated_keys(keyed, word_units, (length,), gram), _pack, (length,))
+    distinct = distinct_segments(cuts)
+    hits = resolved(distinct, judge, 8, (length,), gram, (6, 1), later=True)
+    firsts = distinct.select("key", "d1", "d2", *[F.col(c).alias(f"{c}_1") for c in ("id0", "h", "start")])
     own = (F.col("id0") == F.col("id0_1")) & (F.col("h") == F.col("h_1")) & (F.col("start") == F.col("start_1"))
-    shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    # An equal segment that stands later repeats throughout.
-    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts")).alias("b"))
-    spans = where.select("id0", "h", F.when(own, shifted).otherwise(F.array(span)).alias("spans")).filter(F.size("spans") > 0)
-    return joined_spans(whole_spans(segments.filter("plain and not first")), spans)
+    where = cuts.select("key", "d1", "d2", "id0", "h", "start", "starts").join(firsts, ["key", "d1", "d2"])
+    # An equal segment that stands later repeats throughout; what holds for a first copy stands in the hits.
+    others = where.filter(~own).select("id0", "h", whole("start", "starts").alias("spans"))
+    first = hits.join(distinct.select("key", "d1", "d2", "id0", "h", "start"), ["key", "d1", "d2"]).select("id0", "h", shifted("spans", "start").alias("spans"))
+    return joined_spans(others.union(first).withColumn("kind", F.lit(0)))
 
 
 def _kept(text: bytes, spans: list, length: int) -> tuple[int, int, bytes]:
@@ -145,5 +141,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
             cols = [pa.array([r[2].decode() for r in rows]), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("doc_id", "z", "spans")
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("doc_id", "z", "spans_0")
     return joined.mapInArrow(apply, "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")

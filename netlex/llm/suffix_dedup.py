@@ -2,9 +2,10 @@
 
 Method: candidate segments meet by content (see _windows); each shard of whole keys is one text, whose suffix array is
 induced: suffixes are classified, leftmost-smaller substrings are sorted by induction and named, the shorter string of
-names is sorted (by doubling of ranks, as batches per bucket don't pay on a large alphabet), and the shard array is
-induced from it, bucket by bucket in numpy batches. Permuted common prefixes then tell, for each window, whether a
-neighbour in the array shares `length` bytes.
+names is sorted by the same means, recursively, and the shard array is induced from it, bucket by bucket in numpy
+batches. Permuted common prefixes then tell, for each window, whether a neighbour in the array shares `length` bytes.
+Before that, equal segments are made one, and stretches whose windows' rolling hashes stand once in the shard are left
+out; what stays is decided by the array.
 
 Nulls: a null text is empty; a null doc_id is a document like any other. A repeated row counts as another document, so
 all its long strings repeat. Texts shorter than `length` are kept. Empty tables give empty results.
@@ -13,6 +14,7 @@ all its long strings repeat. Texts shorter than `length` are kept. Empty tables
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +23,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlex.llm._common import slices
-from netlex.llm._windows import by_key, byte_units, candidates, joined_spans, repeated_keys, runs, squeezed, texts_of, whole_spans, with_key
+from netlex.llm._windows import byte_units, candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, resolved, runs, shifted, squeezed, texts_of, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
 SEPARATOR = 0xFF
 
 
-def _rank_by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of integers from 0."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+def induced_order(s: list[int]) -> list[int]:
+    """Suffix array of a string of integers from 0 (the end counts as least), by induced sorting; its names are sorted by
+    another level of the same."""
+    n = len(s)
+    if n < 2:
+        return list(range(n))
+    small = [False] * n
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    counts = [0] * (max(s) + 1)
+    for c in s:
+        counts[c] += 1
+    ends = list(itertools.accumulate(counts))
+    begins = [e - c for e, c in zip(ends, counts, strict=True)]
+
+    def induce(seeds: list[int]) -> list[int]:
+        out = [-1] * n
+        tail = ends.copy()
+        for i in reversed(seeds):
+            tail[s[i]] -= 1
+            out[tail[s[i]]] = i
+        head = begins.copy()
+        out[head[s[n - 1]]] = n - 1
+        head[s[n - 1]] += 1
+        for k in range(n):
+            j = out[k] - 1
+            if j >= 0 and not small[j]:
+                out[head[s[j]]] = j
+                head[s[j]] += 1
+        tail = ends.copy()
+        for k in range(n - 1, -1, -1):
+            j = out[k] - 1
+            if j >= 0 and small[j]:
+                tail[s[j]] -= 1
+                out[tail[s[j]]] = j
+        return out
+
+    leftmost = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    if not leftmost:
+        return induce([])
+    stop = dict(zip(leftmost, [*(i + 1 for i in leftmost[1:]), n], strict=True))
+    order = [i for i in induce(leftmost) if i in stop]
+    names, name, last = {}, -1, None
+    for i in order:
+        part = s[i : stop[i]] + [-1] * (stop[i] == n)  # to the end: unlike any other
+        name += part != last
+        names[i], last = name, part
+    seeds = order if name + 1 == len(order) else [leftmost[k] for k in induced_order([names[i] for i in leftmost])]
+    return induce(seeds)
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -134,7 +172,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     names[order] = np.concatenate(([0], np.cumsum(~same)))
     sequence = names[lms]
     if sequence.max() + 1 < len(lms):
-        seeds = lms[_rank_by_doubling(sequence)]
+        seeds = lms[np.array(induced_order(sequence.tolist()), np.int64)]
     else:
         seeds = order
     return _induce(text, smaller, seeds)
@@ -192,44 +230,58 @@ def repeated(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[e - len(s) - 1 : max(e - length, e - len(s) - 1)] for s, e in zip(segments, ends, strict=True)]
 
 
+def _twice(segments: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(segment, first, last + 1) of the stretches of window starts whose rolling hash stands twice in the segments."""
+    values = byte_units(b"".join(segments))
+    sizes = np.array([len(s) for s in segments])
+    count = np.maximum(sizes - length + 1, 0)
+    seg = np.repeat(np.arange(len(sizes)), count)
+    start = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+    h = gram_hashes(values, length)[(np.cumsum(sizes) - sizes)[seg] + start]
+    ordered = np.sort(h)
+    double = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(double):
+        return []
+    hit = np.flatnonzero(double[np.minimum(np.searchsorted(double, h), len(double) - 1)] == h)
+    cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(seg[hit]) != 0)) + 1
+    return [(int(seg[p[0]]), int(start[p[0]]), int(start[p[-1]]) + 1) for p in np.split(hit, cut)]
+
+
+def judge(frame, length: int) -> list[list[tuple[int, int]]]:
+    """Spans of the distinct segments of whole keys: one with equals repeats throughout; of the others, stretches whose
+    windows' hashes stand twice are sorted, and the suffix array decides."""
+    segments = list(frame["seg"])
+    spans = [[(0, len(s) - length + 1)] if n > 1 else [] for s, n in zip(segments, frame["n"], strict=True)]
+    found = _twice(segments, length)
+    if found:
+        for (i, a, _), flags in zip(found, repeated([segments[i][a : b + length - 1] for i, a, b in found], length), strict=True):
+            if frame["n"].iloc[i] < 2:
+                spans[i] += [(x + a, y + a) for x, y in zip(*(r.tolist() for r in runs(flags)), strict=True)]
+    return spans
+
+
 def _pack(text: bytes):
     return lambda a, b: text[a:b]
 
 
-def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere."""
-    segments = repeated_keys(keyed, byte_units, length, gram)
-    cuts = candidates(keyed, segments.filter("not plain"), _pack, length)
-    grouped = cuts.groupBy("key", "d1", "d2").agg(F.count("*").alias("n"), F.max("seg").alias("seg"))
-
-    def shard(batches):
-        for frame in by_key(batches):
-            alone = ~frame["key"].duplicated(keep=False)
-            # A segment with equals repeats throughout; if nothing else has its key, there is nothing to sort.
-            sort = frame[~(alone & (frame["n"] > 1))]
-            spans: dict = {i: [(0, len(s) - length + 1)] for i, s, n in zip(frame.index, frame["seg"], frame["n"], strict=True) if n > 1}
-            if len(sort):
-                for i, flags in zip(sort.index, repeated(list(sort["seg"]), length), strict=True):
-                    if i not in spans:
-                        spans[i] = list(zip(*(x.tolist() for x in runs(flags)), strict=True))
-            hit = frame.loc[[i for i, s in spans.items() if s]]
-            made = [[{"a": a, "b": b} for a, b in spans[i]] for i in hit.index]
-            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(hit[c].to_numpy()) for c in ("key", "d1", "d2")), pa.array(made, kind)], ["key", "d1", "d2", "spans"])
-
-    dealt = grouped.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    hits = dealt.select("key", "d1", "d2", "n", "seg").mapInArrow(shard, "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>")
-    where = cuts.select("key", "d1", "d2", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
-    shifted = where.select("id0", "h", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
-    return joined_spans(whole_spans(segments.filter("plain")), shifted)
+def repeated_starts(keyed: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """id0, h, spans_0, spans_1, ...: for each length, stretches (first, last + 1) of window starts whose window also stands elsewhere."""
+    cuts = candidates(keyed, repeated_keys(keyed, byte_units, lengths, gram), _pack, lengths)
+    hits = resolved(distinct_segments(cuts), judge, 1, lengths, gram, (64, 8, 1), later=False)
+    where = cuts.select("key", "d1", "d2", "kind", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
+    return joined_spans(where.select("id0", "h", "kind", shifted("spans", "start").alias("spans")), len(lengths))
 
 
-def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tuple[bytes, int, int]:
-    gone = np.zeros(len(text) + 1, np.int64)
+def _covered(size: int, spans: list, length: int) -> np.ndarray:
+    gone = np.zeros(size + 1, np.int64)
     for s in spans or []:
         gone[s["a"]] += 1
-        gone[min(s["b"] + length - 1, len(text))] -= 1
-    out = np.cumsum(gone[:-1]) > 0
+        gone[min(s["b"] + length - 1, size)] -= 1
+    return np.cumsum(gone[:-1]) > 0
+
+
+def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tuple[bytes, int, int]:
+    out = _covered(len(text), spans, length)
     data = np.frombuffer(text, np.uint8)
     if whole_characters and out.any():
         # A character goes only if all its bytes do.
@@ -239,29 +291,32 @@ def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tupl
     return data[~out].tobytes(), int(out.sum()), len(runs(out)[0])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None, shorter: int | None = None) -> DataFrame:
+    """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256, n_shorter.
 
     With whole_characters a character goes only if all its bytes are covered; without, `kept` is null, and the other
-    columns count bytes."""
+    columns count bytes. n_shorter: bytes covered by strings of `shorter` bytes (where given) that also stand elsewhere;
+    they stay."""
     names = [f"carried_{i}" for i in range(len(carry or []))]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry or [], names, strict=True)))
     keyed = with_key(texts, names)
-    spans = repeated_starts(keyed, length, gram)
+    lengths = (length, shorter) if shorter else (length,)
+    spans = repeated_starts(keyed, lengths, gram)
 
     def apply(batches):
         for b in slices(batches, "z", 700_000):
             rows = []
-            for text, s in zip(texts_of(b), b.column(1).to_pylist(), strict=True):
-                kept, removed, n = _kept(text, s, length, whole_characters)
-                rows.append((kept.decode() if whole_characters else None, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            for text, *found in zip(texts_of(b), *(b.column(i).to_pylist() for i in range(1, 1 + len(lengths))), strict=True):
+                kept, removed, n = _kept(text, found[0], length, whole_characters)
+                more = int(_covered(len(text), found[1], shorter).sum()) if shorter else None
+                rows.append((kept.decode() if whole_characters else None, len(text), removed, n, hashlib.sha256(kept).hexdigest(), more))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            own = [b.column(i) for i in range(2, 3 + len(names))]
-            yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", *names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            own = [b.column(i) for i in range(1 + len(lengths), 2 + len(lengths) + len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", *names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shorter"])
 
-    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("z", "spans", "doc_id", *names)
-    made = T._parse_datatype_string("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("z", *[f"spans_{k}" for k in range(len(lengths))], "doc_id", *names)
+    made = T._parse_datatype_string("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shorter long")
     out = joined.mapInArrow(apply, T.StructType([joined.schema["doc_id"], *(joined.schema[n] for n in names), *made]))
     return out.withColumnsRenamed(dict(zip(names, carry or [], strict=True)))
 

@@ -72,6 +72,39 @@ def test_suffix_arrays():
                 assert plcp[i] == len(os.path.commonprefix([data[i:], data[j:]]))
 
 
+def test_induced_order_of_integers():
+    rng = random.Random(2)
+    for _ in range(300):
+        top = rng.choice([1, 2, 5, 40])
+        x = [rng.randrange(top) for _ in range(rng.randint(0, 60))]
+        assert suffix_dedup.induced_order(x) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def hot_rows(seed=5, n=60):
+    """A passage, or most of one, in every document, with others' words around it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    hot = [word() for _ in range(50)]
+    rows = []
+    for i in range(n):
+        cut = hot[rng.randint(0, 12) : 50 - rng.randint(0, 12)]
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 30))] + cut + [word() for _ in range(rng.randint(0, 30))])))
+    return rows + [(n + i, rows[i][1]) for i in range(5)]
+
+
+@pytest.mark.parametrize("shard", [1, 3000])
+def test_segments_of_a_hot_key_are_split(spark, monkeypatch, shard):
+    monkeypatch.setattr(_windows, "SHARD", shard)
+    rows = hot_rows()
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.dedup(some, 100, 24, whole_characters=False, shorter=60).collect()
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
+    assert sorted(got) == sorted(brute_strings([t.encode() for _, t in rows], 100))
+    assert sorted(r.n_shorter for r in found) == sorted(x[1] for x in brute_strings([t.encode() for _, t in rows], 60))
+    got = [(r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(some, 12, 4).collect()]
+    assert sorted(got) == sorted(brute_words(rows, 12))
+
+
 def test_long_texts_are_taken_in_pieces():
     values = _windows.byte_units(os.urandom(3000) + b"ab" * 500)
     whole = [np.concatenate(x) for x in zip(*_windows.segments_of([values], 60, 20), strict=True)]
