@@ -2,8 +2,9 @@
 
 A window of `length` units (bytes or words) is keyed by the least hash of the `gram`-unit grams in it, so equal windows
 have equal keys wherever they stand. Consecutive window starts with one key form a segment. Only keys that occur twice
-can hold a repeated window; their segments are cut from the texts, equal ones are made one, and each key's distinct
-segments meet in one task, whose exact structure (suffix array or suffix tree) decides what repeats.
+can hold a repeated window; their segments are cut from the texts. Where all segments of a key are equal (by a 128-bit
+digest of their contents) they repeat throughout. Elsewhere equal segments are made one, and each key's distinct segments
+meet in one task, whose exact structure (suffix array or suffix tree) decides what repeats.
 
 No task gets more than about SHARD bytes of a key: the segments of a larger key are split into stretches of window
 starts that hold the key's gram at about the same place (`block` places), and a stretch is keyed by all that its windows
@@ -35,8 +36,6 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1_000_000
 #: Bytes of one key's distinct segments that may meet in a task.
 SHARD = 1_500_000
-#: Keeps the keys of windows of different lengths apart.
-APART = 0x2545F4914F6CDD1D
 #: A key with more segments is looked up by broadcast, if there are at most MOST_HOT of them (8 bytes each).
 HOT_ROWS, MOST_HOT = 2_000, 200_000
 
@@ -96,7 +95,7 @@ def _sliding(ufunc, x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(document, start, starts, key, marks) of the segments; documents stand at offsets[i]:offsets[i + 1] of values.
+    """(document, start, starts, key, digest, marks) of the segments; documents stand at offsets[i]:offsets[i + 1] of values.
 
     marks: 2 if the key's gram stands more than once in the segment, else 1."""
     w = length - gram + 1
@@ -122,7 +121,8 @@ def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     i = np.repeat(np.arange(len(first)), size)
     at = np.minimum(lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size), len(least) - 1)
     same = np.bincount(i, g[least[at]] == key[first[i]], len(first))
-    return doc[first], first - offsets[doc[first]], n, key[first].view(np.int64), np.where(same > 1, 2, 1)
+    digest = _mixed((p[first + n + length - 1] - p[first]) * back[first] + n.astype(np.uint64) * _MIX)
+    return doc[first], first - offsets[doc[first]], n, key[first].view(np.int64), digest.view(np.int64), np.where(same > 1, 2, 1)
 
 
 def segments_of(units: list[np.ndarray], length: int, gram: int, chunk: int = CHUNK):
@@ -173,35 +173,34 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Those rows whose key is in keys (key, n: about how many rows it has). Keys with many rows are few, and found without a shuffle of their rows."""
-    hot = keys.filter(F.col("n") > HOT_ROWS).select("key")
+    """Those rows whose key is in keys (key, n: about how many rows it has, and columns to add). Keys with many rows are
+    few, and found without a shuffle of their rows."""
+    hot, more = keys.filter(F.col("n") > HOT_ROWS), keys.drop("n")
     if not 0 < hot.count() <= MOST_HOT:
-        return rows.join(keys.select("key"), "key", "left_semi")
-    others = rows.join(F.broadcast(hot), "key", "left_anti").join(keys.filter(F.col("n") <= HOT_ROWS).select("key"), "key", "left_semi")
-    return rows.join(F.broadcast(hot), "key", "left_semi").union(others)
+        return rows.join(more, "key")
+    others = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keys.filter(F.col("n") <= HOT_ROWS).drop("n"), "key")
+    return rows.join(F.broadcast(hot.drop("n")), "key").unionByName(others)
 
 
-def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], lengths: tuple[int, ...], gram: int) -> DataFrame:
-    """key, anchor (the gram's hash), kind (which length), id0, h, start, starts: the segments whose key occurs twice."""
+def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], length: int, gram: int) -> DataFrame:
+    """key, id0, h, start, starts, plain: the segments whose key occurs twice; plain: all segments of the key seem equal."""
 
     def find(batches):
         for b in slices(batches, "text", CHUNK):
             ids, hs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            found = [units(t) for t in utf8(b, "text")]
-            for kind, length in enumerate(lengths):
-                for doc, start, n, key, marks in segments_of(found, length, gram):
-                    cols = [pa.array(key ^ np.int64(kind * APART)), pa.array(key), pa.array(np.full(len(key), kind, np.int8)), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(marks.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "anchor", "kind", "id0", "h", "start", "starts", "marks"])
+            for doc, start, n, key, digest, marks in segments_of([units(t) for t in utf8(b, "text")], length, gram):
+                cols = [pa.array(key), pa.array(digest), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(marks.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "digest", "id0", "h", "start", "starts", "marks"])
 
-    found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, anchor long, kind byte, id0 long, h long, start long, starts int, marks int"), "segments")
-    twice = written(found.groupBy("key").agg(F.sum("marks").alias("n")).filter("n > 1"), "repeated_keys")
-    return of_keys(found.drop("marks"), twice)
+    found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, digest long, id0 long, h long, start long, starts int, marks int"), "segments")
+    plain = (F.min("digest") == F.max("digest")) & (F.max("marks") == 1)
+    twice = written(found.groupBy("key").agg(F.sum("marks").alias("n"), plain.alias("plain")).filter("n > 1"), "repeated_keys")
+    return of_keys(found.drop("marks", "digest"), twice)
 
 
-def joined_spans(rows: DataFrame, kinds: int = 1) -> DataFrame:
-    """id0, h and for each kind its spans: all of a document in one row."""
-    of = lambda k: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("spans"))))).alias(f"spans_{k}")
-    return rows.groupBy("id0", "h").agg(*[of(k) for k in range(kinds)])
+def joined_spans(rows: DataFrame) -> DataFrame:
+    """All spans of a document in one row."""
+    return rows.groupBy("id0", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def shifted(spans: str, by: str) -> Column:
@@ -212,12 +211,13 @@ def whole(start: str, starts: str) -> Column:
     return F.array(F.struct(F.col(start).alias("a"), (F.col(start) + F.col(starts)).alias("b")))
 
 
-def candidates(keyed: DataFrame, segments: DataFrame, pack: Callable[[bytes], Callable[[int, int], bytes]], lengths: tuple[int, ...]) -> DataFrame:
-    """key, anchor, kind, d1, d2 (digest of the segment), id0, h, start, starts, n (1), seg; a table in the shared folder.
+def candidates(keyed: DataFrame, segments: DataFrame, pack: Callable[[bytes], Callable[[int, int], bytes]], length: int) -> DataFrame:
+    """key, anchor (the key), plain, d1, d2 (digest of the segment), id0, h, start, starts, n (1), seg; a table in the shared folder.
 
-    seg, the segment's content as pack(text)(start, end) gives it, is null where this task has written it before."""
+    seg, the segment's content as pack(text)(start, end) gives it, is null where this task has written it before, and
+    for plain keys, whose digests are equal."""
     # A row that stands in the table several times has its segments that often in the list: once is enough for each.
-    kept = segments.groupBy("id0", "h").agg(F.array_distinct(F.collect_list(F.struct("key", "anchor", "kind", "start", "starts"))).alias("segs"))
+    kept = segments.groupBy("id0", "h").agg(F.array_distinct(F.collect_list(F.struct("key", "start", "starts", "plain"))).alias("segs"))
 
     def cut(batches):
         done: set[tuple[int, bytes]] = set()
@@ -226,31 +226,39 @@ def candidates(keyed: DataFrame, segments: DataFrame, pack: Callable[[bytes], Ca
             for id0, h, segs, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b), strict=True):
                 content = pack(text)
                 for s in segs:
-                    key, start, n = s["key"], s["start"], s["starts"]
-                    seg = content(start, start + n + lengths[s["kind"]] - 1)
+                    key, start, n, plain = s["key"], s["start"], s["starts"], s["plain"]
+                    seg = content(start, start + n + length - 1)
                     digest = xxhash.xxh3_128_digest(seg)
-                    new = (key, digest) not in done
+                    new = not plain and (key, digest) not in done
                     if new:
                         done.add((key, digest))
-                    d = np.frombuffer(digest, np.int64)
-                    rows.append((key, s["anchor"], s["kind"], int(d[0]), int(d[1]), id0, h, start, n, 1, seg if new else None))
+                    rows.append((key, key, plain, digest, id0, h, start, n, 1, seg if new else None))
                 if len(done) > 500_000:
                     done.clear()
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    names = ["key", "anchor", "kind", "d1", "d2", "id0", "h", "start", "starts", "n", "seg"]
-    types = [pa.int8() if c == "kind" else pa.binary() if c == "seg" else pa.int64() for c in names]
-    schema = ", ".join(f"{c} {'byte' if c == 'kind' else 'binary' if c == 'seg' else 'long'}" for c in names)
+                columns = list(zip(*rows, strict=True))
+                d = np.frombuffer(b"".join(columns[3]), np.int64).reshape(-1, 2)
+                columns[3:4] = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    names = ["key", "anchor", "plain", "d1", "d2", "id0", "h", "start", "starts", "n", "seg"]
+    types = [pa.bool_() if c == "plain" else pa.binary() if c == "seg" else pa.int64() for c in names]
+    schema = ", ".join(f"{c} {'boolean' if c == 'plain' else 'binary' if c == 'seg' else 'long'}" for c in names)
     joined = squeezed(keyed).join(kept, ["id0", "h"]).select("id0", "h", "segs", "z")
-    return written(joined.mapInArrow(cut, schema), "cuts")
+    cuts = written(joined.mapInArrow(cut, schema), "cuts")
+    # A key that only seemed plain (the rolling digest collided) is cut again, with contents.
+    digests = [f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)]
+    unlike = written(cuts.filter("plain").groupBy("key").agg(*digests).filter("min_d1 < max_d1 or min_d2 < max_d2").select("key"), "unlike")
+    if unlike.isEmpty():
+        return cuts
+    again = segments.join(unlike, "key", "left_semi").withColumn("plain", F.lit(False))
+    return cuts.join(unlike, "key", "left_anti").unionByName(candidates(keyed, again, pack, length))
 
 
 def distinct_segments(cuts: DataFrame) -> DataFrame:
-    """key, anchor, kind, d1, d2, n (copies), id0, h, start (of the first copy), size, seg; a table in the shared folder."""
-    seen = cuts.groupBy("key", "anchor", "kind", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("id0", "h", "start")).alias("at"), F.max("seg").alias("seg"))
-    return written(seen.select("key", "anchor", "kind", "d1", "d2", "n", "at.*", F.length("seg").cast("long").alias("size"), "seg"), "distinct")
+    """key, anchor, d1, d2, n (copies), id0, h, start (of the first copy), size, seg; a table in the shared folder."""
+    seen = cuts.groupBy("key", "anchor", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("id0", "h", "start")).alias("at"), F.max("seg").alias("seg"))
+    return written(seen.select("key", "anchor", "d1", "d2", "n", "at.*", F.length("seg").cast("long").alias("size"), "seg"), "distinct")
 
 
 def _stretches(seg: bytes, anchor: int, unit: int, length: int, gram: int, block: int):
@@ -267,31 +275,30 @@ def _stretches(seg: bytes, anchor: int, unit: int, length: int, gram: int, block
         yield xxhash.xxh64_intdigest(core, (anchor ^ int(part[a])) & (1 << 64) - 1), a, n
 
 
-def _split(rows: DataFrame, unit: int, lengths: tuple[int, ...], gram: int, block: int) -> DataFrame:
+def _split(rows: DataFrame, unit: int, length: int, gram: int, block: int) -> DataFrame:
     """Stretches of distinct segments: those of keys that occur twice, as cuts, with p_key, p_d1, p_d2, off and starts (where in which segment)."""
-    names = ["key", "anchor", "kind", "d1", "d2", "n", "id0", "h", "start", "seg", "p_key", "p_d1", "p_d2", "off", "starts"]
+    names = ["key", "anchor", "d1", "d2", "n", "id0", "h", "start", "seg", "p_key", "p_d1", "p_d2", "off", "starts"]
 
     def run(batches):
         for b in slices(batches, "seg", CHUNK // 4):
             out = []
-            for key, anchor, kind, d1, d2, n, id0, h, start, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for part, a, m in _stretches(seg, anchor, unit, lengths[kind], gram, block):
-                    part ^= kind
-                    piece = seg[a * unit : (a + m + lengths[kind] - 1) * unit]
+            for key, anchor, d1, d2, n, id0, h, start, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for part, a, m in _stretches(seg, anchor, unit, length, gram, block):
+                    piece = seg[a * unit : (a + m + length - 1) * unit]
                     d = np.frombuffer(xxhash.xxh3_128_digest(piece), np.int64)
-                    out.append((part - (1 << 64) if part >> 63 else part, anchor, kind, int(d[0]), int(d[1]), n, id0, h, start + a, piece, key, d1, d2, a, m))
+                    out.append((part - (1 << 64) if part >> 63 else part, anchor, int(d[0]), int(d[1]), n, id0, h, start + a, piece, key, d1, d2, a, m))
             types = [pa.binary() if c == "seg" else pa.int64() for c in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = ", ".join(f"{c} binary" if c == "seg" else f"{c} long" for c in names)
-    made = written(rows.select("key", "anchor", "kind", "d1", "d2", "n", "id0", "h", "start", "seg").mapInArrow(run, schema), "stretches")
+    made = written(rows.select("key", "anchor", "d1", "d2", "n", "id0", "h", "start", "seg").mapInArrow(run, schema), "stretches")
     return of_keys(made, written(made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated_stretches"))
 
 
 SPANS = "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>"
 
 
-def resolved(distinct: DataFrame, judge: Callable, unit: int, lengths: tuple[int, ...], gram: int, blocks: tuple[int, ...], later: bool) -> DataFrame:
+def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram: int, blocks: tuple[int, ...], later: bool) -> DataFrame:
     """key, d1, d2, spans: stretches (first, last + 1) of starts that repeat in a distinct segment; several rows of one may come.
 
     judge(frame, length) gives the spans of each segment of whole keys. later: the spans are those of the first copy, while all
@@ -299,19 +306,15 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, lengths: tuple[int
 
     def shard(batches):
         for frame in by_key(batches):
-            kinds, spans = frame["kind"].to_numpy(), [[]] * len(frame)
-            for kind in np.unique(kinds).tolist():
-                rows = np.flatnonzero(kinds == kind)
-                for i, found in zip(rows.tolist(), judge(frame.iloc[rows].reset_index(drop=True), lengths[kind]), strict=True):
-                    spans[i] = found
+            spans = judge(frame, length)
             hit = [i for i, s in enumerate(spans) if s]
             made = [[{"a": a, "b": b} for a, b in spans[i]] for i in hit]
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(pa.array(frame[c].to_numpy()[hit]) for c in ("key", "d1", "d2")), pa.array(made, kind)], ["key", "d1", "d2", "spans"])
         release()
 
-    columns = ["key", "d1", "d2", "kind", "n", "id0", "h", "start", "seg"]
-    sizes = distinct.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.sum("n").alias("copies"))
+    columns = ["key", "d1", "d2", "n", "id0", "h", "start", "seg"]
+    sizes = distinct.groupBy("key").agg(F.sum("size").alias("size"))
     large = written(sizes.filter(F.col("size") > SHARD).select("key", F.lit(HOT_ROWS + 1).alias("n")), "large_keys") if blocks else None
     some = large.count() if large is not None else 0
     small = distinct
@@ -321,9 +324,9 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, lengths: tuple[int
     hits = dealt.mapInArrow(shard, SPANS)
     if not some:
         return hits
-    parts = _split(of_keys(distinct, large), unit, lengths, gram, blocks[0])
+    parts = _split(of_keys(distinct, large), unit, length, gram, blocks[0])
     pieces = distinct_segments(parts)
-    found = resolved(pieces, judge, unit, lengths, gram, blocks[1:], later)
+    found = resolved(pieces, judge, unit, length, gram, blocks[1:], later)
     if later:
         first = pieces.select("key", "d1", "d2", *[F.col(c).alias(f"{c}_1") for c in ("id0", "h", "start")])
         own = (F.col("id0") == F.col("id0_1")) & (F.col("h") == F.col("h_1")) & (F.col("start") == F.col("start_1"))

@@ -105,16 +105,16 @@ def judge(frame, length: int) -> list[list[tuple[int, int]]]:
 
 def later_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """id0, h, spans: stretches (first, last + 1) of window starts whose words also start earlier."""
-    cuts = candidates(keyed, repeated_keys(keyed, word_units, (length,), gram), _pack, (length,))
-    distinct = distinct_segments(cuts)
-    hits = resolved(distinct, judge, 8, (length,), gram, (6, 1), later=True)
-    firsts = distinct.select("key", "d1", "d2", *[F.col(c).alias(f"{c}_1") for c in ("id0", "h", "start")])
-    own = (F.col("id0") == F.col("id0_1")) & (F.col("h") == F.col("h_1")) & (F.col("start") == F.col("start_1"))
-    where = cuts.select("key", "d1", "d2", "id0", "h", "start", "starts").join(firsts, ["key", "d1", "d2"])
+    cuts = candidates(keyed, repeated_keys(keyed, word_units, length, gram), _pack, length)
+    distinct = distinct_segments(cuts.filter("not plain"))
+    hits = resolved(distinct, judge, 8, length, gram, (6, 1), later=True)
+    here = F.struct("id0", "h", "start")
     # An equal segment that stands later repeats throughout; what holds for a first copy stands in the hits.
-    others = where.filter(~own).select("id0", "h", whole("start", "starts").alias("spans"))
+    firsts = cuts.filter("plain").groupBy("key", "d1", "d2").agg(F.min(here).alias("first")).union(distinct.select("key", "d1", "d2", here.alias("first")))
+    where = cuts.drop("seg").join(firsts, ["key", "d1", "d2"]).filter(here != F.col("first"))
+    others = where.select("id0", "h", whole("start", "starts").alias("spans"))
     first = hits.join(distinct.select("key", "d1", "d2", "id0", "h", "start"), ["key", "d1", "d2"]).select("id0", "h", shifted("spans", "start").alias("spans"))
-    return joined_spans(others.union(first).withColumn("kind", F.lit(0)))
+    return joined_spans(others.union(first))
 
 
 def _kept(text: bytes, spans: list, length: int) -> tuple[int, int, bytes]:
@@ -141,5 +141,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
             cols = [pa.array([r[2].decode() for r in rows]), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("doc_id", "z", "spans_0")
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(apply, "doc_id long, kept string, n_words long, n_removed long, kept_sha256 string")

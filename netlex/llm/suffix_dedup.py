@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlex.llm._common import slices
-from netlex.llm._windows import byte_units, candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, resolved, runs, shifted, squeezed, texts_of, with_key
+from netlex.llm._common import slices, utf8, written
+from netlex.llm._windows import CHUNK, byte_units, candidates, distinct_segments, gram_hashes, joined_spans, of_keys, repeated_keys, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -264,12 +264,29 @@ def _pack(text: bytes):
     return lambda a, b: text[a:b]
 
 
-def repeated_starts(keyed: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
-    """id0, h, spans_0, spans_1, ...: for each length, stretches (first, last + 1) of window starts whose window also stands elsewhere."""
-    cuts = candidates(keyed, repeated_keys(keyed, byte_units, lengths, gram), _pack, lengths)
-    hits = resolved(distinct_segments(cuts), judge, 1, lengths, gram, (64, 8, 1), later=False)
-    where = cuts.select("key", "d1", "d2", "kind", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
-    return joined_spans(where.select("id0", "h", "kind", shifted("spans", "start").alias("spans")), len(lengths))
+def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere."""
+    cuts = candidates(keyed, repeated_keys(keyed, byte_units, length, gram), _pack, length)
+    hits = resolved(distinct_segments(cuts.filter("not plain")), judge, 1, length, gram, (64, 8, 1), later=False)
+    where = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
+    equal = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
+    return joined_spans(equal.union(where.select("id0", "h", shifted("spans", "start").alias("spans"))))
+
+
+def shared_grams(keyed: DataFrame, gram: int, window: int) -> DataFrame:
+    """id0, h, n_shared: of the least-hash grams of each `window` consecutive ones, how many also stand elsewhere.
+
+    A string of gram + window - 1 bytes that stands elsewhere has one; no string shorter than gram has."""
+
+    def find(batches):
+        for b in slices(batches, "text", CHUNK):
+            ids, hs = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for doc, _, _, key, _, marks in segments_of([byte_units(t) for t in utf8(b, "text")], gram + window - 1, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(marks.astype(np.int8))], ["key", "id0", "h", "marks"])
+
+    found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, id0 long, h long, marks byte"), "grams")
+    twice = written(found.groupBy("key").agg(F.sum("marks").alias("n")).filter("n > 1"), "shared_grams")
+    return of_keys(found, twice).groupBy("id0", "h").agg(F.count("*").alias("n_shared"))
 
 
 def _covered(size: int, spans: list, length: int) -> np.ndarray:
@@ -291,32 +308,32 @@ def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tupl
     return data[~out].tobytes(), int(out.sum()), len(runs(out)[0])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None, shorter: int | None = None) -> DataFrame:
-    """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256, n_shorter.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None, shorter: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256, n_shared.
 
     With whole_characters a character goes only if all its bytes are covered; without, `kept` is null, and the other
-    columns count bytes. n_shorter: bytes covered by strings of `shorter` bytes (where given) that also stand elsewhere;
-    they stay."""
+    columns count bytes. shorter: (gram, window) of shared_grams, whose count is n_shared (else null); it removes nothing."""
     names = [f"carried_{i}" for i in range(len(carry or []))]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry or [], names, strict=True)))
     keyed = with_key(texts, names)
-    lengths = (length, shorter) if shorter else (length,)
-    spans = repeated_starts(keyed, lengths, gram)
+    spans = repeated_starts(keyed, length, gram)
+    if shorter:
+        spans = spans.join(shared_grams(keyed, *shorter), ["id0", "h"], "full")
 
     def apply(batches):
         for b in slices(batches, "z", 700_000):
             rows = []
-            for text, *found in zip(texts_of(b), *(b.column(i).to_pylist() for i in range(1, 1 + len(lengths))), strict=True):
-                kept, removed, n = _kept(text, found[0], length, whole_characters)
-                more = int(_covered(len(text), found[1], shorter).sum()) if shorter else None
-                rows.append((kept.decode() if whole_characters else None, len(text), removed, n, hashlib.sha256(kept).hexdigest(), more))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            for text, s in zip(texts_of(b), b.column(1).to_pylist(), strict=True):
+                kept, removed, n = _kept(text, s, length, whole_characters)
+                rows.append((kept.decode() if whole_characters else None, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            own = [b.column(i) for i in range(1 + len(lengths), 2 + len(lengths) + len(names))]
-            yield pa.RecordBatch.from_arrays([*own, *made], ["doc_id", *names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shorter"])
+            own = [b.column(i) for i in range(3, 4 + len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *made, b.column(2)], ["doc_id", *names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
-    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("z", *[f"spans_{k}" for k in range(len(lengths))], "doc_id", *names)
-    made = T._parse_datatype_string("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shorter long")
+    n_shared = F.coalesce("n_shared", F.lit(0)).cast("long") if shorter else F.lit(None).cast("long")
+    joined = squeezed(keyed).join(spans, ["id0", "h"], "left").select("z", "spans", n_shared.alias("n_shared"), "doc_id", *names)
+    made = T._parse_datatype_string("kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
     out = joined.mapInArrow(apply, T.StructType([joined.schema["doc_id"], *(joined.schema[n] for n in names), *made]))
     return out.withColumnsRenamed(dict(zip(names, carry or [], strict=True)))
 
