@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as sequences of benchmark words (others cannot match) with their positions. Passages of three blocks
-of 16 words get TF-IDF rows; document frequencies and a randomised SVD of all these rows (a Gaussian sketch, a range
-basis, and the small eigenproblem of the projected rows) are summed over the whole corpus by Spark; for the SVD the
+of 16 words get TF-IDF rows; document frequencies and a randomised SVD of all these rows (their Gram matrix times a
+Gaussian sketch, and the small factor that follows) are summed over the whole corpus by Spark; for the SVD the
 passages don't overlap, for the search they start at every block. A passage whose
 latent vector is near an item's (cosine) and holds enough of it is a candidate; of an item longer than a passage, its
 parts of a passage's length count like items here. So is a passage with eight words of the item in a row a candidate,
@@ -48,7 +48,7 @@ def _answer(text: str) -> int:
 
 class _Item:
     def __init__(self, item_id: int, text: str, ids: list[int]):
-        self.item_id, self.ids, self.answer = item_id, ids, _answer(text)
+        self.item_id, self.ids, self.answer, self.each = item_id, ids, _answer(text), [(x,) for x in ids]
 
 
 def _parts(parsed: list[_Item]) -> tuple[list[list[int]], np.ndarray]:
@@ -157,6 +157,9 @@ def _project(row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.nd
 def _latent(term: np.ndarray, spot: np.ndarray, doc: np.ndarray, axes: np.ndarray, docs_of: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The sums of axes[term] over the hits of passages, by way of those of blocks."""
     key = doc.astype(np.int64) << 32 | spot.astype(np.int64) // BLOCK  # ascending
+    wanted = np.unique(np.concatenate([docs_of << 32 | (starts + k) for k in range(SPAN)]))
+    some = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+    key, term = key[some], term[some]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     blocks = np.ascontiguousarray(_summed_runs(np.ascontiguousarray(axes.T), term, np.ones(len(term), np.float32), first).T)
     blocks = np.concatenate((blocks, np.zeros((1, blocks.shape[1]), np.float32)))
@@ -189,21 +192,27 @@ def _project_back(row: np.ndarray, term: np.ndarray, weight: np.ndarray, y: np.n
     total[:, term[order][first]] += _summed_runs(np.ascontiguousarray(y.T), row[order], weight[order], first)
 
 
-def _hits(docs: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, terms, spots (32-bit integers): the benchmark words of a document and where they stand."""
+def _hits(docs: DataFrame, vocabulary, terms: int) -> DataFrame:
+    """doc_id, terms, spots (32-bit integers): the benchmark words of a document and where they stand; and, in the first
+    row of a batch (else null), seen: in how many of its blocks each term stands, and last how many blocks have a hit."""
 
     def run(batches):
         known = vocabulary.value
         for b in slices(batches, "text"):
-            terms, spots = [], []
+            found, spots = [], []
             for t in utf8(b, "text"):
-                found = np.array([known.get(w, -1) for w in words(t)], np.int32)
-                at = np.flatnonzero(found >= 0).astype(np.int32)
-                terms.append(found[at].tobytes())
-                spots.append(at.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.binary()), pa.array(spots, pa.binary())], ["doc_id", "terms", "spots"])
+                of = np.array([known.get(w, -1) for w in words(t)], np.int32)
+                at = np.flatnonzero(of >= 0).astype(np.int32)
+                found.append(of[at])
+                spots.append(at)
+            block = np.repeat(np.arange(len(spots)) << 32, [len(x) for x in spots]) | np.concatenate(spots).astype(np.int64) // BLOCK
+            rank = np.cumsum(np.diff(block, prepend=-1) != 0)
+            once = np.unique(rank * terms + np.concatenate(found)) % terms
+            seen = np.append(np.bincount(once, minlength=terms), rank[-1] if len(rank) else 0)
+            cols = [b.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([x.tobytes() for x in spots], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([seen.tolist(), *[None] * (b.num_rows - 1)], pa.list_(pa.int64()))], ["doc_id", "terms", "spots", "seen"])
 
-    return written(docs.mapInArrow(run, "doc_id long, terms binary, spots binary"), "benchmark_words")
+    return written(docs.mapInArrow(run, "doc_id long, terms binary, spots binary, seen array<long>"), "benchmark_words")
 
 
 def _summed(df: DataFrame, key: str, n: int):
@@ -214,34 +223,19 @@ def _summed(df: DataFrame, key: str, n: int):
 
 def _frequencies(hits: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     """In how many blocks each term stands, and how many blocks have a hit."""
-
-    def run(batches):
-        seen, blocks = np.zeros(terms, np.int64), 0
-        for b in slices(batches, "terms"):
-            term, spot, doc = _read_hits(b)
-            block = doc.astype(np.int64) << 32 | spot.astype(np.int64) // BLOCK
-            order = np.lexsort((term, block))
-            block, term = block[order], term[order]
-            first = np.diff(block, prepend=-1) != 0
-            blocks += int(first.sum())
-            first |= np.diff(term, prepend=-1) != 0
-            seen += np.bincount(term[first], minlength=terms)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], blocks))], ["term", "n"])
-
-    rows = hits.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(terms, np.int64)
-    real = rows["term"] >= 0
-    out[rows["term"][real]] = rows["n"][real]
-    return out, int(rows["n"][~real].sum())
+    rows = hits.filter("seen is not null").select(F.posexplode("seen").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(terms + 1, np.int64)
+    out[rows["term"]] = rows["n"]
+    return out[:terms], int(out[terms])
 
 
 def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (terms, rank) of the TF-IDF rows of all passages, by randomised SVD."""
+    """Right singular vectors (terms, rank) of the TF-IDF rows of all passages, by randomised SVD in one pass: from the
+    product of the rows' Gram matrix with a Gaussian sketch (Nystrom's approximation of that matrix)."""
     spark, terms = hits.sparkSession, len(idf)
     width = min(rank + spare, terms)
-    sketch = np.random.default_rng(seed).standard_normal((terms, width))
-    share = spark.sparkContext.broadcast((idf, sketch.astype(np.float32)))
+    sketch = np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32)
+    share = spark.sparkContext.broadcast((idf, sketch))
 
     def back(batches):
         weights, omega = share.value
@@ -253,27 +247,18 @@ def _basis(hits: DataFrame, idf: np.ndarray, rank: int, spare: int, seed: int =
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total.T[at]), pa.list_(pa.float64()))], ["term", "v"])
 
-    found = _summed(hits.mapInArrow(back, "term long, v array<double>"), "term", width)
+    found = _summed(hits.select("doc_id", "terms", "spots").mapInArrow(back, "term long, v array<double>"), "term", width)
     if not len(found):
         return np.zeros((terms, 1))
-    b = np.zeros((terms, width))
-    b[found["term"].to_numpy()] = np.stack(found["v"].to_numpy())
-    q, _ = np.linalg.qr(b)
-    second = spark.sparkContext.broadcast((idf, q.astype(np.float32)))
-
-    def gram(batches):
-        weights, basis = second.value
-        total = np.zeros((width, width))
-        for x in slices(batches, "terms", 500_000):
-            row, term, weight, _, _, _ = _passages(*_read_hits(x), weights, apart=True)
-            c = _project(row, term, weight, basis).astype(np.float64)
-            total += c.T @ c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
-
-    g = _summed(hits.mapInArrow(gram, "i long, v array<double>"), "i", width).sort_values("i")
-    values, vectors = np.linalg.eigh(np.stack(g["v"].to_numpy()))
-    best = np.argsort(-values)[:rank]
-    return q @ vectors[:, best[values[best] > 1e-12]]
+    y = np.zeros((terms, width))
+    y[found["term"].to_numpy()] = np.stack(found["v"].to_numpy())
+    # A small shift keeps the core positive; its eigenvectors give the factor whose left singular vectors are the basis.
+    y += (shift := 1e-6 * np.linalg.norm(y)) * sketch
+    core = sketch.astype(np.float64).T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-9 * values.max()
+    left, size, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return left[:, :rank][:, size[:rank] ** 2 > shift + 1e-12]
 
 
 def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: float, held: float, overlap: float, answer: float) -> DataFrame:
@@ -284,7 +269,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     if not parsed:
         return spark.createDataFrame([], schema)
-    hits = _hits(docs, spark.sparkContext.broadcast(vocabulary))
+    hits = _hits(docs, spark.sparkContext.broadcast(vocabulary), len(vocabulary))
     seen, blocks = _frequencies(hits, len(vocabulary))
     # Positive for every term: a leak in many documents must not take the weight from its own words.
     idf = np.log1p(blocks / np.maximum(seen, 1))
@@ -305,15 +290,29 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
     # By term: where its rows start, how many there are; their parts and shares of the parts' mass.
     rows = np.searchsorted(keys[order], np.arange(len(vocabulary) + 1) * len(parts))
     exact = rows[:-1], np.diff(rows), (keys[order] % len(parts)).astype(np.int32), values[order].astype(np.float32)
-    share = spark.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32), parsed, unit, own, exact, owner, _grams(parsed)))
+    top = np.zeros(len(vocabulary))
+    np.maximum.at(top, keys // len(parts), values)
+    share = spark.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32), parsed, unit, own, exact, top, owner, _grams(parsed)))
 
     def search(batches):
-        weights, axes, known, unit, own, exact, owner, grams = share.value
+        weights, axes, known, unit, own, exact, top, owner, grams = share.value
         for b in slices(batches, "terms", 500_000):
             term, spot, doc = _read_hits(b)
             row, t, w, docs_of, starts, mass = _passages(term, spot, doc, weights)
             if not len(row):
                 continue
+            # Runs of an item's words, at the passage that starts with their block.
+            hit, item = _runs(term, spot, doc, grams)
+            run_at = np.searchsorted(docs_of << 32 | starts, doc[hit].astype(np.int64) << 32 | spot[hit].astype(np.int64) // BLOCK)
+            # A passage without a run goes on only if its words, each at its greatest share of any part, could be enough.
+            keep = np.bincount(row, w * top[t], len(mass)) * mass >= held - 1e-6
+            keep[run_at] = True
+            place = np.cumsum(keep) - 1
+            some = keep[row]
+            row, t, w = place[row[some]], t[some], w[some]
+            docs_of, starts, mass, run_at = docs_of[keep], starts[keep], mass[keep], place[run_at]
+            if not len(mass):
+                continue
             latent = _latent(term, spot, doc, axes, docs_of, starts) / mass[:, None].astype(np.float32)
             norm = np.linalg.norm(latent, axis=1)
             bounds_of = np.searchsorted(row, np.arange(len(mass) + 1))
@@ -337,10 +336,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 _, once = np.unique(i * len(known) + owner[j], return_index=True)
                 found.append((i[once], j[once]))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            # Runs of an item's words, at the passage that starts with their block.
-            hit, item = _runs(term, spot, doc, grams)
-            at = np.searchsorted(docs_of << 32 | starts, doc[hit].astype(np.int64) << 32 | spot[hit].astype(np.int64) // BLOCK)
-            extra = np.unique(at * len(known) + item)
+            extra = np.unique(run_at * len(known) + item)
             i, j = np.concatenate((i, extra // len(known))), np.concatenate((j, extra % len(known)))
             bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids, done = b.column(0).to_pylist(), {}
@@ -353,6 +349,8 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 lo = bounds[d] + np.searchsorted(spot[bounds[d] : bounds[d + 1]], first - len(p.ids))
                 hi = bounds[d] + np.searchsorted(spot[bounds[d] : bounds[d + 1]], first + SPAN * BLOCK + len(p.ids))
                 part = term[lo:hi].tolist()
+                if len(p.ids) - sum(map(set(part).isdisjoint, p.each)) < overlap * len(p.ids):
+                    continue  # too few of its words are here at all
                 lcs = common_subsequence(p.ids, part) / len(p.ids)
                 if lcs >= overlap:
                     said = common_subsequence(p.ids[-p.answer :], part) / p.answer
@@ -363,7 +361,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, str]], rank: int, cosine: flo
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-    return hits.mapInArrow(search, schema)
+    return hits.select("doc_id", "terms", "spots").mapInArrow(search, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, held: float = 0.3, overlap: float = 0.6, answer: float = 0.5, max_items: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
