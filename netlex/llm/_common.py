@@ -19,8 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders by owner, while one is named.
+_owned: dict[str, list[str]] = {}
+_owner: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/netlex-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/netlex-{uuid.uuid4().hex}"
+    if _owner:
+        _owned.setdefault(_owner[-1], []).append(folder)
+    return f"{folder}/{name}"
+
+
+@contextlib.contextmanager
+def scratch_of(spark: SparkSession, owner: str):
+    """Scratch tables made inside belong to `owner`; those that it made before are deleted first."""
+    for folder in _owned.pop(owner, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

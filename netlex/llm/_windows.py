@@ -52,7 +52,7 @@ def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64))), back
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * _MIX
     return x ^ (x >> np.uint64(32))
@@ -62,7 +62,7 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     if len(values) < k:
         return np.empty(0, np.uint64)
     p, back = _prefix(values)
-    return _mixed((p[k:] - p[:-k]) * back[: len(values) - k + 1])
+    return mixed((p[k:] - p[:-k]) * back[: len(values) - k + 1])
 
 
 def byte_units(text: bytes) -> np.ndarray:
@@ -80,7 +80,7 @@ def word_units(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word."""
     starts, ends = word_spans(text)
     p, back = _prefix(byte_units(text))
-    return _mixed((p[ends] - p[starts]) * back[starts])
+    return mixed((p[ends] - p[starts]) * back[starts])
 
 
 def _sliding(ufunc, x: np.ndarray, w: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if len(values) < length:
         return None
     p, back = _prefix(values)
-    g = _mixed((p[gram:] - p[:-gram]) * back[: len(values) - gram + 1])
+    g = mixed((p[gram:] - p[:-gram]) * back[: len(values) - gram + 1])
     key = _sliding(np.minimum, g, w)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(key)]
     valid = np.arange(len(key)) + length <= offsets[1:][doc]
@@ -121,7 +121,7 @@ def _segments(values: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     i = np.repeat(np.arange(len(first)), size)
     at = np.minimum(lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size), len(least) - 1)
     same = np.bincount(i, g[least[at]] == key[first[i]], len(first))
-    digest = _mixed((p[first + n + length - 1] - p[first]) * back[first] + n.astype(np.uint64) * _MIX)
+    digest = mixed((p[first + n + length - 1] - p[first]) * back[first] + n.astype(np.uint64) * _MIX)
     return doc[first], first - offsets[doc[first]], n, key[first].view(np.int64), digest.view(np.int64), np.where(same > 1, 2, 1)
 
 

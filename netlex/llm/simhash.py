@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.llm._common import release, slices, utf8, written
+from netlex.llm._windows import gram_hashes, mixed, of_keys, word_units
 from netlex.operators.components import star_labels
 
 BLOCK = 23
@@ -292,91 +293,59 @@ def _word_marks(docs: DataFrame, tables: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, table int, fp long")
 
 
+def _shingle_values(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of lower-cased (A-Z) words as 64-bit rolling hashes; fewer words than size: one of them all."""
+    words = word_units(text.lower())
+    return np.unique(gram_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """node, shingles (32 bits of each hash)."""
+
     def run(batches):
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<long>")
-
+            sets = [np.unique((_shingle_values(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in utf8(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-def _common_shingles(docs: DataFrame, size: int, documents: int, sample: int = 10_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of about `sample` documents, sorted, and in how many; at most `most` of them.
+    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<int>")
 
-    They only order the shingles: any order gives the same pairs, one with the common ones last gives fewer candidates."""
-    some = docs if documents <= sample else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(documents // sample)) == 0)
-    counts = _shingle_sets(some, size).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    found = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "key").limit(most).toPandas()
-    key, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    order = np.argsort(key)
-    return key[order], n[order]
 
+#: Least-hash bands: a pair of similarity 0.8 shares one of BANDS keys of ROWS least hashes with probability 1 - (1 - 0.8^4)^20 = 0.99997.
+BANDS, ROWS = 20, 4
+#: Texts of a band key that are all compared with each other; in larger ones each is compared with HUBS of them.
+SMALL, HUBS = 32, 3
 
-def _prefixes(docs: DataFrame, size: int, similarity: float, common) -> DataFrame:
-    """key, node, n, pos: the shingles, rarest first, of which two sets of that similarity share one (prefix filter).
 
-    Of n shingles ceil(similarity * n) are in the other set too, so one of the first n - ceil(similarity * n) + 1 is. An
-    empty set has the key zero. Only keys of two or more nodes are kept."""
+def _bands(docs: DataFrame, size: int) -> DataFrame:
+    """key, node: the band keys that two or more texts share; a table in the shared folder."""
+    factors = np.random.default_rng(3).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
-        known, count = common.value
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in utf8(b, "text")]
-            n = np.array([len(x) for x in sets], np.int64)
-            key = np.concatenate([x if len(x) else np.zeros(1, np.int64) for x in sets])
-            held = np.maximum(n, 1)
-            doc = np.repeat(np.arange(len(n)), held)
-            often = np.zeros(len(key), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                often = np.where(known[at] == key, count[at], 0)
-            order = np.lexsort((key, often, doc))
-            pos = np.arange(len(key)) - np.repeat(np.cumsum(held) - held, held)
-            keep = pos < (held - np.ceil(similarity * held - 1e-9).astype(np.int64) + 1)[doc]
-            at = doc[keep]
-            node = b.column(0).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(key[order][keep]), node, pa.array(n[at].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["key", "node", "n", "pos"])
-
-    def shared(batches):
-        # The last row waits for the first of the next batch.
-        last, alike = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            same = key[1:] == key[:-1]
-            keep = np.concatenate(([alike], same)) | np.concatenate((same, [False]))
-            alike = bool(same[-1]) if len(same) else alike
-            last = batch.slice(batch.num_rows - 1)
-            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-        if last is not None and alike:
-            yield last
-        release()
-
-    schema = "key long, node long, n int, pos int"
-    rows = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, schema)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, schema)
-
-
-def _meeting(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes of different components with a key in common whose sizes and places in the order allow the similarity."""
-    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "pos")])
-    y = right.select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "pos")])
-    # From the first key in common on, at most the shorter rest is common.
-    most = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9
-    near = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-9
-    met = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & near & enough)
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+            sets = [_shingle_values(t, size) for t in utf8(b, "text")]
+            sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+            first = np.cumsum([0, *map(len, sets[:-1])])
+            h = np.concatenate(sets)
+            least = np.stack([np.minimum.reduceat(h * f, first) for f in factors]).reshape(BANDS, ROWS, -1)
+            for band in range(BANDS):
+                key = np.full(len(sets), band + 1, np.uint64)
+                for x in least[band]:
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + x)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["key", "node"])
+
+    rows = written(docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "key long, node long"), "bands")
+    return written(of_keys(rows, rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")), "shared_bands")
+
+
+#: So many ids (8 bytes each) are broadcast; more are joined.
+MOST_IDS = 1_000_000
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose shingle sets have the Jaccard similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_shingle_sets(texts.join(ends, "doc_id", "left_semi"), size), "shingles")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    some = texts.join(F.broadcast(ends) if ends.count() <= MOST_IDS else ends, "doc_id", "left_semi")
+    sets = written(_shingle_sets(some, size), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -388,10 +357,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     """doc_id, component_id: documents linked by a Jaccard similarity of their `size`-word shingles.
 
     Most links are found cheaply on fingerprints of the sets of words, in several tables with seeds of their own, and held
-    against the exact similarity. These candidates are thinned and not complete, so a second search is: every pair of
-    that similarity shares a shingle of its prefixes. Each key's first node is held against the others of its key, and
-    then all pairs of a key that are not linked yet. Pairs inside a component need no test. Equal texts are made one
-    before."""
+    against the exact similarity. These candidates are thinned and not complete, so a second search takes bands of least
+    hashes: texts of a band key that are not linked yet are compared with its hubs (the least by a hash, another one each
+    round), and, where the key is small, all with each other. Pairs inside a component need no test. Equal texts are
+    made one before. A null text is an empty one; rows with a null doc_id have no component of their own."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Two independent 64-bit hashes stand for the text.
     keyed = texts.select("doc_id", F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text").alias("h2"))
@@ -402,16 +371,24 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     marks = written(_word_marks(distinct, tables), "marks")
     pairs = written(links(marks, threshold=2, within=10), "pairs")
     labels = star_labels(_verified(pairs, texts, size, similarity))
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(distinct, size, classes.count()))
-    shared = written(_prefixes(distinct, size, similarity, common), "prefixes")
-    named = lambda: shared.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "n", "pos")
-    hubs = named().groupBy("key").agg(F.min(F.struct("node", "comp", "n", "pos")).alias("hub")).select("key", "hub.*")
-    tried = written(_meeting(hubs, named(), similarity), "hub_pairs")
-    labels = star_labels(_verified(tried, texts, size, similarity).union(labels.select("node", "comp")))
-    mixed = named().groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    open_ = written(named().join(mixed, "key", "left_semi"), "open_keys")
-    rest = written(_meeting(open_, open_, similarity).join(tried, ["a", "b"], "left_anti"), "other_pairs")
-    labels = star_labels(_verified(rest, texts, size, similarity).union(labels.select("node", "comp")))
+    bands = _bands(distinct, size)
+    named = lambda: bands.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    tried = None
+    for k in range(HUBS + 1):
+        rows = named()
+        if k < HUBS:
+            hub = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("a"), F.col("comp").alias("comp_a"))).alias("hub")
+            met = rows.join(rows.groupBy("key").agg(hub).select("key", "hub.a", "hub.comp_a"), "key").select("a", F.col("node").alias("b"), "comp_a", F.col("comp").alias("comp_b"))
+        else:
+            held = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter(f"least < most and n <= {SMALL}")
+            open_ = rows.join(held.select("key"), "key")
+            met = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").filter("a < b")
+        met = met.filter("comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        met = written(met, "met")
+        labels = star_labels(_verified(met, texts, size, similarity).union(labels.select("node", "comp")))
+        tried = met if tried is None else tried.union(met)
     labels = labels.withColumnsRenamed({"node": "first_id", "comp": "component_id"})
     named_texts = classes.join(labels, "first_id", "left").select("h", "h2", F.coalesce("component_id", "first_id").alias("component_id"))
     return keyed.join(named_texts, ["h", "h2"]).select("doc_id", "component_id")

@@ -93,3 +93,17 @@ def test_packed(stages):
     rows = stages[4].collect()
     assert {r.doc_id for r in rows} == set(texts(stages[3]))
     assert len({(r.bucket_tokens, r.batch, r.place) for r in rows}) == len(rows)
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c, item = text(), text(), text(), text()
+    docs = spark.createDataFrame([(None, a), (None, a), (4, b), (4, b), (4, c), (7, a), (None, c + " " + item), (8, item + " x")], "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(7, a), (4, b), (4, c), (0, c + " " + item), (8, item + " x")])
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in clean) == sorted([a, a, a, b, b, c])
