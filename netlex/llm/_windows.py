@@ -299,7 +299,7 @@ SPANS = "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>"
 
 
 def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram: int, blocks: tuple[int, ...], later: bool) -> DataFrame:
-    """key, d1, d2, spans: stretches (first, last + 1) of starts that repeat in a distinct segment; several rows of one may come.
+    """key, d1, d2, spans: stretches (first, last + 1) of starts that repeat in a distinct segment.
 
     judge(frame, length) gives the spans of each segment of whole keys. later: the spans are those of the first copy, while all
     others repeat throughout; else the spans hold for all copies."""
@@ -334,6 +334,7 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram:
         back = where.select("p_key", "p_d1", "p_d2", F.when(own, F.coalesce(shifted("spans", "off"), F.array().cast("array<struct<a:long,b:long>>"))).otherwise(whole("off", "starts")).alias("spans"))
     else:
         back = parts.drop("seg").join(found, ["key", "d1", "d2"]).select("p_key", "p_d1", "p_d2", shifted("spans", "off").alias("spans"))
+    back = back.groupBy("p_key", "p_d1", "p_d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return hits.union(back.filter(F.size("spans") > 0))
 
 

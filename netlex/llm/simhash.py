@@ -159,8 +159,8 @@ def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _spare(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All links if they are at most four times their ends, else a spanning forest of them."""
-    if len(a) > 4 * len(np.union1d(a, b)):
+    """All links if they are no more than their ends, else a spanning forest of them."""
+    if len(a) > len(np.union1d(a, b)):
         keep = _forest(a, b, d)
         return a[keep], b[keep], d[keep]
     return a, b, d

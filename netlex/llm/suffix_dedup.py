@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
-from netlex.llm._windows import CHUNK, byte_units, candidates, distinct_segments, gram_hashes, joined_spans, of_keys, repeated_keys, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
+from netlex.llm._windows import CHUNK, HOT_ROWS, MOST_HOT, byte_units, candidates, distinct_segments, gram_hashes, joined_spans, of_keys, repeated_keys, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -267,10 +267,17 @@ def _pack(text: bytes):
 def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere."""
     cuts = candidates(keyed, repeated_keys(keyed, byte_units, length, gram), _pack, length)
-    hits = resolved(distinct_segments(cuts.filter("not plain")), judge, 1, length, gram, (64, 8, 1), later=False)
-    where = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
-    equal = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
-    return joined_spans(equal.union(where.select("id0", "h", shifted("spans", "start").alias("spans"))))
+    distinct = distinct_segments(cuts.filter("not plain"))
+    hits = resolved(distinct, judge, 1, length, gram, (64, 8, 1), later=False)
+    place = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start", "starts")
+    whole_spans = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
+    # A segment with very many equals repeats throughout: its copies needn't meet its spans in one task.
+    hot = distinct.filter(F.col("n") > HOT_ROWS).select("key", "d1", "d2")
+    if 0 < hot.count() <= MOST_HOT:
+        whole_spans = whole_spans.union(place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_semi").select("id0", "h", whole("start", "starts").alias("spans")))
+        place = place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_anti")
+    where = place.join(hits, ["key", "d1", "d2"])
+    return joined_spans(whole_spans.union(where.select("id0", "h", shifted("spans", "start").alias("spans"))))
 
 
 def shared_grams(keyed: DataFrame, gram: int, window: int) -> DataFrame:
