@@ -8,17 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlex.functions.stats import pearson
 from netlex.operators.ranks import row_ordinals
 
 WORD = r"[a-z]+(?:'[a-z]+)?"
-#: Common English words, and words that fill speech.
-STOP = "a an and are as at be but by for from had has have he her his i if in is it its me my no not of on or our she so that the their them then there they this to was we were what when which who will with you your".split()
+#: The customary list of English stop words (with contractions, as tokens are), and words that fill speech.
+STOP = """i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself
+she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these
+those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own
+same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn
+didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan
+shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split()
 FILLER = "ah eh er hey hmm oh okay uh um well yeah yes".split()
 
 
 def infobox_field(text: Column, name: str) -> Column:
-    """The value of `| name = value` up to the next field or the closing braces; empty if absent."""
-    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?s)\|\s*{name}\s*=(.*?)(?=\n\s*\||\n?\}}\}}|$)", 1))
+    """The value of `| name = value` up to a line that starts the next field or closes the box; empty if there is none."""
+    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?s)\|\s*{name}\s*=(.*?)(?=\n\s*\||\n\}}\}})", 1))
 
 
 def first_listed(text: Column, terms: list[str]) -> Column:
@@ -29,15 +37,20 @@ def first_listed(text: Column, terms: list[str]) -> Column:
 
 def decade(text: Column) -> Column:
     """The first year from 1930 to 2029, down to its decade; null if none."""
-    year = F.regexp_extract(F.coalesce(text, F.lit("")), r"(19[3-9][0-9]|20[0-2][0-9])", 1)
+    year = F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(19[3-9][0-9]|20[0-2][0-9])\b", 1)
     return (F.floor(F.try_to_number(F.nullif(year, F.lit("")), F.lit("9999")) / 10) * 10).cast("int")
 
 
-def extract_attributes(nodes: DataFrame, articles: DataFrame, field: str, terms: list[str]) -> DataFrame:
-    """node, value, decade: one row a node; a missing article counts as an empty one."""
+def extract_attributes(nodes: DataFrame, articles: DataFrame, field: str, terms: list[str], date_field: str = "debut") -> DataFrame:
+    """node, value (of `field`), decade (of the first year in `date_field`): one row a node; a missing article counts as an empty one."""
     rows = nodes.select("node").distinct().join(articles.select("node", "text"), "node", "left")
     value = first_listed(infobox_field(F.col("text"), field), terms)
-    return rows.select("node", value.alias("value"), decade(F.col("text")).alias("decade"))
+    return rows.select("node", value.alias("value"), decade(infobox_field(F.col("text"), date_field)).alias("decade"))
+
+
+def attribute_coverage(attributes: DataFrame) -> DataFrame:
+    """nodes, with_value, with_decade."""
+    return attributes.agg(F.count("*").alias("nodes"), F.count("value").alias("with_value"), F.count("decade").alias("with_decade"))
 
 
 def parse_lines(cells: DataFrame) -> DataFrame:
@@ -51,10 +64,15 @@ def parse_lines(cells: DataFrame) -> DataFrame:
     return rows.filter((F.length("speaker") > 0) & (F.length("speaker") <= 40)).select("conv_id", F.struct("file", "place").alias("pos"), "speaker", "raw")
 
 
-def clean_name(name: Column) -> Column:
-    """Trimmed, without dots, single spaces, first letter upper case."""
-    c = F.trim(F.regexp_replace(F.replace(name, F.lit("."), F.lit("")), r"\s+", " "))
-    return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.substr(c, F.lit(2)))
+def clean_name(name: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Without white space and dots at its ends, single spaces, first letter upper case; then its alias, if it has one."""
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"^\.+|\.+$", ""), r"\s+", " ")
+    c = F.trim(c)
+    c = F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.substr(c, F.lit(2)))
+    if not aliases:
+        return c
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, c), c)
 
 
 def strip_directions(raw: Column) -> Column:
@@ -155,15 +173,18 @@ def heaps_curve(lines: DataFrame, checkpoints: list[int]) -> DataFrame:
 
 
 def distinctive_terms(counts: DataFrame, top: int = 12, least: int = 5) -> DataFrame:
-    """owner, term, n, z: log-odds with the corpus as an informative Dirichlet prior; the `top` of each owner."""
+    """owner, term, n, z: log-odds with the corpus as an informative Dirichlet prior; the `top` of each owner.
+
+    An owner's total leaves stop words out, the corpus total has them."""
     corpus = counts.groupBy("term").agg(F.sum("n").alias("a"))
-    total, own = counts.agg(F.sum("n").alias("a0")), counts.groupBy("owner").agg(F.sum("n").alias("ni"))
-    rows = counts.filter((F.col("n") >= least) & ~F.col("term").isin(STOP)).join(corpus, "term").join(own, "owner").crossJoin(F.broadcast(total))
+    said = counts.filter(~F.col("term").isin(STOP))
+    total, own = counts.agg(F.sum("n").alias("a0")), said.groupBy("owner").agg(F.sum("n").alias("ni"))
+    rows = said.filter(F.col("n") >= least).join(corpus, "term").join(own, "owner").crossJoin(F.broadcast(total))
     y, a, n, a0 = (F.col(c).cast("double") for c in ("n", "a", "ni", "a0"))
     rest, nrest = a - y, a0 - n
-    delta = F.ln((y + a) / (n + a0 - y - a)) - F.ln((rest + a) / (nrest + a0 - rest - a))
+    delta = F.ln(F.try_divide(y + a, n + a0 - y - a)) - F.ln(F.try_divide(rest + a, nrest + a0 - rest - a))
     z = F.round(delta / F.sqrt(1 / (y + a) + 1 / (rest + a)), 6)
-    ranked = rows.select("owner", "term", "n", z.alias("z")).withColumn("i", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("z"), "term")))
+    ranked = rows.select("owner", "term", "n", z.alias("z")).filter("z is not null").withColumn("i", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("z"), "term")))
     return ranked.filter(F.col("i") <= top).drop("i")
 
 
@@ -221,7 +242,7 @@ def episode_table(lines: DataFrame, ratings: DataFrame, crosswalk: DataFrame, fo
 
 def rating_correlation(episodes: DataFrame) -> DataFrame:
     here = F.col("focal_share") > 0
-    return episodes.agg(F.corr("focal_share", "rating").alias("corr_all"), F.corr(F.when(here, F.col("focal_share")), F.when(here, F.col("rating"))).alias("corr_present"), F.avg(F.when(here, F.col("rating"))).alias("mean_present"), F.avg(F.when(~here, F.col("rating"))).alias("mean_absent"))
+    return episodes.agg(pearson("focal_share", "rating").alias("corr_all"), pearson(F.when(here, F.col("focal_share")), F.when(here, F.col("rating"))).alias("corr_present"), F.avg(F.when(here, F.col("rating"))).alias("mean_present"), F.avg(F.when(~here, F.col("rating"))).alias("mean_absent"))
 
 
 def holdout_quotes(lines: DataFrame, per_speaker: int = 40, low: int = 10, high: int = 32, seed: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -233,8 +254,8 @@ def holdout_quotes(lines: DataFrame, per_speaker: int = 40, low: int = 10, high:
 
 
 def author_profiles(train: DataFrame, least: int = 3, top: int = 600) -> DataFrame:
-    """owner, term, weight: tf x ln(N / df), terms with n >= least that not all owners use; the `top` of each, scaled to unit length."""
-    counts = speaker_terms(train)
+    """owner, term, weight: tf x ln(N / df), terms but stop words with n >= least that not all owners use; the `top` of each, scaled to unit length."""
+    counts = speaker_terms(train).filter(~F.col("term").isin(STOP))
     owners = counts.select("owner").distinct().agg(F.count("*").alias("owners"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     rows = counts.filter(F.col("n") >= least).join(df, "term").crossJoin(F.broadcast(owners)).filter("df < owners")
@@ -245,9 +266,11 @@ def author_profiles(train: DataFrame, least: int = 3, top: int = 600) -> DataFra
 
 
 def classify(quotes: DataFrame, profiles: DataFrame) -> DataFrame:
-    """conv_id, pos, speaker, guess, score: the owner with the largest sum of weights (ties to the least name)."""
+    """conv_id, pos, speaker, guess, score: the owner with the largest sum of weights (ties to the least name); a quote
+    without any word of a profile has a null guess and a score of 0."""
     hits = tokens(quotes).join(profiles, "term").groupBy("conv_id", "pos", "speaker", "owner").agg(F.round(F.sum("weight"), 9).alias("score"))
-    return hits.groupBy("conv_id", "pos", "speaker").agg(F.min(F.struct((-F.col("score")).alias("s"), "owner")).alias("b")).select("conv_id", "pos", "speaker", F.col("b.owner").alias("guess"), (-F.col("b.s")).alias("score"))
+    best = hits.groupBy("conv_id", "pos").agg(F.min(F.struct((-F.col("score")).alias("s"), "owner")).alias("b"))
+    return quotes.select("conv_id", "pos", "speaker").join(best, ["conv_id", "pos"], "left").select("conv_id", "pos", "speaker", F.col("b.owner").alias("guess"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
 
 
 def word_class_mix(lines: DataFrame) -> DataFrame:
@@ -278,7 +301,7 @@ def partial_rank_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     from netlex.operators.ranks import average_ranks
 
     ranked = average_ranks(average_ranks(average_ranks(df.select(x, y, z), x, "rx_"), y, "ry_"), z, "rz_")
-    c = ranked.agg(F.corr("rx_", "ry_").alias("xy"), F.corr("rx_", "rz_").alias("xz"), F.corr("ry_", "rz_").alias("yz"))
+    c = ranked.agg(pearson("rx_", "ry_").alias("xy"), pearson("rx_", "rz_").alias("xz"), pearson("ry_", "rz_").alias("yz"))
     return c.select(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
 
 

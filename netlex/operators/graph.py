@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlex.functions.stats import pearson
+
 
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes and no loops; duplicates stay."""
@@ -209,7 +211,7 @@ def sample_friend_pairs(pairs: DataFrame, n: int, seed: int) -> DataFrame:
 def degree_assortativity(pairs: DataFrame) -> DataFrame:
     """Pearson correlation of end degrees over both orientations; null if degenerate."""
     rows = _neighbour_degrees(pairs)
-    return rows.agg(F.when(F.stddev_pop("deg") > 0, F.corr("deg", "other_deg")).alias("assortativity"))
+    return rows.agg(pearson("deg", "other_deg").alias("assortativity"))
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:

@@ -6,30 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlex.functions.shared import settle
+from netlex.functions.stats import pearson
 from netlex.operators.communities import attribute_assortativity
+from netlex.operators.ranks import row_ordinals
 
 
-def rewire(pairs: DataFrame, replicates: int, swaps_per_edge: int = 10, seed: int = 1, rounds: int | None = None) -> DataFrame:
+def rewire(pairs: DataFrame, replicates: int, swaps_per_edge: int = 10, seed: int = 1, rounds: int | None = None, directed: bool = False) -> DataFrame:
     """replicate, a, b: degree-preserving double edge swaps, all replicates at once.
 
     In a round, edges are paired by hash order within buckets of a replicate; a pair swaps its ends (the orientation by
     hash) unless that makes a loop, an edge that stands, or one that another pair proposes. With half of the edges in
-    pairs a round, 2 x swaps_per_edge rounds offer each edge that many swaps."""
+    pairs a round, 2 x swaps_per_edge rounds offer each edge that many swaps. directed: edges go from a to b and cross
+    their targets, which keeps in- and out-degrees."""
     spark = pairs.sparkSession
+    # Swaps keep the number of edges; buckets of about 2^12 keep the windows small at any size.
+    buckets = max(1, pairs.count() // 4096)
     reps = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     e = settle(pairs.select("a", "b").crossJoin(F.broadcast(reps)).select("replicate", "a", "b"))
     for i in range(rounds if rounds is not None else 2 * swaps_per_edge):
         salt = seed * 1_000_003 + i
         h = F.xxhash64(F.lit(salt), "replicate", "a", "b")
-        # Buckets of about 2^12 edges keep the windows small at any size.
         w = Window.partitionBy("replicate", "bucket").orderBy("h", "a", "b")
-        size = F.count("*").over(Window.partitionBy("replicate"))
-        marked = e.withColumns({"h": h, "size": size}).withColumn("bucket", F.pmod(F.xxhash64(F.lit(salt + 1), "h"), F.greatest(F.lit(1), F.floor(F.col("size") / 4096))))
+        marked = e.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(salt + 1), "h"), F.lit(buckets)))
         placed = marked.withColumns({"place": F.row_number().over(w), "c": F.lead("a").over(w), "d": F.lead("b").over(w)})
-        flip = F.pmod(F.col("h"), F.lit(2)) == 0
+        flip = F.lit(True) if directed else F.pmod(F.col("h"), F.lit(2)) == 0
         mates = placed.filter((F.col("place") % 2 == 1) & F.col("c").isNotNull()).select("replicate", "a", "b", F.when(flip, F.col("c")).otherwise(F.col("d")).alias("c"), F.when(flip, F.col("d")).otherwise(F.col("c")).alias("d"))
         fair = mates.filter("a <> c and a <> d and b <> c and b <> d")
-        new = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        new = lambda x, y: F.struct(x.alias("a"), y.alias("b")) if directed else F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         offers = settle(fair.select("replicate", F.struct("a", "b").alias("old1"), new(F.col("c"), F.col("d")).alias("old2"), new(F.col("a"), F.col("d")).alias("new1"), new(F.col("c"), F.col("b")).alias("new2")))
         made = offers.select("replicate", "old1", F.explode(F.array("new1", "new2")).alias("n")).select("replicate", "old1", "n.a", "n.b")
         bad = made.join(e, ["replicate", "a", "b"], "left_semi").select("replicate", "old1").union(
@@ -46,11 +49,10 @@ def label_shuffle(labels: DataFrame, replicates: int, seed: int = 1) -> DataFram
     """replicate, node, label: labels permuted over the labelled nodes."""
     reps = labels.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     known = labels.filter("label is not null and label <> ''").select("node", "label").crossJoin(F.broadcast(reps))
-    by_node = Window.partitionBy("replicate").orderBy("node")
-    by_hash = Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", "node"), "node")
-    places = known.select("replicate", "node", F.row_number().over(by_node).alias("i"))
-    drawn = known.select("replicate", "label", F.row_number().over(by_hash).alias("i"))
-    return places.join(drawn, ["replicate", "i"]).select("replicate", "node", "label")
+    # All replicates have equally many nodes, so places over all of them agree replicate by replicate.
+    places = row_ordinals(known.select("replicate", "node"), [F.asc("replicate"), F.asc("node")], "i")
+    drawn = row_ordinals(known.withColumn("h", F.xxhash64(F.lit(seed), "replicate", "node")), [F.asc("replicate"), F.asc("h"), F.asc("node")], "i")
+    return places.join(drawn.select("i", "label"), "i").select("replicate", "node", "label")
 
 
 def null_summary(samples: DataFrame, real: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,12 +103,12 @@ def mantel(one: DataFrame, two: DataFrame, replicates: int, seed: int = 1) -> Da
     Pairs are ranked once: a permutation of the labels keeps the set of values."""
     x, y = reciprocal_rank(one, "value"), reciprocal_rank(two, "value")
     both = x.join(y.withColumnRenamed("rank", "other"), ["a", "b"])
-    real = both.agg(F.corr("rank", "other").alias("real"))
+    real = both.agg(pearson("rank", "other").alias("real"))
     nodes = y.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node").cast("string"))
     moved = label_shuffle(nodes, replicates, seed)
     to = lambda end: moved.select("replicate", F.col("node").cast("string").alias(end), F.col("label").alias(f"to_{end}"))
     cast = y.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("rank").alias("other"))
     shuffled = cast.join(to("a"), "a").join(to("b"), ["replicate", "b"]).select("replicate", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"), "other")
     base = x.select(F.least(F.col("a").cast("string"), F.col("b").cast("string")).alias("a"), F.greatest(F.col("a").cast("string"), F.col("b").cast("string")).alias("b"), "rank")
-    samples = base.join(shuffled, ["a", "b"]).groupBy("replicate").agg(F.corr("rank", "other").alias("value"))
+    samples = base.join(shuffled, ["a", "b"]).groupBy("replicate").agg(pearson("rank", "other").alias("value"))
     return permutation_p(null_summary(samples, real.withColumnRenamed("real", "value"), []))

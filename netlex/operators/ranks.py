@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlex.functions.shared import settle
+from netlex.functions.stats import pearson
 
 
 def row_ordinals(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
@@ -42,13 +43,17 @@ def rank_shift(ranks: DataFrame, one: str, two: str, cut: int, k: int, key: str
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks: computed on distinct values, so equal rows never meet in one window."""
-    counts = df.groupBy(value).agg(F.count("*").alias("n_"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("n_").over(before), F.lit(0)) + (F.col("n_") + 1) / 2).alias(name))
-    return df.join(ranks, value)
+    """Average ranks: computed on distinct values in range partitions, so equal rows never meet in one window and no
+    window holds all values. A null value has no rank and its rows go."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_"))
+    parted = settle(counts.repartitionByRange(value).withColumn("part_", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    held = parted.groupBy("part_").agg(F.sum("n_").alias("held_"))
+    base = held.select("part_", F.coalesce(F.sum("held_").over(before(Window.orderBy("part_"))), F.lit(0)).alias("base_"))
+    lower = F.coalesce(F.sum("n_").over(before(Window.partitionBy("part_").orderBy(value))), F.lit(0)) + F.col("base_")
+    return df.join(parted.join(base, "part_").select(value, (lower + (F.col("n_") + 1) / 2).alias(name)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranked = average_ranks(average_ranks(df.select(x, y), x, "rx_"), y, "ry_")
-    return ranked.agg(F.corr("rx_", "ry_").alias("spearman"))
+    return ranked.agg(pearson("rx_", "ry_").alias("spearman"))

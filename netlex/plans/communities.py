@@ -17,7 +17,7 @@ def add(name, run, select=None, ctes=(CORETURN,), recursive=False):
         SQL[name] = sql(list(ctes), select, recursive)
 
 
-GRID = [round(0.05 * i, 2) for i in range(1, 13)]
+GRID = [round(0.01 * i, 2) for i in range(1, 61)]
 _ALPHA = """al AS (SELECT w.a, w.b, weight, least(CASE WHEN x.deg <= 1 THEN 0 ELSE pow(1 - weight / x.strength, x.deg - 1) END, CASE WHEN y.deg <= 1 THEN 0 ELSE pow(1 - weight / y.strength, y.deg - 1) END) AS alpha
     FROM w JOIN wk x ON x.node = w.a JOIN wk y ON y.node = w.b)"""
 
@@ -62,33 +62,46 @@ def _random_order(s, d):
     return row_ordinals(users(s, d).withColumn("h", F.xxhash64(F.lit(17), "node")), [F.asc("h"), F.asc("node")], "i").select("node", (F.col("i") + 1).alias("place"))
 
 
-add("removal_curve", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), 10), "giant_frac"))
+def _central_order(s, d, measure):
+    from netlex.operators import spectral, traverse
+    from netlex.operators.ranks import rank_desc
+
+    pairs, nodes = follow(s, d)
+    sym = graph.symmetrize(pairs)
+    df = traverse.betweenness(sym, nodes) if measure == "betweenness" else spectral.pagerank(sym, nodes)
+    return rank_desc(df.withColumn(measure, F.round(measure, 9)), [measure]).select("node", F.col(f"{measure}_rank").alias("place"))
+
+
+def _steps(s, d):
+    """150 removals, or all but one node."""
+    return min(150, users(s, d).count() - 1)
+
+
+add("removal_curve", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), "giant_frac"))
 _GONE = """gone AS (SELECT node FROM d ORDER BY deg DESC, node LIMIT 5), left_u AS (SELECT a, b FROM u WHERE a NOT IN (SELECT node FROM gone) AND b NOT IN (SELECT node FROM gone))"""
 add("removal_step", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), 5).filter("step = 5"), "giant_frac"), "SELECT CAST(5 AS INTEGER) AS step, round(coalesce(max(n), 1) / ((SELECT count(*) FROM v) - 5), 6) AS giant_frac FROM (SELECT count(*) AS n FROM bb GROUP BY comp)", (FOLLOW, _GONE, _under("bb", "true", "left_u")), True)
-add("compare_removals", lambda s, d: r6(sweep.compare_removals(follow(s, d)[0], {"degree": _order(s, d), "random": _random_order(s, d)}, 10), "end_frac"))
-add("removal_gap", lambda s, d: r6(sweep.removal_gap(sweep.removal_curve(follow(s, d)[0], _order(s, d), 10), sweep.removal_curve(follow(s, d)[0], _random_order(s, d), 10)), "max_gap"))
+add("compare_removals", lambda s, d: r6(sweep.compare_removals(follow(s, d)[0], {"degree": _order(s, d), "betweenness": _central_order(s, d, "betweenness"), "pagerank": _central_order(s, d, "pagerank"), "random": _random_order(s, d)}, _steps(s, d)), "end_frac"))
+add("removal_gap", lambda s, d: r6(sweep.removal_gap(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), sweep.removal_curve(follow(s, d)[0], _random_order(s, d), _steps(s, d))), "max_gap"))
 
 
 def _worst(s, d):
     pairs, nodes = follow(s, d)
-    thin = pairs.filter("(a * 7 + b * 13) % 23 = 0")
-    top = graph.top_k(graph.degrees(graph.symmetrize(thin), nodes), "deg", 5).select("node")
-    return r6(sweep.worst_single_removal(thin, nodes, top), "giant_share")
+    top = graph.top_k(graph.degrees(graph.symmetrize(pairs), nodes), "deg", 5).select("node")
+    return r6(sweep.worst_single_removal(pairs, nodes, top), "giant_share")
 
 
 add("worst_single_removal", _worst, """SELECT c.node, round(coalesce(max(n), 1) / ((SELECT count(*) FROM v) - 1), 6) AS giant_share FROM cand c LEFT JOIN (SELECT gone, min_root, count(*) AS n FROM (SELECT gone, node, min(root) AS min_root FROM wr GROUP BY 1, 2) GROUP BY 1, 2) z ON z.gone = c.node GROUP BY c.node""",
-    (FOLLOW, """tu AS (SELECT a, b FROM u WHERE (a * 7 + b * 13) % 23 = 0), tk AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM tu UNION ALL SELECT b FROM tu) GROUP BY 1),
+    (FOLLOW, """tu AS (SELECT a, b FROM u), tk AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM tu UNION ALL SELECT b FROM tu) GROUP BY 1),
     cand AS (SELECT node FROM v LEFT JOIN tk USING (node) ORDER BY coalesce(n, 0) DESC, node LIMIT 5),
     te AS (SELECT c.node AS gone, a AS src, b AS dst FROM tu, cand c WHERE a <> c.node AND b <> c.node UNION ALL SELECT c.node, b, a FROM tu, cand c WHERE a <> c.node AND b <> c.node),
     wr AS (SELECT DISTINCT gone, src AS root, src AS node FROM te UNION SELECT wr.gone, root, dst FROM wr JOIN te ON te.gone = wr.gone AND src = node)"""), True)
 
 
-#: The thinner half of the follow graph, in which cliques stay few.
 def _some(s, d):
-    return follow(s, d)[0].filter("(a + b) % 3 <> 0")
+    return follow(s, d)[0]
 
 
-_SOME = "hu AS (SELECT a, b FROM u WHERE (a + b) % 3 <> 0)"
+_SOME = "hu AS (SELECT a, b FROM u)"
 add("k_cliques", lambda s, d: cliques.k_cliques(_some(s, d), 4).select(F.array_join(F.col("clique").cast("array<string>"), " ").alias("clique")), """SELECT concat_ws(' ', p.a, p.b, q.b, r.b) AS clique FROM hu p JOIN hu q ON q.a = p.b JOIN hu pq ON pq.a = p.a AND pq.b = q.b
     JOIN hu r ON r.a = q.b JOIN hu pr ON pr.a = p.a AND pr.b = r.b JOIN hu qr ON qr.a = p.b AND qr.b = r.b""", (FOLLOW, _SOME))
 add("maximal_cliques", lambda s, d: cliques.maximal_cliques(_some(s, d), 3).select(F.array_join(F.col("clique").cast("array<string>"), " ").alias("clique"), "size"))

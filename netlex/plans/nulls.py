@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netlex.operators import nulls
+from netlex.operators import graph, null_models, nulls
 from netlex.plans.communities import _labels
 from netlex.plans.graphs import r6
-from netlex.plans.inputs import follow, lines
+from netlex.plans.inputs import FOLLOW, follow, follow_degrees, follow_edges, lines, sql, users
 from netlex.plans.text import _cosine
 
 QUERIES, SQL = {}, {}
+#: Rewires of the registered centrality null (the operator takes 200 by default): each is measured from all nodes.
+CENTRAL = 20
 
-QUERIES["rewired_edges"] = lambda s, d: nulls.rewire(follow(s, d)[0], 2, rounds=3)
+QUERIES["rewired_edges"] = lambda s, d: nulls.rewire(follow(s, d)[0], 2, swaps_per_edge=10)
 QUERIES["label_shuffle"] = lambda s, d: nulls.label_shuffle(_labels(s, d), 5)
-QUERIES["homophily"] = lambda s, d: r6(nulls.homophily(follow(s, d)[0], _labels(s, d), 20), "real", "mean", "sd", "z", "p")
+QUERIES["homophily"] = lambda s, d: r6(nulls.homophily(follow(s, d)[0], _labels(s, d), 1000), "real", "mean", "sd", "z", "p")
 
 
 def _mantel(s, d):
     from netlex.operators import dialogue
 
-    jac = dialogue.episode_jaccard(lines(s, d)).select("a", "b", F.round("jaccard", 9).alias("value"))
-    return r6(nulls.mantel(jac, _cosine(s, d).select("a", "b", F.round("cosine", 9).alias("value")), 50), "real", "mean", "sd", "z", "p")
+    lift = dialogue.talk_lift(dialogue.turn_network(lines(s, d))).select("a", "b", F.round("lift", 9).alias("value"))
+    return r6(nulls.mantel(lift, _cosine(s, d).select("a", "b", F.round("cosine", 9).alias("value")), 1999), "real", "mean", "sd", "z", "p")
 
 
 QUERIES["mantel"] = _mantel
+QUERIES["rewired_arcs"] = lambda s, d: nulls.rewire(graph.clean_edges(follow_edges(s, d), users(s, d)).select(F.col("src").alias("a"), F.col("dst").alias("b")), 2, directed=True)
+QUERIES["shuffle_test"] = lambda s, d: r6(null_models.shuffle_test(*follow(s, d), graph.clean_edges(follow_edges(s, d), users(s, d)), 20), "real", "mean", "sd", "z")
+QUERIES["centrality_null"] = lambda s, d: r6(null_models.centrality_null(*follow(s, d), CENTRAL), "real", "mean", "sd", "z", "ratio")
+QUERIES["broker_lists"] = lambda s, d: r6(null_models.broker_lists(null_models.centrality_null(*follow(s, d), CENTRAL), follow_degrees(s, d)), "z")
+QUERIES["clique_null"] = lambda s, d: r6(null_models.clique_null(*follow(s, d), 200, 3), "mean", "sd")
+QUERIES["model_ledger"] = lambda s, d: r6(null_models.model_ledger({"purchases": follow(s, d)[0], "rewired": nulls.rewire(follow(s, d)[0], 1).select("a", "b")}, users(s, d)).filter("name = 'purchases'"), "value")
+SQL["model_ledger"] = sql(
+    [FOLLOW, """walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FROM walk JOIN s ON src = node),
+    tr AS (SELECT p.a AS x, p.b AS y, q.b AS z FROM u p JOIN u q ON q.a = p.b JOIN u r ON r.a = p.a AND r.b = q.b),
+    tn AS (SELECT node, count(*) AS t FROM (SELECT unnest([x, y, z]) AS node FROM tr) GROUP BY 1),
+    cc AS (SELECT CASE WHEN deg >= 2 THEN 2.0 * coalesce(t, 0) / (deg * (deg - 1)) ELSE 0 END AS c FROM d LEFT JOIN tn USING (node))"""],
+    """SELECT 'purchases' AS name, statistic, round(value, 6) AS value FROM (SELECT 'clustering' AS statistic, (SELECT avg(c) FROM cc) AS value UNION ALL SELECT 'triangles', (SELECT CAST(count(*) AS DOUBLE) FROM tr)
+    UNION ALL SELECT 'components', (SELECT CAST(count(DISTINCT c) AS DOUBLE) FROM (SELECT min(root) AS c FROM walk GROUP BY node)) UNION ALL SELECT 'hub_share', (SELECT max(deg) / sum(deg) FROM d)
+    UNION ALL SELECT 'assortativity', (SELECT corr(x.deg, y.deg) FROM s JOIN d x ON x.node = src JOIN d y ON y.node = dst))""", True)

@@ -9,8 +9,8 @@ from netlex.plans.graphs import r6
 from netlex.plans.inputs import CHATS, LINES, TOKENS, chats, lines, sql, table
 
 QUERIES, SQL = {}, {}
-_STOP = ", ".join(f"'{w}'" for w in dl.STOP)
-_LOW = ", ".join(f"'{w}'" for w in dl.STOP + dl.FILLER)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in dl.STOP)
+_LOW = ", ".join("'" + w.replace("'", "''") + "'" for w in dl.STOP + dl.FILLER)
 
 
 def add(name, run, select=None, ctes=(LINES, TOKENS)):
@@ -60,12 +60,14 @@ add("pair_table", lambda s, d: r6(_pairs(s, d).filter("weight >= 2"), "lift", "j
 add("top_partners", lambda s, d: r6(dl.top_partners(_cosine(s, d).select("a", "b", F.round("cosine", 6).alias("cosine")), "cosine"), "cosine"), """SELECT node, partner, cosine, CAST(i AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, partner) AS i FROM (
     SELECT a AS node, b AS partner, round(cosine, 6) AS cosine FROM cs UNION ALL SELECT b, a, round(cosine, 6) FROM cs)) WHERE i <= 3""", (LINES, TOKENS, _VEC))
 add("mean_similarity", lambda s, d: r6(dl.mean_similarity(_cosine(s, d), "cosine", counts(s, d)), "mean"), "SELECT owner, round(coalesce(m / ((SELECT count(DISTINCT owner) FROM kc) - 1), 0), 6) AS mean FROM (SELECT DISTINCT owner FROM kc) LEFT JOIN (SELECT owner, sum(cosine) AS m FROM (SELECT a AS owner, cosine FROM cs UNION ALL SELECT b, cosine FROM cs) GROUP BY owner) USING (owner)", (LINES, TOKENS, _VEC))
-add("partial_rank_corr", lambda s, d: r6(dl.partial_rank_corr(_pairs(s, d).select(F.round("lift", 6).alias("lift"), F.round("cosine", 6).alias("cosine"), F.round("jaccard", 6).alias("jaccard")), "lift", "cosine", "jaccard"), "partial"))
+add("partial_rank_corr", lambda s, d: r6(dl.partial_rank_corr(_pairs(s, d).select(F.round("lift", 6).alias("lift"), F.round("cosine", 6).alias("cosine"), "weight"), "lift", "cosine", "weight"), "partial"), """SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM (
+    SELECT rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2 AS x, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS y, rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2 AS z FROM (
+    SELECT round(lift, 6) AS l, round(cosine, 6) AS c, weight FROM lf JOIN jc USING (a, b) JOIN cs USING (a, b))))""", (LINES, TOKENS, _TURNS, _JAC, _VEC))
 add("heaps_curve", lambda s, d: dl.heaps_curve(lines(s, d), [10, 100, 1000, 5000]), """SELECT speaker, CAST(c AS INTEGER) AS i, count(*) AS types FROM (SELECT speaker, term, min(r) AS met FROM (SELECT speaker, term, row_number() OVER (PARTITION BY speaker ORDER BY pos, j) AS r FROM (
     SELECT speaker, pos, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS j FROM (SELECT speaker, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))) GROUP BY 1, 2), (SELECT unnest([10, 100, 1000, 5000]) AS c) WHERE c >= met GROUP BY 1, 2""", (LINES,))
 add("distinctive_terms", lambda s, d: dl.distinctive_terms(counts(s, d)), f"""SELECT owner, term, n, z FROM (SELECT owner, term, n, z, row_number() OVER (PARTITION BY owner ORDER BY z DESC, term) AS i FROM (
     SELECT owner, term, y AS n, round((ln((y + a) / (ni + a0 - y - a)) - ln((a - y + a) / (a0 - ni + a0 - (a - y) - a))) / sqrt(1 / (y + a) + 1 / (a - y + a)), 6) AS z FROM (
-    SELECT kc.owner, kc.term, kc.n AS y, CAST(kw.n AS DOUBLE) AS a, sum(kc.n) OVER (PARTITION BY kc.owner) AS ni, (SELECT sum(n) FROM kw) AS a0 FROM kc JOIN kw USING (term)) WHERE y >= 5 AND term NOT IN ({_STOP}))) WHERE i <= 12""")
+    SELECT kc.owner, kc.term, kc.n AS y, CAST(kw.n AS DOUBLE) AS a, sum(kc.n) FILTER (WHERE kc.term NOT IN ({_STOP})) OVER (PARTITION BY kc.owner) AS ni, (SELECT sum(n) FROM kw) AS a0 FROM kc JOIN kw USING (term)) WHERE y >= 5 AND term NOT IN ({_STOP}))) WHERE i <= 12""")
 _BI = """bt AS (SELECT t FROM (SELECT regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l) WHERE len(t) > 1),
     bc AS (SELECT f AS first, g AS second, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(t[1:len(t) - 1]) AS f, unnest(t[2:]) AS g FROM bt) GROUP BY 1, 2)"""
 _X = "CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END"
@@ -102,7 +104,7 @@ add("stage_counts", lambda s, d: dl.stage_counts(lines(s, d)))
 
 
 def _guesses(s, d):
-    quotes, train = dl.holdout_quotes(lines(s, d), 40, 10, 400)
+    quotes, train = dl.holdout_quotes(lines(s, d))
     return dl.classify(quotes, dl.author_profiles(train))
 
 
@@ -111,9 +113,16 @@ add("authorship_accuracy", lambda s, d: _guesses(s, d).agg(F.avg((F.col("speaker
 
 
 def _articles(s, d):
-    return table(s, d, "pages").select(F.col("page_id").alias("node"), F.concat(F.lit("{{Box\n| kind = "), F.substring("url", 1, 40), F.lit("\n| since = "), (F.lit(1920) + F.col("page_id") % 110).cast("string"), F.lit("\n}}")).alias("text"))
+    """The pages' whole html behind a box whose fields hold inner braces, the url and a year."""
+    box = F.concat(F.lit("{{Box\n| kind = {{Plainlist}} "), F.col("url"), F.lit("\n| debut = no "), (F.lit(1920) + F.col("page_id") % 110).cast("string"), F.lit("\n}}\nfrom 1999: "), F.coalesce("html", F.lit("")))
+    return table(s, d, "pages").select(F.col("page_id").alias("node"), box.alias("text"))
 
 
-add("extract_attributes", lambda s, d: dl.extract_attributes(table(s, d, "pages").select(F.col("page_id").alias("node")), _articles(s, d), "kind", ["https", "http"]), """SELECT page_id AS node, CASE WHEN contains(lower(substr(url, 1, 40)), 'https') THEN 'https' WHEN contains(lower(substr(url, 1, 40)), 'http') THEN 'http' END AS value,
-    CAST(CAST(nullif(regexp_extract(substr(url, 1, 40) || ' ' || CAST(1920 + page_id % 110 AS VARCHAR), '(19[3-9][0-9]|20[0-2][0-9])', 1), '') AS INTEGER) // 10 * 10 AS INTEGER) AS decade FROM pages""", ())
-SQL["extract_attributes"] = SQL["extract_attributes"].removeprefix("WITH \n")
+def _attributes(s, d):
+    return dl.extract_attributes(table(s, d, "pages").select(F.col("page_id").alias("node")), _articles(s, d), "kind", ["https", "http"])
+
+
+_ATTR = """attr AS (SELECT page_id AS node, CASE WHEN contains(lower(url), 'https') THEN 'https' WHEN contains(lower(url), 'http') THEN 'http' END AS value,
+    CASE WHEN page_id % 110 >= 10 THEN CAST((1920 + page_id % 110) // 10 * 10 AS INTEGER) END AS decade FROM pages)"""
+add("extract_attributes", _attributes, "SELECT node, value, decade FROM attr", (_ATTR,))
+add("attribute_coverage", lambda s, d: dl.attribute_coverage(_attributes(s, d)), "SELECT count(*) AS nodes, count(value) AS with_value, count(decade) AS with_decade FROM attr", (_ATTR,))

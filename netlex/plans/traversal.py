@@ -20,21 +20,13 @@ def r6(df, *columns):
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
 
-def _sparse(s, d):
-    """The follow graph's pairs whose users both have an id that ends in 3: several components."""
-    pairs, nodes = follow(s, d)
-    return pairs.filter("(a * 7 + b * 13) % 23 = 0"), nodes
-
-
-#: Pairs of a thinned graph with many components; their labels by propagation of the least node.
-_THIN = """tu AS (SELECT a, b FROM u WHERE (a * 7 + b * 13) % 23 = 0),
-    tsym AS (SELECT a AS src, b AS dst FROM tu UNION ALL SELECT b, a FROM tu),
-    walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FROM walk JOIN tsym ON src = node),
+#: Components by propagation of the least node.
+_PARTS = """walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FROM walk JOIN s ON src = node),
     comp AS (SELECT node, min(root) AS comp FROM walk GROUP BY node),
     size AS (SELECT comp, count(*) AS size FROM comp GROUP BY comp)"""
-add("components", lambda s, d: traverse.ranked_components(*_sparse(s, d)), "SELECT node, comp, size, place FROM comp JOIN (SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS place FROM size) USING (comp)", (FOLLOW, _THIN))
-add("component_report", lambda s, d: r6(traverse.component_report(*_sparse(s, d)), "outside_share"), """SELECT count(*) AS components, max(size) AS giant, greatest(count(*) FILTER (size > 1) - 1, 0) AS clusters, count(*) FILTER (size = 1) AS isolated,
-    round((sum(size) - max(size)) / sum(size), 6) AS outside_share FROM size""", (FOLLOW, _THIN))
+add("components", lambda s, d: traverse.ranked_components(*follow(s, d)), "SELECT node, comp, size, place FROM comp JOIN (SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS place FROM size) USING (comp)", (FOLLOW, _PARTS))
+add("component_report", lambda s, d: r6(traverse.component_report(*follow(s, d)), "outside_share"), """SELECT count(*) AS components, max(size) AS giant, greatest(count(*) FILTER (size > 1) - 1, 0) AS clusters, count(*) FILTER (size = 1) AS isolated,
+    round((sum(size) - max(size)) / sum(size), 6) AS outside_share FROM size""", (FOLLOW, _PARTS))
 
 
 def _graph_summary(s, d):
@@ -77,7 +69,7 @@ def _hub(s, d):
     return graph.top_k(graph.degrees(graph.symmetrize(pairs), nodes), "deg", 1).select("node")
 
 
-add("bfs", lambda s, d: traverse.bfs(graph.clean_edges(follow_edges(s, d), users(s, d)), users(s, d).filter("node % 5 = 0")), "SELECT root, node, dist FROM bl", (FOLLOW, levels("e", "bl", LEVELS, "SELECT node FROM v WHERE node % 5 = 0")))
+add("bfs", lambda s, d: traverse.bfs(graph.clean_edges(follow_edges(s, d), users(s, d)), users(s, d)), "SELECT root, node, dist FROM bl", (FOLLOW, levels("e", "bl", LEVELS)))
 add("distance_summary", lambda s, d: r6(traverse.distance_summary(_all(s, d)[0]), "avg_path"), "SELECT round(avg(dist), 6) AS avg_path, max(dist) AS diameter FROM bl WHERE dist > 0", (FOLLOW, levels("s", "bl", LEVELS)))
 add("eccentricity", lambda s, d: traverse.eccentricity(_all(s, d)[0]), "SELECT root AS node, max(dist) AS ecc FROM bl GROUP BY root", (FOLLOW, levels("s", "bl", LEVELS)))
 for _mode in ("undirected", "outward", "inward"):
@@ -118,7 +110,8 @@ _BETWEEN = """SELECT v.node, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 6) AS b
     (SELECT count(*) AS n FROM v)"""
 add("betweenness", lambda s, d: r6(traverse.betweenness(graph.symmetrize(follow(s, d)[0]), users(s, d)), "betweenness"), _BETWEEN.format(back="bl"), (FOLLOW, levels("s", "bl", LEVELS)))
 add("betweenness_directed", lambda s, d: r6(traverse.betweenness(graph.clean_edges(follow_edges(s, d), users(s, d)), users(s, d)), "betweenness"), _BETWEEN.format(back="bl"), (FOLLOW, levels("e", "bl", LEVELS)))
-ROUNDS = 12
+#: Rounds that bring the SQL within 1e-6 of convergence, up to which the operators run.
+ROUNDS = 40
 
 
 def _power(n: int) -> str:
@@ -140,9 +133,9 @@ def _rank(n: int) -> str:
 
 def _eigen(s, d):
     pairs, nodes = follow(s, d)
-    x, value = spectral.eigenvector(graph.symmetrize(pairs), nodes, rounds=ROUNDS)
+    x, value = spectral.eigenvector(graph.symmetrize(pairs), nodes)
     return r6(x.withColumn("eigenvalue", F.lit(float(value))), "eigenvector", "eigenvalue")
 
 
 add("eigenvector", _eigen, f"""SELECT node, round(x, 6) AS eigenvector, round((SELECT sum(p.x * q.x) FROM s JOIN x{ROUNDS} p ON p.node = src JOIN x{ROUNDS} q ON q.node = dst), 6) AS eigenvalue FROM x{ROUNDS}""", (FOLLOW, _power(ROUNDS)))
-add("pagerank", lambda s, d: r6(spectral.pagerank(graph.clean_edges(follow_edges(s, d), users(s, d)), users(s, d), rounds=ROUNDS), "pagerank"), f"SELECT node, round(x, 6) AS pagerank FROM p{ROUNDS}", (FOLLOW, _rank(ROUNDS)))
+add("pagerank", lambda s, d: r6(spectral.pagerank(graph.clean_edges(follow_edges(s, d), users(s, d)), users(s, d)), "pagerank"), f"SELECT node, round(x, 6) AS pagerank FROM p{ROUNDS}", (FOLLOW, _rank(ROUNDS)))

@@ -20,11 +20,16 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("node_id", "text"))
 
 
-def read_transcript(spark: SparkSession, path: str, cells: int = 64) -> DataFrame:
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     """file, place (line, cell), cell: every non-blank CSV cell, with its place as the order key.
 
-    Lines are numbered in their file, so a file is one row until its lines are split."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "row"))
+    Lines are numbered in their file, so a file is one row until its lines are split; line feeds inside quotes belong to
+    the cell. The widest line sets the number of cells."""
+    record = r"""(?:[^"\r\n]++|"(?:[^"]++|"")*+"|\r(?!\n))*+\r?\n"""
+    text = F.concat("value", F.lit("\n"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit(record), F.lit(0))).alias("line", "row"))
+    whole = whole.withColumn("row", F.regexp_replace("row", r"\r?\n\z", ""))
+    cells = (whole.agg(F.max(F.length("row") - F.length(F.replace("row", F.lit(","), F.lit(""))))).first()[0] or 0) + 1
     schema = ", ".join(f"c{i} string" for i in range(cells))
     parsed = whole.select("file", "line", F.from_csv("row", schema, {"quote": '"', "escape": '"'}).alias("r"))
     listed = parsed.select("file", "line", F.posexplode(F.array(*[F.col(f"r.c{i}") for i in range(cells)])).alias("k", "cell"))

@@ -27,6 +27,14 @@ def test_round_trips(spark):
 def test_cleaning(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(" ann.  lee ", "Hi [waves]  there", "It’s o'clock, don't!", "{{x\n| team = Blue Reds\n| since = 1931 and 1999\n}}")], "a string, b string, c string, d string")
-    r = df.select(dialogue.clean_name(F.col("a")), dialogue.strip_directions(F.col("b")), dialogue.tokenize(F.col("c")), dialogue.first_listed(dialogue.infobox_field(F.col("d"), "team"), ["reds", "blue"]), dialogue.decade(F.col("d"))).first()
-    assert tuple(r) == ("Ann lee", "Hi there", ["it's", "o'clock", "don't"], "reds", 1930)
+    df = spark.createDataFrame([(" ann.  lee. ", "Hi [waves]  there", "It’s o'clock, don't!", "{{x\n| team = {{Plainlist}} Blue Reds\n| since = 119305 to 1931 and 1999\n}}\n2001")], "a string, b string, c string, d string")
+    r = df.select(dialogue.clean_name(F.col("a")), dialogue.strip_directions(F.col("b")), dialogue.tokenize(F.col("c")), dialogue.first_listed(dialogue.infobox_field(F.col("d"), "team"), ["reds", "blue"]), dialogue.decade(dialogue.infobox_field(F.col("d"), "since"))).first()
+    assert tuple(r) == ("Ann. lee", "Hi there", ["it's", "o'clock", "don't"], "reds", 1930)
+    assert df.select(dialogue.clean_name(F.lit("J.D."), {"J.D": "John"}), dialogue.clean_name(F.lit("j.d. x"))).first()[:] == ("John", "J.d. x")
+
+
+def test_wide_and_broken_cells(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(70))
+    (tmp_path / "t.csv").write_text(f'{wide}\r\n"a\nb","say ""x"", y",\n\nlast')
+    got = [r.cell for r in tables.read_transcript(spark, str(tmp_path / "t.csv")).orderBy("place").collect()]
+    assert got == [*(f"c{i}" for i in range(70)), "a\nb", 'say "x", y', "last"]
