@@ -39,8 +39,9 @@ def _escape_role(c: Column) -> Column:
 
 
 def _unescape_role(c: Column) -> Column:
-    marked = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    return unescape(F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\")))
+    # A written role has no line feed: doubled backslashes become one for a while, backslash n a backslash; then they change places.
+    marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\n")), F.lit("\\n"), F.lit("\\"))
+    return unescape(F.translate(marked, "\n\\", "\\\n"))
 
 
 def expand(conversations: DataFrame, assistant: str = "assistant") -> DataFrame:

@@ -29,8 +29,9 @@ SPELLINGS = [
     ("&", "and"),
     ("https://", "http://"),
 ]
-#: d: only line feeds end lines.
-COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that are a notice: with a sign, a year or a blank to fill in, not text that only begins with the word, as wrapped
+#: licences do. d: only line feeds end lines.
+COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|[\[<{])|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
 OUTSIDE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 #: Texts of public licences and their customary one-line notices.

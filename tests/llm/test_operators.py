@@ -366,3 +366,22 @@ def test_decontamination_of_long_items(spark):
     want = {(at + i, i) for at in (100, 200) for i in long}
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()} == want
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, max_items=20).collect()} == want
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rows = []
+    for i, (name, text) in enumerate(licenses.KNOWN):
+        if len(text) > 300:
+            body = [textwrap.fill(p, w) for w in range(60, 100) for p in ["\n".join(text.split("\n"))]]
+            rows += [(i, name, f"Copyright (c) 2020 Some One\nAll rights reserved.\n\n{b}") for b in body]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()
+    want = {(i, n) for i, n, _ in rows}
+    assert len(got) == len(rows) and {(r.doc_id, r.license_id) for r in got} == want
+
+
+def test_roles_with_marks_read_back(spark):
+    roles = ["a\x00b", "a\\nb", "a\nb", "\\\\n\n\\", "</s>\\"]
+    made = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    assert [t["role"] for t in chat.read_back(chat.expand(made)).first()["turns"]] == roles
