@@ -79,6 +79,21 @@ def null_histogram(samples: DataFrame, low: float, high: float, bins: int) -> Da
     return samples.groupBy(F.width_bucket("value", F.lit(float(low)), F.lit(float(high)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("count"))
 
 
+def padded_histogram(samples: DataFrame, real: DataFrame, bins: int = 30, pad: float = 0.05) -> DataFrame:
+    """bin (1..bins), low, high, count, has_real: equal bins over the range of the samples and the real value, wider by
+    `pad` of it at both ends. One value alone has a range of 1 around it; without values there are no rows."""
+    known = samples.select("value").filter("value is not null")
+    ends = known.union(real.select("value")).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo is not null")
+    wide = ends.withColumn("span", F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0)))
+    wide = wide.select(F.when(F.col("hi") > F.col("lo"), F.col("lo") - pad * F.col("span")).otherwise(F.col("lo") - 0.5).alias("start"), (F.col("span") * F.when(F.col("hi") > F.col("lo"), 1 + 2 * pad).otherwise(F.lit(1.0)) / bins).alias("step"))
+    place = F.least(F.lit(bins), F.floor((F.col("value") - F.col("start")) / F.col("step")) + 1).cast("int")
+    counts = known.crossJoin(F.broadcast(wide)).groupBy(place.alias("bin")).agg(F.count("*").alias("count"))
+    mark = real.select("value").crossJoin(F.broadcast(wide)).select(place.alias("bin"), F.lit(True).alias("has_real")).distinct()
+    rows = wide.select("start", "step", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).join(counts, "bin", "left").join(mark, "bin", "left")
+    edge = lambda i: F.col("start") + i * F.col("step")
+    return rows.select("bin", edge(F.col("bin") - 1).alias("low"), edge(F.col("bin")).alias("high"), F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("has_real", F.lit(False)).alias("has_real"))
+
+
 def permutation_p(summary: DataFrame) -> DataFrame:
     return summary.withColumn("p", (F.col("at_least") + 1) / (F.col("n") + 1))
 

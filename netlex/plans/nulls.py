@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlex.operators import graph, null_models, nulls
+from netlex.operators.communities import attribute_assortativity
 from netlex.plans.communities import _labels
 from netlex.plans.graphs import r6
 from netlex.plans.inputs import FOLLOW, follow, follow_degrees, follow_edges, lines, sql, users
@@ -19,6 +20,16 @@ QUERIES["label_shuffle"] = lambda s, d: nulls.label_shuffle(_labels(s, d), 5)
 QUERIES["homophily"] = lambda s, d: r6(nulls.homophily(follow(s, d)[0], _labels(s, d), 1000), "real", "mean", "sd", "z", "p")
 
 
+def _histogram(s, d):
+    pairs, labels = follow(s, d)[0], _labels(s, d)
+    value = lambda df: df.withColumnRenamed("assortativity", "value")
+    samples = value(attribute_assortativity(pairs, nulls.label_shuffle(labels, 1000), ("replicate",)))
+    return r6(nulls.padded_histogram(samples, value(attribute_assortativity(pairs, labels))), "low", "high")
+
+
+QUERIES["null_histogram"] = _histogram
+
+
 def _mantel(s, d):
     from netlex.operators import dialogue
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlex.operators import dialogue as dl
+from netlex.operators import lexical
 from netlex.plans.graphs import r6
 from netlex.plans.inputs import CHATS, LINES, TOKENS, chats, lines, sql, table
 
@@ -126,3 +127,35 @@ _ATTR = """attr AS (SELECT page_id AS node, CASE WHEN contains(lower(url), 'http
     CASE WHEN page_id % 110 >= 10 THEN CAST((1920 + page_id % 110) // 10 * 10 AS INTEGER) END AS decade FROM pages)"""
 add("extract_attributes", _attributes, "SELECT node, value, decade FROM attr", (_ATTR,))
 add("attribute_coverage", lambda s, d: dl.attribute_coverage(_attributes(s, d)), "SELECT count(*) AS nodes, count(value) AS with_value, count(decade) AS with_decade FROM attr", (_ATTR,))
+
+
+def _variants(s, d):
+    return lexical.variant_ranks(lexical.variant_terms(lines(s, d)))
+
+
+#: Texts under the first three cleanings, the counts under all five, and their ranks.
+_VARIANTS = f"""y0 AS (SELECT bare, replace(CASE bare WHEN '1' THEN regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g') ELSE text END, '’', '''') AS y FROM l, (VALUES ('0'), ('1')) t(bare)),
+    y1 AS (SELECT low, bare, CASE low WHEN '1' THEN lower(y) ELSE y END AS y FROM y0, (VALUES ('0'), ('1')) t(low)),
+    y2 AS (SELECT low || words || bare AS stream, unnest(CASE words WHEN '1' THEN regexp_extract_all(y, '[A-Za-z]+(?:''[A-Za-z]+)?') ELSE regexp_extract_all(y, '[^ \\t\\n\\r\\f\\x0B]+') END) AS term FROM y1, (VALUES ('0'), ('1')) t(words)),
+    y3 AS (SELECT stream, term, count(*) AS n FROM y2 GROUP BY 1, 2),
+    y4 AS (SELECT stream || stop || fill AS variant, term, n FROM y3, (VALUES ('0'), ('1')) t(stop), (VALUES ('0'), ('1')) f(fill) WHERE NOT (stop = '1' AND term IN ({_STOP})) AND NOT (fill = '1' AND term IN ({", ".join(f"'{w}'" for w in dl.FILLER)}))),
+    y5 AS (SELECT variant, term, n, row_number() OVER (PARTITION BY variant ORDER BY n DESC, encode(term)) AS rank FROM y4)"""
+add("variant_counts", lambda s, d: r6(lexical.variant_counts(_variants(s, d)), "slope"), """SELECT variant, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, round(regr_slope(log10(n), log10(rank)) FILTER (rank BETWEEN 10 AND 5000), 6) AS slope FROM y5 GROUP BY variant""", (LINES, _VARIANTS))
+add("variant_top", lambda s, d: _variants(s, d).filter("rank <= 10"), "SELECT variant, term, n, rank FROM y5 WHERE rank <= 10", (LINES, _VARIANTS))
+add("variant_points", lambda s, d: lexical.variant_points(_variants(s, d)))
+
+
+def _similarities(s, d):
+    kc = counts(s, d)
+    return lexical.pair_similarities(kc, dl.term_counts(kc))
+
+
+_KINDS = f"""xr AS (SELECT kc.owner, kc.term, CAST(kc.n AS DOUBLE) AS w FROM kc JOIN kw USING (term) WHERE kw.n >= 5),
+    xs AS (SELECT owner, term, n / sum(n) OVER (PARTITION BY owner) AS w FROM kc WHERE term IN ({_STOP})),
+    xk AS (SELECT 'raw' AS kind, * FROM xr UNION ALL SELECT 'style', * FROM xs UNION ALL SELECT 'content', owner, term, weight FROM vc),
+    xu AS (SELECT kind, owner, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, owner)) AS x FROM xk WHERE w <> 0),
+    xp AS (SELECT p.owner AS a, q.owner AS b, sum(p.x * q.x) FILTER (p.kind = 'raw') AS raw, sum(p.x * q.x) FILTER (p.kind = 'style') AS style, sum(p.x * q.x) FILTER (p.kind = 'content') AS content
+        FROM xu p JOIN xu q ON p.kind = q.kind AND p.term = q.term AND p.owner < q.owner GROUP BY 1, 2)"""
+add("pair_similarities", lambda s, d: r6(_similarities(s, d), *lexical.KINDS), "SELECT a, b, round(coalesce(raw, 0), 6) AS raw, round(coalesce(style, 0), 6) AS style, round(coalesce(content, 0), 6) AS content FROM xp", (LINES, TOKENS, _VEC, _KINDS))
+add("equalized_similarity", lambda s, d: r6(lexical.equalized_similarity(lines(s, d), dl.term_counts(counts(s, d))), *lexical.KINDS))
+add("types_in_sample", lambda s, d: r6(lexical.types_in_sample(lines(s, d), 2000), "types"))

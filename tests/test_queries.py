@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["top_hubs", "degrees", "ccdf", "reciprocity", "friend_gap", "turn_network", "talk_lift", "distinctive_terms", "flows", "nmi", "extract_attributes"]
+NAMES = ["top_hubs", "degrees", "ccdf", "reciprocity", "friend_gap", "turn_network", "talk_lift", "distinctive_terms", "flows", "nmi", "extract_attributes", "variant_counts", "variant_top", "pair_similarities"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
