@@ -130,12 +130,13 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(index), np.concatenate(out), np.concatenate(home)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indices of the links that form a spanning forest of least distances (Boruvka)."""
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Indices of the links that form the spanning forest of least distances (Boruvka). a and b are rows, node the names
+    that break ties, so the forest does not depend on the order of the links."""
     nodes, inv = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = inv[: len(a)], inv[len(a) :]
     rank = np.empty(len(d), np.int64)
-    order = np.argsort(d, kind="stable")
+    order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), d))
     rank[order] = np.arange(len(d))
     label, taken, live = np.arange(len(nodes)), [], np.arange(len(a))
     while True:
@@ -158,32 +159,28 @@ def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
             label = new
 
 
-def _spare(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All links if they are no more than their ends, else a spanning forest of them."""
-    if len(a) > len(np.union1d(a, b)):
-        keep = _forest(a, b, d)
-        return a[keep], b[keep], d[keep]
-    return a, b, d
-
-
 @functools.cache
 def _masks(threshold: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for w in range(threshold + 1) for c in itertools.combinations(range(64), w)], np.uint64)
 
 
 def _compare(fp: np.ndarray, node: np.ndarray, residents: int, within: int):
-    """All links of one large anchor (its first rows are the residents), thinned as they gather.
+    """The spanning forest of one large anchor's links (its first rows are the residents), thinned as they gather.
 
     Work is members x min(residents, masks of up to `within` bits)."""
-    none = (np.empty(0, node.dtype), np.empty(0, node.dtype), np.empty(0, np.int64))
-    found = [none]
+    found = [(np.empty(0, np.int64),) * 3]
+
+    def thin():
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = _forest(a, b, d, node)
+        found[:] = [(a[keep], b[keep], d[keep])]
 
     def add(i, j):
         far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
         ok = node[i] != node[j]
-        found.append((node[i][ok], node[j][ok], far[ok]))
+        found.append((i[ok], j[ok], far[ok]))
         if sum(len(x[0]) for x in found) > 2_000_000:
-            found[:] = [_spare(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+            thin()
 
     if within > 2 or residents <= len(_masks(within)):
         for r in range(residents):
@@ -197,11 +194,13 @@ def _compare(fp: np.ndarray, node: np.ndarray, residents: int, within: int):
             at = np.minimum(np.searchsorted(known, x), residents - 1)
             hit = np.flatnonzero(known[at] == x)
             add(order[at[hit]], hit)
-    return _spare(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    thin()
+    a, b, _ = found[0]
+    return node[a], node[b]
 
 
 def _links(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray, within: int, most: int = 1 << 16):
-    """(node, node, distance) inside whole anchors; arrays sorted by anchor, residents first."""
+    """(node, node) inside whole anchors, the spanning forest of each; arrays sorted by anchor, residents first."""
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(starts, len(anchor)))
     residents = np.add.reduceat(home.astype(np.int64), starts)
@@ -223,7 +222,10 @@ def _links(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarra
         far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
         near = (node[i] != node[j]) & (far <= within)
         if near.any():
-            yield _spare(node[i][near], node[j][near], far[near])
+            # Rows of different anchors are different ends, so each anchor keeps a forest of its own.
+            i, j, far = i[near], j[near], far[near]
+            keep = _forest(i, j, far, node)
+            yield node[i[keep]], node[j[keep]]
 
 
 def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> DataFrame:
@@ -259,7 +261,7 @@ def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> D
                 release()
             if whole is None or not len(whole[0]):
                 continue
-            for a, b, _ in _links(*whole, within):
+            for a, b in _links(*whole, within):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     rows = marked.select("node", "table", "fp").mapInArrow(replicate, "anchor long, fp long, node long, home boolean")
@@ -312,7 +314,8 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 #: Least-hash bands: a pair of similarity 0.8 shares one of BANDS keys of ROWS least hashes with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, ROWS = 20, 4
-#: Texts of a band key that are all compared with each other; in larger ones each is compared with HUBS of them.
+#: Texts of a band key are compared with HUBS of them, then those still apart with each other: in keys of up to SMALL texts
+#: as they are, in larger ones where they share one of their rarest shingles.
 SMALL, HUBS = 32, 3
 
 
@@ -353,14 +356,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return written(near.select("a", "b"), "similar")
 
 
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """nodes (node, comp) -> pairs (a, b) of different comps, among them all with the Jaccard similarity.
+
+    Exact prefix search: shingles are ordered from rare to common among the nodes; two sets of the similarity share one of
+    their first |x| - similarity |x| + 1. Of each shingle only those outside its most frequent comp seek partners, and a
+    pair goes on only if sizes and what follows the shared places leave room for the overlap."""
+    some = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = written(_shingle_sets(some, size), "open_shingles")
+    flat = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    shared = flat.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    x = F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x")
+    ordered = flat.join(shared, "s").groupBy("node").agg(F.first("size").alias("size"), x)
+    # Shingles of one set only come first and need no rows.
+    ordered = ordered.withColumn("own", F.col("size") - F.size("x"))
+    ordered = ordered.withColumn("most", (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - F.col("own")).cast("int")).filter("most > 0")
+    first = ordered.select("node", "size", "own", F.posexplode(F.slice("x", F.lit(1), F.col("most"))).alias("i", "x"))
+    first = first.select("node", "size", (F.col("size") - F.col("own") - F.col("i")).alias("left"), F.col("x.s").alias("s"))
+    first = written(first.join(nodes, "node"), "prefixes")
+    by_comp = first.groupBy("s", "comp").agg(F.count("*").alias("n"))
+    main = by_comp.groupBy("s").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("s", F.col("m.comp").alias("main"))
+    live = first.join(main, "s")
+    seek = live.filter("comp <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "size", "left")))
+    overlap = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_a")) - 1e-9
+    fits = (F.col("comp") != F.col("comp_a")) & (F.least("left", "left_a") >= overlap)
+    return seek.join(live, "s").filter(fits).select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, tables: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their `size`-word shingles.
 
     Most links are found cheaply on fingerprints of the sets of words, in several tables with seeds of their own, and held
     against the exact similarity. These candidates are thinned and not complete, so a second search takes bands of least
     hashes: texts of a band key that are not linked yet are compared with its hubs (the least by a hash, another one each
-    round), and, where the key is small, all with each other. Pairs inside a component need no test. Equal texts are
-    made one before. A null text is an empty one; rows with a null doc_id have no component of their own."""
+    round), then those still apart with each other: in small keys as they are, in larger ones by an exact prefix search.
+    So every two texts that share a band key are in one component or were tested. Pairs inside a component need no test.
+    Equal texts are made one before. A null text is an empty one; rows with a null doc_id have no component of their own."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Two independent 64-bit hashes stand for the text.
     keyed = texts.select("doc_id", F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text").alias("h2"))
@@ -374,16 +405,24 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     bands = _bands(distinct, size)
     named = lambda: bands.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     tried = None
-    for k in range(HUBS + 1):
+    for k in range(HUBS + 2):
         rows = named()
         if k < HUBS:
             hub = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("a"), F.col("comp").alias("comp_a"))).alias("hub")
             met = rows.join(rows.groupBy("key").agg(hub).select("key", "hub.a", "hub.comp_a"), "key").select("a", F.col("node").alias("b"), "comp_a", F.col("comp").alias("comp_b"))
+            met = met.filter("comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            held = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter(f"least < most and n <= {SMALL}")
+            fits = f"n <= {SMALL}" if k == HUBS else f"n > {SMALL}"
+            held = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter(f"least < most and {fits}")
             open_ = rows.join(held.select("key"), "key")
-            met = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key").filter("a < b")
-        met = met.filter("comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if k == HUBS:
+                met = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key")
+                met = met.filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
+            else:
+                apart = written(open_.select("node", "comp").distinct(), "apart")
+                if apart.isEmpty():
+                    break
+                met = _prefix_pairs(apart, distinct, size, similarity)
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
         met = written(met, "met")

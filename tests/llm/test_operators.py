@@ -203,6 +203,27 @@ def test_similar_documents_of_one_word_set(spark):
     assert got == linked(rows) and len(set(got.values())) == 30
 
 
+def test_similar_documents_of_large_keys(spark):
+    """Without the anchors: templates whose band keys hold far more texts than hubs can tell apart, in any row order."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, rows = [word() for _ in range(120)], []
+    for _ in range(150):
+        own = list(base)
+        start = rng.randrange(80)
+        own[start : start + 30] = [word() for _ in range(30)]
+        for _ in range(2):
+            copy = list(own)
+            copy[rng.randrange(120)] = word()
+            rows.append((len(rows), " ".join(copy)))
+    want = linked(rows)
+    assert len(set(want.values())) > 40
+    for tables in (0, 3):
+        rng.shuffle(rows)
+        got = dict(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), tables=tables).collect()))
+        assert got == want
+
+
 def test_similar_documents_at_the_threshold(spark):
     # Scattered edits, text appended, text cut off: Jaccard 0.8 to 0.85, beyond what fingerprints cover.
     rng, rows = random.Random(7), []
