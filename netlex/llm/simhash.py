@@ -195,12 +195,12 @@ def _compare(fp: np.ndarray, node: np.ndarray, residents: int, within: int):
             hit = np.flatnonzero(known[at] == x)
             add(order[at[hit]], hit)
     thin()
-    a, b, _ = found[0]
-    return node[a], node[b]
+    a, b, d = found[0]
+    return node[a], node[b], d
 
 
 def _links(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray, within: int, most: int = 1 << 16):
-    """(node, node) inside whole anchors, the spanning forest of each; arrays sorted by anchor, residents first."""
+    """(node, node, distance) inside whole anchors, the spanning forest of each; arrays sorted by anchor, residents first."""
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(starts, len(anchor)))
     residents = np.add.reduceat(home.astype(np.int64), starts)
@@ -225,11 +225,11 @@ def _links(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarra
             # Rows of different anchors are different ends, so each anchor keeps a forest of its own.
             i, j, far = i[near], j[near], far[near]
             keep = _forest(i, j, far, node)
-            yield node[i[keep]], node[j[keep]]
+            yield node[i[keep]], node[j[keep]], far[keep]
 
 
 def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> DataFrame:
-    """marked (node, table, fp) -> links (a, b), a < b: they connect whatever is linked pair by pair.
+    """marked (node, table, fp) -> links (a, b, bits that differ in the table where they are closest), a < b: they connect whatever is linked pair by pair.
 
     Linked: at most `threshold` bits differ among the anchored 46 and at most `within` (default: threshold) of all 64.
     Fingerprints meet only in the same table."""
@@ -261,12 +261,19 @@ def links(marked: DataFrame, threshold: int = 2, within: int | None = None) -> D
                 release()
             if whole is None or not len(whole[0]):
                 continue
-            for a, b in _links(*whole, within):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for a, b, d in _links(*whole, within):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "bits"])
 
     rows = marked.select("node", "table", "fp").mapInArrow(replicate, "anchor long, fp long, node long, home boolean")
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", F.col("home").desc())
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a long, b long, bits long").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def _closest(near: DataFrame) -> DataFrame:
+    """Of links (a, b, bits), the closest one of each node to a greater and to a lesser one."""
+    up = near.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    down = near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return up.union(down).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +394,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     """doc_id, component_id: documents linked by a Jaccard similarity of their `size`-word shingles.
 
     Most links are found cheaply on fingerprints of the sets of words, in several tables with seeds of their own, and held
-    against the exact similarity. These candidates are thinned and not complete, so a second search takes bands of least
+    against the exact similarity. Of these candidates each text keeps the closest, which is not complete, so a second search takes bands of least
     hashes: texts of a band key that are not linked yet are compared with its hubs (the least by a hash, another one each
     round), then those still apart with each other: in small keys as they are, in larger ones by an exact prefix search.
     So every two texts that share a band key are in one component or were tested. Pairs inside a component need no test.
@@ -400,7 +407,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, t
     distinct = texts.join(firsts, "doc_id", "left_semi")
     # Written first: the two Python steps would else run side by side in one stage, in twice the workers.
     marks = written(_word_marks(distinct, tables), "marks")
-    pairs = written(links(marks, threshold=2, within=10), "pairs")
+    pairs = written(_closest(written(links(marks, threshold=2, within=10), "links")), "pairs")
     labels = star_labels(_verified(pairs, texts, size, similarity))
     bands = _bands(distinct, size)
     named = lambda: bands.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
