@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlex.llm import chat, decontaminate, flac, licenses, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, token_output
+from netlex.llm import chat, decontaminate, flac, hash_shards, licenses, oracles, packing, prefix_trie, quality, simhash, spelling, substring_dedup, suffix_dedup, token_output
 from netlex.llm._common import table, written
 
 
@@ -60,6 +60,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_of(*prefix_trie.rebuilt(prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))))
+
+
+def op12_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_shards.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_simple8b_token_output": op2_simple8b_token_output,
@@ -71,5 +83,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hash_tree_shards": op12_hash_tree_shards,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL = oracles.SQL
