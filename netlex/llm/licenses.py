@@ -1,8 +1,10 @@
 r"""License scan: canonical digests of entire texts, hash-joined to the digests of known licences.
 
-Canonical form: lower case; copyright lines go; spellings that mean the same are made one; what is neither an ASCII
-letter or digit nor beyond ASCII becomes one space; ends are trimmed. The known table has a fixed number of rows
-(KNOWN), so it is broadcast. Beside the whole text, each line is looked up by its own digest (one-line notices).
+Canonical form: lower case; list marks at the start of a line and copyright lines go (with a sign, a year or a blank to fill
+in, or a bare `Copyright <name>` that is a paragraph of its own); what is neither an ASCII letter or digit nor beyond ASCII
+becomes one space, so line ends and bullets don't matter; then spellings that mean the same are made one, also where a line
+end has cut them. The known table has a fixed number of rows (KNOWN texts, DIGESTS of long texts), so it is broadcast. Beside the
+whole text, each line is looked up by its own digest (one-line notices).
 
 Nulls: a null text counts as empty; an empty canonical form matches nothing; a null doc_id is kept. Repeated rows
 give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -16,22 +18,24 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spellings that count as equal (after lower-casing), each replaced in this order.
+#: Spellings that count as equal in the words of a text (a single space between any two), replaced in this order.
 SPELLINGS = [
     ("licence", "license"),
     ("licencing", "licensing"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("non commercial", "noncommercial"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
     ("wilful", "willful"),
-    ("&", "and"),
-    ("https://", "http://"),
+    ("https ", "http "),
 ]
+#: The number or letter of a list item.
+LIST_MARK = r"(?dm)^[ \t]*\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+"
 #: Lines that are a notice: with a sign, a year or a blank to fill in, not text that only begins with the word, as wrapped
 #: licences do. d: only line feeds end lines.
 COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|[\[<{])|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
+#: A paragraph of short lines that begin with the word: names without a year.
+BARE_NOTICE = r"(?d)(\A\s*|\n[ \t]*\n)([ \t]*copyright[ \t]+[^\n]{1,60}(?:\n|\z))+([ \t]*\n|\s*\z)"
 OUTSIDE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 #: Texts of public licences and their customary one-line notices.
@@ -79,12 +83,21 @@ _APACHE_NOTICE = (
     "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
     "implied. See the License for the specific language governing permissions and limitations under the License."
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+    "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    "under copyright law.\n\n"
+) + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "\n\nFor more information, please refer to <https://unlicense.org>"
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "The MIT License\n\n" + _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("ISC", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _AUTHOR_AS_IS),
     ("0BSD", _ISC_GRANT + ".\n\n" + _AUTHOR_AS_IS),
+    ("Unlicense", _UNLICENSE),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("Apache-2.0", _APACHE_NOTICE),
@@ -103,12 +116,39 @@ KNOWN = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
 
+#: SHA-256 of the canonical form of long licences as published, whole and (a second row) up to the end of their terms.
+DIGESTS = [
+    ("Apache-2.0", "72083b058d325a216c948b17cd4a94aebe681e1c5b51a7106e6d5cb106b15480"),
+    ("Apache-2.0", "4b7bf538613ad74324b8d88607299656873ed7b49b6f3b5b38c9e913571e248c"),
+    ("Artistic-1.0-Perl", "b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49"),
+    ("BSD-3-Clause", "d0a339eb5454123c6a1f2696aace557e0561866f3fe33b93ffad58ecfcab7060"),
+    ("CC0-1.0", "fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54"),
+    ("GFDL-1.2", "7bd3a9b625b0b9c72d575e34948a31aa1d9a92600e54323c0abd84a9844ce82d"),
+    ("GFDL-1.3", "3e03599855be6f5154c1bba1c4189768a3518f5863527559438fa78fa2262af5"),
+    ("GPL-1.0", "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746"),
+    ("GPL-1.0", "e865a0dda2da3969652b87fd53fdbacbc9c971447325f465df48971826e5f97c"),
+    ("GPL-2.0", "2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee"),
+    ("GPL-2.0", "724499132592c4e4c95c8d0a0a79e0045822f797839536a7338312694e3341bc"),
+    ("GPL-3.0", "3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64"),
+    ("GPL-3.0", "a7d16b580457c566303df373fd362c5bfbfbc013734bed4e4cf732a569a5598e"),
+    ("LGPL-2.0", "4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2"),
+    ("LGPL-2.0", "9445838f80c534db1f71155f4c93f1464bf680d2a091792f3f2146f5cefef806"),
+    ("LGPL-2.1", "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98"),
+    ("LGPL-2.1", "70a277553f5f0e974016dfc6aed9adda07c554792c5f1f3d75acb63053de3f89"),
+    ("LGPL-3.0", "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
+    ("MPL-1.1", "661007e231ca5b302d4c3ee263967beb6a810bf9cb12a246d2d15ac0c31860b5"),
+    ("MPL-2.0", "aa2454656efbeaddad9c489182749a958bde3f72d5a8f29cf0a5bf66202adab0"),
+]
+
 
 def canonical(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), COPYRIGHT_LINE, "")
+    c = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n"))
+    c = F.regexp_replace(F.regexp_replace(c, LIST_MARK, ""), COPYRIGHT_LINE, "")
+    c = F.replace(F.regexp_replace(c, BARE_NOTICE, "$1"), F.lit("&"), F.lit(" and "))
+    c = F.trim(F.regexp_replace(c, OUTSIDE, " "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, OUTSIDE, " "))
+    return c
 
 
 def digest(c: Column) -> Column:
@@ -116,8 +156,9 @@ def digest(c: Column) -> Column:
 
 
 def known_digests(spark) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("t")) for i, t in KNOWN])
-    return spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", digest(F.col("k.t")).alias("digest")).distinct()
+    row = lambda i, d: F.struct(F.lit(i).alias("license_id"), d.alias("digest"))
+    rows = F.array(*[row(i, digest(F.lit(t))) for i, t in KNOWN], *[row(i, F.lit(d)) for i, d in DIGESTS])
+    return spark.range(1).select(F.explode(rows).alias("k")).select("k.*").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,16 +10,29 @@ def _text(s: str) -> str:
 
 
 def _canonical(c: str) -> str:
-    c = f"regexp_replace(lower(coalesce({c}, '')), {_text(licenses.COPYRIGHT_LINE.replace('(?dm)', '(?m)'))}, '', 'g')"
-    for a, b in licenses.SPELLINGS:
-        c = f"replace({c}, {_text(a)}, {_text(b)})"
-    return f"trim(regexp_replace({c}, {_text(licenses.OUTSIDE)}, ' ', 'g'))"
+    """The canonical form, with patterns and spellings of its own, so that a fault in the operator's shows."""
+    c = f"replace(lower(coalesce({c}, '')), chr(13) || chr(10), chr(10))"
+    for pattern, by in [
+        (r"(?m)^[ \t]*[(]?(\d{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+", ""),
+        (r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|\d\d\d\d|[\[<{])|[(]c[)][^a-z0-9\n]*\d\d\d\d|©|all rights reserved[^a-z0-9\n]*$).*$", ""),
+        (r"(\A\s*|\n[ \t]*\n)([ \t]*copyright[ \t]+[^\n]{1,60}(\n|\z))+([ \t]*\n|\s*\z)", r"\1"),
+        ("&", " and "),
+        (r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "),
+    ]:
+        c = f"regexp_replace({c}, {_text(pattern)}, {_text(by)}, 'g')"
+    c = f"trim({c})"
+    pairs = "licence license, licencing licensing, sub_license sublicense, non_commercial noncommercial, per_cent percent, copyright_owner copyright_holder, wilful willful, https_ http_"
+    for a, b in (x.split() for x in pairs.split(", ")):
+        c = f"replace({c}, '{a.replace('_', ' ')}', '{b.replace('_', ' ')}')"
+    return c
 
 
 _KNOWN = ", ".join(f"({_text(i)}, {_text(t)})" for i, t in licenses.KNOWN)
-LICENSES = f"""WITH known AS (SELECT DISTINCT license_id, sha256({_canonical('t')}) AS digest FROM (VALUES {_KNOWN}) AS k(license_id, t)),
+_DIGESTS = ", ".join(f"({_text(i)}, {_text(d)})" for i, d in licenses.DIGESTS)
+LICENSES = f"""WITH texts AS (SELECT DISTINCT license_id, sha256({_canonical('t')}) AS digest FROM (VALUES {_KNOWN}) AS k(license_id, t)),
+known AS (FROM texts UNION VALUES {_DIGESTS}),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-notices AS (SELECT doc_id, count(*) AS n, string_agg(license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known ON sha256({_canonical('line')}) = digest
+notices AS (SELECT doc_id, count(*) AS n, string_agg(license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN texts ON sha256({_canonical('line')}) = digest
     WHERE regexp_matches(line, '(?i)licen[sc]|released under|permission') GROUP BY doc_id)
 SELECT d.doc_id, d.digest, license_id, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notices
 FROM (SELECT doc_id, sha256({_canonical('text')}) AS digest FROM documents) d LEFT JOIN known USING (digest) LEFT JOIN notices ON notices.doc_id = d.doc_id"""
