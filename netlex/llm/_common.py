@@ -82,5 +82,13 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary() if col.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as no column of df has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1_000_000
 #: Bytes of one key's distinct segments that may meet in a task.
 SHARD = 1_500_000
-#: A key with more segments is looked up by broadcast, if there are at most MOST_HOT of them (8 bytes each).
+#: A key with more segments than HOT_ROWS and than a MOST_HOT-th part of all is looked up by broadcast: so fewer than MOST_HOT keys are.
 HOT_ROWS, MOST_HOT = 2_000, 200_000
 
 
@@ -172,14 +172,22 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     return [back(z) for z in batch.column(batch.schema.get_field_index("z")).to_pylist()]
 
 
-def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Those rows whose key is in keys (key, n: about how many rows it has, and columns to add). Keys with many rows are
-    few, and found without a shuffle of their rows."""
-    hot, more = keys.filter(F.col("n") > HOT_ROWS), keys.drop("n")
-    if not 0 < hot.count() <= MOST_HOT:
-        return rows.join(more, "key")
-    others = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keys.filter(F.col("n") <= HOT_ROWS).drop("n"), "key")
-    return rows.join(F.broadcast(hot.drop("n")), "key").unionByName(others)
+def hot_cut(total: int) -> int:
+    """A key with more rows than this is hot. Fewer than MOST_HOT keys can be, however many rows there are in all, and no
+    other key has more than HOT_ROWS rows or a MOST_HOT-th part of all."""
+    return max(HOT_ROWS, total // MOST_HOT)
+
+
+def repeating(rows: DataFrame, n: Column, adds: dict[str, Column], by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Those rows whose key (columns `by`) has an n (a sum over its rows) above 1, with further aggregates of the key; rows is a table.
+
+    Hot keys are few and their aggregates are broadcast; the rows of any other key meet in a window of bounded size."""
+    by = list(by)
+    cut = hot_cut(rows.agg(n.alias("n")).first()[0] or 0)
+    hot = written(rows.groupBy(*by).agg(n.alias("n"), *(c.alias(a) for a, c in adds.items())).filter(F.col("n") > cut).drop("n"), "hot_keys")
+    same = Window.partitionBy(*by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").withColumns({"n_": n.over(same)} | {a: c.over(same) for a, c in adds.items()})
+    return rows.join(F.broadcast(hot), by).unionByName(cold.filter("n_ > 1").drop("n_"))
 
 
 def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], length: int, gram: int) -> DataFrame:
@@ -193,9 +201,8 @@ def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], length
                 yield pa.RecordBatch.from_arrays(cols, ["key", "digest", "id0", "h", "start", "starts", "marks"])
 
     found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, digest long, id0 long, h long, start long, starts int, marks int"), "segments")
-    plain = (F.min("digest") == F.max("digest")) & (F.max("marks") == 1)
-    twice = written(found.groupBy("key").agg(F.sum("marks").alias("n"), plain.alias("plain")).filter("n > 1"), "repeated_keys")
-    return of_keys(found.drop("marks", "digest"), twice)
+    marked = repeating(found, F.sum("marks"), {"low": F.min("digest"), "high": F.max("digest"), "most": F.max("marks")})
+    return marked.select("key", "id0", "h", "start", "starts", ((F.col("low") == F.col("high")) & (F.col("most") == 1)).alias("plain"))
 
 
 def joined_spans(rows: DataFrame) -> DataFrame:
@@ -292,7 +299,7 @@ def _split(rows: DataFrame, unit: int, length: int, gram: int, block: int) -> Da
 
     schema = ", ".join(f"{c} binary" if c == "seg" else f"{c} long" for c in names)
     made = written(rows.select("key", "anchor", "d1", "d2", "n", "id0", "h", "start", "seg").mapInArrow(run, schema), "stretches")
-    return of_keys(made, written(made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated_stretches"))
+    return repeating(made, F.sum("n"), {})
 
 
 SPANS = "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>"
@@ -315,16 +322,18 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram:
 
     columns = ["key", "d1", "d2", "n", "id0", "h", "start", "seg"]
     sizes = distinct.groupBy("key").agg(F.sum("size").alias("size"))
-    large = written(sizes.filter(F.col("size") > SHARD).select("key", F.lit(HOT_ROWS + 1).alias("n")), "large_keys") if blocks else None
+    large = written(sizes.filter(F.col("size") > SHARD).select("key"), "large_keys") if blocks else None
     some = large.count() if large is not None else 0
     small = distinct
     if some:
-        small = distinct.join(F.broadcast(large) if some <= MOST_HOT else large, "key", "left_anti")
+        # Beyond the bound the lookup is a join of keys, whose rows are distinct segments and so at most SHARD bytes each.
+        looked_up = F.broadcast(large) if some <= MOST_HOT else large
+        small = distinct.join(looked_up, "key", "left_anti")
     dealt = small.select(*columns).repartition("key").sortWithinPartitions("key", "d1", "d2")
     hits = dealt.mapInArrow(shard, SPANS)
     if not some:
         return hits
-    parts = _split(of_keys(distinct, large), unit, length, gram, blocks[0])
+    parts = _split(distinct.join(looked_up, "key"), unit, length, gram, blocks[0])
     pieces = distinct_segments(parts)
     found = resolved(pieces, judge, unit, length, gram, blocks[1:], later)
     if later:

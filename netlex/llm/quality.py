@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlex.llm._common import slices, utf8, written
+from netlex.llm._common import fresh, slices, utf8, written
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "punctuation", "pipes", "breaks",
@@ -129,6 +129,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
         for rule, _ in nodes:
             rules.setdefault(_short(rule))
     rules = list(rules)
+    if not rules:
+        return prior, []
     z = np.stack([_holds(x, r) for r in rules], axis=1).astype(np.float64)
     seen, keep = set(), []
     for j, column in enumerate(z.T):  # rules that hold for the same rows are one
@@ -136,6 +138,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
             seen.add(k)
             keep.append(j)
     z, rules = z[:, keep], [rules[j] for j in keep]
+    if not rules:
+        return prior, []
     mean, scale = z.mean(axis=0), z.std(axis=0)
     z = (z - mean) / scale
     # Proximal gradient with momentum; the step is the bound on the logistic loss's curvature.
@@ -166,7 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max
     """doc_id, held_out, score, predicted. Learns from labelled rows that are not held out, at most max_rows of them."""
     rows = written(statistics(docs, id_col, text_col), "statistics")
     known = known_labels(labels, label_col, max_rows)
-    intercept, rules = learn(rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), known)
+    intercept, rules = learn(rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), known, max_rows)
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(intercept, rules).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -176,15 +180,23 @@ def known_labels(labels: DataFrame, label_col: str = "quality", max_rows: int =
     follows from their number (five deviations under the bound)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     known = written(known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")), "labels")
-    n, parts = known.count(), 1 << 30
-    if n > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * (max_rows - 5 * math.sqrt(max_rows)) / n))
-    return known
+    return _cut(known, F.xxhash64("doc_id"), max_rows)
+
+
+def _cut(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """rows, or if there are more than `most` those of a low hash: some `most` of them, less five deviations."""
+    n, parts = rows.count(), 1 << 30
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(key, F.lit(parts)) < int(parts * max(1.0, most - 5 * math.sqrt(most)) / n))
 
 
-def learn(rows: DataFrame, known: DataFrame) -> tuple[float, list[tuple[float, Rule]]]:
-    """The model from statistics of the documents in known, a bounded table. Equal rows count once."""
-    sample = rows.distinct().join(F.broadcast(known), "doc_id").toPandas().sort_values(["doc_id", *STATISTICS])
+def learn(rows: DataFrame, known: DataFrame, max_rows: int = 20_000) -> tuple[float, list[tuple[float, Rule]]]:
+    """The model from statistics of the documents in known, a bounded table. Equal rows count once; where ids stand for so
+    many texts that there are more than max_rows other rows, a hash of the row cuts them too."""
+    labelled = written(rows.distinct().join(F.broadcast(known), "doc_id"), "labelled")
+    labelled = _cut(labelled, F.xxhash64("doc_id", *STATISTICS), max_rows).limit(max_rows)
+    sample = labelled.toPandas().sort_values(["doc_id", *STATISTICS])
     return fit(sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64))
 
 
@@ -192,8 +204,8 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max
     """The rows of docs with a score of 0.5 or more, all columns as they were; no shuffle of texts."""
     known = known_labels(labels, label_col, max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    intercept, rules = learn(statistics(texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known)
-    name = next(c for i in range(len(docs.columns) + 1) if (c := f"statistics_{i}") not in docs.columns)
+    intercept, rules = learn(statistics(texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")), known, max_rows)
+    name = fresh(docs, "statistics")
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.llm._common import release, slices, utf8, written
-from netlex.llm._windows import gram_hashes, mixed, of_keys, word_units
+from netlex.llm._windows import gram_hashes, mixed, repeating, word_units
 from netlex.operators.components import star_labels
 
 BLOCK = 23
@@ -308,15 +308,25 @@ def _shingle_values(text: bytes, size: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
+#: 64-bit words of a set's parity bits: of each bit, whether an odd number of the set's shingles fall on it. Two sets differ in
+#: at least as many shingles as parity bits, so sets with too many unlike bits can't be similar.
+PARITY = 16
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount(shingles.view(np.uint32) % np.uint32(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, shingles (32 bits of each hash)."""
+    """node, shingles (32 bits of each hash), parity."""
 
     def run(batches):
         for b in slices(batches, "text"):
             sets = [np.unique((_shingle_values(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))], ["node", "shingles", "parity"])
 
-    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<int>")
+    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<int>, parity array<long>")
 
 
 #: Least-hash bands: a pair of similarity 0.8 shares one of BANDS keys of ROWS least hashes with probability 1 - (1 - 0.8^4)^20 = 0.99997.
@@ -344,7 +354,7 @@ def _bands(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["key", "node"])
 
     rows = written(docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "key long, node long"), "bands")
-    return written(of_keys(rows, rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")), "shared_bands")
+    return written(repeating(rows, F.count(F.lit(1)), {}), "shared_bands")
 
 
 #: So many ids (8 bytes each) are broadcast; more are joined.
@@ -368,7 +378,8 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
 
     Exact prefix search: shingles are ordered from rare to common among the nodes; two sets of the similarity share one of
     their first |x| - similarity |x| + 1. Of each shingle only those outside its most frequent comp seek partners, and a
-    pair goes on only if sizes and what follows the shared places leave room for the overlap."""
+    pair goes on only if sizes and what follows the shared places leave room for the overlap, and if the parity bits differ
+    by no more than similar sets of these sizes can."""
     some = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = written(_shingle_sets(some, size), "open_shingles")
     flat = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
@@ -380,13 +391,15 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     ordered = ordered.withColumn("most", (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - F.col("own")).cast("int")).filter("most > 0")
     first = ordered.select("node", "size", "own", F.posexplode(F.slice("x", F.lit(1), F.col("most"))).alias("i", "x"))
     first = first.select("node", "size", (F.col("size") - F.col("own") - F.col("i")).alias("left"), F.col("x.s").alias("s"))
-    first = written(first.join(nodes, "node"), "prefixes")
+    first = written(first.join(nodes, "node").join(sets.select("node", "parity"), "node"), "prefixes")
     by_comp = first.groupBy("s", "comp").agg(F.count("*").alias("n"))
     main = by_comp.groupBy("s").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("s", F.col("m.comp").alias("main"))
     live = first.join(main, "s")
-    seek = live.filter("comp <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "size", "left")))
+    seek = live.filter("comp <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "size", "left", "parity")))
     overlap = F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_a")) - 1e-9
-    fits = (F.col("comp") != F.col("comp_a")) & (F.least("left", "left_a") >= overlap)
+    unlike = F.aggregate(F.zip_with("parity", "parity_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("size") + F.col("size_a")) + 1e-9
+    fits = (F.col("comp") != F.col("comp_a")) & (F.least("left", "left_a") >= overlap) & (unlike <= most)
     return seek.join(live, "s").filter(fits).select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
 
 

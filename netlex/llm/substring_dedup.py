@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.llm._common import slices
-from netlex.llm._windows import candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, resolved, runs, shifted, squeezed, texts_of, whole, with_key, word_spans, word_units
+from netlex.llm._windows import candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, repeating, resolved, runs, shifted, squeezed, texts_of, whole, with_key, word_spans, word_units
 
 LENGTH, GRAM = 20, 5
 #: Suffixes in a group of one prefix.
@@ -110,8 +110,7 @@ def later_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     hits = resolved(distinct, judge, 8, length, gram, (6, 1), later=True)
     here = F.struct("id0", "h", "start")
     # An equal segment that stands later repeats throughout; what holds for a first copy stands in the hits.
-    firsts = cuts.filter("plain").groupBy("key", "d1", "d2").agg(F.min(here).alias("first")).union(distinct.select("key", "d1", "d2", here.alias("first")))
-    where = cuts.drop("seg").join(firsts, ["key", "d1", "d2"]).filter(here != F.col("first"))
+    where = repeating(cuts.drop("seg"), F.count(F.lit(1)), {"first": F.min(here)}, ("key", "d1", "d2")).filter(here != F.col("first"))
     others = where.select("id0", "h", whole("start", "starts").alias("spans"))
     first = hits.join(distinct.select("key", "d1", "d2", "id0", "h", "start"), ["key", "d1", "d2"]).select("id0", "h", shifted("spans", "start").alias("spans"))
     return joined_spans(others.union(first))

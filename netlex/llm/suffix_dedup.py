@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
-from netlex.llm._windows import CHUNK, HOT_ROWS, MOST_HOT, byte_units, candidates, distinct_segments, gram_hashes, joined_spans, of_keys, repeated_keys, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
+from netlex.llm._windows import CHUNK, byte_units, candidates, distinct_segments, gram_hashes, hot_cut, joined_spans, repeated_keys, repeating, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -272,10 +272,9 @@ def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     place = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start", "starts")
     whole_spans = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
     # A segment with very many equals repeats throughout: its copies needn't meet its spans in one task.
-    hot = distinct.filter(F.col("n") > HOT_ROWS).select("key", "d1", "d2")
-    if 0 < hot.count() <= MOST_HOT:
-        whole_spans = whole_spans.union(place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_semi").select("id0", "h", whole("start", "starts").alias("spans")))
-        place = place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_anti")
+    hot = distinct.filter(F.col("n") > hot_cut(distinct.agg(F.sum("n")).first()[0] or 0)).select("key", "d1", "d2")
+    whole_spans = whole_spans.union(place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_semi").select("id0", "h", whole("start", "starts").alias("spans")))
+    place = place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_anti")
     where = place.join(hits, ["key", "d1", "d2"])
     return joined_spans(whole_spans.union(where.select("id0", "h", shifted("spans", "start").alias("spans"))))
 
@@ -292,8 +291,7 @@ def shared_grams(keyed: DataFrame, gram: int, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array(hs[doc]), pa.array(marks.astype(np.int8))], ["key", "id0", "h", "marks"])
 
     found = written(keyed.select("id0", "h", "text").mapInArrow(find, "key long, id0 long, h long, marks byte"), "grams")
-    twice = written(found.groupBy("key").agg(F.sum("marks").alias("n")).filter("n > 1"), "shared_grams")
-    return of_keys(found, twice).groupBy("id0", "h").agg(F.count("*").alias("n_shared"))
+    return repeating(found, F.sum("marks"), {}).groupBy("id0", "h").agg(F.count("*").alias("n_shared"))
 
 
 def _covered(size: int, spans: list, length: int) -> np.ndarray:
