@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlex.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from netlex.llm._common import scratch_of, table, written
+from netlex.llm._common import fresh, scratch_of, table, written
 from netlex.llm.queries import tokenizer
 
 #: Bytes of a repeated string that the pipeline cuts out: about 45 words, and the gram that anchors it.
@@ -26,25 +26,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
-def _row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with row_key, and whether some are no doc_ids: rows with a null id, or one that other rows have too, get a
-    key from id and text, above all ids; equal rows have equal keys."""
-    repeated = docs.groupBy("doc_id").count().filter("`count` > 1 or doc_id is null").select(F.col("doc_id").alias("id_"), F.lit(True).alias("odd"))
+def _row_keys(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """docs with a further column of row keys, its name, and whether some are no doc_ids: rows with a null id, or one that
+    other rows have too, get a key from id and text, above all ids; equal rows have equal keys."""
+    name, again, odd = (fresh(docs, c) for c in ("row_key", "repeated_id", "repeated"))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(again), F.lit(True).alias(odd))
     if repeated.isEmpty():
-        return docs.withColumn("row_key", F.col("doc_id").cast("long")), False
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name, False
     key = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**61))
-    marked = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("id_")), "left")
-    return marked.withColumn("row_key", F.when(F.col("odd"), key).otherwise(F.col("doc_id").cast("long"))).drop("id_", "odd"), True
+    marked = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col(again)), "left")
+    return marked.withColumn(name, F.when(F.col(odd), key).otherwise(F.col("doc_id").cast("long"))).drop(again, odd), name, True
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their five-word shingles, the one with the least doc_id stays (rows
     without an id of their own after those with one); of equal rows, one."""
-    keyed, odd = _row_keys(docs)
+    keyed, key, odd = _row_keys(docs)
     if odd:
-        keyed = written(keyed.dropDuplicates(["row_key"]), "row_keys")
-    copies = simhash.similar_documents(keyed, similarity=0.8, size=5, id_col="row_key").filter("doc_id <> component_id").select(F.col("doc_id").alias("row_key"))
-    return keyed.join(copies, "row_key", "left_anti").select(*docs.columns)
+        keyed = written(keyed.dropDuplicates([key]), "row_keys")
+    copies = simhash.similar_documents(keyed, similarity=0.8, size=5, id_col=key).filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(copies, key, "left_anti").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give away a benchmark item go."""
-    keyed, _ = _row_keys(docs)
-    leaks = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return keyed.join(leaks, "row_key", "left_anti").select(*docs.columns)
+    keyed, key, _ = _row_keys(docs)
+    leaks = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +65,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer())
 
 
-
-
 def _tidy(stage):
     """The stage, which first deletes the scratch tables of the stage before: that one's output has been written by now."""
 
