@@ -1,6 +1,6 @@
 r"""License scan: canonical digests of entire texts, hash-joined to the digests of known licences.
 
-Canonical form: lower case; list marks at the start of a line and copyright lines go (with a sign, a year or a blank to fill
+Canonical form: lower case; list marks and copyright lines go (with a sign, a year or a blank to fill
 in, or a bare `Copyright <name>` that is a paragraph of its own); what is neither an ASCII letter or digit nor beyond ASCII
 becomes one space, so line ends and bullets don't matter; then spellings that mean the same are made one, also where a line
 end has cut them. The known table has a fixed number of rows (KNOWN texts, DIGESTS of long texts), so it is broadcast. Beside the
@@ -29,8 +29,8 @@ SPELLINGS = [
     ("wilful", "willful"),
     ("https ", "http "),
 ]
-#: The number or letter of a list item.
-LIST_MARK = r"(?dm)^[ \t]*\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+"
+#: The number or letter of a list item, at the start of a line or, in text that was wrapped anew, after the end of another item.
+LIST_MARK = r"(?dm)(^[ \t]*|[.:;,][ \t\n]+|\b(?:and|or)[ \t\n]+)\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t\n]+"
 #: Lines that are a notice: with a sign, a year or a blank to fill in, not text that only begins with the word, as wrapped
 #: licences do. d: only line feeds end lines.
 COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|[\[<{])|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
@@ -118,32 +118,32 @@ KNOWN = [
 
 #: SHA-256 of the canonical form of long licences as published, whole and (a second row) up to the end of their terms.
 DIGESTS = [
-    ("Apache-2.0", "72083b058d325a216c948b17cd4a94aebe681e1c5b51a7106e6d5cb106b15480"),
-    ("Apache-2.0", "4b7bf538613ad74324b8d88607299656873ed7b49b6f3b5b38c9e913571e248c"),
+    ("Apache-2.0", "af8f65e02d94a7f37247ff54341599c37f7ac89f4f15742e0760f8b649281726"),
+    ("Apache-2.0", "e61b202e71647025be848adf5c82383f41c5bc59ea4efd7a3bacda08321b7385"),
     ("Artistic-1.0-Perl", "b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49"),
     ("BSD-3-Clause", "d0a339eb5454123c6a1f2696aace557e0561866f3fe33b93ffad58ecfcab7060"),
-    ("CC0-1.0", "fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54"),
+    ("CC0-1.0", "8a38d7b267b383bc2736c4ddc361e4692605941aa3d81703ed8dfbb6d13d0404"),
     ("GFDL-1.2", "7bd3a9b625b0b9c72d575e34948a31aa1d9a92600e54323c0abd84a9844ce82d"),
-    ("GFDL-1.3", "3e03599855be6f5154c1bba1c4189768a3518f5863527559438fa78fa2262af5"),
-    ("GPL-1.0", "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746"),
-    ("GPL-1.0", "e865a0dda2da3969652b87fd53fdbacbc9c971447325f465df48971826e5f97c"),
-    ("GPL-2.0", "2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee"),
-    ("GPL-2.0", "724499132592c4e4c95c8d0a0a79e0045822f797839536a7338312694e3341bc"),
-    ("GPL-3.0", "3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64"),
-    ("GPL-3.0", "a7d16b580457c566303df373fd362c5bfbfbc013734bed4e4cf732a569a5598e"),
-    ("LGPL-2.0", "4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2"),
-    ("LGPL-2.0", "9445838f80c534db1f71155f4c93f1464bf680d2a091792f3f2146f5cefef806"),
-    ("LGPL-2.1", "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98"),
-    ("LGPL-2.1", "70a277553f5f0e974016dfc6aed9adda07c554792c5f1f3d75acb63053de3f89"),
-    ("LGPL-3.0", "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
-    ("MPL-1.1", "661007e231ca5b302d4c3ee263967beb6a810bf9cb12a246d2d15ac0c31860b5"),
-    ("MPL-2.0", "aa2454656efbeaddad9c489182749a958bde3f72d5a8f29cf0a5bf66202adab0"),
+    ("GFDL-1.3", "ab3bdfecc43ea43524f159924c92c9a4d8db1669ec5667a5d81cd65e4cbbdf64"),
+    ("GPL-1.0", "fe80ccaae90d81557cc6613b788c47dd1819c7a5ae034f77e7d60bb6b879677e"),
+    ("GPL-1.0", "a7bce65e5dba16d91866e60621b8ba783a0a808bd63a601f8dc9eee8c8ae3441"),
+    ("GPL-2.0", "9c942f6942a3d44037aa20b92138b7de02aafd88adea708e7c93f34a145aeaa1"),
+    ("GPL-2.0", "aaf810f79057b02996d56055b9283d413e337af7e865d34d78ee9bb718d44586"),
+    ("GPL-3.0", "d664f6713336067583b67e45183bf0206fbe9591ff2a81c357b9c1f2b940b69f"),
+    ("GPL-3.0", "edede7dc8d7ece0985b7af302438cbc6e68291e100804bd1fda4e79361855acc"),
+    ("LGPL-2.0", "e5d84190aab6a9603e16f3d399fd871e7ca07400ebe661b8d9628887c400cab7"),
+    ("LGPL-2.0", "266ff884b67ad1a18c23de3fcd3a85031cd82a9e4b709657b913881289f7befb"),
+    ("LGPL-2.1", "ca3d7d43df0c144084b3bc4d30e7e6af5e29a3b2df6ddcfad02555a7a6135656"),
+    ("LGPL-2.1", "6d595fe6e15f49c076609b6f6edc3970f501fc3990bd70d30373b0a0c671097a"),
+    ("LGPL-3.0", "8b382dd66ce8da3b3b61af92a44dcc9e4dc64c240fefd721ed7bc1022686dbc9"),
+    ("MPL-1.1", "3ceafd88024d9d8fa7c4d17039fd8c8ed3c1f5b3d473725c28a0740d97215e38"),
+    ("MPL-2.0", "3b80a1a6a10bc176164e59217e6f341fc55a03780933fee211d780571d05949e"),
 ]
 
 
 def canonical(c: Column) -> Column:
     c = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n"))
-    c = F.regexp_replace(F.regexp_replace(c, LIST_MARK, ""), COPYRIGHT_LINE, "")
+    c = F.regexp_replace(F.regexp_replace(c, LIST_MARK, "$1"), COPYRIGHT_LINE, "")
     c = F.replace(F.regexp_replace(c, BARE_NOTICE, "$1"), F.lit("&"), F.lit(" and "))
     c = F.trim(F.regexp_replace(c, OUTSIDE, " "))
     for a, b in SPELLINGS:

@@ -13,7 +13,7 @@ def _canonical(c: str) -> str:
     """The canonical form, with patterns and spellings of its own, so that a fault in the operator's shows."""
     c = f"replace(lower(coalesce({c}, '')), chr(13) || chr(10), chr(10))"
     for pattern, by in [
-        (r"(?m)^[ \t]*[(]?(\d{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+", ""),
+        (r"(?m)(^[ \t]*|[.,:;][ \n\t]+|\band[ \n\t]+|\bor[ \n\t]+)[(]?(\d{1,2}|[a-z]|[ivx]{2,4})[.)][ \n\t]+", r"\1"),
         (r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|\d\d\d\d|[\[<{])|[(]c[)][^a-z0-9\n]*\d\d\d\d|©|all rights reserved[^a-z0-9\n]*$).*$", ""),
         (r"(\A\s*|\n[ \t]*\n)([ \t]*copyright[ \t]+[^\n]{1,60}(\n|\z))+([ \t]*\n|\s*\z)", r"\1"),
         ("&", " and "),
