@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.functions.shared import settle
@@ -81,19 +81,17 @@ def k_cliques(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def k_clique_communities(pairs: DataFrame, k: int) -> DataFrame:
-    """k, comm (from 0, largest first, ties by least node), node: unions of k-cliques that share k - 1 nodes.
+    """k, comm (from 0, largest first, ties by least node, then by least clique), node: unions of k-cliques that share k - 1 nodes.
 
     Cliques are linked through their (k - 1)-subsets to one clique each, never to one another."""
-    cliques = settle(k_cliques(pairs, k).withColumn("id", F.xxhash64("clique")))
-    subsets = cliques.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.filter("clique", lambda x, j: j != i))).alias("subset"))
-    hub = subsets.groupBy("subset").agg(F.min("id").alias("hub"))
-    links = subsets.join(hub, "subset").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    label = cliques.join(star_labels(links).withColumnsRenamed({"node": "id"}), "id", "left").select("clique", F.coalesce("comp", "id").alias("comp"))
+    cliques = settle(k_cliques(pairs, k))
+    subsets = cliques.select("clique", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.filter("clique", lambda x, j: j != i))).alias("subset"))
+    hub = subsets.groupBy("subset").agg(F.min("clique").alias("hub"))
+    links = subsets.join(hub, "subset").filter("clique <> hub").select(F.col("clique").alias("a"), F.col("hub").alias("b")).distinct()
+    label = cliques.join(star_labels(links).withColumnsRenamed({"node": "clique"}), "clique", "left").select("clique", F.coalesce("comp", "clique").alias("comp"))
     members = settle(label.select("comp", F.explode("clique").alias("node")).distinct())
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    all_members = members.groupBy("comp").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    # One row a community is ranked.
-    order = sizes.join(all_members, "comp").withColumn("comm", F.row_number().over(Window.orderBy(F.desc("n"), "least", "m")) - 1)
+    order = row_ordinals(sizes, [F.desc("n"), F.asc("least"), F.asc("comp")], "comm")
     return members.join(order.select("comp", "comm"), "comp").select(F.lit(k).alias("k"), "comm", "node")
 
 
@@ -110,27 +108,69 @@ def focal_communities(memberships: DataFrame, node) -> DataFrame:
     return memberships.join(mine, ["k", "comm"], "left_semi").groupBy("k", "comm").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
 
 
-def clique_families(cliques: DataFrame, similarity: float = 0.6, max_rounds: int = 60) -> DataFrame:
-    """lineup (array), size, variants, swaps, members: cliques in order (larger first, then lexicographic) join the first
-    family whose line-up is similar (Jaccard), or found one.
+def similar_cliques(c: DataFrame, similarity: float) -> DataFrame:
+    """c (id, clique) -> x < y: ids of cliques whose Jaccard similarity is at least `similarity`.
+
+    A prefix-filter join: members are ordered from rare to common, and two similar sets share one of their first
+    size - ceil(similarity x size) + 1; only these are joined, so that a hub's cliques do not all meet at the hub."""
+    flat = c.select("id", F.size("clique").alias("size"), F.explode("clique").alias("node"))
+    rare = flat.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    x = F.sort_array(F.collect_list(F.struct("n", "node"))).alias("x")
+    # Members of one clique only come first in the order and need no rows.
+    ordered = flat.join(rare, "node").groupBy("id").agg(F.first("size").alias("size"), x)
+    most = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("x"))
+    first = ordered.withColumn("most", most.cast("int")).filter("most > 0").select("id", "size", F.explode(F.transform(F.slice("x", F.lit(1), F.col("most")), lambda v: v["node"])).alias("node"))
+    sizes = (F.col("size") >= similarity * F.col("size_y") - 1e-9) & (F.col("size_y") >= similarity * F.col("size") - 1e-9)
+    pair = first.join(first.select("node", F.col("id").alias("y"), F.col("size").alias("size_y")), "node").filter((F.col("id") < F.col("y")) & sizes).select(F.col("id").alias("x"), "y").distinct()
+    both = pair.join(c.select(F.col("id").alias("x"), F.col("clique").alias("cx")), "x").join(c.select(F.col("id").alias("y"), F.col("clique").alias("cy")), "y")
+    n = F.size(F.array_intersect("cx", "cy"))
+    return both.filter(n >= similarity * (F.size("cx") + F.size("cy") - n) - 1e-12).select("x", "y")
+
+
+#: Pairs of one group of linked cliques that are settled in one task.
+LINKED = 100_000
+
+
+def _leaders(similar: DataFrame, most: int) -> DataFrame:
+    """similar (x < y) -> id, leads of all ids in it: an id leads if no smaller similar id does.
+
+    Groups of linked ids with up to `most` pairs are settled apart, each in one task and one go, however long a chain they hold;
+    larger ones in rounds, from ids whose smaller partners are all settled, until none is left."""
+    group = star_labels(similar.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rows = settle(similar.join(group.select(F.col("node").alias("x"), "comp"), "x"))
+    large = settle(rows.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("comp"))
+
+    def settle_group(part: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, list[int]] = {}
+        for x, y in zip(part["x"], part["y"], strict=True):
+            before.setdefault(x, [])
+            before.setdefault(y, []).append(x)
+        leads: dict[int, bool] = {}
+        for i in sorted(before):
+            leads[i] = not any(leads[x] for x in before[i])
+        return pd.DataFrame({"id": list(leads), "leads": list(leads.values())})
+
+    out = rows.join(large, "comp", "left_anti").groupBy("comp").applyInPandas(settle_group, "id long, leads boolean")
+    if large.isEmpty():
+        return out
+    rest = settle(rows.join(large, "comp", "left_semi").select("x", "y"))
+    state = settle(rest.select(F.explode(F.array("x", "y")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")))
+    while not state.filter("leads is null").isEmpty():
+        before = rest.join(state.withColumnRenamed("id", "x"), "x").groupBy(F.col("y").alias("id")).agg(F.max(F.coalesce("leads", F.lit(False))).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
+        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = settle(state.join(before, "id", "left").select("id", leads.alias("leads")))
+    return out.union(state)
+
 
-    A clique leads if no earlier similar clique does; leaders are settled in rounds, from cliques whose earlier similar
-    ones are all settled."""
+def clique_families(cliques: DataFrame, similarity: float = 0.6, most: int = LINKED) -> DataFrame:
+    """lineup (array), size, variants, swaps, members: cliques in order (larger first, then lexicographic) join the first
+    family whose line-up is similar (Jaccard), or found one."""
     c = settle(row_ordinals(cliques.select("clique", F.size("clique").alias("size")), [F.desc("size"), F.asc("clique")], "id"))
-    by_member = c.select("id", "clique", F.explode("clique").alias("node"))
-    pair = by_member.select("node", F.col("id").alias("x"), F.col("clique").alias("cx")).join(by_member.select("node", F.col("id").alias("y"), F.col("clique").alias("cy")), "node").filter("x < y")
-    common = pair.groupBy("x", "y").agg(F.count("*").alias("n"), F.first(F.size("cx")).alias("sx"), F.first(F.size("cy")).alias("sy"))
-    similar = settle(common.filter(F.col("n") >= similarity * (F.col("sx") + F.col("sy") - F.col("n")) - 1e-12).select("x", "y"))
-    state = settle(c.select("id", F.lit(None).cast("boolean").alias("leads")))
-    for _ in range(max_rounds):
-        before = similar.join(state.withColumnRenamed("id", "x"), "x").groupBy(F.col("y").alias("id")).agg(F.max(F.coalesce("leads", F.lit(False))).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
-        rows = state.join(before, "id", "left")
-        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = settle(rows.select("id", leads.alias("leads")))
-        if state.filter("leads is null").isEmpty():
-            break
-    first = similar.join(state.filter("leads").select(F.col("id").alias("x")), "x").groupBy(F.col("y").alias("id")).agg(F.min("x").alias("family"))
-    placed = state.join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("family")).alias("family")).join(c, "id")
+    similar = settle(similar_cliques(c, similarity))
+    leads = settle(_leaders(similar, most))
+    first = similar.join(leads.filter("leads").select(F.col("id").alias("x")), "x").groupBy(F.col("y").alias("id")).agg(F.min("x").alias("family"))
+    # A clique without similar ones leads, too.
+    placed = c.join(leads, "id", "left").join(first, "id", "left").select("id", "clique", F.when(F.coalesce("leads", F.lit(True)), F.col("id")).otherwise(F.col("family")).alias("family"))
     lineups = c.select(F.col("id").alias("family"), F.col("clique").alias("lineup"))
     groups = placed.groupBy("family").agg(F.count("*").alias("variants"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("clique")))).alias("members"))
     return groups.join(lineups, "family").select("lineup", F.size("lineup").alias("size"), "variants", F.array_except("members", "lineup").alias("swaps"), "members")

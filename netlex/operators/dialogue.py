@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlex.functions.shared import settle
 from netlex.functions.stats import pearson
-from netlex.operators.ranks import row_ordinals
+from netlex.operators.ranges import neighbours, running
+from netlex.operators.ranks import average_ranks, row_ordinals
 
 WORD = r"[a-z]+(?:'[a-z]+)?"
 #: The customary list of English stop words (with contractions, as tokens are), and words that fill speech.
@@ -96,15 +98,19 @@ def term_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("n").alias("n"))
 
 
+#: Fixed value: what counts as white space between raw words.
+WHITE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def stage_counts(lines: DataFrame) -> DataFrame:
-    """stage, tokens, types after each of six cumulative cleaning stages."""
-    text = F.replace(F.col("text"), F.lit("’"), F.lit("'"))
-    split = lambda c: F.filter(F.split(c, r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
-    words = F.transform(split(F.lower(strip_directions(text))), lambda x: F.regexp_replace(x, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
-    alpha = F.regexp_extract_all(F.lower(strip_directions(text)), F.lit(WORD), F.lit(0))
+    """stage (from 0), tokens, types after each of six cumulative cleaning stages of text with directions in brackets: split at
+    white space; lower-cased; words only; without directions; without stop words; without fillers."""
+    split = lambda c: F.regexp_extract_all(c, F.lit(f"[^{WHITE}]+"), F.lit(0))
     stops, fillers = (F.array(*[F.lit(w) for w in ws]) for ws in (STOP, FILLER))
-    stages = [split(text), split(strip_directions(text)), F.filter(words, lambda x: x != ""), alpha, F.filter(alpha, lambda x: ~F.array_contains(stops, x)), F.filter(alpha, lambda x: ~F.array_contains(stops, x) & ~F.array_contains(fillers, x))]
-    out = lines.select(F.posexplode(F.array(*stages)).alias("stage", "terms")).select("stage", F.explode("terms").alias("term"))
+    staged = lines.select(F.coalesce("text", F.lit("")).alias("text")).select("text", tokenize(strip_directions(F.col("text"))).alias("spoken"))
+    staged = staged.withColumn("content", F.filter("spoken", lambda x: ~F.array_contains(stops, x)))
+    stages = [split(F.col("text")), split(F.lower("text")), tokenize(F.col("text")), F.col("spoken"), F.col("content"), F.filter("content", lambda x: ~F.array_contains(fillers, x))]
+    out = staged.select(F.posexplode(F.array(*stages)).alias("stage", "terms")).select("stage", F.explode("terms").alias("term"))
     counts = out.groupBy("stage", "term").agg(F.count("*").alias("n"))
     return counts.groupBy("stage").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
 
@@ -123,18 +129,27 @@ def speaker_profile(lines: DataFrame) -> DataFrame:
 
 
 def turn_network(lines: DataFrame) -> DataFrame:
-    """a < b, weight: consecutive lines of one conversation by different speakers."""
-    w = Window.partitionBy("conv_id").orderBy("pos")
-    rows = lines.select("speaker", F.lead("speaker").over(w).alias("other")).filter("speaker <> other")
+    """a < b, weight: consecutive lines of one conversation by different speakers. A conversation of any length is spread over range parts."""
+    rows = neighbours(lines.select("conv_id", "pos", "speaker"), ["conv_id"], ["pos"], {"other": "speaker"}, ahead=True).filter("speaker <> other")
     return rows.groupBy(F.least("speaker", "other").alias("a"), F.greatest("speaker", "other").alias("b")).agg(F.count("*").alias("weight"))
 
 
-def talk_lift(pairs: DataFrame) -> DataFrame:
-    """a, b, weight, lift = weight / (s_a s_b / 2W)."""
+def core_speakers(lines: DataFrame, least: int = 2000) -> DataFrame:
+    """speaker of those with `least` tokens or more."""
+    return lines.groupBy("speaker").agg(F.sum(F.size(tokenize(F.col("text")))).alias("n")).filter(F.col("n") >= least).select("speaker")
+
+
+def talk_lift(pairs: DataFrame, core: DataFrame | None = None) -> DataFrame:
+    """a, b, weight, lift = weight / (s_a s_b / 2W), null where a strength is 0; on the subgraph of `core` speakers, if given.
+
+    Pairs that never talk have no row: their weight and lift are 0."""
+    if core is not None:
+        for end in ("a", "b"):
+            pairs = pairs.join(core.select(F.col("speaker").alias(end)).distinct(), end, "left_semi")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("s"))
     total = pairs.agg(F.sum("weight").alias("w"))
     rows = pairs.join(ends.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(ends.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").crossJoin(F.broadcast(total))
-    return rows.select("a", "b", "weight", (2.0 * F.col("weight") * F.col("w") / (F.col("sa").cast("double") * F.col("sb"))).alias("lift"))
+    return rows.select("a", "b", "weight", F.try_divide(2.0 * F.col("weight") * F.col("w"), F.col("sa").cast("double") * F.col("sb")).alias("lift"))
 
 
 def episode_jaccard(lines: DataFrame) -> DataFrame:
@@ -162,18 +177,33 @@ def cosine_pairs(vectors: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
 
 
-def heaps_curve(lines: DataFrame, checkpoints: list[int]) -> DataFrame:
-    """speaker, i, types: distinct terms among a speaker's first i tokens."""
-    order = Window.partitionBy("speaker").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.select("speaker", "pos", tokenize(F.col("text")).alias("toks"))
-    placed = rows.withColumn("base", F.coalesce(F.sum(F.size("toks")).over(order), F.lit(0)))
-    firsts = placed.select("speaker", "base", F.posexplode("toks").alias("i", "term")).groupBy("speaker", "term").agg(F.min(F.col("base") + F.col("i") + 1).alias("at"))
-    points = F.filter(F.array(*[F.lit(c) for c in checkpoints]), lambda c: c >= F.col("at"))
-    return firsts.select("speaker", F.explode(points).alias("i")).groupBy("speaker", "i").agg(F.count("*").alias("types"))
+def heaps_curve(lines: DataFrame, points: int = 40, first: int = 10) -> DataFrame:
+    """speaker, i, types: distinct terms among a speaker's first i tokens, at log-spaced i from `first` on and at the end.
+
+    Only lengths are summed along a speaker's lines, over range parts; of the tokens, each term's first place is kept before
+    anything is shuffled. (speaker, pos) should be unique; lines with equal ones come in the order of conv_id."""
+    order = ["pos", "conv_id"]
+    rows = lines.select("speaker", *order, tokenize(F.coalesce("text", F.lit(""))).alias("toks"))
+    base = running(rows.select("speaker", *order, F.size("toks").cast("long").alias("len")), ["speaker"], order, {"upto": (F.sum, F.col("len"))})
+    base = settle(base.select("speaker", *order, "upto", (F.col("upto") - F.col("len")).alias("base")))
+    met = rows.select("speaker", *order, F.posexplode("toks").alias("i", "term")).groupBy("speaker", "term").agg(F.min(F.struct(*order, "i")).alias("at"))
+    met = met.select(F.col("speaker").alias("of"), *(F.col(f"at.{c}").alias(f"{c}_") for c in order), F.col("at.i").alias("i"))
+    same = F.col("of").eqNullSafe(F.col("speaker")) & F.col("pos_").eqNullSafe(F.col("pos")) & F.col("conv_id_").eqNullSafe(F.col("conv_id"))
+    places = met.join(base, same).select("speaker", (F.col("base") + F.col("i") + 1).alias("place"))
+    ends = base.groupBy("speaker").agg(F.max("upto").alias("end")).filter("end > 0")
+    step = lambda k: F.floor(F.pow(F.lit(10.0), F.log10(F.lit(float(first))) + k * (F.log10(F.col("end")) - F.log10(F.lit(float(first)))) / (points - 1)))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(points - 2)), lambda k: step(k).cast("long"))
+    grid = ends.select("speaker", F.array_distinct(F.array_append(F.filter(spaced, lambda x: x < F.col("end")), F.col("end"))).alias("grid"))
+    # At most `points` rows a speaker from here on.
+    here = F.col("of").eqNullSafe(F.col("speaker"))
+    new = places.withColumnRenamed("speaker", "of").join(grid, here).groupBy("speaker", F.array_min(F.filter("grid", lambda x: x >= F.col("place"))).alias("i")).agg(F.count("*").alias("new"))
+    every = grid.select("speaker", F.explode("grid").alias("i")).join(new.withColumnsRenamed({"speaker": "of", "i": "at"}), here & (F.col("i") == F.col("at")), "left")
+    upto = Window.partitionBy("speaker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return every.select("speaker", "i", F.sum(F.coalesce("new", F.lit(0))).over(upto).alias("types"))
 
 
 def distinctive_terms(counts: DataFrame, top: int = 12, least: int = 5) -> DataFrame:
-    """owner, term, n, z: log-odds with the corpus as an informative Dirichlet prior; the `top` of each owner.
+    """owner, term, n, z: log-odds with the corpus as an informative Dirichlet prior; the `top` of each owner, ties to the greater term.
 
     An owner's total leaves stop words out, the corpus total has them."""
     corpus = counts.groupBy("term").agg(F.sum("n").alias("a"))
@@ -184,7 +214,7 @@ def distinctive_terms(counts: DataFrame, top: int = 12, least: int = 5) -> DataF
     rest, nrest = a - y, a0 - n
     delta = F.ln(F.try_divide(y + a, n + a0 - y - a)) - F.ln(F.try_divide(rest + a, nrest + a0 - rest - a))
     z = F.round(delta / F.sqrt(1 / (y + a) + 1 / (rest + a)), 6)
-    ranked = rows.select("owner", "term", "n", z.alias("z")).filter("z is not null").withColumn("i", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("z"), "term")))
+    ranked = rows.select("owner", "term", "n", z.alias("z")).filter("z is not null").withColumn("i", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("z"), F.desc("term"))))
     return ranked.filter(F.col("i") <= top).drop("i")
 
 
@@ -225,11 +255,23 @@ def who_says(lines: DataFrame, phrases: list[str], top: int = 3) -> DataFrame:
 
 
 def concordance(lines: DataFrame, pattern: str) -> DataFrame:
-    """conv_id, pos, speaker, text, before_speaker, before_text of matching lines; typographic apostrophes are made plain."""
-    w = Window.partitionBy("conv_id").orderBy("pos")
+    """conv_id, pos, speaker, text, before_speaker, before_text of matching lines; typographic apostrophes are made plain.
+
+    Places find their forerunners over range parts, without texts; only matching lines and those before them are looked
+    up. (conv_id, pos) should be unique."""
     plain = F.replace(F.col("text"), F.lit("’"), F.lit("'"))
-    rows = lines.withColumns({"before_speaker": F.lag("speaker").over(w), "before_text": F.lag("text").over(w)})
-    return rows.filter(F.lower(plain).rlike(pattern)).select("conv_id", "pos", "speaker", "text", "before_speaker", "before_text")
+    slim = lines.select("conv_id", "pos", F.lower(plain).rlike(pattern).alias("hit"))
+    found = neighbours(slim, ["conv_id"], ["pos"], {"before": "pos"}).filter("hit")
+    found = settle(found.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), "before"))
+    at = lambda p: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos").eqNullSafe(F.col(p)))
+    rows = lines.select("conv_id", "pos", "speaker", "text").join(found, at("p")).select("c", "p", "before", "speaker", "text")
+    prior = lines.select("conv_id", "pos", F.col("speaker").alias("before_speaker"), F.col("text").alias("before_text"))
+    return rows.join(prior, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("before")), "left").select(F.col("c").alias("conv_id"), F.col("p").alias("pos"), "speaker", "text", "before_speaker", "before_text")
+
+
+def concordance_speakers(found: DataFrame) -> DataFrame:
+    """speaker, lines: matching lines of each speaker."""
+    return found.groupBy("speaker").agg(F.count("*").alias("lines"))
 
 
 def episode_table(lines: DataFrame, ratings: DataFrame, crosswalk: DataFrame, focal: str) -> DataFrame:
@@ -298,11 +340,15 @@ def mean_similarity(pairs: DataFrame, value: str, owners: DataFrame) -> DataFram
 
 def partial_rank_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Correlation of the ranks of x and y with the ranks of z held fixed."""
-    from netlex.operators.ranks import average_ranks
-
     ranked = average_ranks(average_ranks(average_ranks(df.select(x, y, z), x, "rx_"), y, "ry_"), z, "rz_")
     c = ranked.agg(pearson("rx_", "ry_").alias("xy"), pearson("rx_", "rz_").alias("xz"), pearson("ry_", "rz_").alias("yz"))
-    return c.select(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
+    return c.select(partial("xy", "xz", "yz").alias("partial"))
+
+
+def partial(xy: str, xz: str, yz: str) -> Column:
+    """Partial correlation of x and y given z from the three correlations; null where z explains all of one."""
+    xy, xz, yz = (F.col(c) for c in (xy, xz, yz))
+    return F.try_divide(xy - xz * yz, F.sqrt((1 - xz**2) * (1 - yz**2)))
 
 
 def corpus_meta(lines: DataFrame, counts: DataFrame) -> DataFrame:

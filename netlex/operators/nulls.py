@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlex.functions.shared import settle
-from netlex.functions.stats import pearson
 from netlex.operators.communities import attribute_assortativity
-from netlex.operators.ranks import row_ordinals
+from netlex.operators.ranks import average_ranks, row_ordinals
 
 
 def rewire(pairs: DataFrame, replicates: int, swaps_per_edge: int = 10, seed: int = 1, rounds: int | None = None, directed: bool = False) -> DataFrame:
@@ -105,25 +104,70 @@ def homophily(pairs: DataFrame, labels: DataFrame, replicates: int, seed: int =
     return permutation_p(null_summary(samples, real, []))
 
 
-def reciprocal_rank(pairs: DataFrame, value: str) -> DataFrame:
-    """Average ranks of a pair table's value, for permutation tests that only move labels."""
-    from netlex.operators.ranks import average_ranks
-
-    return average_ranks(pairs.select("a", "b", value), value, "rank").select("a", "b", "rank")
-
-
-def mantel(one: DataFrame, two: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
-    """real (Spearman over pairs a < b with `value`), at_least, n, p: labels of the second table are permuted.
-
-    Pairs are ranked once: a permutation of the labels keeps the set of values."""
-    x, y = reciprocal_rank(one, "value"), reciprocal_rank(two, "value")
-    both = x.join(y.withColumnRenamed("rank", "other"), ["a", "b"])
-    real = both.agg(pearson("rank", "other").alias("real"))
-    nodes = y.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node").cast("string"))
-    moved = label_shuffle(nodes, replicates, seed)
-    to = lambda end: moved.select("replicate", F.col("node").cast("string").alias(end), F.col("label").alias(f"to_{end}"))
-    cast = y.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("rank").alias("other"))
-    shuffled = cast.join(to("a"), "a").join(to("b"), ["replicate", "b"]).select("replicate", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"), "other")
-    base = x.select(F.least(F.col("a").cast("string"), F.col("b").cast("string")).alias("a"), F.greatest(F.col("a").cast("string"), F.col("b").cast("string")).alias("b"), "rank")
-    samples = base.join(shuffled, ["a", "b"]).groupBy("replicate").agg(pearson("rank", "other").alias("value"))
-    return permutation_p(null_summary(samples, real.withColumnRenamed("real", "value"), []))
+def sparse_ranks(tables: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, a, b, e) and (name, base, pairs, squares) of several tables of values of pairs a < b of `nodes`; a pair without a row has the value 0.
+
+    Average ranks over all n (n - 1) / 2 pairs, without a row for those of value 0: they share one rank, which lies `base` above the
+    mean rank, and e is how far another pair's rank lies above theirs. squares: the sum of squared deviations over all pairs."""
+    known = settle(nodes.select("node").distinct())
+    n = known.count()
+    pairs = n * (n - 1) // 2
+    rows = scalars = None
+    for name, table in tables.items():
+        held = table.select("a", "b", F.col("value").cast("double").alias("value")).filter("value <> 0")
+        for end in ("a", "b"):
+            held = held.join(known.select(F.col("node").alias(end)), end, "left_semi")
+        ranked = settle(average_ranks(held.select("a", "b", "value"), "value", "rank"))
+        at = ranked.agg(F.count("*").alias("m"), F.count_if(F.col("value") < 0).alias("below"))
+        at = at.select((F.lit(float(pairs)) - F.col("m")).alias("zeros"), (F.col("below") + (F.lit(pairs) - F.col("m") + 1) / 2 - (pairs + 1) / 2).alias("base"))
+        mine = ranked.crossJoin(F.broadcast(at)).select(F.lit(name).alias("name"), "a", "b", (F.col("rank") + F.when(F.col("value") < 0, 0.0).otherwise(F.col("zeros")) - (pairs + 1) / 2 - F.col("base")).alias("e"))
+        sums = at.crossJoin(mine.agg(F.coalesce(F.sum(F.col("e") * F.col("e")), F.lit(0.0)).alias("s")))
+        sums = sums.select(F.lit(name).alias("name"), "base", F.lit(float(pairs)).alias("pairs"), (F.col("s") - F.lit(float(pairs)) * F.col("base") * F.col("base")).alias("squares"))
+        rows, scalars = (mine, sums) if rows is None else (rows.union(mine), scalars.union(sums))
+    return settle(rows), settle(scalars)
+
+
+def _products(x: DataFrame, y: DataFrame, of_x: DataFrame, of_y: DataFrame, keys: list[str], frame: DataFrame | None = None) -> DataFrame:
+    """keys, x, y, value: correlations of the ranks of every table of x with every one of y; y has the keys too.
+
+    Deviations add up to nothing, so of the products over all pairs only those with a row in both tables are needed."""
+    dots = x.withColumnRenamed("name", "x").join(y.select(*keys, "a", "b", F.col("name").alias("y"), F.col("e").alias("other")), ["a", "b"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("e") * F.col("other")).alias("dot"))
+    side = lambda of, c: of.select(F.col("name").alias(c), F.col("base").alias(f"base_{c}"), "pairs", F.col("squares").alias(f"squares_{c}"))
+    every = side(of_x, "x").crossJoin(F.broadcast(side(of_y, "y").drop("pairs")))
+    if frame is not None:
+        every = every.crossJoin(F.broadcast(frame))
+    value = F.try_divide(F.coalesce("dot", F.lit(0.0)) - F.col("pairs") * F.col("base_x") * F.col("base_y"), F.sqrt(F.col("squares_x") * F.col("squares_y")))
+    return every.join(dots, [*keys, "x", "y"], "left").select(*keys, "x", "y", value.alias("value"))
+
+
+def pair_correlations(xs: dict[str, DataFrame], ys: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
+    """x, y, value: Spearman's correlation over all pairs a < b of `nodes` of every table (a, b, value) of xs with every one of ys;
+    a pair without a row counts as 0. Work grows with the rows, not with the square of the nodes."""
+    (x, of_x), (y, of_y) = sparse_ranks(xs, nodes), sparse_ranks(ys, nodes)
+    return _products(x, y, of_x, of_y, [])
+
+
+def mantel_tests(xs: dict[str, DataFrame], ys: dict[str, DataFrame], nodes: DataFrame, replicates: int = 1999, seed: int = 1) -> DataFrame:
+    """x, y, real, mean, sd, z, at_least, n, p: pair_correlations against those with the nodes of ys permuted.
+
+    A permutation moves the nodes and keeps the values, so pairs are ranked once."""
+    (x, of_x), (y, of_y) = sparse_ranks(xs, nodes), sparse_ranks(ys, nodes)
+    real = _products(x, y, of_x, of_y, []).withColumn("value", F.round("value", 12))
+    known = nodes.select("node").distinct()
+    moved = settle(label_shuffle(known.withColumn("label", F.col("node").cast("string")), replicates, seed).select("replicate", F.col("node").cast("string").alias("node"), "label"))
+    to = lambda end: moved.select("replicate", F.col("node").alias(end), F.col("label").alias(f"to_{end}"))
+    text = lambda df: df.select("name", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "e")
+    ordered = lambda df, a, b: df.withColumns({"a": F.least(a, b), "b": F.greatest(a, b)})
+    shuffled = text(y).join(to("a"), "a").join(to("b"), ["replicate", "b"]).drop("a", "b").withColumnsRenamed({"to_a": "p", "to_b": "q"})
+    shuffled = ordered(shuffled, "p", "q").select("replicate", "name", "a", "b", "e")
+    frame = known.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
+    samples = _products(ordered(text(x), "a", "b"), shuffled, of_x, of_y, ["replicate"], frame).withColumn("value", F.round("value", 12))
+    return permutation_p(null_summary(samples, real, ["x", "y"]))
+
+
+def mantel(one: DataFrame, two: DataFrame, replicates: int, seed: int = 1, nodes: DataFrame | None = None) -> DataFrame:
+    """real (Spearman over all pairs a < b of the nodes; absent ones are 0), mean, sd, z, at_least, n, p: labels of the second table are
+    permuted. Without `nodes`, they are those of both tables."""
+    if nodes is None:
+        nodes = one.select("a", "b").union(two.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return mantel_tests({"one": one}, {"two": two}, nodes, replicates, seed).drop("x", "y")

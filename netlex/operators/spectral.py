@@ -25,6 +25,9 @@ def eigenvector(sym: DataFrame, nodes: DataFrame, tol: float = 1e-12, max_rounds
             x = settle(x)
         if rounds is None and moved < n * tol:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"eigenvector did not converge in {max_rounds} rounds")
     quotient = e.join(x.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("y")).join(x, "node").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
     return x.withColumnRenamed("x", "eigenvector"), quotient
 
@@ -46,4 +49,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: flo
         x = both.drop("moved")
         if rounds is None and moved < tol:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"pagerank did not converge in {max_rounds} rounds")
     return x.select("node", F.col("x").alias("pagerank"))

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from netlex.functions.shared import settle
 from netlex.operators.components import star_labels
 from netlex.operators.graph import strength
+from netlex.operators.ranks import row_ordinals
 from netlex.operators.traverse import component_sizes
 
 
-def spanning_forest(scored: DataFrame, max_rounds: int = 60) -> DataFrame:
+def spanning_forest(scored: DataFrame) -> DataFrame:
     """(a, b, score) -> the edges of the minimum spanning forest by (score, a, b), with `tree` (least node of the final
-    component), by Boruvka rounds: every component takes its least outgoing edge."""
+    component), by Boruvka rounds: every component takes its least outgoing edge, so each round at least halves their number."""
     key = F.struct("score", "a", "b")
     edges = settle(scored.select("a", "b", "score").filter("a <> b").distinct())
     labels = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")))
     forest = None
-    for _ in range(max_rounds):
+    while True:
         ends = edges.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").filter("ca <> cb")
         live = settle(ends.select("a", "b", "score", "ca", "cb"))
         if live.isEmpty():
@@ -36,9 +37,14 @@ def spanning_forest(scored: DataFrame, max_rounds: int = 60) -> DataFrame:
     return forest.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("tree")), "a").select("a", "b", "score", "tree")
 
 
+#: Merges that are replayed in one task.
+RANGE = 100_000
+
+
 def _replay(frame: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over one tree's edges in ascending order."""
-    frame = frame.sort_values(["score", "a", "b"], kind="stable")
+    """Union-find over the edges of one range in ascending order; `ca`, `cb` name the components that the range starts with, `na`,
+    `nb` their sizes."""
+    frame = frame.sort_values("at", kind="stable")
     parent: dict = {}
     size: dict = {}
 
@@ -50,9 +56,9 @@ def _replay(frame: pd.DataFrame) -> pd.DataFrame:
         return x
 
     sizes_a, sizes_b = [], []
-    for a, b in zip(frame["a"], frame["b"], strict=True):
+    for a, b, n, m in zip(frame["ca"], frame["cb"], frame["na"], frame["nb"], strict=True):
         x, y = find(a), find(b)
-        n, m = size.get(x, 1), size.get(y, 1)
+        n, m = size.get(x, n), size.get(y, m)
         sizes_a.append(n)
         sizes_b.append(m)
         parent[y] = x
@@ -60,14 +66,36 @@ def _replay(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["a", "b", "score"]].assign(size_a=sizes_a, size_b=sizes_b)
 
 
-def merge_events(scored: DataFrame) -> DataFrame:
+def merge_events(scored: DataFrame, most: int = RANGE) -> DataFrame:
     """a, b, score, size_a, size_b, min_size: every merge of components in ascending (score, a, b).
 
-    The replay of a tree is one task; it sees only the forest's edges (nodes - 1), not the graph's."""
-    forest = spanning_forest(scored)
+    A reconstruction by ranges: the forest's edges are cut in half by their order; what the lower half joins becomes one node with a
+    size in the upper half, and so on with both halves at once, until no range has more than `most` edges. Ranges are then replayed
+    apart. All ranges of a level are one job, and there are log2(edges / most) levels."""
+    forest = row_ordinals(spanning_forest(scored).drop("tree"), [F.asc("score"), F.asc("a"), F.asc("b")], "at")
+    one = F.lit(1).cast("long")
+    rows = settle(forest.select("*", F.col("a").alias("ca"), F.col("b").alias("cb"), one.alias("na"), one.alias("nb"), F.lit(0).cast("long").alias("part")))
+    half = 1
+    while half * most < rows.count():
+        half *= 2
+    while half > 1:
+        half //= 2
+        upper = F.pmod(F.floor(F.col("at") / (half * most)), F.lit(2)) == 1
+        lower = rows.filter(~upper)
+        key = lambda c: F.struct("part", F.col(c).alias("node"))
+        labels = star_labels(lower.select(key("ca").alias("a"), key("cb").alias("b")))
+        sizes = lower.select(key("ca").alias("node"), F.col("na").alias("n")).union(lower.select(key("cb"), "nb")).distinct()
+        held = labels.join(sizes, "node")
+        joined = settle(held.select("node", "comp").join(held.groupBy("comp").agg(F.sum("n").alias("size")), "comp").select(F.col("node.part").alias("part"), F.col("node.node").alias("was"), F.col("comp.node").alias("now"), "size"))
+        above = rows.filter(upper)
+        for c, n in (("ca", "na"), ("cb", "nb")):
+            found = joined.select("part", F.col("was").alias(c), "now", "size")
+            above = above.join(found, ["part", c], "left").withColumns({c: F.coalesce("now", c), n: F.coalesce("size", n)}).drop("now", "size")
+        part = lambda df, x: df.withColumn("part", F.col("part") * 2 + x).select(rows.columns)
+        rows = settle(part(lower, 0).union(part(above, 1)))
     kind = dict(forest.dtypes)
     schema = f"a {kind['a']}, b {kind['b']}, score {kind['score']}, size_a long, size_b long"
-    return forest.groupBy("tree").applyInPandas(lambda f: _replay(f), schema).withColumn("min_size", F.least("size_a", "size_b"))
+    return rows.groupBy("part").applyInPandas(lambda f: _replay(f), schema).withColumn("min_size", F.least("size_a", "size_b"))
 
 
 def threshold_sweep(scored: DataFrame, grid: list[float]) -> DataFrame:

@@ -5,11 +5,14 @@ All roots share one frontier of (root, node) rows. A driver loop reads one count
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlex.functions.shared import settle
 from netlex.operators.components import components
+from netlex.operators.ranks import row_ordinals
 
 
 def component_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -20,8 +23,6 @@ def component_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def ranked_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp, size, place: 1 for the largest component, ties by least node. The ranking is over components."""
-    from netlex.operators.ranks import row_ordinals
-
     sized = component_sizes(pairs, nodes)
     order = row_ordinals(sized.select("comp", "size").distinct(), [F.desc("size"), F.asc("comp")], "place")
     return sized.join(order.select("comp", (F.col("place") + 1).alias("place")), "comp").select("node", "comp", "size", "place")
@@ -56,8 +57,8 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> Dat
     return seen
 
 
-def shortest_path(edges: DataFrame, start, end, max_depth: int = 64) -> DataFrame:
-    """One row: path (array, null if there is none), reached (nodes reached from start).
+def shortest_path(edges: DataFrame, start, end, max_depth: int | None = None) -> DataFrame:
+    """One row: path (array, null if there is none), reached (nodes reached from start, within max_depth hops if that is given).
 
     Of several shortest paths, the one whose nodes are least, read from the end."""
     spark = edges.sparkSession
@@ -158,3 +159,29 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     scale = n / max(1, s) / max(1, (n - 1) * (n - 2))
     total = dependencies(edges, roots).groupBy("node").agg(F.sum("delta").alias("delta"))
     return v.join(total, "node", "left").select("node", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def betweenness_within(edges: DataFrame, nodes: DataFrame, error: float = 0.01, confidence: float = 0.95, batch: int = 64, seed: int = 1) -> DataFrame:
+    """node, betweenness, error, sources: betweenness from sources drawn by hash, in batches that double, until with the given
+    confidence no node is off by more than `error`, or all nodes have been sources (error 0, exact).
+
+    Bounds are empirical Bernstein bounds on a source's share of a node, which lies in [0, 1], over all nodes and batches at once."""
+    v = settle(nodes.select("node").distinct().withColumn("h", F.xxhash64(F.lit(seed), "node")))
+    n, e = v.count(), settle(edges.select("src", "dst").distinct())
+    order = row_ordinals(v, [F.asc("h"), F.asc("node")], "place")
+    rounds = max(1, math.ceil(math.log2(max(2, n / batch))) + 1)
+    tail = math.log(3 * max(1, n) * rounds / (1 - confidence))
+    sums, done = None, 0
+    while True:
+        more = min(n, max(batch, 2 * done))
+        part = order.filter((F.col("place") >= done) & (F.col("place") < more)).select("node")
+        x = F.col("delta") / max(1, n - 2)
+        new = dependencies(e, part).groupBy("node").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+        sums = settle(new if sums is None else sums.union(new).groupBy("node").agg(F.sum("s").alias("s"), F.sum("q").alias("q")))
+        done = more
+        mean, square = F.coalesce("s", F.lit(0.0)) / max(1, done), F.coalesce("q", F.lit(0.0)) / max(1, done)
+        variance = F.greatest(square - mean * mean, F.lit(0.0)) * (done / max(1, done - 1))
+        half = F.lit(0.0) if done >= n else F.sqrt(2 * variance * tail / done) + 3 * tail / done
+        rows = settle(v.join(sums, "node", "left").select("node", (mean * n / max(1, n - 1)).alias("betweenness"), (half * n / max(1, n - 1)).alias("error"), F.lit(done).cast("long").alias("sources")))
+        if done >= n or (rows.agg(F.max("error")).first()[0] or 0.0) <= error:
+            return rows
