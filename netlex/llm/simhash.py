@@ -318,15 +318,17 @@ def _parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, shingles (32 bits of each hash), parity."""
+def _shingle_sets(docs: DataFrame, size: int, parity: bool = False) -> DataFrame:
+    """node, shingles (32 bits of each hash) and, if asked for, parity."""
+    names = ["node", "shingles", *(["parity"] if parity else [])]
 
     def run(batches):
         for b in slices(batches, "text"):
             sets = [np.unique((_shingle_values(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32())), pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))], ["node", "shingles", "parity"])
+            cols = [b.column(0), pa.array(sets, pa.list_(pa.int32())), *([pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))] if parity else [])]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<int>, parity array<long>")
+    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<int>" + ", parity array<long>" * parity)
 
 
 #: Least-hash bands: a pair of similarity 0.8 shares one of BANDS keys of ROWS least hashes with probability 1 - (1 - 0.8^4)^20 = 0.99997.
@@ -381,7 +383,7 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     pair goes on only if sizes and what follows the shared places leave room for the overlap, and if the parity bits differ
     by no more than similar sets of these sizes can."""
     some = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = written(_shingle_sets(some, size), "open_shingles")
+    sets = written(_shingle_sets(some, size, parity=True), "open_shingles")
     flat = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     shared = flat.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
     x = F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x")
