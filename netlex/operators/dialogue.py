@@ -331,6 +331,23 @@ def top_partners(pairs: DataFrame, value: str, k: int = 3) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def pair_table(talk: DataFrame, jaccard: DataFrame, similarities: DataFrame) -> DataFrame:
+    """a, b, weight, lift, jaccard and the similarities of all pairs that have any of them; what a pair lacks is 0, and so is all of
+    a pair without a row."""
+    out = talk.join(jaccard, ["a", "b"], "full").join(similarities, ["a", "b"], "full")
+    return out.fillna(0, [c for c in out.columns if c not in ("a", "b")])
+
+
+def who_says_bigrams(lines: DataFrame, phrases: DataFrame, top: int = 3) -> DataFrame:
+    """first, second, speaker, lines: the speakers with most lines that hold a bigram of phrases (first, second); a line counts once."""
+    t = lines.select("speaker", tokenize(F.coalesce("text", F.lit(""))).alias("t")).filter("size(t) > 1")
+    pairs = F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("first"), F.expr("slice(t, 2, size(t) - 1)").alias("second"))
+    held = t.select("speaker", F.explode(F.array_distinct(pairs)).alias("p")).select("speaker", "p.first", "p.second")
+    rows = held.join(phrases.select("first", "second").distinct(), ["first", "second"]).groupBy("first", "second", "speaker").agg(F.count("*").alias("lines"))
+    w = Window.partitionBy("first", "second").orderBy(F.desc("lines"), "speaker")
+    return rows.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= top).drop("i")
+
+
 def mean_similarity(pairs: DataFrame, value: str, owners: DataFrame) -> DataFrame:
     """owner, mean over all other owners (absent pairs count as 0)."""
     n = owners.select("owner").distinct().agg((F.count("*") - 1).alias("n"))

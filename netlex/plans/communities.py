@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from netlex.operators import cliques, communities, graph, sweep
@@ -42,11 +44,30 @@ add("backbone", lambda s, d: r6(sweep.backbone_report(_scored(s, d), 0.05), "kep
     count(*) AS nodes, coalesce(max(n), 0) AS giant, coalesce(round(max(n) / count(*), 6), 0) AS giant_share FROM bb JOIN (SELECT comp, count(*) AS n FROM bb GROUP BY comp) USING (comp)""", (CORETURN, _ALPHA, _under("bb", "alpha < 0.05")), True)
 add("backbone_nodes", lambda s, d: sweep.backbone_nodes(coreturn(s, d), 0.05, 8).select("node", "strength", "deg", "in_giant"), """SELECT node, strength, deg, comp = (SELECT comp FROM bb GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1) AS in_giant
     FROM bb JOIN wk USING (node) ORDER BY deg DESC, node LIMIT 8""", (CORETURN, _ALPHA, _under("bb", "alpha < 0.05")), True)
-add("threshold_sweep", lambda s, d: sweep.threshold_sweep(_rounded(s, d), GRID))
-add("merge_events", lambda s, d: sweep.merge_events(_rounded(s, d)).orderBy(F.desc("min_size"), "score", "a", "b").limit(6))
+
+
+def _kruskal(edges: str) -> str:
+    """mg (a, b, score, size_a, size_b): merges of components edge by edge, on a list of all nodes' labels; edges: a query of a, b, score."""
+    same = "lab[pa] = lab[pb]"
+    size = lambda p: f"CASE WHEN {same} THEN 0 ELSE len(list_filter(lab, lambda x: x = lab[{p}])) END"
+    return f"""ko AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score, a, b) AS i, a, b, score FROM ({edges})),
+    kn AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS p FROM (SELECT a AS node FROM ko UNION SELECT b FROM ko)),
+    ke AS MATERIALIZED (SELECT i, a, b, score, x.p AS pa, y.p AS pb FROM ko JOIN kn x ON x.node = a JOIN kn y ON y.node = b),
+    kr AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(p ORDER BY p) FROM kn) AS lab, CAST(0 AS BIGINT) AS size_a, CAST(0 AS BIGINT) AS size_b
+        UNION ALL SELECT ke.i, CASE WHEN {same} THEN lab ELSE list_transform(lab, lambda x: CASE WHEN x = lab[pb] THEN lab[pa] ELSE x END) END, {size("pa")}, {size("pb")} FROM kr JOIN ke ON ke.i = kr.i + 1),
+    mg AS MATERIALIZED (SELECT a, b, score, size_a, size_b, least(size_a, size_b) AS min_size FROM kr JOIN ke USING (i) WHERE size_a > 0)"""
+
+
+_POINTS = f"(SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in GRID)}]) AS t)"
+_MERGES = _kruskal("SELECT a, b, round(alpha, 6) AS score FROM al")
+_SWEEP = f"sw AS (SELECT t, (SELECT count(*) FROM ko WHERE score < t) AS edges, (SELECT coalesce(max(size_a + size_b), 0) FROM mg WHERE score < t) AS giant FROM {_POINTS})"
+add("threshold_sweep", lambda s, d: sweep.threshold_sweep(_rounded(s, d), GRID), "SELECT t, edges, giant FROM sw", (CORETURN, _ALPHA, _MERGES, _SWEEP), True)
+add("merge_events", lambda s, d: sweep.merge_events(_rounded(s, d)), "SELECT a, b, score, size_a, size_b, min_size FROM mg", (CORETURN, _ALPHA, _MERGES), True)
+add("load_bearing_merges", lambda s, d: sweep.merge_events(_rounded(s, d)).orderBy(F.desc("min_size"), "score", "a", "b").limit(6), "SELECT a, b, score, size_a, size_b, min_size FROM mg ORDER BY min_size DESC, score, a, b LIMIT 6", (CORETURN, _ALPHA, _MERGES), True)
 add("threshold_edges", lambda s, d: sweep.threshold_sweep(_rounded(s, d), GRID).select("t", "edges"), f"SELECT t, count(al.a) AS edges FROM (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in GRID)}]) AS t) LEFT JOIN al ON round(alpha, 6) < t GROUP BY t", (CORETURN, _ALPHA))
 add("threshold_giant", lambda s, d: sweep.threshold_sweep(_rounded(s, d), [0.02]).select("t", "giant"), "SELECT CAST(0.02 AS DOUBLE) AS t, coalesce(max(n), 0) AS giant FROM (SELECT count(*) AS n FROM bb GROUP BY comp)", (CORETURN, _ALPHA, _under("bb", "round(alpha, 6) < 0.02")), True)
-add("critical_threshold", lambda s, d: r6(sweep.critical_threshold(sweep.threshold_sweep(_rounded(s, d), GRID)), "fall"))
+add("critical_threshold", lambda s, d: r6(sweep.critical_threshold(sweep.threshold_sweep(_rounded(s, d), GRID)), "fall"), """SELECT t, round(fall, 6) AS fall FROM (SELECT t, lag(giant / (SELECT nullif(max(giant), 0) FROM sw)) OVER (ORDER BY t DESC) - giant / (SELECT nullif(max(giant), 0) FROM sw) AS fall FROM sw)
+    WHERE fall > 0.15 ORDER BY t DESC LIMIT 1""", (CORETURN, _ALPHA, _MERGES, _SWEEP), True)
 
 
 def _order(s, d):
@@ -59,7 +80,7 @@ def _order(s, d):
 def _random_order(s, d):
     from netlex.operators.ranks import row_ordinals
 
-    return row_ordinals(users(s, d).withColumn("h", F.xxhash64(F.lit(17), "node")), [F.asc("h"), F.asc("node")], "i").select("node", (F.col("i") + 1).alias("place"))
+    return row_ordinals(users(s, d).withColumn("h", F.md5(F.concat(F.lit("17/"), F.col("node").cast("string")).cast("binary"))), [F.asc("h"), F.asc("node")], "i").select("node", (F.col("i") + 1).alias("place"))
 
 
 def _central_order(s, d, measure):
@@ -77,11 +98,25 @@ def _steps(s, d):
     return min(150, users(s, d).count() - 1)
 
 
-add("removal_curve", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), "giant_frac"))
+#: Places of removal by degree and by a hash; curves from the merges of the edges in the order of their ends' removal, backwards.
+_PLACES = """by_degree AS (SELECT node, row_number() OVER (ORDER BY deg DESC, node) AS place FROM d), by_hash AS (SELECT node, row_number() OVER (ORDER BY md5('17/' || node), node) AS place FROM v),
+    nn AS (SELECT count(*) AS n, least(150, count(*) - 1) AS steps FROM v)"""
+
+
+def _curve(places: str, name: str) -> str:
+    edges = f"SELECT u.a, u.b, -least(CASE WHEN x.place <= steps THEN x.place ELSE steps + 1 END, CASE WHEN y.place <= steps THEN y.place ELSE steps + 1 END) AS score FROM u JOIN {places} x ON x.node = u.a JOIN {places} y ON y.node = u.b, nn"
+    made = _kruskal(edges)
+    for t in ("ko", "kn", "ke", "kr", "mg"):
+        made = re.sub(rf"\b{t}\b", f"{t}_{name}", made)
+    return made + f""",
+    curve_{name} AS (SELECT CAST(step AS INTEGER) AS step, greatest(1, coalesce((SELECT max(size_a + size_b) FROM mg_{name} WHERE score < -step), 0)) / (n - step) AS giant_frac FROM nn, range(0, 151) r(step) WHERE step <= steps)"""
+
+
+add("removal_curve", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), "giant_frac"), "SELECT step, round(giant_frac, 6) AS giant_frac FROM curve_degree", (FOLLOW, _PLACES, _curve("by_degree", "degree")), True)
 _GONE = """gone AS (SELECT node FROM d ORDER BY deg DESC, node LIMIT 5), left_u AS (SELECT a, b FROM u WHERE a NOT IN (SELECT node FROM gone) AND b NOT IN (SELECT node FROM gone))"""
 add("removal_step", lambda s, d: r6(sweep.removal_curve(follow(s, d)[0], _order(s, d), 5).filter("step = 5"), "giant_frac"), "SELECT CAST(5 AS INTEGER) AS step, round(coalesce(max(n), 1) / ((SELECT count(*) FROM v) - 5), 6) AS giant_frac FROM (SELECT count(*) AS n FROM bb GROUP BY comp)", (FOLLOW, _GONE, _under("bb", "true", "left_u")), True)
 add("compare_removals", lambda s, d: r6(sweep.compare_removals(follow(s, d)[0], {"degree": _order(s, d), "betweenness": _central_order(s, d, "betweenness"), "pagerank": _central_order(s, d, "pagerank"), "random": _random_order(s, d)}, _steps(s, d)), "end_frac"))
-add("removal_gap", lambda s, d: r6(sweep.removal_gap(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), sweep.removal_curve(follow(s, d)[0], _random_order(s, d), _steps(s, d))), "max_gap"))
+add("removal_gap", lambda s, d: r6(sweep.removal_gap(sweep.removal_curve(follow(s, d)[0], _order(s, d), _steps(s, d)), sweep.removal_curve(follow(s, d)[0], _random_order(s, d), _steps(s, d))), "max_gap"), "SELECT round(max(abs(p.giant_frac - q.giant_frac)), 6) AS max_gap FROM curve_degree p JOIN curve_hash q USING (step)", (FOLLOW, _PLACES, _curve("by_degree", "degree"), _curve("by_hash", "hash")), True)
 
 
 def _worst(s, d):
@@ -125,10 +160,28 @@ def _percolated(s, d):
     return cliques.k_clique_communities(_some(s, d), 3)
 
 
-add("k_clique_communities", _percolated)
+def _percolation(k: int, rounds: int = 10) -> str:
+    """pc<k> (k, comm, node): least labels go to and fro between k-cliques and their (k - 1)-subsets."""
+    c = f"q{k}"
+    joins = {3: "SELECT [p.a, p.b, q.b] AS m FROM hu p JOIN hu q ON q.a = p.b JOIN hu r ON r.a = p.a AND r.b = q.b"}
+    parts = [f"{c}3 AS MATERIALIZED ({joins[3]})"]
+    for i in range(4, k + 1):
+        ties = " ".join(f"JOIN hu e{j} ON e{j}.a = m[{j}] AND e{j}.b = n.b" for j in range(1, i - 1))
+        parts.append(f"{c}{i} AS MATERIALIZED (SELECT list_append(m, n.b) AS m FROM {c}{i - 1} JOIN hu n ON n.a = m[{i - 1}] {ties})")
+    drop = ", ".join(f"list_concat(m[1:{i - 1}], m[{i + 1}:{k}])" if i > 1 else f"m[2:{k}]" for i in range(1, k + 1))
+    parts.append(f"{c}s AS MATERIALIZED (SELECT m, unnest([{drop}]) AS part FROM {c}{k})")
+    parts.append(f"{c}l0 AS (SELECT m, m AS label FROM {c}{k})")
+    for i in range(1, rounds + 1):
+        parts.append(f"{c}l{i} AS MATERIALIZED (SELECT s.m, min(x.label) AS label FROM {c}s s JOIN (SELECT part, min(label) AS label FROM {c}s JOIN {c}l{i - 1} USING (m) GROUP BY part) x USING (part) GROUP BY 1)")
+    parts.append(f"{c}n AS (SELECT DISTINCT label, unnest(m) AS node FROM {c}l{rounds})")
+    parts.append(f"pc{k} AS (SELECT CAST({k} AS INTEGER) AS k, comm, node FROM {c}n JOIN (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(node), label) - 1 AS comm FROM {c}n GROUP BY label) USING (label))")
+    return ",\n".join(parts)
+
+
+add("k_clique_communities", _percolated, "SELECT k, comm, node FROM pc3", (FOLLOW, _SOME, _percolation(3)))
 add("k_clique_members", lambda s, d: _percolated(s, d).select("node").distinct(), "SELECT DISTINCT node FROM (SELECT unnest([p.a, p.b, q.b]) AS node FROM hu p JOIN hu q ON q.a = p.b JOIN hu r ON r.a = p.a AND r.b = q.b)", (FOLLOW, _SOME))
-add("overlap_counts", lambda s, d: cliques.overlap_counts(_percolated(s, d).union(cliques.k_clique_communities(_some(s, d), 4)), users(s, d), [3, 4]))
-add("focal_communities", lambda s, d: cliques.focal_communities(_percolated(s, d), 1).select("k", "comm", "size", F.array_join(F.col("members").cast("array<string>"), " ").alias("members")))
+add("overlap_counts", lambda s, d: cliques.overlap_counts(_percolated(s, d).union(cliques.k_clique_communities(_some(s, d), 4)), users(s, d), [3, 4]), "SELECT node, coalesce(x.n, 0) AS k3_n, coalesce(y.n, 0) AS k4_n FROM v LEFT JOIN (SELECT node, count(*) AS n FROM pc3 GROUP BY 1) x USING (node) LEFT JOIN (SELECT node, count(*) AS n FROM pc4 GROUP BY 1) y USING (node)", (FOLLOW, _SOME, _percolation(3), _percolation(4)))
+add("focal_communities", lambda s, d: cliques.focal_communities(_percolated(s, d), 1).select("k", "comm", "size", F.array_join(F.col("members").cast("array<string>"), " ").alias("members")), "SELECT k, comm, count(*) AS size, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY node) AS members FROM pc3 WHERE comm IN (SELECT comm FROM pc3 WHERE node = 1) GROUP BY 1, 2", (FOLLOW, _SOME, _percolation(3)))
 
 
 def _louvain(s, d, weighted):

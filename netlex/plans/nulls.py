@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netlex.operators import graph, null_models, nulls
+from netlex.functions.shared import settle
+from netlex.operators import graph, lexical, null_models, nulls
 from netlex.operators.communities import attribute_assortativity
 from netlex.plans.communities import _labels
 from netlex.plans.graphs import r6
 from netlex.plans.inputs import FOLLOW, follow, follow_degrees, follow_edges, lines, sql, users
-from netlex.plans.text import _cosine
+from netlex.plans.text import pair_values, predictors
+from netlex.plans.traversal import LEVELS, levels
 
 QUERIES, SQL = {}, {}
 #: Rewires of the registered centrality null (the operator takes 200 by default): each is measured from all nodes.
@@ -31,10 +33,17 @@ QUERIES["null_histogram"] = _histogram
 
 
 def _mantel(s, d):
+    """Nine tests: three kinds of similarity on samples of equal size against three measures of talk, among speakers of 2,000 tokens or more."""
     from netlex.operators import dialogue
 
-    lift = dialogue.talk_lift(dialogue.turn_network(lines(s, d))).select("a", "b", F.round("lift", 9).alias("value"))
-    return r6(nulls.mantel(lift, _cosine(s, d).select("a", "b", F.round("cosine", 9).alias("value")), 1999), "real", "mean", "sd", "z", "p")
+    every = settle(lines(s, d))
+    core = settle(dialogue.core_speakers(every))
+    said = every.join(core, "speaker", "left_semi").select(every.columns)
+    kc = dialogue.speaker_terms(every)
+    alike = lexical.equalized_similarity(said, dialogue.term_counts(kc))
+    talk = settle(dialogue.pair_table(dialogue.talk_lift(dialogue.turn_network(every), core), dialogue.episode_jaccard(said), alike))
+    tests = nulls.mantel_tests(predictors(talk), {k: pair_values(talk, k) for k in lexical.KINDS}, core.withColumnRenamed("speaker", "node"), 1999)
+    return r6(tests, "real", "mean", "sd", "z", "p")
 
 
 QUERIES["mantel"] = _mantel
@@ -42,13 +51,16 @@ QUERIES["rewired_arcs"] = lambda s, d: nulls.rewire(graph.clean_edges(follow_edg
 QUERIES["shuffle_test"] = lambda s, d: r6(null_models.shuffle_test(*follow(s, d), graph.clean_edges(follow_edges(s, d), users(s, d)), 20), "real", "mean", "sd", "z")
 QUERIES["centrality_null"] = lambda s, d: r6(null_models.centrality_null(*follow(s, d), CENTRAL), "real", "mean", "sd", "z", "ratio")
 QUERIES["broker_lists"] = lambda s, d: r6(null_models.broker_lists(null_models.centrality_null(*follow(s, d), CENTRAL), follow_degrees(s, d)), "z")
-QUERIES["clique_null"] = lambda s, d: r6(null_models.clique_null(*follow(s, d), 200, 3), "mean", "sd")
-QUERIES["model_ledger"] = lambda s, d: r6(null_models.model_ledger({"purchases": follow(s, d)[0], "rewired": nulls.rewire(follow(s, d)[0], 1).select("a", "b")}, users(s, d)).filter("name = 'purchases'"), "value")
+QUERIES["clique_null"] = lambda s, d: r6(null_models.clique_null(*follow(s, d), 200, 5), "mean", "sd")
+QUERIES["model_ledger"] = lambda s, d: r6(null_models.model_ledger({"purchases": follow(s, d)[0]}, users(s, d)), "value")
+QUERIES["verdict_counts"] = lambda s, d: r6(null_models.verdict_counts(null_models.centrality_null(*follow(s, d), CENTRAL)), "least_ratio", "most_ratio")
 SQL["model_ledger"] = sql(
-    [FOLLOW, """walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FROM walk JOIN s ON src = node),
+    [FOLLOW, levels("s", "bl", LEVELS), """walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FROM walk JOIN s ON src = node),
     tr AS (SELECT p.a AS x, p.b AS y, q.b AS z FROM u p JOIN u q ON q.a = p.b JOIN u r ON r.a = p.a AND r.b = q.b),
     tn AS (SELECT node, count(*) AS t FROM (SELECT unnest([x, y, z]) AS node FROM tr) GROUP BY 1),
     cc AS (SELECT CASE WHEN deg >= 2 THEN 2.0 * coalesce(t, 0) / (deg * (deg - 1)) ELSE 0 END AS c FROM d LEFT JOIN tn USING (node))"""],
     """SELECT 'purchases' AS name, statistic, round(value, 6) AS value FROM (SELECT 'clustering' AS statistic, (SELECT avg(c) FROM cc) AS value UNION ALL SELECT 'triangles', (SELECT CAST(count(*) AS DOUBLE) FROM tr)
     UNION ALL SELECT 'components', (SELECT CAST(count(DISTINCT c) AS DOUBLE) FROM (SELECT min(root) AS c FROM walk GROUP BY node)) UNION ALL SELECT 'hub_share', (SELECT max(deg) / sum(deg) FROM d)
-    UNION ALL SELECT 'assortativity', (SELECT corr(x.deg, y.deg) FROM s JOIN d x ON x.node = src JOIN d y ON y.node = dst))""", True)
+    UNION ALL SELECT 'assortativity', (SELECT corr(x.deg, y.deg) FROM s JOIN d x ON x.node = src JOIN d y ON y.node = dst)
+    UNION ALL SELECT 'n', (SELECT CAST(count(*) AS DOUBLE) FROM v) UNION ALL SELECT 'm', (SELECT CAST(count(*) AS DOUBLE) FROM u) UNION ALL SELECT 'mean_degree', (SELECT avg(deg) FROM d) UNION ALL SELECT 'max_degree', (SELECT CAST(max(deg) AS DOUBLE) FROM d)
+    UNION ALL SELECT 'gamma', (SELECT CASE WHEN count(*) >= 3 THEN 1 - regr_slope(ln(count), ln(k)) END FROM c WHERE k > 0) UNION ALL SELECT 'path_length', (SELECT avg(dist) FROM bl WHERE dist > 0))""", True)

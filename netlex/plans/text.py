@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netlex.functions.shared import settle
 from netlex.operators import dialogue as dl
-from netlex.operators import lexical
+from netlex.operators import lexical, nulls
 from netlex.plans.graphs import r6
 from netlex.plans.inputs import CHATS, LINES, TOKENS, chats, lines, sql, table
 
@@ -53,30 +54,78 @@ add("cosine_pairs", lambda s, d: r6(_cosine(s, d), "cosine"), "SELECT a, b, roun
 
 
 def _pairs(s, d):
-    t = dl.talk_lift(dl.turn_network(lines(s, d)))
-    return t.join(dl.episode_jaccard(lines(s, d)), ["a", "b"]).join(_cosine(s, d), ["a", "b"])
+    kc = counts(s, d)
+    return dl.pair_table(dl.talk_lift(dl.turn_network(lines(s, d))), dl.episode_jaccard(lines(s, d)), lexical.pair_similarities(kc, dl.term_counts(kc)))
+
+
+_KINDS = f"""xr AS (SELECT kc.owner, kc.term, CAST(kc.n AS DOUBLE) AS w FROM kc JOIN kw USING (term) WHERE kw.n >= 5),
+    xs AS (SELECT owner, term, n / sum(n) OVER (PARTITION BY owner) AS w FROM kc WHERE term IN ({_STOP})),
+    xk AS (SELECT 'raw' AS kind, * FROM xr UNION ALL SELECT 'style', * FROM xs UNION ALL SELECT 'content', owner, term, weight FROM vc),
+    xu AS (SELECT kind, owner, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, owner)) AS x FROM xk WHERE w <> 0),
+    xp AS (SELECT p.owner AS a, q.owner AS b, sum(p.x * q.x) FILTER (p.kind = 'raw') AS raw, sum(p.x * q.x) FILTER (p.kind = 'style') AS style, sum(p.x * q.x) FILTER (p.kind = 'content') AS content
+        FROM xu p JOIN xu q ON p.kind = q.kind AND p.term = q.term AND p.owner < q.owner GROUP BY 1, 2)"""
+#: All pairs of speakers, whatever they share: what they lack is 0.
+_EVERY = """sp AS (SELECT DISTINCT speaker FROM l), jx AS (SELECT a, b, m / (p.n + q.n - m) AS jaccard FROM jc JOIN hn p ON p.speaker = a JOIN hn q ON q.speaker = b),
+    pt AS (SELECT x.speaker AS a, y.speaker AS b, coalesce(weight, 0) AS weight, coalesce(lift, 0) AS lift, coalesce(jaccard, 0) AS jaccard, coalesce(raw, 0) AS raw, coalesce(style, 0) AS style, coalesce(content, 0) AS content
+        FROM sp x JOIN sp y ON x.speaker < y.speaker LEFT JOIN lf ON lf.a = x.speaker AND lf.b = y.speaker LEFT JOIN jx ON jx.a = x.speaker AND jx.b = y.speaker LEFT JOIN xp ON xp.a = x.speaker AND xp.b = y.speaker)"""
+_TABLES = (LINES, TOKENS, _TURNS, _JAC, _VEC, _KINDS, _EVERY)
+add("pair_table", lambda s, d: r6(_pairs(s, d), "lift", "jaccard", *lexical.KINDS), "SELECT a, b, weight, round(lift, 6) AS lift, round(jaccard, 6) AS jaccard, round(raw, 6) AS raw, round(style, 6) AS style, round(content, 6) AS content FROM pt WHERE weight + jaccard + abs(raw) + abs(style) + abs(content) > 0", _TABLES)
+
+
+def pair_values(table, column, log=False):
+    """One column of the pair table as values of pairs, without noise in the last digits."""
+    value = F.log1p(column) if log else F.col(column)
+    return table.select("a", "b", F.round(value, 9).alias("value"))
+
+
+def predictors(table):
+    return {"lift": pair_values(table, "lift"), "turns": pair_values(table, "weight", log=True), "episodes": pair_values(table, "jaccard")}
+
+
+def _rank_correlations(s, d):
+    t = settle(_pairs(s, d))
+    return nulls.pair_correlations(predictors(t), {k: pair_values(t, k) for k in lexical.KINDS}, lines(s, d).select(F.col("speaker").alias("node")))
+
+
+_RANKS = "rk AS (SELECT a, b, " + ", ".join(f"rank() OVER (ORDER BY {e}) + (count(*) OVER (PARTITION BY {e}) - 1) / 2 AS {n}" for n, e in [("lift", "round(lift, 9)"), ("turns", "round(ln(1 + weight), 9)"), ("episodes", "round(jaccard, 9)"), *((k, f"round({k}, 9)") for k in lexical.KINDS)]) + " FROM pt)"
+add("pair_rank_corr", lambda s, d: r6(_rank_correlations(s, d), "value"), " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS value FROM rk" for x in ("lift", "turns", "episodes") for y in lexical.KINDS), (*_TABLES, _RANKS))
+
+
+def _partial(s, d):
+    """Talk and sounding alike, shared episodes held fixed."""
+    t = settle(_pairs(s, d))
+    of = {k: pair_values(t, k) for k in ("style", "content")} | {"lift": pair_values(t, "lift"), "episodes": pair_values(t, "jaccard")}
+    c = settle(nulls.pair_correlations({k: of[k] for k in ("lift", "episodes")}, of, lines(s, d).select(F.col("speaker").alias("node"))))
+    one = lambda x, name: c.filter(F.col("x") == x).select("y", F.col("value").alias(name))
+    xz = c.filter("x = 'lift' and y = 'episodes'").select(F.col("value").alias("xz"))
+    rows = one("lift", "xy").join(one("episodes", "yz"), "y").filter("y in ('style', 'content')").crossJoin(F.broadcast(xz))
+    return rows.select(F.col("y").alias("kind"), dl.partial("xy", "xz", "yz").alias("partial"))
 
 
-add("pair_table", lambda s, d: r6(_pairs(s, d).filter("weight >= 2"), "lift", "jaccard", "cosine"), "SELECT a, b, weight, round(lift, 6) AS lift, round(m / (p.n + q.n - m), 6) AS jaccard, round(cosine, 6) AS cosine FROM lf JOIN jc USING (a, b) JOIN cs USING (a, b) JOIN hn p ON p.speaker = a JOIN hn q ON q.speaker = b WHERE weight >= 2", (LINES, TOKENS, _TURNS, _JAC, _VEC))
 add("top_partners", lambda s, d: r6(dl.top_partners(_cosine(s, d).select("a", "b", F.round("cosine", 6).alias("cosine")), "cosine"), "cosine"), """SELECT node, partner, cosine, CAST(i AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, partner) AS i FROM (
     SELECT a AS node, b AS partner, round(cosine, 6) AS cosine FROM cs UNION ALL SELECT b, a, round(cosine, 6) FROM cs)) WHERE i <= 3""", (LINES, TOKENS, _VEC))
 add("mean_similarity", lambda s, d: r6(dl.mean_similarity(_cosine(s, d), "cosine", counts(s, d)), "mean"), "SELECT owner, round(coalesce(m / ((SELECT count(DISTINCT owner) FROM kc) - 1), 0), 6) AS mean FROM (SELECT DISTINCT owner FROM kc) LEFT JOIN (SELECT owner, sum(cosine) AS m FROM (SELECT a AS owner, cosine FROM cs UNION ALL SELECT b, cosine FROM cs) GROUP BY owner) USING (owner)", (LINES, TOKENS, _VEC))
-add("partial_rank_corr", lambda s, d: r6(dl.partial_rank_corr(_pairs(s, d).select(F.round("lift", 6).alias("lift"), F.round("cosine", 6).alias("cosine"), "weight"), "lift", "cosine", "weight"), "partial"), """SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM (
-    SELECT rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2 AS x, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS y, rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2 AS z FROM (
-    SELECT round(lift, 6) AS l, round(cosine, 6) AS c, weight FROM lf JOIN jc USING (a, b) JOIN cs USING (a, b))))""", (LINES, TOKENS, _TURNS, _JAC, _VEC))
-add("heaps_curve", lambda s, d: dl.heaps_curve(lines(s, d), [10, 100, 1000, 5000]), """SELECT speaker, CAST(c AS INTEGER) AS i, count(*) AS types FROM (SELECT speaker, term, min(r) AS met FROM (SELECT speaker, term, row_number() OVER (PARTITION BY speaker ORDER BY pos, j) AS r FROM (
-    SELECT speaker, pos, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS j FROM (SELECT speaker, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))) GROUP BY 1, 2), (SELECT unnest([10, 100, 1000, 5000]) AS c) WHERE c >= met GROUP BY 1, 2""", (LINES,))
-add("distinctive_terms", lambda s, d: dl.distinctive_terms(counts(s, d)), f"""SELECT owner, term, n, z FROM (SELECT owner, term, n, z, row_number() OVER (PARTITION BY owner ORDER BY z DESC, term) AS i FROM (
+add("partial_rank_corr", lambda s, d: r6(_partial(s, d), "partial"), " UNION ALL ".join(f"SELECT '{k}' AS kind, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM (SELECT corr(lift, {k}) AS xy, corr(lift, episodes) AS xz, corr({k}, episodes) AS yz FROM rk)" for k in ("style", "content")), (*_TABLES, _RANKS))
+add("heaps_curve", lambda s, d: dl.heaps_curve(lines(s, d)), """SELECT speaker, i, (SELECT count(*) FROM hf WHERE hf.speaker = hg.speaker AND met <= i) AS types FROM (SELECT speaker, unnest(list_distinct(list_append(list_filter(list_transform(range(0, 39), lambda k: CAST(floor(pow(10, 1 + k * (log10(n) - 1) / 39)) AS BIGINT)), lambda x: x < n), n))) AS i FROM he) hg""",
+    (LINES, """ht AS (SELECT speaker, term, row_number() OVER (PARTITION BY speaker ORDER BY pos, j) AS r FROM (SELECT speaker, pos, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS j FROM (
+        SELECT speaker, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))),
+    he AS (SELECT speaker, count(*) AS n FROM ht GROUP BY 1), hf AS (SELECT speaker, term, min(r) AS met FROM ht GROUP BY 1, 2)"""))
+add("distinctive_terms", lambda s, d: dl.distinctive_terms(counts(s, d)), f"""SELECT owner, term, n, z FROM (SELECT owner, term, n, z, row_number() OVER (PARTITION BY owner ORDER BY z DESC, term DESC) AS i FROM (
     SELECT owner, term, y AS n, round((ln((y + a) / (ni + a0 - y - a)) - ln((a - y + a) / (a0 - ni + a0 - (a - y) - a))) / sqrt(1 / (y + a) + 1 / (a - y + a)), 6) AS z FROM (
     SELECT kc.owner, kc.term, kc.n AS y, CAST(kw.n AS DOUBLE) AS a, sum(kc.n) FILTER (WHERE kc.term NOT IN ({_STOP})) OVER (PARTITION BY kc.owner) AS ni, (SELECT sum(n) FROM kw) AS a0 FROM kc JOIN kw USING (term)) WHERE y >= 5 AND term NOT IN ({_STOP}))) WHERE i <= 12""")
 _BI = """bt AS (SELECT t FROM (SELECT regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l) WHERE len(t) > 1),
     bc AS (SELECT f AS first, g AS second, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(t[1:len(t) - 1]) AS f, unnest(t[2:]) AS g FROM bt) GROUP BY 1, 2)"""
+_WORDS_SQL = "regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?')"
 _X = "CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END"
 _G2 = " ".join(f"{sign} {_X.format(e)}" for sign, e in (("", "n"), ("+", "r - n"), ("+", "q - n"), ("+", "t - r - q + n"), ("-", "r"), ("-", "t - r"), ("-", "q"), ("-", "t - q"), ("+", "t")))
 add("bigram_g2", lambda s, d: dl.bigram_g2(lines(s, d)), f"""SELECT first, second, CAST(n AS BIGINT) AS n, round(2 * ({_G2}), 6) AS g2 FROM bc JOIN (SELECT first, sum(n) AS r FROM bc GROUP BY 1) USING (first) JOIN (SELECT second, sum(n) AS q FROM bc GROUP BY 1) USING (second), (SELECT sum(n) AS t FROM bc)
     WHERE n >= 15 AND first NOT IN ({_STOP}) AND second NOT IN ({_STOP}) ORDER BY g2 DESC, first, second LIMIT 30""", (LINES, _BI))
 add("trigrams", lambda s, d: dl.trigrams(lines(s, d)), f"""SELECT trigram, n FROM (SELECT a || ' ' || b || ' ' || c AS trigram, count(*) AS n, any_value([a, b, c]) AS w FROM (SELECT unnest(t[1:len(t) - 2]) AS a, unnest(t[2:len(t) - 1]) AS b, unnest(t[3:]) AS c FROM bt WHERE len(t) > 2) GROUP BY 1 ORDER BY n DESC, trigram LIMIT 400)
     WHERE len(list_filter(w, lambda x: x IN ({_LOW}))) <= 1 ORDER BY n DESC, trigram LIMIT 25""", (LINES, _BI))
+add("who_says_bigrams", lambda s, d: dl.who_says_bigrams(lines(s, d), dl.bigram_g2(lines(s, d))), f"""SELECT first, second, speaker, lines FROM (SELECT first, second, speaker, count(*) AS lines, row_number() OVER (PARTITION BY first, second ORDER BY count(*) DESC, speaker) AS i FROM (
+    SELECT DISTINCT conv_id, pos, speaker, f AS first, g AS second FROM (SELECT conv_id, pos, speaker, unnest(t[1:len(t) - 1]) AS f, unnest(t[2:]) AS g FROM (SELECT conv_id, pos, speaker, {_WORDS_SQL} AS t FROM l) WHERE len(t) > 1)) JOIN (
+    SELECT first, second, round(2 * ({_G2}), 6) AS g2 FROM bc JOIN (SELECT first, sum(n) AS r FROM bc GROUP BY 1) USING (first) JOIN (SELECT second, sum(n) AS q FROM bc GROUP BY 1) USING (second), (SELECT sum(n) AS t FROM bc)
+    WHERE n >= 15 AND first NOT IN ({_STOP}) AND second NOT IN ({_STOP}) ORDER BY g2 DESC, first, second LIMIT 30) USING (first, second) GROUP BY 1, 2, 3) WHERE i <= 3""", (LINES, _BI))
 _SAY = ["in the", "of the", "on the", "de la"]
 add("who_says", lambda s, d: dl.who_says(lines(s, d), _SAY), f"""SELECT phrase, speaker, lines FROM (SELECT phrase, speaker, count(*) AS lines, row_number() OVER (PARTITION BY phrase ORDER BY count(*) DESC, speaker) AS i FROM (
     SELECT speaker, ' ' || array_to_string(regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?'), ' ') || ' ' AS t FROM l), (SELECT unnest({_SAY}) AS phrase) WHERE contains(t, ' ' || phrase || ' ') GROUP BY 1, 2) WHERE i <= 3""", (LINES,))
@@ -101,7 +150,13 @@ add("rating_correlation", lambda s, d: r6(dl.rating_correlation(_episodes(s, d))
 add("word_class_mix", lambda s, d: dl.word_class_mix(chats(s, d)), f"""SELECT conv_id, pos, CAST(len(t) - st - fi AS INTEGER) AS content, CAST(st AS INTEGER) AS stop, CAST(fi AS INTEGER) AS filler FROM (SELECT conv_id, pos, t, len(list_filter(t, lambda x: x IN ({_STOP}))) AS st,
     len(list_filter(t, lambda x: x IN ({", ".join(f"'{w}'" for w in dl.FILLER)}))) AS fi FROM (SELECT conv_id, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))""", (CHATS,))
 add("corpus_meta", lambda s, d: dl.corpus_meta(lines(s, d), counts(s, d)), "SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(DISTINCT conv_id) FROM l) AS episodes, (SELECT count(DISTINCT speaker) FROM l) AS speakers, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types FROM kw")
-add("stage_counts", lambda s, d: dl.stage_counts(lines(s, d)))
+_SPLIT = r"regexp_extract_all({0}, '[^\x{{9}}-\x{{D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+')"
+_BARE = r"regexp_replace(text, '\[[^\]]*\]', ' ', 'g')"
+_WORDS = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z]+(?:''[a-z]+)?')"
+add("stage_counts", lambda s, d: dl.stage_counts(lines(s, d)), f"""SELECT CAST(stage AS INTEGER) AS stage, count(*) AS tokens, count(DISTINCT term) AS types FROM (
+    SELECT 0 AS stage, unnest({_SPLIT.format("text")}) AS term FROM l UNION ALL SELECT 1, unnest({_SPLIT.format("lower(text)")}) FROM l UNION ALL SELECT 2, unnest({_WORDS.format("text")}) FROM l
+    UNION ALL SELECT 3, term FROM sw UNION ALL SELECT 4, term FROM sw WHERE term NOT IN ({_STOP}) UNION ALL SELECT 5, term FROM sw WHERE term NOT IN ({_LOW})) GROUP BY stage""",
+    (LINES, f"sw AS (SELECT unnest({_WORDS.format(_BARE)}) AS term FROM l)"))
 
 
 def _guesses(s, d):
@@ -150,12 +205,6 @@ def _similarities(s, d):
     return lexical.pair_similarities(kc, dl.term_counts(kc))
 
 
-_KINDS = f"""xr AS (SELECT kc.owner, kc.term, CAST(kc.n AS DOUBLE) AS w FROM kc JOIN kw USING (term) WHERE kw.n >= 5),
-    xs AS (SELECT owner, term, n / sum(n) OVER (PARTITION BY owner) AS w FROM kc WHERE term IN ({_STOP})),
-    xk AS (SELECT 'raw' AS kind, * FROM xr UNION ALL SELECT 'style', * FROM xs UNION ALL SELECT 'content', owner, term, weight FROM vc),
-    xu AS (SELECT kind, owner, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, owner)) AS x FROM xk WHERE w <> 0),
-    xp AS (SELECT p.owner AS a, q.owner AS b, sum(p.x * q.x) FILTER (p.kind = 'raw') AS raw, sum(p.x * q.x) FILTER (p.kind = 'style') AS style, sum(p.x * q.x) FILTER (p.kind = 'content') AS content
-        FROM xu p JOIN xu q ON p.kind = q.kind AND p.term = q.term AND p.owner < q.owner GROUP BY 1, 2)"""
 add("pair_similarities", lambda s, d: r6(_similarities(s, d), *lexical.KINDS), "SELECT a, b, round(coalesce(raw, 0), 6) AS raw, round(coalesce(style, 0), 6) AS style, round(coalesce(content, 0), 6) AS content FROM xp", (LINES, TOKENS, _VEC, _KINDS))
 add("equalized_similarity", lambda s, d: r6(lexical.equalized_similarity(lines(s, d), dl.term_counts(counts(s, d))), *lexical.KINDS))
 add("types_in_sample", lambda s, d: r6(lexical.types_in_sample(lines(s, d), 2000), "types"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netlex.operators import graph, spectral, traverse
+from netlex.operators import graph, sketches, spectral, traverse
 from netlex.plans.inputs import FOLLOW, follow, follow_edges, sql, users
 
 QUERIES, SQL = {}, {}
@@ -101,7 +101,26 @@ def _path(s, d):
     return traverse.shortest_path(graph.clean_edges(follow_edges(s, d), users(s, d)), ends[0], ends[1]).select(F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), "reached")
 
 
-add("shortest_path", _path)
+def _back(n: int) -> str:
+    """Tables t0 .. t<n>: the end of the path, and before each node the least one of those a step nearer to the start."""
+    parts = ["ends AS (SELECT min(node) AS a, max(node) AS b FROM v)", "t0 AS (SELECT node, dist FROM bl WHERE node = (SELECT b FROM ends))"]
+    for i in range(1, n + 1):
+        parts.append(f"t{i} AS (SELECT min(src) AS node, any_value(bl.dist) AS dist FROM t{i - 1} t JOIN e ON e.dst = t.node JOIN bl ON bl.node = e.src AND bl.dist = t.dist - 1 HAVING count(*) > 0)")
+    parts.append("way AS (" + " UNION ALL ".join(f"SELECT {i} AS i, node FROM t{i}" for i in range(n + 1)) + ")")
+    return ",\n".join(parts)
+
+
+add("shortest_path", _path, "SELECT (SELECT string_agg(CAST(node AS VARCHAR), ' ' ORDER BY i DESC) FROM way) AS path, (SELECT count(*) FROM bl) AS reached", (FOLLOW, levels("e", "bl", LEVELS, "SELECT min(node) AS node FROM v"), _back(LEVELS)))
+
+
+def _sketched(s, d):
+    pairs, nodes = follow(s, d)
+    return graph.symmetrize(pairs), nodes
+
+
+add("sketched_closeness", lambda s, d: r6(sketches.sketched_closeness(*_sketched(s, d)), "closeness", "harmonic"))
+add("sketched_distances", lambda s, d: r6(sketches.sketched_distances(*_sketched(s, d)), "pairs"))
+add("betweenness_within", lambda s, d: r6(traverse.betweenness_within(*_sketched(s, d), error=0.05), "betweenness", "error"))
 add("closeness", lambda s, d: r6(traverse.closeness(*_all(s, d)), "closeness", "harmonic"), """SELECT node, round(coalesce(r * r / (far * (n - 1)), 0), 6) AS closeness, round(coalesce(inv / (n - 1), 0), 6) AS harmonic FROM v
     LEFT JOIN (SELECT root AS node, count(*) AS r, sum(dist) AS far, sum(1 / dist) AS inv FROM bl WHERE dist > 0 GROUP BY root) USING (node), (SELECT count(*) AS n FROM v)""", (FOLLOW, levels("s", "bl", LEVELS)))
 #: Independent of the operator: paths through v are sigma(s, v) x sigma(v, t) where distances add up.
