@@ -164,3 +164,34 @@ def test_concordance(spark):
     got = {(r.conv_id, r.pos, r.before_speaker, r.before_text) for r in dialogue.concordance(lines, "that's what").collect()}
     assert got == {("c", 0, None, None), ("c", 2, "s1", "no"), ("c", 3, "s2", "THAT's what she"), ("d", 1, None, None), (None, 2, "n", "x")}
     assert {tuple(r) for r in dialogue.concordance_speakers(dialogue.concordance(lines, "that's what")).collect()} == {("s0", 2), ("s2", 1), ("s", 1), ("n", 1)}
+
+
+def test_a_statistic_of_ones_own(spark):
+    from netlex.operators import null_models
+
+    pairs, _ = random_pairs(spark, 30, 60, 9)
+
+    def leaves(graphs, nodes):
+        ends = graphs.select("replicate", F.explode(F.array("a", "b")).alias("node")).groupBy("replicate", "node").agg(F.count("*").alias("deg"))
+        return ends.groupBy("replicate").agg(F.count_if(F.col("deg") == 1).alias("value")).select("replicate", F.lit("leaves").alias("statistic"), "value")
+
+    got = null_models.shuffle_test(pairs.select("a", "b"), spark.range(30).withColumnRenamed("id", "node"), replicates=5, measures=[leaves]).collect()
+    # Rewires keep degrees, so the count does not change.
+    assert [(r.statistic, r.real == r["mean"], r.n, r.outcome) for r in got] == [("leaves", True, 5, "invariant")]
+
+
+def test_checkpoint_folder_is_asked_for():
+    from netlex.functions.shared import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
