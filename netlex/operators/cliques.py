@@ -102,6 +102,26 @@ def overlap_counts(memberships: DataFrame, nodes: DataFrame, ks: list[int]) -> D
     return rows.select("node", *(F.col(str(k)).alias(f"k{k}_n") for k in ks))
 
 
+def overlap_leaders(counts: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """node, the column of overlap_counts, place (from 1): the nodes in most communities, ties by node."""
+    best = counts.select("node", column).orderBy(F.desc(column), "node").limit(top)
+    return row_ordinals(best, [F.desc(column), F.asc("node")], "place").withColumn("place", F.col("place") + 1)
+
+
+def overlap_place(counts: DataFrame, column: str, node) -> DataFrame:
+    """node, the column, place of one node: one more than the nodes that are in more communities."""
+    one = counts.filter(F.col("node") == node).select("node", F.col(column).alias("own"))
+    ahead = counts.crossJoin(F.broadcast(one.select("own"))).agg((F.count_if(F.col(column) > F.col("own")) + 1).alias("place"))
+    return one.crossJoin(ahead).select("node", F.col("own").alias(column), "place")
+
+
+def focal_subgraph(memberships: DataFrame, pairs: DataFrame, node) -> DataFrame:
+    """a, b: the links among the nodes that share a community with a node, itself included."""
+    mine = memberships.filter(F.col("node") == node).select("k", "comm")
+    near = settle(memberships.join(mine, ["k", "comm"], "left_semi").select("node").distinct())
+    return pairs.select("a", "b").join(near.withColumnRenamed("node", "a"), "a", "left_semi").join(near.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+
+
 def focal_communities(memberships: DataFrame, node) -> DataFrame:
     """comm, size, members (sorted) of the communities that hold the node."""
     mine = memberships.filter(F.col("node") == node).select("k", "comm")

@@ -128,6 +128,37 @@ def speaker_profile(lines: DataFrame) -> DataFrame:
     return rows.groupBy("speaker").agg(F.count("*").alias("lines"), F.countDistinct("conv_id").alias("episodes"), F.sum("n").alias("tokens"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("tokens_per_line"))
 
 
+def top_share(counts: DataFrame, top: int = 10) -> DataFrame:
+    """tokens, top_tokens, share: how much of the corpus its `top` commonest terms make up."""
+    words = term_counts(counts)
+    best = words.orderBy(F.desc("n"), "term").limit(top).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("top_tokens"))
+    return words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).crossJoin(best).withColumn("share", F.try_divide("top_tokens", "tokens"))
+
+
+def speaker_cards(lines: DataFrame, late: Column, least: int = 2000) -> DataFrame:
+    """speaker, lines, episodes, tokens, tokens_per_line, late_share (of lines where `late` holds), degree (speakers talked with, of all) and
+    strength (turns with other core speakers) of the core: speakers of `least` tokens or more."""
+    core = settle(speaker_profile(lines).filter(F.col("tokens") >= least))
+    turns = settle(turn_network(lines))
+    both = turns.select(F.col("a").alias("speaker"), F.col("b").alias("other"), "weight").union(turns.select("b", "a", "weight"))
+    held = both.join(core.select(F.col("speaker").alias("other"), F.lit(True).alias("in_core")), "other", "left")
+    ties = held.groupBy("speaker").agg(F.count("*").alias("degree"), F.sum(F.when(F.col("in_core"), F.col("weight")).otherwise(0)).alias("strength"))
+    shares = lines.groupBy("speaker").agg(F.avg(F.when(late, 1.0).otherwise(0.0)).alias("late_share"))
+    rows = core.join(shares, "speaker").join(ties, "speaker", "left")
+    return rows.select("speaker", "lines", "episodes", "tokens", "tokens_per_line", "late_share", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0)).alias("strength"))
+
+
+def speaker_ranks(lines: DataFrame, least: int = 2000) -> DataFrame:
+    """speaker, types, types_rank, tokens_per_line, line_rank among speakers of `least` tokens or more: 1 for the most; equal ones share the better rank."""
+    types = speaker_terms(lines).groupBy(F.col("owner").alias("speaker")).agg(F.count("*").alias("types"))
+    rows = speaker_profile(lines).filter(F.col("tokens") >= least).join(types, "speaker").select("speaker", "types", F.round("tokens_per_line", 6).alias("tokens_per_line"))
+    for value, name in (("types", "types_rank"), ("tokens_per_line", "line_rank")):
+        # Ranks over range parts: the best place of each value.
+        places = row_ordinals(rows.select("speaker", value), [F.desc(value), F.asc("speaker")], "place").groupBy(value).agg((F.min("place") + 1).alias(name))
+        rows = rows.join(places, value)
+    return rows.select("speaker", "types", "types_rank", "tokens_per_line", "line_rank")
+
+
 def turn_network(lines: DataFrame) -> DataFrame:
     """a < b, weight: consecutive lines of one conversation by different speakers. A conversation of any length is spread over range parts."""
     rows = neighbours(lines.select("conv_id", "pos", "speaker"), ["conv_id"], ["pos"], {"other": "speaker"}, ahead=True).filter("speaker <> other")
@@ -324,6 +355,17 @@ def word_class_mix(lines: DataFrame) -> DataFrame:
     return rows.select("conv_id", "pos", (F.col("all") - F.col("stop") - F.col("filler")).alias("content"), "stop", "filler")
 
 
+def balanced_lines(mix: DataFrame, low: int = 10, high: int = 22, each: int = 4) -> DataFrame:
+    """The lines of word_class_mix with low to high tokens, of which `each` or more are content words and as many are stop words."""
+    return mix.filter((F.col("content") + F.col("stop") + F.col("filler")).between(low, high) & (F.col("content") >= each) & (F.col("stop") >= each))
+
+
+def class_shares(mix: DataFrame) -> DataFrame:
+    """tokens, stop_share, filler_share of all lines."""
+    total = F.sum(F.col("content") + F.col("stop") + F.col("filler"))
+    return mix.agg(total.alias("tokens"), F.try_divide(F.sum("stop"), total).alias("stop_share"), F.try_divide(F.sum("filler"), total).alias("filler_share"))
+
+
 def top_partners(pairs: DataFrame, value: str, k: int = 3) -> DataFrame:
     """node, partner, value, place: the k partners of largest value."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("partner"), value).union(pairs.select("b", "a", value))

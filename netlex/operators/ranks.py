@@ -54,6 +54,22 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(parted.join(base, "part_").select(value, (lower + (F.col("n_") + 1) / 2).alias(name)), value)
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = average_ranks(average_ranks(df.select(x, y), x, "rx_"), y, "ry_")
-    return ranked.agg(pearson("rx_", "ry_").alias("spearman"))
+#: How equal values are ranked: by their mean rank; in the order of the key, as a stable sort gives them; by the best of their ranks.
+TIES = ("average", "ordinal", "least")
+
+
+def spearman(df: DataFrame, x: str, y: str, ties: str = "average", key: str | None = None) -> DataFrame:
+    """spearman: Pearson's correlation of the ranks of x and y under one of TIES; `ordinal` needs a key that tells rows apart."""
+    if ties not in TIES or (ties == "ordinal" and key is None):
+        raise ValueError(f"ties is one of {TIES}, and ordinal needs a key")
+    rows = df.select(x, y, *([key] if key else [])).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for value, name in ((x, "rx_"), (y, "ry_")):
+        if ties == "average":
+            rows = average_ranks(rows, value, name)
+        elif ties == "ordinal":
+            rows = row_ordinals(rows, [F.asc(value), F.asc(key)], name)
+        else:
+            ranked = average_ranks(rows, value, name)
+            best = ranked.groupBy(value).agg((F.first(name) - (F.count("*") - 1) / 2).alias("best_"))
+            rows = rows.join(best, value).withColumnRenamed("best_", name)
+    return rows.agg(pearson("rx_", "ry_").alias("spearman"))

@@ -42,6 +42,11 @@ def component_report(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return agg.select("components", "giant", F.greatest(F.col("several") - 1, F.lit(0)).cast("long").alias("clusters"), "isolated", F.try_divide(F.col("n") - F.col("giant"), "n").alias("outside_share"))
 
 
+def outside_giant(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, comp, size of the nodes that are not in the largest component."""
+    return ranked_components(pairs, nodes).filter("place > 1").select("node", "comp", "size")
+
+
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, node, dist along src -> dst; a root reaches itself at 0; what is not reached is absent."""
     e = settle(edges.select("src", "dst").distinct())

@@ -181,6 +181,16 @@ def _percolation(k: int, rounds: int = 10) -> str:
 add("k_clique_communities", _percolated, "SELECT k, comm, node FROM pc3", (FOLLOW, _SOME, _percolation(3)))
 add("k_clique_members", lambda s, d: _percolated(s, d).select("node").distinct(), "SELECT DISTINCT node FROM (SELECT unnest([p.a, p.b, q.b]) AS node FROM hu p JOIN hu q ON q.a = p.b JOIN hu r ON r.a = p.a AND r.b = q.b)", (FOLLOW, _SOME))
 add("overlap_counts", lambda s, d: cliques.overlap_counts(_percolated(s, d).union(cliques.k_clique_communities(_some(s, d), 4)), users(s, d), [3, 4]), "SELECT node, coalesce(x.n, 0) AS k3_n, coalesce(y.n, 0) AS k4_n FROM v LEFT JOIN (SELECT node, count(*) AS n FROM pc3 GROUP BY 1) x USING (node) LEFT JOIN (SELECT node, count(*) AS n FROM pc4 GROUP BY 1) y USING (node)", (FOLLOW, _SOME, _percolation(3), _percolation(4)))
+
+
+def _overlaps(s, d):
+    return cliques.overlap_counts(_percolated(s, d).union(cliques.k_clique_communities(_some(s, d), 4)), users(s, d), [3, 4])
+
+
+_COUNTS = "oc AS (SELECT node, coalesce(n, 0) AS k4_n FROM v LEFT JOIN (SELECT node, count(*) AS n FROM pc4 GROUP BY 1) USING (node))"
+add("overlap_leaders", lambda s, d: cliques.overlap_leaders(_overlaps(s, d), "k4_n"), "SELECT node, k4_n, row_number() OVER (ORDER BY k4_n DESC, node) AS place FROM oc ORDER BY k4_n DESC, node LIMIT 10", (FOLLOW, _SOME, _percolation(4), _COUNTS))
+add("overlap_place", lambda s, d: cliques.overlap_place(_overlaps(s, d), "k4_n", 1), "SELECT node, k4_n, (SELECT count(*) FROM oc q WHERE q.k4_n > oc.k4_n) + 1 AS place FROM oc WHERE node = 1", (FOLLOW, _SOME, _percolation(4), _COUNTS))
+add("focal_subgraph", lambda s, d: cliques.focal_subgraph(_percolated(s, d), _some(s, d), 1), "SELECT a, b FROM hu WHERE a IN (SELECT node FROM fs) AND b IN (SELECT node FROM fs)", (FOLLOW, _SOME, _percolation(3), "fs AS (SELECT DISTINCT node FROM pc3 WHERE comm IN (SELECT comm FROM pc3 WHERE node = 1))"))
 add("focal_communities", lambda s, d: cliques.focal_communities(_percolated(s, d), 1).select("k", "comm", "size", F.array_join(F.col("members").cast("array<string>"), " ").alias("members")), "SELECT k, comm, count(*) AS size, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY node) AS members FROM pc3 WHERE comm IN (SELECT comm FROM pc3 WHERE node = 1) GROUP BY 1, 2", (FOLLOW, _SOME, _percolation(3)))
 
 

@@ -143,6 +143,8 @@ add("top_overlap", lambda s, d: ranks.top_overlap(follow_degrees(s, d), ["deg",
     INTERSECT SELECT node FROM (SELECT node FROM d ORDER BY outdeg DESC, node LIMIT 20)""")
 add("rank_shift", lambda s, d: ranks.rank_shift(ranks.rank_desc(follow_degrees(s, d), ["outdeg", "indeg"]).select("node", "outdeg_rank", "indeg_rank"), "outdeg_rank", "indeg_rank", 40, 8), """SELECT node, o AS outdeg_rank, i AS indeg_rank, o - i AS shift FROM (
     SELECT node, row_number() OVER (ORDER BY outdeg DESC, node) AS o, row_number() OVER (ORDER BY indeg DESC, node) AS i FROM d) WHERE o <= 40 ORDER BY abs(o - i) DESC, node LIMIT 8""")
+add("spearman_ordinal", lambda s, d: r6(ranks.spearman(follow_degrees(s, d), "indeg", "outdeg", "ordinal", "node"), "spearman"), "SELECT round(corr(rx, ry), 6) AS spearman FROM (SELECT row_number() OVER (ORDER BY indeg, node) AS rx, row_number() OVER (ORDER BY outdeg, node) AS ry FROM d)")
+add("spearman_least", lambda s, d: r6(ranks.spearman(follow_degrees(s, d), "indeg", "outdeg", "least"), "spearman"), "SELECT round(corr(rx, ry), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY indeg) AS rx, rank() OVER (ORDER BY outdeg) AS ry FROM d)")
 add("spearman", lambda s, d: r6(ranks.spearman(follow_degrees(s, d), "indeg", "outdeg"), "spearman"), """SELECT round(corr(rx, ry), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY indeg) + (count(*) OVER (PARTITION BY indeg) - 1) / 2 AS rx,
     rank() OVER (ORDER BY outdeg) + (count(*) OVER (PARTITION BY outdeg) - 1) / 2 AS ry FROM d)""")
 

@@ -30,6 +30,7 @@ add("term_counts", lambda s, d: dl.term_counts(counts(s, d)).orderBy(F.desc("n")
 add("zipf", lambda s, d: r6(dl.zipf(dl.term_counts(counts(s, d))), "slope", "intercept"), "SELECT round(regr_slope(log10(n), log10(r)), 6) AS slope, round(regr_intercept(log10(n), log10(r)), 6) AS intercept FROM (SELECT n, row_number() OVER (ORDER BY n DESC, term) AS r FROM kw) WHERE r BETWEEN 10 AND 5000")
 add("speaker_profile", lambda s, d: r6(dl.speaker_profile(lines(s, d)), "tokens_per_line"), """SELECT speaker, count(*) AS lines, count(DISTINCT conv_id) AS episodes, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n) FILTER (n > 0), 6) AS tokens_per_line
     FROM (SELECT conv_id, speaker, len(regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?')) AS n FROM l) GROUP BY speaker""", (LINES,))
+_WORDS_SQL = "regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?')"
 _TURNS = """tn AS (SELECT least(speaker, o) AS a, greatest(speaker, o) AS b, count(*) AS weight FROM (SELECT speaker, lead(speaker) OVER (PARTITION BY conv_id ORDER BY pos) AS o FROM l) WHERE speaker <> o GROUP BY 1, 2),
     st AS (SELECT node, sum(weight) AS s FROM (SELECT a AS node, weight FROM tn UNION ALL SELECT b, weight FROM tn) GROUP BY node),
     lf AS (SELECT a, b, weight, 2.0 * weight * (SELECT sum(weight) FROM tn) / (CAST(x.s AS DOUBLE) * y.s) AS lift FROM tn JOIN st x ON x.node = a JOIN st y ON y.node = b)"""
@@ -38,6 +39,13 @@ add("turn_network_chats", lambda s, d: dl.turn_network(chats(s, d)), "SELECT a,
 add("talk_lift", lambda s, d: r6(dl.talk_lift(dl.turn_network(lines(s, d))), "lift"), "SELECT a, b, weight, round(lift, 6) AS lift FROM lf", (LINES, _TURNS))
 _JAC = """hd AS (SELECT DISTINCT speaker, conv_id FROM l), hn AS (SELECT speaker, count(*) AS n FROM hd GROUP BY 1),
     jc AS (SELECT x.speaker AS a, y.speaker AS b, count(*) AS m FROM hd x JOIN hd y ON x.conv_id = y.conv_id AND x.speaker < y.speaker GROUP BY 1, 2)"""
+add("top_share", lambda s, d: r6(dl.top_share(counts(s, d)), "share"), "SELECT CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) FILTER (i <= 10) AS BIGINT) AS top_tokens, round(sum(n) FILTER (i <= 10) / sum(n), 6) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC, term) AS i FROM kw)")
+_CARDS = f"""tk AS (SELECT speaker, conv_id, len({_WORDS_SQL}) AS n FROM l),
+    co AS (SELECT speaker, count(*) AS lines, count(DISTINCT conv_id) AS episodes, CAST(sum(n) AS BIGINT) AS tokens, avg(n) FILTER (n > 0) AS tokens_per_line, avg(CASE WHEN conv_id >= 'es' THEN 1.0 ELSE 0.0 END) AS late_share FROM tk GROUP BY 1 HAVING sum(n) >= 2000),
+    tb AS (SELECT a AS speaker, b AS other, weight FROM tn UNION ALL SELECT b, a, weight FROM tn),
+    ti AS (SELECT t.speaker, count(*) AS degree, CAST(coalesce(sum(weight) FILTER (co.speaker IS NOT NULL), 0) AS BIGINT) AS strength FROM tb t LEFT JOIN co ON co.speaker = other GROUP BY 1)"""
+add("speaker_cards", lambda s, d: r6(dl.speaker_cards(lines(s, d), F.col("conv_id") >= "es"), "tokens_per_line", "late_share"), "SELECT speaker, lines, episodes, tokens, round(tokens_per_line, 6) AS tokens_per_line, round(late_share, 6) AS late_share, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM co LEFT JOIN ti USING (speaker)", (LINES, _TURNS, _CARDS))
+add("speaker_ranks", lambda s, d: dl.speaker_ranks(lines(s, d)), "SELECT speaker, types, rank() OVER (ORDER BY types DESC) AS types_rank, round(tokens_per_line, 6) AS tokens_per_line, rank() OVER (ORDER BY round(tokens_per_line, 6) DESC) AS line_rank FROM co JOIN (SELECT owner AS speaker, count(*) AS types FROM kc GROUP BY 1) USING (speaker)", (LINES, TOKENS, _TURNS, _CARDS))
 add("episode_jaccard", lambda s, d: r6(dl.episode_jaccard(lines(s, d)), "jaccard"), "SELECT a, b, round(m / (p.n + q.n - m), 6) AS jaccard FROM jc JOIN hn p ON p.speaker = a JOIN hn q ON q.speaker = b", (LINES, _JAC))
 _VEC = f"""vt AS (SELECT term, count(*) AS df FROM kc WHERE term NOT IN ({_LOW}) GROUP BY term HAVING sum(n) >= 5),
     vc AS (SELECT owner, term, n * ln((SELECT count(DISTINCT owner) FROM kc) / df) AS weight FROM kc JOIN vt USING (term)),
@@ -115,7 +123,6 @@ add("distinctive_terms", lambda s, d: dl.distinctive_terms(counts(s, d)), f"""SE
     SELECT kc.owner, kc.term, kc.n AS y, CAST(kw.n AS DOUBLE) AS a, sum(kc.n) FILTER (WHERE kc.term NOT IN ({_STOP})) OVER (PARTITION BY kc.owner) AS ni, (SELECT sum(n) FROM kw) AS a0 FROM kc JOIN kw USING (term)) WHERE y >= 5 AND term NOT IN ({_STOP}))) WHERE i <= 12""")
 _BI = """bt AS (SELECT t FROM (SELECT regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l) WHERE len(t) > 1),
     bc AS (SELECT f AS first, g AS second, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(t[1:len(t) - 1]) AS f, unnest(t[2:]) AS g FROM bt) GROUP BY 1, 2)"""
-_WORDS_SQL = "regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?')"
 _X = "CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END"
 _G2 = " ".join(f"{sign} {_X.format(e)}" for sign, e in (("", "n"), ("+", "r - n"), ("+", "q - n"), ("+", "t - r - q + n"), ("-", "r"), ("-", "t - r"), ("-", "q"), ("-", "t - q"), ("+", "t")))
 add("bigram_g2", lambda s, d: dl.bigram_g2(lines(s, d)), f"""SELECT first, second, CAST(n AS BIGINT) AS n, round(2 * ({_G2}), 6) AS g2 FROM bc JOIN (SELECT first, sum(n) AS r FROM bc GROUP BY 1) USING (first) JOIN (SELECT second, sum(n) AS q FROM bc GROUP BY 1) USING (second), (SELECT sum(n) AS t FROM bc)
@@ -149,6 +156,11 @@ add("rating_correlation", lambda s, d: r6(dl.rating_correlation(_episodes(s, d))
     round(avg(rating) FILTER (focal_share > 0), 6) AS mean_present, round(avg(rating) FILTER (focal_share <= 0), 6) AS mean_absent FROM et""", (_EP,))
 add("word_class_mix", lambda s, d: dl.word_class_mix(chats(s, d)), f"""SELECT conv_id, pos, CAST(len(t) - st - fi AS INTEGER) AS content, CAST(st AS INTEGER) AS stop, CAST(fi AS INTEGER) AS filler FROM (SELECT conv_id, pos, t, len(list_filter(t, lambda x: x IN ({_STOP}))) AS st,
     len(list_filter(t, lambda x: x IN ({", ".join(f"'{w}'" for w in dl.FILLER)}))) AS fi FROM (SELECT conv_id, pos, regexp_extract_all(replace(lower(text), '’', ''''), '[a-z]+(?:''[a-z]+)?') AS t FROM l))""", (CHATS,))
+_MIX = f"""mx AS (SELECT conv_id, pos, len(t) - st - fi AS content, st AS stop, fi AS filler FROM (SELECT conv_id, pos, t, len(list_filter(t, lambda x: x IN ({_STOP}))) AS st,
+    len(list_filter(t, lambda x: x IN ({", ".join(f"'{w}'" for w in dl.FILLER)}))) AS fi FROM (SELECT conv_id, pos, {_WORDS_SQL} AS t FROM l)))"""
+add("balanced_lines", lambda s, d: dl.balanced_lines(dl.word_class_mix(chats(s, d)), 3, 60, 1), "SELECT conv_id, pos, CAST(content AS INTEGER) AS content, CAST(stop AS INTEGER) AS stop, CAST(filler AS INTEGER) AS filler FROM mx WHERE content + stop + filler BETWEEN 3 AND 60 AND content >= 1 AND stop >= 1", (CHATS, _MIX))
+add("class_shares", lambda s, d: r6(dl.class_shares(dl.word_class_mix(lines(s, d))), "stop_share", "filler_share"), "SELECT CAST(sum(content + stop + filler) AS BIGINT) AS tokens, round(sum(stop) / sum(content + stop + filler), 6) AS stop_share, round(sum(filler) / sum(content + stop + filler), 6) AS filler_share FROM mx", (LINES, _MIX))
+add("concordance_speakers", lambda s, d: dl.concordance_speakers(dl.concordance(lines(s, d), "that")), "SELECT speaker, count(*) AS lines FROM l WHERE contains(replace(lower(text), '’', ''''), 'that') GROUP BY 1", (LINES,))
 add("corpus_meta", lambda s, d: dl.corpus_meta(lines(s, d), counts(s, d)), "SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(DISTINCT conv_id) FROM l) AS episodes, (SELECT count(DISTINCT speaker) FROM l) AS speakers, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types FROM kw")
 _SPLIT = r"regexp_extract_all({0}, '[^\x{{9}}-\x{{D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+')"
 _BARE = r"regexp_replace(text, '\[[^\]]*\]', ' ', 'g')"

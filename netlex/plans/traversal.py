@@ -25,6 +25,7 @@ _PARTS = """walk AS (SELECT node AS root, node FROM v UNION SELECT root, dst FRO
     comp AS (SELECT node, min(root) AS comp FROM walk GROUP BY node),
     size AS (SELECT comp, count(*) AS size FROM comp GROUP BY comp)"""
 add("components", lambda s, d: traverse.ranked_components(*follow(s, d)), "SELECT node, comp, size, place FROM comp JOIN (SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS place FROM size) USING (comp)", (FOLLOW, _PARTS))
+add("outside_giant", lambda s, d: traverse.outside_giant(*follow(s, d)), "SELECT node, comp, size FROM comp JOIN (SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS place FROM size) USING (comp) WHERE place > 1", (FOLLOW, _PARTS))
 add("component_report", lambda s, d: r6(traverse.component_report(*follow(s, d)), "outside_share"), """SELECT count(*) AS components, max(size) AS giant, greatest(count(*) FILTER (size > 1) - 1, 0) AS clusters, count(*) FILTER (size = 1) AS isolated,
     round((sum(size) - max(size)) / sum(size), 6) AS outside_share FROM size""", (FOLLOW, _PARTS))
 
