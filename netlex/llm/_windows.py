@@ -305,14 +305,14 @@ def _split(rows: DataFrame, unit: int, length: int, gram: int, block: int) -> Da
 SPANS = "key long, d1 long, d2 long, spans array<struct<a:long,b:long>>"
 
 
-def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram: int, blocks: tuple[int, ...], later: bool) -> DataFrame:
+def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram: int, blocks: tuple[int, ...], later: bool, most: int = SHARD) -> DataFrame:
     """key, d1, d2, spans: stretches (first, last + 1) of starts that repeat in a distinct segment.
 
-    judge(frame, length) gives the spans of each segment of whole keys. later: the spans are those of the first copy, while all
+    judge(frame, length) gives the spans of each segment of whole keys; keys of more than `most` bytes are split. later: the spans are those of the first copy, while all
     others repeat throughout; else the spans hold for all copies."""
 
     def shard(batches):
-        for frame in by_key(batches):
+        for frame in by_key(batches, most):
             spans = judge(frame, length)
             hit = [i for i, s in enumerate(spans) if s]
             made = [[{"a": a, "b": b} for a, b in spans[i]] for i in hit]
@@ -322,11 +322,11 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram:
 
     columns = ["key", "d1", "d2", "n", "id0", "h", "start", "seg"]
     sizes = distinct.groupBy("key").agg(F.sum("size").alias("size"))
-    large = written(sizes.filter(F.col("size") > SHARD).select("key"), "large_keys") if blocks else None
+    large = written(sizes.filter(F.col("size") > most).select("key"), "large_keys") if blocks else None
     some = large.count() if large is not None else 0
     small = distinct
     if some:
-        # Beyond the bound the lookup is a join of keys, whose rows are distinct segments and so at most SHARD bytes each.
+        # Beyond the bound the lookup is a join of keys, whose rows are distinct segments.
         looked_up = F.broadcast(large) if some <= MOST_HOT else large
         small = distinct.join(looked_up, "key", "left_anti")
     dealt = small.select(*columns).repartition("key").sortWithinPartitions("key", "d1", "d2")
@@ -335,7 +335,7 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram:
         return hits
     parts = _split(distinct.join(looked_up, "key"), unit, length, gram, blocks[0])
     pieces = distinct_segments(parts)
-    found = resolved(pieces, judge, unit, length, gram, blocks[1:], later)
+    found = resolved(pieces, judge, unit, length, gram, blocks[1:], later, most)
     if later:
         first = pieces.select("key", "d1", "d2", *[F.col(c).alias(f"{c}_1") for c in ("id0", "h", "start")])
         own = (F.col("id0") == F.col("id0_1")) & (F.col("h") == F.col("h_1")) & (F.col("start") == F.col("start_1"))

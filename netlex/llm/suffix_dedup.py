@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
-from netlex.llm._windows import CHUNK, byte_units, candidates, distinct_segments, gram_hashes, hot_cut, joined_spans, repeated_keys, repeating, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
+from netlex.llm._windows import CHUNK, SHARD, byte_units, candidates, distinct_segments, gram_hashes, hot_cut, joined_spans, repeated_keys, repeating, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -264,11 +264,11 @@ def _pack(text: bytes):
     return lambda a, b: text[a:b]
 
 
-def repeated_starts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere."""
+def repeated_starts(keyed: DataFrame, length: int, gram: int, most: int = SHARD) -> DataFrame:
+    """id0, h, spans: stretches (first, last + 1) of window starts whose window also stands elsewhere. A shard has about `most` bytes."""
     cuts = candidates(keyed, repeated_keys(keyed, byte_units, length, gram), _pack, length)
     distinct = distinct_segments(cuts.filter("not plain"))
-    hits = resolved(distinct, judge, 1, length, gram, (64, 8, 1), later=False)
+    hits = resolved(distinct, judge, 1, length, gram, (64, 8, 1), later=False, most=most)
     place = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start", "starts")
     whole_spans = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
     # A segment with very many equals repeats throughout: its copies needn't meet its spans in one task.
@@ -313,7 +313,7 @@ def _kept(text: bytes, spans: list, length: int, whole_characters: bool) -> tupl
     return data[~out].tobytes(), int(out.sum()), len(runs(out)[0])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None, shorter: tuple[int, int] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = True, carry: list[str] | None = None, shorter: tuple[int, int] | None = None, most: int = SHARD) -> DataFrame:
     """doc_id, the columns in carry, kept (the remaining text), n_bytes, n_removed, n_spans, kept_sha256, n_shared.
 
     With whole_characters a character goes only if all its bytes are covered; without, `kept` is null, and the other
@@ -321,7 +321,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     names = [f"carried_{i}" for i in range(len(carry or []))]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry or [], names, strict=True)))
     keyed = with_key(texts, names)
-    spans = repeated_starts(keyed, length, gram)
+    spans = repeated_starts(keyed, length, gram, most)
     if shorter:
         spans = spans.join(shared_grams(keyed, *shorter), ["id0", "h"], "full")
 
@@ -343,10 +343,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str =
     return out.withColumnsRenamed(dict(zip(names, carry or [], strict=True)))
 
 
-def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, most: int = SHARD) -> DataFrame:
     """docs with repeated strings cut out of the text; size_col, if given, gets the new number of characters."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    out = dedup(docs.toDF(*docs.columns), length, gram, id_col, text_col, carry=others)
+    out = dedup(docs.toDF(*docs.columns), length, gram, id_col, text_col, carry=others, most=most)
     cut = {text_col: F.coalesce("kept", F.lit(""))} | ({size_col: F.char_length("kept").cast("long")} if size_col else {})
     kind = dict(docs.dtypes)
     return out.select([(F.col("doc_id").cast(kind[c]) if c == id_col else cut.get(c, F.col(c))).alias(c) for c in docs.columns])
