@@ -19,6 +19,8 @@ from netlex.llm.queries import tokenizer
 
 #: Bytes of a repeated string that the pipeline cuts out: about 45 words, and the gram that anchors it.
 REPEAT, GRAM = 240, 48
+#: Bytes of a shard of the suffix arrays: half the usual, as the stage follows others in the same Python workers and JVMs.
+SHARD = 750_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that stand elsewhere too are cut out of the texts; n_chars follows."""
-    return suffix_dedup.rewrite(docs, REPEAT, GRAM, size_col="n_chars")
+    return suffix_dedup.rewrite(docs, REPEAT, GRAM, size_col="n_chars", most=SHARD)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
