@@ -38,3 +38,42 @@ def test_wide_and_broken_cells(spark, tmp_path):
     (tmp_path / "t.csv").write_text(f'{wide}\r\n"a\nb","say ""x"", y",\n\nlast')
     got = [r.cell for r in tables.read_transcript(spark, str(tmp_path / "t.csv")).orderBy("place").collect()]
     assert got == [*(f"c{i}" for i in range(70)), "a\nb", 'say "x", y', "last"]
+
+
+def test_transcript_in_parts(spark, tmp_path):
+    """Parts of 40 bytes cut records and quotes; places and cells are those of the csv module."""
+    import csv
+    import io
+    import random
+
+    from netlex.sources import tables
+
+    rng = random.Random(2)
+    rows = [[rng.choice(["01x02 - A;Jim: hi, there", 'say "no"\nor\n\nyes', "", " ", "plain", "x" * 60]) for _ in range(rng.randrange(1, 4))] for _ in range(60)]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    (tmp_path / "one.csv").write_text(text.getvalue())
+    (tmp_path / "two.csv").write_text('a,"b\r\nc"\r\nd\r\n')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted((r.file.rsplit("/", 1)[1], r.place.line, r.place.k, r.cell) for r in tables.read_transcript(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [("one.csv", i, k, c) for i, row in enumerate(csv.reader(io.StringIO(text.getvalue()))) for k, c in enumerate(row) if c.strip()]
+    assert got == sorted([*want, ("two.csv", 0, 0, "a"), ("two.csv", 0, 1, "b\r\nc"), ("two.csv", 1, 0, "d")])
+
+
+def test_provenance_nesting_and_json_lines(spark, tmp_path):
+    from netlex.sources import tables
+
+    df = spark.createDataFrame([(2, "b", 1), (1, "a", 2), (1, "c", 1)], "k int, x string, n int")
+    tables.write_table(df, str(tmp_path / "t"), ["k", "x"], provenance={"from": "test", "seed": "1"})
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert tables.provenance_of(back) == {"from": "test", "seed": "1"} and tables.provenance_of(df) == {}
+    assert {(r.k, tuple(map(tuple, r.rows))) for r in tables.nested(df, ["k"], "rows", ["n"]).collect()} == {(1, (("c", 1), ("a", 2))), (2, (("b", 1),))}
+    (tmp_path / "m.json").write_text('{"node_id": "p", "text": "one"}\n{"node_id": "q"}\n')
+    assert {tuple(r) for r in tables.read_json_lines(spark, str(tmp_path / "m.json")).collect()} == {("p", "one"), ("q", None)}
