@@ -55,15 +55,34 @@ def attribute_coverage(attributes: DataFrame) -> DataFrame:
     return attributes.agg(F.count("*").alias("nodes"), F.count("value").alias("with_value"), F.count("decade").alias("with_decade"))
 
 
+def _episodes(cells: DataFrame) -> DataFrame:
+    """(file, place, cell) -> file, place, conv_id, season, episode, second, title, body of cells `SSxEE[/EE] - title;body`; scenes that were cut are dropped."""
+    head = F.trim(F.substring_index("cell", ";", 1))
+    body = F.when(F.contains(F.col("cell"), F.lit(";")), F.expr("substring(cell, locate(';', cell) + 1)")).otherwise("")
+    rows = cells.select("file", "place", head.alias("head"), body.alias("body"))
+    rows = rows.filter(F.col("head").rlike(r"^\d+x\d+(/\d+)?\s*-") & ~F.col("head").rlike(r"(?i)webisode|deleted|gag reel"))
+    part = lambda i: F.regexp_extract("head", r"^(\d+)x(\d+)(?:/(\d+))?\s*-\s*(.*)$", i)
+    number = lambda i: F.try_to_number(F.nullif(part(i), F.lit("")), F.lit("9999")).cast("int")
+    return rows.select("file", "place", F.regexp_extract("head", r"(\d+x\d+)", 1).alias("conv_id"), number(1).alias("season"), number(2).alias("episode"), number(3).alias("second"), F.trim(part(4)).alias("title"), "body")
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    """With speaker, null where the body is no line: without a colon, or with a blank or over-long speaker."""
+    speaker = F.substring_index("body", ":", 1)
+    ok = F.contains(F.col("body"), F.lit(":")) & (F.length(F.trim(speaker)) > 0) & (F.length(speaker) <= 40)
+    return rows.withColumn("speaker", F.when(ok, F.trim(speaker)))
+
+
 def parse_lines(cells: DataFrame) -> DataFrame:
-    """(file, place, cell) -> conv_id, pos, speaker, raw from `SSxEE[/EE] - title;Speaker: text`; scenes that were cut
-    are dropped, and so are cells without a colon or with a blank or over-long speaker."""
-    head, body = F.substring_index("cell", ";", 1), F.expr("substring(cell, locate(';', cell) + 1)")
-    rows = cells.filter(F.contains(F.col("cell"), F.lit(";"))).select("file", "place", head.alias("head"), body.alias("body"))
-    rows = rows.filter(F.col("head").rlike(r"^\s*\d+x\d+(/\d+)?\s*-") & ~F.col("head").rlike(r"(?i)webisode|deleted|gag reel") & F.contains(F.col("body"), F.lit(":")))
-    speaker = F.trim(F.substring_index("body", ":", 1))
-    rows = rows.select(F.regexp_extract("head", r"(\d+x\d+)", 1).alias("conv_id"), "file", "place", speaker.alias("speaker"), F.trim(F.expr("substring(body, locate(':', body) + 1)")).alias("raw"))
-    return rows.filter((F.length("speaker") > 0) & (F.length("speaker") <= 40)).select("conv_id", F.struct("file", "place").alias("pos"), "speaker", "raw")
+    """(file, place, cell) -> conv_id, pos, speaker, raw, season, episode, second (of a double episode, or null), title from
+    `SSxEE[/EE] - title;Speaker: text`."""
+    rows = _said(_episodes(cells)).filter("speaker is not null")
+    return rows.select("conv_id", F.struct("file", "place").alias("pos"), "speaker", F.trim(F.expr("substring(body, locate(':', body) + 1)")).alias("raw"), "season", "episode", "second", "title")
+
+
+def skipped_directions(cells: DataFrame) -> DataFrame:
+    """skipped: cells of an episode that are no line (bare stage directions)."""
+    return _said(_episodes(cells)).agg(F.count_if(F.col("speaker").isNull()).alias("skipped"))
 
 
 def clean_name(name: Column, aliases: dict[str, str] | None = None) -> Column:

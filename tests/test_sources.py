@@ -18,6 +18,10 @@ def test_round_trips(spark):
         f.write('"01x02 - T;Ann: at 11:30, then [waves]","01x02 - T;Bob: yes"\n,"01x02 - Deleted;Ann: no"\n"01x02 - T;nothing here"\n')
     parsed = dialogue.parse_lines(tables.read_transcript(spark, f"{folder}/lines.csv")).orderBy("pos").collect()
     assert [(r.conv_id, r.speaker, r.raw) for r in parsed] == [("01x02", "Ann", "at 11:30, then [waves]"), ("01x02", "Bob", "yes")]
+    assert dialogue.skipped_directions(tables.read_transcript(spark, f"{folder}/lines.csv")).first().skipped == 1
+    double = spark.createDataFrame([("f", 1, "03x10/11 - A Title; Ann: hi"), ("f", 2, "03x10 - A - B;[laughs]"), ("f", 3, "x;y: z"), ("f", 4, f"03x10 - T;{'n' * 41}: z"), ("f", 5, "04x02 - no body")], "file string, place int, cell string")
+    assert [tuple(r)[2:] for r in dialogue.parse_lines(double).collect()] == [("Ann", "hi", 3, 10, 11, "A Title")]
+    assert dialogue.skipped_directions(double).first().skipped == 3
     tables.write_table(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), f"{folder}/out", ["k"])
     assert spark.read.parquet(f"{folder}/out").count() == 2
     tables.write_report({"x": spark.range(3)}, f"{folder}/report")
