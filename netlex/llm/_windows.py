@@ -178,16 +178,60 @@ def hot_cut(total: int) -> int:
     return max(HOT_ROWS, total // MOST_HOT)
 
 
+def _joined_key(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit number for the key columns of a row."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mixed(out * np.uint64(_BASE) + c.view(np.uint64))
+    return out
+
+
+def _looked_up(rows: DataFrame, hot: pa.Table, by: list[str], adds: list[str]) -> DataFrame:
+    """rows with hot, whether the key (columns `by`) stands in the table `hot`, and that one's columns `adds` if it does.
+
+    The table has fewer than MOST_HOT rows, so every task can have it; a row is looked up where it stands."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, hot.schema) as writer:
+        writer.write_table(hot)
+    shared = rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    at = [rows.columns.index(c) for c in by]
+
+    def mark(batches):
+        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        keys = [table.column(c).to_numpy() for c in by]
+        joined = _joined_key(keys)
+        order = np.argsort(joined)
+        joined, keys = joined[order], [k[order] for k in keys]
+        values = [table.column(c).take(pa.array(order)).combine_chunks() for c in adds]
+        values = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in values]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(i).to_numpy(zero_copy_only=False) for i in at]
+            place = np.minimum(np.searchsorted(joined, _joined_key(own)), len(joined) - 1)
+            hit = np.logical_and.reduce([k[place] == o for k, o in zip(keys, own, strict=True)])
+            index = pa.array(place, mask=~hit)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit), *(v.take(index) for v in values)], [*b.schema.names, "hot", *adds])
+
+    kinds = {f.name: f for f in rows.sparkSession.createDataFrame(hot.slice(0, 1)).schema}
+    schema = T.StructType([*rows.schema, T.StructField("hot", T.BooleanType()), *(T.StructField(c, kinds[c].dataType) for c in adds)])
+    return rows.mapInArrow(mark, schema)
+
+
 def repeating(rows: DataFrame, n: Column, adds: dict[str, Column], by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Those rows whose key (columns `by`) has an n (a sum over its rows) above 1, with further aggregates of the key; rows is a table.
+    """Those rows whose key (columns `by`, long) has an n (a sum over its rows) above 1, with further aggregates of the key; rows is a table.
 
-    Hot keys are few and their aggregates are broadcast; the rows of any other key meet in a window of bounded size."""
+    Hot keys are few: their aggregates go to every task, and their rows aren't shuffled. The rows of any other key meet in a
+    window of bounded size."""
     by = list(by)
     cut = hot_cut(rows.agg(n.alias("n")).first()[0] or 0)
-    hot = written(rows.groupBy(*by).agg(n.alias("n"), *(c.alias(a) for a, c in adds.items())).filter(F.col("n") > cut).drop("n"), "hot_keys")
+    hot = rows.groupBy(*by).agg(n.alias("n"), *(c.alias(a) for a, c in adds.items())).filter(F.col("n") > cut).drop("n").toArrow()
     same = Window.partitionBy(*by)
-    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").withColumns({"n_": n.over(same)} | {a: c.over(same) for a, c in adds.items()})
-    return rows.join(F.broadcast(hot), by).unionByName(cold.filter("n_ > 1").drop("n_"))
+    among = lambda df: df.withColumns({"n_": n.over(same)} | {a: c.over(same) for a, c in adds.items()}).filter("n_ > 1").drop("n_")
+    if not hot.num_rows:
+        return among(rows)
+    marked = _looked_up(rows, hot, by, list(adds))
+    return marked.filter("hot").drop("hot").unionByName(among(marked.filter("not hot").drop("hot", *adds)))
 
 
 def repeated_keys(keyed: DataFrame, units: Callable[[bytes], np.ndarray], length: int, gram: int) -> DataFrame:

@@ -170,3 +170,17 @@ def test_crowded_near_copies(spark):
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])
     assert got == least and 2 < len(set(least.values())) < 120
+
+
+def test_hot_segments_give_the_same(spark, monkeypatch):
+    """With nearly every key hot, op5's and op10's results are those without hot keys."""
+    from netlex.llm import _windows, substring_dedup, suffix_dedup
+
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, f"a{i} " * 12 + shared + f" b{i}" * 9) for i in range(12)] + [(50 + i, shared) for i in range(6)] + [(60, shared + " x " + shared), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strings = lambda: sorted(map(str, suffix_dedup.dedup(docs, 60, 16, shorter=(40, 21)).collect()))
+    words = lambda: sorted(map(str, substring_dedup.dedup(docs, 10, 3).collect()))
+    want = strings(), words()
+    monkeypatch.setattr(_windows, "HOT_ROWS", 2)
+    assert (strings(), words()) == want
