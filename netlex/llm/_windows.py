@@ -218,8 +218,8 @@ def _looked_up(rows: DataFrame, hot: pa.Table, by: list[str], adds: list[str]) -
     return rows.mapInArrow(mark, schema)
 
 
-def repeating(rows: DataFrame, n: Column, adds: dict[str, Column], by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Those rows whose key (columns `by`, long) has an n (a sum over its rows) above 1, with further aggregates of the key; rows is a table.
+def repeating(rows: DataFrame, n: Column, adds: dict[str, Column], by: tuple[str, ...] = ("key",), least: int = 2) -> DataFrame:
+    """Those rows whose key (columns `by`, long) has an n (a sum over its rows) of `least` or more, with further aggregates of the key; rows is a table.
 
     Hot keys are few: their aggregates go to every task, and their rows aren't shuffled. The rows of any other key meet in a
     window of bounded size."""
@@ -227,7 +227,7 @@ def repeating(rows: DataFrame, n: Column, adds: dict[str, Column], by: tuple[str
     cut = hot_cut(rows.agg(n.alias("n")).first()[0] or 0)
     hot = rows.groupBy(*by).agg(n.alias("n"), *(c.alias(a) for a, c in adds.items())).filter(F.col("n") > cut).drop("n").toArrow()
     same = Window.partitionBy(*by)
-    among = lambda df: df.withColumns({"n_": n.over(same)} | {a: c.over(same) for a, c in adds.items()}).filter("n_ > 1").drop("n_")
+    among = lambda df: df.withColumns({"n_": n.over(same)} | {a: c.over(same) for a, c in adds.items()}).filter(F.col("n_") >= least).drop("n_")
     if not hot.num_rows:
         return among(rows)
     marked = _looked_up(rows, hot, by, list(adds))
@@ -386,7 +386,10 @@ def resolved(distinct: DataFrame, judge: Callable, unit: int, length: int, gram:
         where = parts.drop("seg").join(first, ["key", "d1", "d2"]).join(found, ["key", "d1", "d2"], "left")
         back = where.select("p_key", "p_d1", "p_d2", F.when(own, F.coalesce(shifted("spans", "off"), F.array().cast("array<struct<a:long,b:long>>"))).otherwise(whole("off", "starts")).alias("spans"))
     else:
-        back = parts.drop("seg").join(found, ["key", "d1", "d2"]).select("p_key", "p_d1", "p_d2", shifted("spans", "off").alias("spans"))
+        # A piece with equals repeats throughout: only pieces without any meet their spans in a join.
+        counted = repeating(parts.drop("seg"), F.sum("n"), {"copies": F.sum("n")}, ("key", "d1", "d2"), least=1)
+        alike = counted.filter("copies > 1").select("p_key", "p_d1", "p_d2", whole("off", "starts").alias("spans"))
+        back = counted.filter("copies = 1").join(found, ["key", "d1", "d2"]).select("p_key", "p_d1", "p_d2", shifted("spans", "off").alias("spans")).union(alike)
     back = back.groupBy("p_key", "p_d1", "p_d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return hits.union(back.filter(F.size("spans") > 0))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlex.llm._common import slices, utf8, written
-from netlex.llm._windows import CHUNK, SHARD, byte_units, candidates, distinct_segments, gram_hashes, hot_cut, joined_spans, repeated_keys, repeating, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
+from netlex.llm._windows import CHUNK, SHARD, byte_units, candidates, distinct_segments, gram_hashes, joined_spans, repeated_keys, repeating, resolved, runs, segments_of, shifted, squeezed, texts_of, whole, with_key
 
 LENGTH, GRAM = 400, 64
 #: Never in UTF-8, so no common prefix of two segments is longer than a segment.
@@ -269,14 +269,12 @@ def repeated_starts(keyed: DataFrame, length: int, gram: int, most: int = SHARD)
     cuts = candidates(keyed, repeated_keys(keyed, byte_units, length, gram), _pack, length)
     distinct = distinct_segments(cuts.filter("not plain"))
     hits = resolved(distinct, judge, 1, length, gram, (64, 8, 1), later=False, most=most)
-    place = cuts.filter("not plain").select("key", "d1", "d2", "id0", "h", "start", "starts")
     whole_spans = cuts.filter("plain").select("id0", "h", whole("start", "starts").alias("spans"))
-    # A segment with very many equals repeats throughout: its copies needn't meet its spans in one task.
-    hot = distinct.filter(F.col("n") > hot_cut(distinct.agg(F.sum("n")).first()[0] or 0)).select("key", "d1", "d2")
-    whole_spans = whole_spans.union(place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_semi").select("id0", "h", whole("start", "starts").alias("spans")))
-    place = place.join(F.broadcast(hot), ["key", "d1", "d2"], "left_anti")
-    where = place.join(hits, ["key", "d1", "d2"])
-    return joined_spans(whole_spans.union(where.select("id0", "h", shifted("spans", "start").alias("spans"))))
+    # A segment with equals repeats throughout: only segments without any meet their spans in a join.
+    alike = repeating(cuts.filter("not plain").drop("seg"), F.count(F.lit(1)), {}, ("key", "d1", "d2"))
+    single = distinct.filter("n = 1").select("key", "d1", "d2", "id0", "h", "start").join(hits, ["key", "d1", "d2"])
+    spans = whole_spans.union(alike.select("id0", "h", whole("start", "starts").alias("spans")))
+    return joined_spans(spans.union(single.select("id0", "h", shifted("spans", "start").alias("spans"))))
 
 
 def shared_grams(keyed: DataFrame, gram: int, window: int) -> DataFrame:

@@ -94,10 +94,10 @@ def hot_rows(seed=5, n=60):
 
 @pytest.mark.parametrize("shard", [1, 3000])
 def test_segments_of_a_hot_key_are_split(spark, monkeypatch, shard):
-    monkeypatch.setattr(_windows, "SHARD", shard)
+    monkeypatch.setattr(_windows.resolved, "__defaults__", (shard,))
     rows = hot_rows()
     some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = suffix_dedup.dedup(some, 100, 24, whole_characters=False, shorter=(40, 21)).collect()
+    found = suffix_dedup.dedup(some, 100, 24, whole_characters=False, shorter=(40, 21), most=shard).collect()
     got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found]
     assert sorted(got) == sorted(brute_strings([t.encode() for _, t in rows], 100))
     texts = dict(rows)
