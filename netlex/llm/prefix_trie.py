@@ -16,13 +16,14 @@ Values of whole subtrees need no walk: each node's weight is put down to its lea
 its path, so a subtree's sum is its members' sums less what stands above the node on its own least member's path.
 
 Nulls: a null role or text is empty; null turns come first; rows with a null conv_id belong to no conversation and are left
-out. Turns of one number are ordered by role, then by a hash of the text; repeated rows are turns of their own. An empty table
+out. Turns of one number are ordered by role, then by text (nulls first); repeated rows are turns of their own. An empty table
 gives an empty result. Other columns are ignored. The digest of a node's ends is one SHA-256 over a sorted list and so
 computed in one task a node, as a stream.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -43,16 +44,19 @@ BLOCK = 1 << 16
 def turn_digests(conversations: DataFrame) -> DataFrame:
     """conv_id, place (from 0), t1, t2 (hashes of role and text), bytes (of the text); a table in the shared folder."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    hashed = conversations.filter("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        role.alias("role"),
+    own = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    at = ["conv_id", "turn", "role"]
+    # Only texts of turns with the same number and role are compared; all others are ordered without them.
+    tied = written(own.groupBy(*at).agg(F.count("*").alias("n_")).filter("n_ > 1").select(*(F.col(c).alias(f"{c}_") for c in at)), "tied")
+    same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in at))
+    hashed = own.join(tied, same, "left").select(
+        *at,
+        F.when(F.col("conv_id_").isNotNull(), F.col("text")).alias("tie"),
         F.xxhash64(role, text).alias("t1"),
         F.xxhash64(F.lit(1), text, role).alias("t2"),
         F.octet_length(text).cast("long").alias("bytes"),
     )
-    order = ["turn", "role", "t1", "t2"]
-    placed = running(written(hashed, "turns"), ["conv_id"], order, {"place": (F.count, F.lit(1))})
+    placed = running(written(hashed, "turns"), ["conv_id"], ["turn", "role", "tie"], {"place": (F.count, F.lit(1))})
     return written(placed.select("conv_id", (F.col("place") - 1).alias("place"), "t1", "t2", "bytes"), "digests")
 
 

@@ -88,3 +88,26 @@ def test_empty_and_turnless(spark):
     ids = [r.conv_id for r in one.collect()]
     got = prefix_trie.trie_of(*prefix_trie.rebuilt(prefix_trie.turn_digests(one))).collect()
     assert [tuple(r) for r in got] == [(min(ids), 0, None, len(ids), 0, 1, 0, hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest())]
+
+
+def test_conversations_over_many_parts(spark):
+    # Small parts are merged by adaptive execution, so only without that does a conversation span several of them.
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "37"), strict=True):
+            spark.conf.set(n, v)
+        test_rebuilt(spark)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_equal_turns_in_the_order_of_their_texts(spark):
+    rows = [(c, t, r, x) for c in range(12) for t in (None, 3) for r in (None, "", "user") for x in (f"b{c}", "a", None, "", "é")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    key = lambda x: (x is not None, x if x is not None else 0)
+    said = lambda x: (x is not None, (x or "").encode())
+    talks = {c: [(r or "", x or "") for _, _, r, x in sorted((row for row in rows if row[0] == c), key=lambda row: (key(row[1]), said(row[2]), said(row[3])))] for c in range(12)}
+    got = prefix_trie.trie(conversations).collect()
+    assert sorted(map(tuple, got), key=str) == brute(talks)

@@ -34,3 +34,17 @@ def test_neighbours(rows):
         got = neighbours(rows, ["k"], ["o"], {"v2": "v", "o2": "o"}, ahead)
         want = rows.withColumns({"v2": f("v").over(w), "o2": f("o").over(w)})
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_running_over_many_parts(spark, rows):
+    # Small parts are merged by adaptive execution, so only without that does a group span several of them.
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "23"), strict=True):
+            spark.conf.set(n, v)
+        test_running(spark, rows)
+        test_neighbours(rows)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
