@@ -99,3 +99,10 @@ def test_empty_graph(spark):
     assert traverse.component_sizes(pairs, nodes).count() == 0
     assert graph.triangles_per_node(pairs, nodes).count() == 0
     assert graph.degree_assortativity(pairs).first()[0] is None
+
+
+def test_percolation_of_a_long_chain(spark):
+    # Each clique of four shares three nodes with the next: one community, many more links long than ten.
+    chain = cliques.k_clique_communities(spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, min(i + 4, 40))], "a long, b long"), 4)
+    counts = cliques.overlap_counts(chain, spark.range(41).withColumnRenamed("id", "node"), [4])
+    assert {tuple(r) for r in counts.collect()} == {(i, 1) for i in range(40)} | {(40, 0)}
