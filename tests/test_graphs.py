@@ -106,3 +106,26 @@ def test_percolation_of_a_long_chain(spark):
     chain = cliques.k_clique_communities(spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, min(i + 4, 40))], "a long, b long"), 4)
     counts = cliques.overlap_counts(chain, spark.range(41).withColumnRenamed("id", "node"), [4])
     assert {tuple(r) for r in counts.collect()} == {(i, 1) for i in range(40)} | {(40, 0)}
+
+
+def test_search_from_many_roots_shares_rows(spark, monkeypatch):
+    # 150 roots, three blocks of bits: a ring with chords, a loose pair, a lone node; against plain search.
+    links = {(i, (i + 1) % 140) for i in range(140)} | {(i, (i * 7 + 3) % 140) for i in range(0, 140, 9)} | {(147, 148)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+    want = set()
+    for root in range(150):
+        dist, level = {root: 0}, [root]
+        while level:
+            level = [y for x in level for y in near.get(x, ()) if y not in dist and dist.update({y: dist[x] + 1}) is None]
+        want |= {(root, node, d) for node, d in dist.items()}
+    held, settle = [], traverse.settle
+    monkeypatch.setattr(traverse, "settle", lambda df: held.append(settle(df)) or held[-1])
+    edges, roots = spark.createDataFrame(sorted(links), "src long, dst long"), spark.range(150).withColumnRenamed("id", "node")
+    got = traverse.bfs(edges, roots)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # What a level joins and shuffles has a row for each block of roots and node, not for each pair.
+    states = [df.count() for df in held if "old" in df.columns]
+    assert states and max(states) <= 3 * 150
+    assert sorted(map(tuple, traverse.bfs(edges, roots, 2).collect())) == sorted(r for r in want if r[2] <= 2)
