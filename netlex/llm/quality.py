@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlex.llm._common import fresh, slices, utf8, written
+from netlex.llm._common import fresh, release, slices, utf8, written
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "punctuation", "pipes", "breaks",
@@ -131,17 +131,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     rules = list(rules)
     if not rules:
         return prior, []
-    z = np.stack([_holds(x, r) for r in rules], axis=1).astype(np.float64)
+    z = np.stack([_holds(x, r) for r in rules], axis=1)
     seen, keep = set(), []
     for j, column in enumerate(z.T):  # rules that hold for the same rows are one
         if (k := column.tobytes()) not in seen and 0 < column.mean() < 1:
             seen.add(k)
             keep.append(j)
-    z, rules = z[:, keep], [rules[j] for j in keep]
+    # One matrix of numbers, changed in place: the driver's memory is small.
+    z, rules = z[:, keep].astype(np.float64), [rules[j] for j in keep]
     if not rules:
         return prior, []
-    mean, scale = z.mean(axis=0), z.std(axis=0)
-    z = (z - mean) / scale
+    mean, scale = z.mean(axis=0), np.empty(len(rules))
+    for j in range(0, len(rules), 32):
+        scale[j : j + 32] = z[:, j : j + 32].std(axis=0)
+    z -= mean
+    z /= scale
     # Proximal gradient with momentum; the step is the bound on the logistic loss's curvature.
     step = 4 * len(y) / np.linalg.norm(z, 2) ** 2
     w, v, b, t = np.zeros(len(rules)), np.zeros(len(rules)), prior, 1.0
@@ -196,8 +200,14 @@ def learn(rows: DataFrame, known: DataFrame, max_rows: int = 20_000) -> tuple[fl
     many texts that there are more than max_rows other rows, a hash of the row cuts them too."""
     labelled = written(rows.distinct().join(F.broadcast(known), "doc_id"), "labelled")
     labelled = _cut(labelled, F.xxhash64("doc_id", *STATISTICS), max_rows).limit(max_rows)
-    sample = labelled.toPandas().sort_values(["doc_id", *STATISTICS])
-    return fit(sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64))
+    sample = labelled.toArrow().to_pandas().sort_values(["doc_id", *STATISTICS])
+    x, y = sample[STATISTICS].to_numpy(np.float64), (sample["label"].to_numpy() >= 1).astype(np.float64)
+    del sample
+    try:
+        return fit(x, y)
+    finally:
+        # What the fit has freed goes back to the system before the next stages take the driver's memory.
+        release()
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
