@@ -4,7 +4,7 @@ from collections import deque
 
 import pytest
 
-from netlex.operators import flow
+from netlex.operators import flow, null_models, traverse
 
 
 def brandes(links, roots):
@@ -48,3 +48,21 @@ def test_dependencies_share_rows_and_tiles(spark, monkeypatch):
     # Rows with values that a level holds are for a block of roots and a node, not for each pair (thousands here).
     assert max(df.filter("value is not null").count() for df in held if "value" in df.columns and "tile" not in df.columns) <= 150
     assert len({r.tile for df in held if df.columns == ["tile", "at", "value"] for r in df.collect()}) > 3
+
+
+def test_null_models_need_no_row_for_a_pair(spark, monkeypatch):
+    # 70 roots, two blocks of bits: a path of 0 to 66, a pair, a lone node; distances are counted, pairs are not told apart.
+    links = [(i, i + 1) for i in range(66)] + [(67, 68)]
+    monkeypatch.setattr(traverse, "bfs", lambda *a: pytest.fail("a row for each pair"))
+    edges = spark.createDataFrame(links + [(b, a) for a, b in links], "src long, dst long")
+    nodes = spark.range(70).withColumnRenamed("id", "node")
+    got = {(r.node, r.dist): r.n for r in traverse.distance_counts(edges, nodes).collect()}
+    want = {}
+    for i in range(67):
+        for j in range(67):
+            want[i, abs(i - j)] = want.get((i, abs(i - j)), 0) + 1
+    assert got == want | {(67, 0): 1, (67, 1): 1, (68, 0): 1, (68, 1): 1, (69, 0): 1}
+    graphs = spark.createDataFrame([(0, *p) for p in links], "replicate int, a long, b long")
+    found = {r.statistic: r.value for r in null_models.shapes(graphs, nodes).collect()}
+    pairs = [abs(i - j) for i in range(67) for j in range(67) if i != j] + [1, 1]
+    assert found["path_length"] == pytest.approx(sum(pairs) / len(pairs))
