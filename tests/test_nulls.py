@@ -74,3 +74,11 @@ def test_directed_rewiring_keeps_both_degrees(spark):
     out = [tuple(r) for r in nulls.rewire(spark.createDataFrame(arcs, "a long, b long"), 1, rounds=3, directed=True).select("a", "b").collect()]
     assert len(set(out)) == len(arcs) and set(out) != set(arcs) and all(a != b for a, b in out)
     assert sorted(a for a, _ in out) == sorted(a for a, _ in arcs) and sorted(b for _, b in out) == sorted(b for _, b in arcs)
+
+
+def test_rewiring_keeps_degrees_of_edges_that_stand_twice(spark):
+    arcs = [(i, (i * 7 + 3) % 30) for i in range(30) if i != (i * 7 + 3) % 30] + [(i, i + 1) for i in range(12)] * 4
+    out = [tuple(r) for r in nulls.rewire(spark.createDataFrame(arcs, "a long, b long"), 2, rounds=6, directed=True).collect()]
+    for rep in (0, 1):
+        mine = [(a, b) for r, a, b in out if r == rep]
+        assert sorted(a for a, _ in mine) == sorted(a for a, _ in arcs) and sorted(b for _, b in mine) == sorted(b for _, b in arcs)
