@@ -82,3 +82,13 @@ def test_rewiring_keeps_degrees_of_edges_that_stand_twice(spark):
     for rep in (0, 1):
         mine = [(a, b) for r, a, b in out if r == rep]
         assert sorted(a for a, _ in mine) == sorted(a for a, _ in arcs) and sorted(b for _, b in mine) == sorted(b for _, b in arcs)
+
+
+def test_shuffled_assortativity_in_waves(spark):
+    """Agrees with the plain way, also over several waves; unlabelled ends count in neither."""
+    labels = spark.createDataFrame([(i, "ABC"[i % 3] if i % 7 else None) for i in range(40)], "node long, label string")
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in (i + 1, i + 5) if j < 40], "a long, b long")
+    want = dict(map(tuple, communities.attribute_assortativity(pairs, nulls.label_shuffle(labels, 150), ("replicate",)).collect()))
+    for wave in (140 * 34, 1 << 20):
+        got = dict(map(tuple, nulls.shuffled_assortativity(pairs, labels, 150, wave=wave).collect()))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
