@@ -120,3 +120,19 @@ def test_padded_histogram(spark):
     assert [r[0] for r in rows] == list(range(1, 11)) and sum(r[1] for r in rows) == 5
     assert [r[1] for r in rows] == [3, 1, 0, 0, 0, 0, 0, 0, 1, 0] and [r[0] for r in rows if r[2]] == [10]
     assert nulls.padded_histogram(samples.limit(0), real.limit(0), 10).count() == 0
+
+
+def test_runs_of_tokens_cross_lines(spark):
+    """Against plain lists: runs of 5 from the same starts, over lines of 3, 0 and 4 tokens, and a line without speaker."""
+    texts = ["a b a", "", "c d e f", None, "a g c", "b b b"]
+    df = spark.createDataFrame([("e", i, "s", t) for i, t in enumerate(texts)] + [("e", 9, None, "x y")], "conv_id string, pos long, speaker string, text string")
+    words = " ".join(t or "" for t in texts).split()
+    draws = spark.range(6).selectExpr("cast(id as int) k").selectExpr(f"pmod(xxhash64(1, k, 's'), {len(words) - 5}) at").collect()
+    want = sum(len(set(words[r["at"] : r["at"] + 5])) for r in draws) / 6
+    assert [(r.speaker, round(r.types, 9)) for r in lexical.types_in_sample(df, 5, 6).collect()] == [("s", round(want, 9))]
+
+
+def test_bigrams_count_a_line_once(spark):
+    df = spark.createDataFrame([("e", 0, "s", "big cat big cat"), ("e", 1, "s", "big cat"), ("e", 2, "t", "big dog"), ("e", 3, "t", None)], "conv_id string, pos long, speaker string, text string")
+    phrases = spark.createDataFrame([("big", "cat"), ("big", "dog"), ("cat", "big")], "first string, second string")
+    assert {tuple(r) for r in dialogue.who_says_bigrams(df, phrases).collect()} == {("big", "cat", "s", 2), ("cat", "big", "s", 1), ("big", "dog", "t", 1)}
