@@ -46,3 +46,14 @@ def test_variants_count_pieces_and_sort_few(monkeypatch, lines, texts):
     assert points and all(ranked[v][i] == x for (v, i), x in points.items()) and {(v, len(rows)) for v, rows in ranked.items()} <= set(points)
     found = {r.variant: (r.tokens, r.types) for r in lexical.variant_counts(terms, 1, 5).collect()}
     assert found == {v: (sum(n for _, n in rows.values()), len(rows)) for v, rows in ranked.items()}
+
+
+def test_stages_count_pieces(monkeypatch, lines, texts):
+    held = held_by(monkeypatch, dialogue)
+    got = {r.stage: (r.tokens, r.types) for r in dialogue.stage_counts(lines).collect()}
+    assert len(held) == 1
+    stages = [[w for *_, t in texts for w in t.split()], [w for *_, t in texts for w in t.lower().split()], [w for *_, t in texts for w in tokens(t)]]
+    stages.append([w for *_, t in texts for w in tokens(re.sub(r"\[[^\]]*\]", " ", t))])
+    stages.append([w for w in stages[3] if w not in dialogue.STOP])
+    stages.append([w for w in stages[4] if w not in dialogue.FILLER])
+    assert got == {i: (len(s), len(set(s))) for i, s in enumerate(stages)}
