@@ -57,3 +57,10 @@ def test_stages_count_pieces(monkeypatch, lines, texts):
     stages.append([w for w in stages[3] if w not in dialogue.STOP])
     stages.append([w for w in stages[4] if w not in dialogue.FILLER])
     assert got == {i: (len(s), len(set(s))) for i, s in enumerate(stages)}
+
+
+def test_similarities_join_a_term_once(monkeypatch, lines):
+    held = held_by(monkeypatch, lexical)
+    kc = dialogue.speaker_terms(lines)
+    assert lexical.pair_similarities(kc, dialogue.term_counts(kc), 2).count() == 6
+    assert len(held) == 1 and held[0][1].count() == held[0][1].select("owner", "term").distinct().count()
