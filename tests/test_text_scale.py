@@ -59,6 +59,11 @@ def test_stages_count_pieces(monkeypatch, lines, texts):
     assert got == {i: (len(s), len(set(s))) for i, s in enumerate(stages)}
 
 
+def test_bigrams_are_counted_once(monkeypatch, lines):
+    held = held_by(monkeypatch, dialogue)
+    assert dialogue.bigram_g2(lines, 2).count() and len(held) == 1
+
+
 def test_similarities_join_a_term_once(monkeypatch, lines):
     held = held_by(monkeypatch, lexical)
     kc = dialogue.speaker_terms(lines)
