@@ -64,6 +64,11 @@ def test_bigrams_are_counted_once(monkeypatch, lines):
     assert dialogue.bigram_g2(lines, 2).count() and len(held) == 1
 
 
+def test_heaps_sorts_no_tokens(lines):
+    plan = dialogue.heaps_curve(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_similarities_join_a_term_once(monkeypatch, lines):
     held = held_by(monkeypatch, lexical)
     kc = dialogue.speaker_terms(lines)
