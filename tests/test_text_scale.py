@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from netlex.operators import dialogue, lexical
+from netlex.operators import dialogue, flow, lexical
 
 WORDS = ["the", "Cat", "cat", "dog's", "oh", "[sighs]", "É", "x1", "it’s", "ΣΑΣ", "of", "in", "end[a", "b]c"]
 
@@ -74,3 +74,12 @@ def test_similarities_join_a_term_once(monkeypatch, lines):
     kc = dialogue.speaker_terms(lines)
     assert lexical.pair_similarities(kc, dialogue.term_counts(kc), 2).count() == 6
     assert len(held) == 1 and held[0][1].count() == held[0][1].select("owner", "term").distinct().count()
+
+
+def test_undirected_search_reads_two_levels(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(11)]
+    edges = spark.createDataFrame(links + [(b, a) for a, b in links], "src long, dst long")
+    seen, met = [], flow._met
+    monkeypatch.setattr(flow, "_met", lambda tiles, old, front, lone: (seen.append(old.count()) if not lone else None) or met(tiles, old, front, lone))
+    got = {r.node: r.delta for r in flow.dependency_sums(edges, spark.range(1).withColumnRenamed("id", "node")).collect()}
+    assert got == {i: 11.0 - i for i in range(1, 12)} and max(seen) <= 2
