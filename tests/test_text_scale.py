@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from netlex.operators import dialogue, flow, lexical
+from netlex.operators import communities, dialogue, flow, lexical
 
 WORDS = ["the", "Cat", "cat", "dog's", "oh", "[sighs]", "É", "x1", "it’s", "ΣΑΣ", "of", "in", "end[a", "b]c"]
 
@@ -76,6 +76,15 @@ def test_similarities_join_a_term_once(monkeypatch, lines):
     assert len(held) == 1 and held[0][1].count() == held[0][1].select("owner", "term").distinct().count()
 
 
+def test_louvain_sweeps_shuffle_little(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = spark.createDataFrame(sorted({(a, b, 1 + (a + b) % 3) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(150))}), "a long, b long, weight long")
+    held = held_by(monkeypatch, communities)
+    communities.louvain(pairs, sweeps=2, levels=1)
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df, _ in held if "went" in df.columns]
+    assert plans and all(len(re.findall(r"Exchange hashpartitioning", p)) <= 5 for p in plans)
+
+
 def test_undirected_search_reads_two_levels(spark, monkeypatch):
     links = [(i, i + 1) for i in range(11)]
     edges = spark.createDataFrame(links + [(b, a) for a, b in links], "src long, dst long")
