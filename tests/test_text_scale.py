@@ -59,6 +59,17 @@ def test_stages_count_pieces(monkeypatch, lines, texts):
     assert got == {i: (len(s), len(set(s))) for i, s in enumerate(stages)}
 
 
+def test_trigrams_of_full_buckets(monkeypatch, lines, texts):
+    counts = collections.Counter(" ".join(t[i : i + 3]) for *_, text in texts for t in [tokens(text)] for i in range(len(t) - 2))
+    low = set(dialogue.STOP + dialogue.FILLER)
+    for buckets, pool in ((7, 5), (1 << 10, 40), (1 << 10, 10_000)):
+        monkeypatch.setattr(dialogue, "BUCKETS", buckets)
+        monkeypatch.setattr(dialogue, "FULLEST", 2)
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:pool]
+        want = [x for x in best if sum(w in low for w in x[0].split()) <= 1][:4]
+        assert [tuple(r) for r in dialogue.trigrams(lines, pool, 4).collect()] == want
+
+
 def test_bigrams_are_counted_once(monkeypatch, lines):
     held = held_by(monkeypatch, dialogue)
     assert dialogue.bigram_g2(lines, 2).count() and len(held) == 1
