@@ -49,10 +49,11 @@ def test_pushed_cells_and_whole_rows_agree(monkeypatch, push):
 def test_searches_keep_no_level(spark, monkeypatch):
     links = chain_and_crowd()
     edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links], "src string, dst string")
-    roots = spark.createDataFrame([(f"n{i}",) for i in [*range(120), 130, 131, 140]], "node string")
+    starts = [*range(120), 130, 131, *range(140, 300)]
+    roots = spark.createDataFrame([(f"n{i}",) for i in starts], "node string")
     for module, name in ((traverse, "_search"), (flow, "_wave")):
         monkeypatch.setattr(module, name, lambda *a: pytest.fail("levels are shuffled"))
-    want = {(f"n{a}", f"n{b}"): d for (a, b), d in plain(links, [*range(120), 130, 131, 140]).items()}
+    want = {(f"n{a}", f"n{b}"): d for (a, b), d in plain(links, starts).items()}
     got = [tuple(r) for r in traverse.bfs(edges, roots).collect()]
     assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
     assert {(r.root, r.node) for r in traverse.bfs(edges, roots, 2).collect()} == {p for p, d in want.items() if d <= 2}
@@ -61,7 +62,7 @@ def test_searches_keep_no_level(spark, monkeypatch):
         pairs, sums = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(x).collect()) for x in (traverse.bfs(edges, roots), counts))
         assert pairs == sums
     sums = {r.node: (r.delta, r.squares) for r in flow.dependency_sums(edges, roots).collect()}
-    brute = brandes(links, [*range(120), 130, 131, 140])
+    brute = brandes(links, starts)
     assert sums.keys() == {f"n{i}" for i in brute} and all(sums[f"n{i}"] == pytest.approx(brute[i], abs=1e-9) for i in brute)
 
 
